@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding, url_filter
-from .common import ship
+from . import (
+    bfd_packing,
+    embedding_dedup,
+    language_id,
+    matroska,
+    mixture_packing,
+    poisson_mixing,
+    quality_gbt,
+    sharding,
+    simhash_dedup,
+    url_filter,
+)
+from .common import crc_of_id, ship
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,18 +27,72 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(crc_of_id("doc_id") % modulus == remainder, F.lit(False)).alias("held_out")
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify_languages(docs, language_id.fit(docs))
+    return found.select("doc_id", _held_out(3, 1), "lang_pred", "score")
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(_table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=24, grown=25)
 
 
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = mixture_packing.pack_mixture(_table(spark, sf_dir, "documents"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "source"
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_filter.filter_urls(pages, url_filter.noisy_urls(pages))
 
 
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = quality_gbt.score_quality(docs, quality_gbt.fit(docs, labels))
+    return scored.select("doc_id", _held_out(5, 0), "score", "predicted")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bfd_packing.pack_best_fit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_sharding": op5_sharding,
-    "op7_url_filter": op7_url_filter,
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_language_id,
+        op3_simhash_near_dedup,
+        op4_matroska,
+        op5_sharding,
+        op6_mixture_packing,
+        op7_url_filter,
+        op8_poisson_mixing,
+        op9_quality_classifier,
+        op10_best_fit_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
