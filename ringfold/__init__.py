@@ -1,0 +1 @@
+"""Shape matching and street-network analytics on Spark DataFrames."""
