@@ -46,7 +46,7 @@ def cells_along(segs: DataFrame, cell: float, min_x: Column, min_y: Column) -> D
     """Distinct raster cells on a walk along each segment in half-cell steps."""
     length = g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     s = segs.withColumn("steps", F.greatest(F.lit(1).cast("long"), F.ceil(length / (cell / 2))))
-    s = s.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps"))) / F.col("steps"))
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps")))).withColumn("t", F.col("i") / F.col("steps"))
     at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("t")
     keep = [c for c in segs.columns if c not in ("ax", "ay", "bx", "by")]
     cx, cy = g.cell(at("ax", "bx") - min_x, cell), g.cell(at("ay", "by") - min_y, cell)

@@ -10,7 +10,7 @@ from .registry import REGISTRY
 
 
 def load() -> None:
-    from . import geometry, scalars  # noqa: F401
+    from . import extraction, geometry, matching, network, routes, scalars  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,13 +35,11 @@ def hash_key(text: str) -> str:
 
 def hash_key_column(text: Column) -> Column:
     """``hash_key`` of a column, a batch at a time; null stays null."""
-    import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
+    def run(s):
         return s.map(hash_key, na_action="ignore")
 
-    return run(text)
+    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)(text)
 
 
 def is_retryable(status: Column) -> Column:
