@@ -108,7 +108,7 @@ def _before(totals: DataFrame, keys: list[str], bucket: str, group: Sequence[str
     if high < fan:
         w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
         return totals.select(*keys, F.coalesce(F.sum("__rf_total").over(w), F.lit(0)).alias("__rf_before"))
-    up = "__rf_up"
+    up = f"__rf_up_{bucket}"
     tagged = totals.withColumn(up, F.floor(F.col(bucket) / fan).cast("long"))
     w = Window.partitionBy(*group, up).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     within = tagged.select(*keys, up, F.coalesce(F.sum("__rf_total").over(w), F.lit(0)).alias("__rf_within"))
