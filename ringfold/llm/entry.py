@@ -62,11 +62,13 @@ def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    return url_filter.filter_urls(pages, url_filter.noisy_urls(pages))
+    judged = url_filter.filter_urls(pages, url_filter.noisy_urls(pages))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "canonical", "listed")
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poisson_mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    mixed = poisson_mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.withColumn("rate", F.floor(F.col("rate") * 1e6 + 0.5) / 1e6)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +97,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in url_filter.RULES)
+
+#: The others need hashes, models or formats that SQL doesn't have, or (op5)
+#: a checksum; tests hold them against brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": f"""
+        WITH raw AS (SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+        split AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM raw),
+        tail AS (SELECT *, substring(rest, length(raw_host) + 1) AS after FROM split),
+        parts AS (SELECT *, translate(raw_host, '{url_filter.UPPER}', '{url_filter.LOWER}') AS host, regexp_extract(after, '^[^?#]*') AS path FROM tail),
+        query AS (SELECT *, regexp_extract(substring(after, length(path) + 1), '^\\?([^#]*)', 1) AS query FROM parts),
+        kept AS (SELECT *, regexp_replace(regexp_replace(query, '(^|&)(utm_[^&=]*|ref)=[^&]*', '', 'g'), '^&+', '') AS rest_query FROM query),
+        urls AS (SELECT page_id, html, host, path, CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
+            || CASE WHEN rest_query = '' THEN '' ELSE '?' || rest_query END END AS canonical FROM kept),
+        listed AS (SELECT DISTINCT canonical AS c FROM urls WHERE regexp_matches(html, '(\\*\\*\\*|%%%|\\$\\$\\$|###)') AND canonical IS NOT NULL),
+        rules AS (SELECT * FROM (VALUES {_RULES}) r(v, h, p)),
+        fits AS (SELECT u.page_id AS pid, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM urls u JOIN rules
+            ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p) GROUP BY 1)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN c IS NULL THEN 'allow' ELSE 'block' END) AS verdict, canonical, c IS NOT NULL AS listed
+        FROM urls LEFT JOIN fits ON pid = page_id LEFT JOIN listed ON c = canonical""",
+    "op8_poisson_mixing": f"""
+        WITH sizes AS (SELECT source AS s, CAST(sum(greatest(length(text), 1)) AS DOUBLE) AS n FROM documents GROUP BY 1),
+        rates AS (SELECT s, power(n, {poisson_mixing.TEMPERATURE}) / (SELECT sum(power(n, {poisson_mixing.TEMPERATURE})) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
+        terms AS (SELECT s, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM rates, range(60) r(k)),
+        cdf AS (SELECT s, rate, k, sum(term) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
+        draws AS (SELECT *, CAST(('0x' || substring(md5(CAST(doc_id AS VARCHAR) || ':{poisson_mixing.SEED}'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+        counted AS (SELECT d.doc_id AS i, any_value(rate) AS rate, CAST(count(*) FILTER (u >= c) AS INTEGER) AS copies FROM draws d JOIN cdf ON s IS NOT DISTINCT FROM d.source GROUP BY 1)
+        SELECT d.*, copy, copies, floor(rate * 1e6 + 0.5) / 1e6 AS rate FROM documents d JOIN counted ON i = doc_id JOIN range(60) r(copy) ON copy < copies""",
+}
