@@ -11,7 +11,7 @@ from ..operators import kernels, matching, paths, spatial
 from ..operators.components import connected_components
 from ..params import Proximity
 from .registry import q, query, sdist, shalf, sq, ssegdist
-from .scalars import _GEO, AX, AY, BX, BY, geo
+from .scalars import _GEO, geo
 
 C, L = F.col, F.lit
 K = "path_id"
@@ -291,7 +291,7 @@ _STREET = "g_street AS (SELECT way, seq AS sseq, ax, ay, bx, by FROM g_segment)"
 def shifted_rings(d):
     """Every outline, moved off its own street: (path_id, seq, ax, ay, bx, by)."""
     s = d.ring_segment
-    return s.select(K, "seq", (AX + 6).alias("ax"), (AY - 4).alias("ay"), (BX + 6).alias("bx"), (BY - 4).alias("by"))
+    return s.select(K, "seq", (C("ax") + 6).alias("ax"), (C("ay") - 4).alias("ay"), (C("bx") + 6).alias("bx"), (C("by") - 4).alias("by"))
 
 
 _SHIFT = "g_shift AS (SELECT path_id, seq, ax + 6 AS ax, ay - 4 AS ay, bx + 6 AS bx, by - 4 AS by FROM g_ring_segment)"
@@ -371,7 +371,7 @@ def polyline_nearest(points, line, closed: bool):
     segs = paths.segments(line, closed)
     p = points.withColumn("pt", F.monotonically_increasing_id())
     j = p.join(segs.select(K, "ax", "ay", "bx", "by"), K)
-    return j.groupBy(K, "pt").agg(F.min(g.segment_distance(C("x"), C("y"), AX, AY, BX, BY)).alias("d"))
+    return j.groupBy(K, "pt").agg(F.min(g.segment_distance(C("x"), C("y"), C("ax"), C("ay"), C("bx"), C("by"))).alias("d"))
 
 
 _REC = """g_own AS (SELECT path_id, seq, x - cx AS x, y - cy AS y FROM g_vertex JOIN g_centre USING (path_id)),
@@ -612,7 +612,7 @@ def j14(d):
 def j15(d):
     own, ring = neighbour_pairs(d)
     j = own.join(paths.segments(ring, True).select(K, "ax", "ay", "bx", "by"), K)
-    return j.groupBy(K, "seq").agg(q(F.min(g.segment_distance(C("x"), C("y"), AX, AY, BX, BY)), 2).alias("d"))
+    return j.groupBy(K, "seq").agg(q(F.min(g.segment_distance(C("x"), C("y"), C("ax"), C("ay"), C("bx"), C("by"))), 2).alias("d"))
 
 
 @query("j16_hausdorff", f"SELECT path_id, {sq('max(CASE WHEN side = ' + chr(39) + 'a' + chr(39) + ' THEN d END)', 2)} AS there, {sq('max(CASE WHEN side = ' + chr(39) + 'b' + chr(39) + ' THEN d END)', 2)} AS back FROM g_dev GROUP BY 1", *_DEV_CTES)
@@ -646,7 +646,7 @@ def j22(d):
 
 @query("f11_heading_aligned", f"SELECT way, seq, abs((bx - ax) * 3 + (by - ay) * 4) >= 0.8191520442889918::DOUBLE * {_LEN} * 5 AND {_LEN} > 0 AS ok FROM g_segment")
 def f11(d):
-    return d.segment.select("way", "seq", g.aligned(BX - AX, BY - AY, L(3.0), L(4.0), O.align_rad).alias("ok"))
+    return d.segment.select("way", "seq", g.aligned(C("bx") - C("ax"), C("by") - C("ay"), L(3.0), L(4.0), O.align_rad).alias("ok"))
 
 
 _STRAIGHTS = _RUNS.replace("g_ring_segment", "(SELECT way AS path_id, seq, ax, ay, bx, by FROM g_segment)").replace(

@@ -11,7 +11,7 @@ from ..operators import validate
 from ..params import REGIONS
 from ..sources import files, http
 from .registry import q, query, sfix, shalf, sq
-from .scalars import METRICS, S_TERMS, geo
+from .scalars import S_TERMS, geo, metrics
 
 C, L = F.col, F.lit
 _REGION = "g_region AS (SELECT * FROM (VALUES {}) v(region, label, n, west, south, east, north))".format(
@@ -39,7 +39,7 @@ _MISS = """list_filter([CASE WHEN mean_dev > 30 THEN 'mean ' || CASE WHEN floor(
 
 @query("x05_bar_misses", f"SELECT circuit, region, k, array_to_string({_MISS}, '; ') AS misses FROM g_route")
 def x05(d):
-    return d.route.select("circuit", "region", "k", F.array_join(t.bar_misses(*METRICS), "; ").alias("misses"))
+    return d.route.select("circuit", "region", "k", F.array_join(t.bar_misses(*metrics()), "; ").alias("misses"))
 
 
 @query(
@@ -51,10 +51,10 @@ def x05(d):
 def t07(d):
     """The three best routes of every circuit among selected regions, with what each misses."""
     selected = d.spark.createDataFrame([("porto",), ("espinho",), ("matosinhos",)], "region string")
-    r = named_routes(d).join(F.broadcast(selected), "region", "left_semi").withColumn("worst", g.worst_ratio(*METRICS))
+    r = named_routes(d).join(F.broadcast(selected), "region", "left_semi").withColumn("worst", g.worst_ratio(*metrics()))
     w = Window.partitionBy("circuit").orderBy("worst", "n", "k")
     best = r.withColumn("place", F.row_number().over(w)).where("place <= 3")
-    return best.select("circuit", C("region").alias("region_id"), "k", q(C("worst"), 4).alias("worst"), C("place").alias("n"), F.array_join(t.bar_misses(*METRICS), "; ").alias("misses"))
+    return best.select("circuit", C("region").alias("region_id"), "k", q(C("worst"), 4).alias("worst"), C("place").alias("n"), F.array_join(t.bar_misses(*metrics()), "; ").alias("misses"))
 
 
 @query("j20_selected_regions", "SELECT circuit, region_id, count(*) AS n FROM g_named WHERE region_id NOT IN ('vila-do-conde') GROUP BY 1, 2", S_TERMS, _REGION, _NAMED)
@@ -66,7 +66,7 @@ def j20(d):
 @query("w09_rank_in_region", "SELECT circuit, region, k, row_number() OVER (PARTITION BY circuit, region ORDER BY worst, k) AS rank FROM g_bar", S_TERMS)
 def w09(d):
     w = Window.partitionBy("circuit", "region").orderBy("worst", "k")
-    return d.route.withColumn("worst", g.worst_ratio(*METRICS)).select("circuit", "region", "k", F.row_number().over(w).alias("rank"))
+    return d.route.withColumn("worst", g.worst_ratio(*metrics())).select("circuit", "region", "k", F.row_number().over(w).alias("rank"))
 
 
 @query("u02_union_regions", "SELECT region_id, count(*) AS n, count(DISTINCT circuit) AS circuits FROM g_named GROUP BY 1", S_TERMS, _REGION, _NAMED)
@@ -144,7 +144,7 @@ def x04(d):
     FROM (SELECT *, {shalf('(ratio * 4000 - 4000) / 4000 * 100')} AS pct FROM g_route)""",
 )
 def x06(d):
-    mean, longest, ratio, retrace = METRICS
+    mean, longest, ratio, retrace = metrics()
     return d.route.select(
         "circuit", "region", "k", t.picker_line(mean, longest, ratio).alias("picker"), t.route_length_label(ratio * 4000, L(4000.0)).alias("length_label"),
         t.deviation_label(mean, longest).alias("deviation"), t.suggestion_label(retrace * 10, mean).alias("suggestion"),
@@ -265,7 +265,7 @@ def s12(d):
 
 def route_files(d):
     """Each circuit's routes as a stored file, in JSON."""
-    r = named_routes(d).withColumn("worst", g.worst_ratio(*METRICS))
+    r = named_routes(d).withColumn("worst", g.worst_ratio(*metrics()))
     w = Window.partitionBy("circuit", "region").orderBy("worst", "k")
     r = r.withColumn("rank", F.row_number().over(w))
     point = lambda i: F.array(-8.6 + i * 0.001, 41.1 + i * 0.001)

@@ -12,7 +12,6 @@ from ..params import EARTH_RADIUS_M, Bar
 from .registry import q, query, sdist, sfix, shalf, sproj, sq, ssegdist
 
 C, L = F.col, F.lit
-AX, AY, BX, BY = C("ax"), C("ay"), C("bx"), C("by")
 _R = f"{EARTH_RADIUS_M}::DOUBLE"
 _DEG = "(pi() / 180)"
 KEY = "way, seq"
@@ -26,11 +25,11 @@ KEY = "way, seq"
     {sq('ax * bx + ay * by', 1)} AS dot, {sq('ax * by - ay * bx', 1)} AS cross_z FROM g_segment""",
 )
 def m01(d):
-    r = g.rotate(AX, AY, L(0.7))
+    r = g.rotate(C("ax"), C("ay"), L(0.7))
     return d.segment.select(
-        "way", "seq", q(AX + BX).alias("add_x"), q(AY - BY).alias("sub_y"), q(AX * 2.5).alias("scale_x"), q(r["x"]).alias("rot_x"),
-        q(r["y"]).alias("rot_y"), q(g.norm(AX, AY)).alias("len"), q(g.distance(AX, AY, BX, BY)).alias("dist"),
-        q(g.dot(AX, AY, BX, BY), 1).alias("dot"), q(g.cross(AX, AY, BX, BY), 1).alias("cross_z"),
+        "way", "seq", q(C("ax") + C("bx")).alias("add_x"), q(C("ay") - C("by")).alias("sub_y"), q(C("ax") * 2.5).alias("scale_x"), q(r["x"]).alias("rot_x"),
+        q(r["y"]).alias("rot_y"), q(g.norm(C("ax"), C("ay"))).alias("len"), q(g.distance(C("ax"), C("ay"), C("bx"), C("by"))).alias("dist"),
+        q(g.dot(C("ax"), C("ay"), C("bx"), C("by")), 1).alias("dot"), q(g.cross(C("ax"), C("ay"), C("bx"), C("by")), 1).alias("cross_z"),
     )
 
 
@@ -42,8 +41,8 @@ def m01(d):
 )
 def m02(d):
     k = C("seq") % 4  # every fourth is the zero vector
-    u = g.normalize(k * (BX - AX), k * (BY - AY))
-    return d.segment.select("way", "seq", q(u["x"]).alias("ux"), q(u["y"]).alias("uy"), q(g.angle_between(AX, AY, BX, BY), 6).alias("angle"))
+    u = g.normalize(k * (C("bx") - C("ax")), k * (C("by") - C("ay")))
+    return d.segment.select("way", "seq", q(u["x"]).alias("ux"), q(u["y"]).alias("uy"), q(g.angle_between(C("ax"), C("ay"), C("bx"), C("by")), 6).alias("angle"))
 
 
 _GEO = "g_geo AS (SELECT path_id, seq, -8.6 + x / 100000 AS lon, 41.1 + y / 100000 AS lat FROM g_vertex)"
@@ -150,10 +149,10 @@ _PX, _PY = "(ax + 60 * (seq % 5) - 100)", "(by - 40 * (seq % 3))"
     FROM (SELECT *, {sproj(_PX, _PY)} AS t FROM g_segment)""",
 )
 def m10(d):
-    px, py = AX + 60 * (C("seq") % 5) - 100, BY - 40 * (C("seq") % 3)
-    s = d.segment.withColumn("f", g.project_on_segment(px, py, AX, AY, BX, BY))
+    px, py = C("ax") + 60 * (C("seq") % 5) - 100, C("by") - 40 * (C("seq") % 3)
+    s = d.segment.withColumn("f", g.project_on_segment(px, py, C("ax"), C("ay"), C("bx"), C("by")))
     return s.select(
-        "way", "seq", q(C("f.x")).alias("x"), q(C("f.y")).alias("y"), q(C("f.t"), 6).alias("t"), q(g.segment_distance(px, py, AX, AY, BX, BY)).alias("d")
+        "way", "seq", q(C("f.x")).alias("x"), q(C("f.y")).alias("y"), q(C("f.t"), 6).alias("t"), q(g.segment_distance(px, py, C("ax"), C("ay"), C("bx"), C("by"))).alias("d")
     )
 
 
@@ -167,7 +166,7 @@ _HIT = f"coalesce({_TA} BETWEEN 0 AND 1 AND {_TB} BETWEEN 0 AND 1, false)"
 
 def seg_pairs(d):
     """Each segment with the one after the next of its way."""
-    b = d.segment.select("way", (C("seq") - 2).alias("seq"), AX.alias("cx"), AY.alias("cy"), BX.alias("dx"), BY.alias("dy"))
+    b = d.segment.select("way", (C("seq") - 2).alias("seq"), C("ax").alias("cx"), C("ay").alias("cy"), C("bx").alias("dx"), C("by").alias("dy"))
     return d.segment.join(b, ["way", "seq"])
 
 
@@ -178,8 +177,8 @@ def seg_pairs(d):
     _PAIR,
 )
 def m11(d):
-    s = seg_pairs(d).withColumn("h", g.segment_intersection((AX, AY, BX, BY), (C("cx"), C("cy"), C("dx"), C("dy"))))
-    return s.select("way", "seq", q((AX + BX) / 2).alias("mid_x"), q(C("h.x")).alias("x"), q(C("h.y")).alias("y"))
+    s = seg_pairs(d).withColumn("h", g.segment_intersection((C("ax"), C("ay"), C("bx"), C("by")), (C("cx"), C("cy"), C("dx"), C("dy"))))
+    return s.select("way", "seq", q((C("ax") + C("bx")) / 2).alias("mid_x"), q(C("h.x")).alias("x"), q(C("h.y")).alias("y"))
 
 
 _FEET = ", ".join(
@@ -199,7 +198,7 @@ _FEET = ", ".join(
     _PAIR,
 )
 def m12(d):
-    near = g.closest_approach((AX, AY, BX, BY), (C("cx"), C("cy"), C("dx"), C("dy")))
+    near = g.closest_approach((C("ax"), C("ay"), C("bx"), C("by")), (C("cx"), C("cy"), C("dx"), C("dy")))
     s = seg_pairs(d).withColumn("n", near)
     return s.select("way", "seq", q(C("n.d")).alias("d"), C("n.k").alias("k"))
 
@@ -237,7 +236,7 @@ def m15(d):
     w = Window.partitionBy("path_id").orderBy("seq")
     s = paths.directed(d.vertex, False).withColumns({"vx": F.lead("ux").over(w), "vy": F.lead("uy").over(w)}).where("vx is not null")
     return s.select(
-        C("path_id").alias("way"), "seq", q(g.turn(C("ux"), C("uy"), C("vx"), C("vy")), 6).alias("turn"), q(g.bearing(AX, AY, BX, BY), 6).alias("bearing")
+        C("path_id").alias("way"), "seq", q(g.turn(C("ux"), C("uy"), C("vx"), C("vy")), 6).alias("turn"), q(g.bearing(C("ax"), C("ay"), C("bx"), C("by")), 6).alias("bearing")
     )
 
 
@@ -265,12 +264,12 @@ def m16(d):
     FROM (SELECT *, atan2(by - ay, bx - ax) AS h FROM g_segment))""",
 )
 def m17(d):
-    return d.segment.select("way", "seq", g.heading_layer(BX - AX, BY - AY).alias("layer"))
+    return d.segment.select("way", "seq", g.heading_layer(C("bx") - C("ax"), C("by") - C("ay")).alias("layer"))
 
 
 @query("m18_cell_key", f"SELECT {KEY}, CAST(floor(ax / 50) AS BIGINT) AS cx, CAST(floor(ay / 50) AS BIGINT) AS cy FROM g_segment")
 def m18(d):
-    return d.segment.select("way", "seq", g.cell(AX, 50.0).alias("cx"), g.cell(AY, 50.0).alias("cy"))
+    return d.segment.select("way", "seq", g.cell(C("ax"), 50.0).alias("cx"), g.cell(C("ay"), 50.0).alias("cy"))
 
 
 _STRAIGHT, _PATH = sdist("ax", "ay", "bx", "by"), f"({sdist('ax', 'ay', 'bx', 'by')} * (1 + (seq % 4) * 0.3))"
@@ -282,14 +281,18 @@ _STRAIGHT, _PATH = sdist("ax", "ay", "bx", "by"), f"({sdist('ax', 'ay', 'bx', 'b
     CASE WHEN {_STRAIGHT} > 150 OR seq % 5 = 0 THEN 'infinite' ELSE {sfix(f'least(10, 3 * greatest(0, {_PATH} - 50) / 50 + 0.3 * greatest(0, 50 - {_PATH}) / 50)', 4)} END AS transition FROM g_segment""",
 )
 def m19(d):
-    n = g.distance(AX, AY, BX, BY)
+    n = g.distance(C("ax"), C("ay"), C("bx"), C("by"))
     path = F.when(C("seq") % 5 != 0, n * (1 + (C("seq") % 4) * 0.3))
     cost = g.transition_cost(n, path)
     shown = F.when(cost == g.INF, L("infinite")).otherwise(t.fixed(F.least(cost, L(99.0)), 4))
     return d.segment.select("way", "seq", q(g.emission_cost(n)).alias("emission"), shown.alias("transition"))
 
 
-METRICS = tuple(C(c) for c in ("mean_dev", "max_dev", "ratio", "retrace"))
+def metrics():
+    """Columns of a route's metrics, in the order that the bar takes."""
+    return tuple(C(c) for c in ("mean_dev", "max_dev", "ratio", "retrace"))
+
+
 S_TERMS = """g_terms AS (SELECT *, mean_dev / 30 AS mean_ratio, max_dev / 100 AS max_ratio, retrace / 0.05::DOUBLE AS retrace_ratio,
     CASE WHEN ratio < 0.9::DOUBLE THEN 1 + (0.9::DOUBLE - ratio) / 0.9::DOUBLE WHEN ratio > 1.2::DOUBLE THEN 1 + (ratio - 1.2::DOUBLE) / 1.2::DOUBLE ELSE 0 END AS length_term FROM g_route),
     g_bar AS (SELECT *, greatest(mean_ratio, max_ratio, length_term, retrace_ratio) AS worst FROM g_terms)"""
@@ -303,10 +306,10 @@ S_TERMS = """g_terms AS (SELECT *, mean_dev / 30 AS mean_ratio, max_dev / 100 AS
     S_TERMS,
 )
 def m20(d):
-    terms = g.bar_terms(*METRICS)
+    terms = g.bar_terms(*metrics())
     return d.route.select(
-        "circuit", "region", "k", *[q(c, 4).alias(n) for n, c in terms.items()], q(g.worst_ratio(*METRICS), 4).alias("worst"),
-        q(sum(list(terms.values())[1:], list(terms.values())[0])).alias("total"), g.passes_bar(*METRICS).alias("passes"),
+        "circuit", "region", "k", *[q(c, 4).alias(n) for n, c in terms.items()], q(g.worst_ratio(*metrics()), 4).alias("worst"),
+        q(sum(list(terms.values())[1:], list(terms.values())[0])).alias("total"), g.passes_bar(*metrics()).alias("passes"),
     )
 
 
@@ -344,8 +347,8 @@ def m22(d):
     {sq('ay - 40 * cos(atan2(-(bx - ax), -(by - ay)))')} AS handle_y FROM g_segment""",
 )
 def m23(d):
-    b = g.drag_bearing(AX, AY, BX, BY)
-    h = g.handle_pixel(AX, AY, b, L(40.0))
+    b = g.drag_bearing(C("ax"), C("ay"), C("bx"), C("by"))
+    h = g.handle_pixel(C("ax"), C("ay"), b, L(40.0))
     return d.segment.select("way", "seq", q(b, 6).alias("bearing"), q(h["x"]).alias("handle_x"), q(h["y"]).alias("handle_y"))
 
 
@@ -379,7 +382,7 @@ def m25(d):
 def m26(d):
     from ..operators.matching import seed_poses
 
-    s = d.segment.withColumn("bearing", g.bearing(AX, AY, BX, BY))
+    s = d.segment.withColumn("bearing", g.bearing(C("ax"), C("ay"), C("bx"), C("by")))
     p = seed_poses(s, (100.0, 0.0), (200.0, 80.0))
     return p.select("way", "seq", "flip", q(C("rotation"), 6).alias("rotation"), q(C("x")).alias("x"), q(C("y")).alias("y"))
 
