@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..params import STRAIGHT_RATIO, SearchOptions
 from . import kernels, paths, spatial
+from .components import cut_lineage
 
 
 def seed_poses(streets: DataFrame, a: tuple[float, float], b: tuple[float, float]) -> DataFrame:
@@ -86,7 +87,8 @@ def score_poses(
         key, pose, "s", F.col("x").alias("bx0"), F.col("y").alias("by0"), "at.x", "at.y", F.col("h.x").alias("hx"), F.col("h.y").alias("hy")
     )
     near = spatial.nearest_segment(p, streets, [key, pose, "s"], o.search_m, align_rad=o.align_rad)
-    near = near.withColumns({"sx": F.coalesce("fx", "x"), "sy": F.coalesce("fy", "y")})
+    # Read five times below; the distance join should run once.
+    near = cut_lineage(near.withColumns({"sx": F.coalesce("fx", "x"), "sy": F.coalesce("fy", "y")}))
     cover = near.groupBy(key, pose).agg(
         F.avg((F.col("d") < o.near_m).cast("double")).alias("coverage"), F.avg("d").alias("mean_m"), F.max("d").alias("max_m"),
         F.sqrt(F.max(F.col("bx0") * F.col("bx0") + F.col("by0") * F.col("by0"))).alias("radius"),
@@ -176,7 +178,7 @@ def search_placements(
     grid = grid.withColumn("pose", F.row_number().over(w))
     coarse = score_poses(grid, ring, streets, o.samples[0], scale, o, key).where(F.col("coverage") >= o.min_coverage)
     coarse = grid.join(coarse.select(key, "pose", "coverage", "score"), [key, "pose"])
-    kept = macro_winners(coarse, o.macro_m, o.keep, key).select(key, F.col("pose").alias("seed"), "x", "y", "rotation")
+    kept = cut_lineage(macro_winners(coarse, o.macro_m, o.keep, key).select(key, F.col("pose").alias("seed"), "x", "y", "rotation"))
     tried = refinements(kept, o).withColumn("pose", F.col("seed").cast("long") * 1000 + F.col("step"))
     fine = score_poses(tried, ring, streets, o.samples[1], scale, o, key)
     value = F.struct("x", "y", "rotation", "coverage", "mean_m", "max_m", "score")

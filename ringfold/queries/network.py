@@ -222,7 +222,7 @@ def a15(d):
     """Cost and longest hole of every outline at four poses on the lattice; tests hold it against a plain loop."""
     _, _, frame, sources = lattice_raster(d)
     cells = raster.near_cells(sources, 8)
-    ring = small_rings(d)
+    ring = small_rings(d, 0.15)
     samples = raster.spaced_samples(ring, paths.path_length(ring, True), 60.0)
     poses = ring.select("path_id").distinct().withColumn("pose", F.explode(F.sequence(L(0), L(3))))
     poses = poses.select("path_id", "pose", (400.0 + 50 * C("pose")).alias("x"), (600.0 - 30 * C("pose")).alias("y"), (C("pose") * 0.4).cast("double").alias("rotation"))
@@ -239,7 +239,7 @@ def f14(d):
 def block_ring(d):
     """A rectangle on the lattice's streets, drawn a little off them."""
     rows = []
-    corners = [(-205.0, -105.0), (195.0, -95.0), (205.0, 95.0), (-195.0, 105.0)]
+    corners = [(-105.0, -155.0), (95.0, -145.0), (105.0, 145.0), (-95.0, 155.0)]
     for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
         rows += [(ax + (bx - ax) * k / 20, ay + (by - ay) * k / 20) for k in range(20)]
     return d.spark.createDataFrame([(0, i, x, y) for i, (x, y) in enumerate(rows)], "path_id long, seq long, x double, y double")
