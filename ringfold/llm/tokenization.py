@@ -3,6 +3,8 @@
 The ids are those of the ``tokenizers`` library for the same vocabulary file
 (tests compare them). Its tables are read from the file and run by tiktoken's
 merger, on a pattern without look-ahead wherever that gives the same words.
+As with the library, a vocabulary's added token that stands in a text gets its
+own id, whatever is around it.
 """
 
 from __future__ import annotations
@@ -53,7 +55,11 @@ class Encoder:
         data = json.loads(file)
         self._file = file
         model = data["model"]
-        special = {t["content"] for t in data.get("added_tokens", [])}
+        added = data.get("added_tokens", [])
+        special = {t["content"]: t["id"] for t in added}
+        self._special = list(special)
+        # Several tokens, or one that takes in white space or needs word bounds, are left to the library.
+        self._plain = len(added) < 2 and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
         to_byte = _byte_of_char()
         ranks = {bytes(to_byte[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         merged = [ranks[bytes(to_byte[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
@@ -62,27 +68,32 @@ class Encoder:
         make = lambda p: tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
         self._exact: Callable[[str], list[int]] = make(WORDS)
         self._fast: Callable[[str], list[int]] = make(WORDS.replace(r"\s+(?!\S)|", ""))
+        marked = tiktoken.Encoding("marked", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+        self._marked: Callable[[str], list[int]] = lambda text: marked.encode(text, set(special))
         self._library = None
 
     def _slow(self, text: str) -> list[int]:
-        """By the library itself: for texts that the merger's pattern gives up on."""
+        """By the library itself: for texts that the merger can't take."""
         from tokenizers import Tokenizer
 
         if self._library is None:
             self._library = Tokenizer.from_str(self._file.decode())
-            self._library.encode_special_tokens = True
         return self._library.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: pa.Array, end: int | None = END) -> Iterator[array]:
         """Ids of each whole text, then ``end``; null counts as empty."""
         runs = pc.match_substring_regex(texts, _RUN).to_pylist()
         for text, run in zip(texts, runs, strict=True):
+            whole = text.as_py() or ""
+            encode = self._exact if run else self._fast
+            if any(s in whole for s in self._special):
+                encode = self._marked if self._plain else self._slow
             try:
-                ids = array("I", (self._exact if run else self._fast)(text.as_py() or ""))
+                ids = array("I", encode(whole))
             except (KeyboardInterrupt, SystemExit):
                 raise
             except BaseException:  # the merger panics on runs past its step limit
-                ids = array("I", self._slow(text.as_py()))
+                ids = array("I", self._slow(whole))
             if end is not None:
                 ids.append(end)
             yield ids

@@ -213,7 +213,7 @@ def poisson_mixing_u(doc, seed=poisson_mixing.SEED):
 # --- tokens and packing --------------------------------------------------------------
 
 ODD = [
-    None, "", "a", "It's we'll they've I'm he'd 'tis", "two  spaces\n\n\nand tabs\t\t end  ", "naïve café ½ ٣ 漢字 😀👍🏽", "<|endoftext|> as text", "x" * 5000, " lead", "trail ",
+    None, "", "a", "It's we'll they've I'm he'd 'tis", "two  spaces\n\n\nand tabs\t\t end  ", "naïve café ½ ٣ 漢字 😀👍🏽", "<|endoftext|> as text", "before<|endoftext|>", "  <|endoftext|> \n <|endoftext|><|endoftext|>  x", "<|endoftext |>", "x" * 5000, " lead", "trail ",
     "a\u00a0\u2003b", "\u2028\u2029\x1c\x1d", "\r\n mixed \r\n\r\n", "word " * 3000, "´`'s", "12345 67 8,9",
 ]
 
@@ -222,7 +222,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenization.vocabulary_path())
-    tok.encode_special_tokens = True
     return [e.ids + [1] for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
