@@ -51,9 +51,12 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     return rows.mapInArrow(run, schema)
 
 
-def schedule(queue: DataFrame, targets: Mapping[str | None, float] | None, window: int, seed: int = 0) -> DataFrame:
+def schedule(
+    queue: DataFrame, targets: Mapping[str | None, float] | None, window: int, seed: int = 0, spread: bool = False
+) -> DataFrame:
     """(rid, n, window, at): for each row (rid, doc_id, source, n) its window
-    and its place in the stream of tokens."""
+    and its place in the stream of tokens. Queues are in the order of a hash of
+    the id, with ``spread`` of the id and ``rid``."""
     totals = queue.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources; map them to fewer groups first")
@@ -72,7 +75,7 @@ def schedule(queue: DataFrame, targets: Mapping[str | None, float] | None, windo
     weights = queue.sparkSession.createDataFrame([(s, w) for s, w in weight.items()] or [(None, 1.0)], "q string, w double")
 
     rows = sum(r["rows"] for r in totals)
-    chance = hash_fraction(F.col("doc_id").cast("string"), seed=seed)
+    chance = hash_fraction(F.col("doc_id").cast("string"), *(["rid"] if spread else []), seed=seed)
     buckets = max(1, -(-rows // _ROWS_A_BUCKET))
     lined = queue.withColumn("chance", chance).withColumn("slot", F.floor(F.col("chance") * buckets))
     lined = running_total(lined, "n", "before", ["chance", "doc_id", "rid"], "slot", ["source"])
@@ -96,6 +99,7 @@ def pack_mixture(
     source: str = "source",
     path: str | None = None,
     seed: int = 0,
+    spread: bool = False,
 ) -> DataFrame:
     """Packs all documents into sequences of ``sequence`` tokens.
 
@@ -108,12 +112,14 @@ def pack_mixture(
     default the corpus's own shares of tokens, under which no queue runs dry
     early. A null source is a queue of its own, a null text an empty
     document of just the end id, and repeated or null ids stay separate
-    documents. Other columns are not read.
+    documents. Rows of one id follow each other in their queue unless
+    ``spread`` places each by its own draw, which also takes in where the row
+    stands in the input. Other columns are not read.
     """
     # The stored row number is the key from here on, since ids may repeat.
     rid = F.monotonically_increasing_id().alias("rid")
     tokens = written(tokenize(docs, doc_id, text, source, path).select(rid, F.col(doc_id).alias("doc_id"), "source", "n", "width", "ids"))
-    plan = schedule(tokens.select("rid", "doc_id", "source", "n"), targets, window, seed)
+    plan = schedule(tokens.select("rid", "doc_id", "source", "n"), targets, window, seed, spread)
     placed = tokens.select("rid", "doc_id", "source", "width", "ids").join(plan, "rid")
 
     def run(batches):

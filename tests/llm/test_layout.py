@@ -257,6 +257,18 @@ def test_pack_mixture(spark):
     assert mixture_packing.pack_mixture(df.limit(0)).count() == 0
 
 
+def test_pack_mixture_spreads_repeats(spark):
+    df = spark.createDataFrame([(i // 20, f"text of {i // 20}", "a") for i in range(1000)], "doc_id long, text string, source string")
+
+    def neighbours(spread):
+        rows = mixture_packing.pack_mixture(df, sequence=64, window=512, spread=spread).where("start = 0")
+        ids = [r.doc_id for r in rows.orderBy("sequence_id", "offset").collect()]
+        assert sorted(ids) == [i // 20 for i in range(1000)]
+        return sum(a == b for a, b in zip(ids, ids[1:]))
+
+    assert neighbours(False) == 950 and neighbours(True) < 100
+
+
 @pytest.mark.parametrize("targets", [None, {"a": 3.0, "b": 1.0, "c": 2.0}])
 def test_schedule_is_deficit_round_robin(spark, targets):
     """Against a queue-by-queue simulation with carried deficits."""
