@@ -22,20 +22,28 @@ def uniform(ident: Column, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until no number in [0, 1) of 52 bits is above."""
-    if rate > 700:
-        raise ValueError("a repetition rate above 700")
-    term, total, k, out = math.exp(-rate), 0.0, 0, []
+def poisson_steps(rate: float) -> tuple[int, list[float]]:
+    """The first k that matters and P(X <= k) from it on, until no number in
+    [0, 1) of 52 bits is above; below the first, all are."""
+    first = 0 if rate <= 700 else int(rate - 10 * math.sqrt(rate))
+    log_term = -rate + first * math.log(rate) - math.lgamma(first + 1) if first else -rate
+    term, total, k, out = math.exp(log_term), 0.0, first, []
     while True:
         total += term
         out.append(total)
-        if total >= 1 - 2.0**-53 or (k > rate and term < 2.0**-60):
-            return out
+        if (not first and total >= 1 - 2.0**-53) or (k > rate and term < 2.0**-60):
+            # Rounding of a large first term's logarithm scales all terms alike.
+            return first, [c / total for c in out] if first else out
         k += 1
         term *= rate / k
 
 
+def poisson_cdf(rate: float) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... until no number in [0, 1) of 52 bits is above."""
+    first, steps = poisson_steps(rate)
+    return [0.0] * first + steps
+
+
 def repetition_rates(sizes: Mapping[str | None, float], targets: Mapping[str | None, float] | None, total: float | None = None) -> dict[str | None, float]:
     """Each source's mean number of copies of a document.
 
@@ -77,13 +85,13 @@ def mix_sources(
         raise ValueError(f"over {MAX_SOURCES} sources; map them to fewer groups first")
     rates = repetition_rates({r["s"]: float(r["n"]) for r in sizes}, targets, total)
     table = spark.createDataFrame(
-        [(s, r, poisson_cdf(r)) for s, r in rates.items()],
-        f"__rf_source {docs.schema[source].dataType.simpleString()}, __rf_rate double, __rf_cdf array<double>",
+        [(s, r, *poisson_steps(r)) for s, r in rates.items()],
+        f"__rf_source {docs.schema[source].dataType.simpleString()}, __rf_rate double, __rf_first int, __rf_cdf array<double>",
     )
     columns = [c for c in docs.columns if not (detail and c in ("copy", "copies", "rate"))]
     drawn = docs.join(small(table, len(rates)), F.col(source).eqNullSafe(F.col("__rf_source")))
     drawn = drawn.withColumn("__rf_u", uniform(F.col(doc_id), seed))
-    drawn = drawn.withColumn("__rf_n", F.size(F.filter("__rf_cdf", lambda c: F.col("__rf_u") >= c)))
+    drawn = drawn.withColumn("__rf_n", F.col("__rf_first") + F.size(F.filter("__rf_cdf", lambda c: F.col("__rf_u") >= c)))
     copies = drawn.where("__rf_n > 0").withColumn("__rf_copy", F.explode(F.sequence(F.lit(0), F.col("__rf_n") - 1)))
     key = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col("__rf_copy"))
     extra = [F.col("__rf_copy").alias("copy"), F.col("__rf_n").alias("copies"), F.col("__rf_rate").alias("rate")] if detail else []

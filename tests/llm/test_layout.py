@@ -206,6 +206,19 @@ def test_mix_sources(spark):
     assert poisson_mixing.mix_sources(df, targets, detail=False).columns == df.columns
 
 
+def test_any_rate_is_drawn(spark):
+    for rate in (701.0, 1390.0, 1e6):
+        cdf = np.array(poisson_mixing.poisson_cdf(rate))
+        assert cdf[-1] == pytest.approx(1, abs=1e-9) and (1 - cdf).sum() == pytest.approx(rate, rel=1e-6)
+    rows = [(i, "x" * 1000, "big") for i in range(2000)] + [(None, None, "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = poisson_mixing.mix_sources(df, {"big": 1.0, "tiny": 0.001}).where("source = 'tiny'").collect()
+    rate = 2_000_001 * 0.001 / 1.001
+    u = int(hashlib.md5(f":{poisson_mixing.SEED}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+    assert all(r.rate == pytest.approx(rate) for r in got)
+    assert len(got) == int((u >= np.array(poisson_mixing.poisson_cdf(rate))).sum()) == got[0].copies and abs(len(got) - rate) < 400
+
+
 def poisson_mixing_u(doc, seed=poisson_mixing.SEED):
     return int(hashlib.md5(f"{int(doc)}:{seed}".encode()).hexdigest()[:13], 16) / float(1 << 52)
 
