@@ -22,7 +22,7 @@ from .common import crc_of_id, hash_fraction
 UNDETERMINED = "und"
 ORDER = 3  # bytes of context
 TRAIN_DOCS = 400  # bound on the training sample, a language
-TRAIN_CHARS = 20_000  # longer labelled texts are not learned from
+TRAIN_CHARS = 20_000  # of a longer labelled text, no more is learned from
 _CHUNK = 1 << 19
 
 
@@ -201,21 +201,27 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
 def training_sample(
     docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_language: int = TRAIN_DOCS
 ) -> dict[str, list[bytes]]:
-    """Up to ``per_language`` whole texts of each language, chosen by a hash of
-    the id and collected: the bound on what training reads."""
-    labelled = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    labelled = labelled.where(F.length(text).between(1, TRAIN_CHARS))
+    """Up to ``per_language`` texts of each language, chosen by a hash of the id
+    and collected: the bound on what training reads. Texts of more than
+    ``TRAIN_CHARS`` characters fill up, by their beginnings, what the others
+    leave open."""
+    labelled = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
     chance = hash_fraction(F.col(doc_id).cast("string"), seed=2)
+    long_ = F.length(text) > TRAIN_CHARS
     # What the fractions leave is bounded; the tail beyond the mean is cut evenly.
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    sizes = {r["lang"]: (r["n"], r["n_long"]) for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.count_if(long_).alias("n_long")).collect()}
     out = {}
     wanted = F.lit(False)
-    for name, n in sizes.items():
-        wanted = wanted | ((F.col(lang) == name) & (chance < min(1.0, 1.3 * per_language / n)))
-    rows = labelled.where(wanted).select(F.col(lang).alias("lang"), F.col(text).alias("text"), chance.alias("chance")).collect()
+    for name, (n, n_long) in sizes.items():
+        short = n - n_long
+        if short:
+            wanted = wanted | ((F.col(lang) == name) & ~long_ & (chance < min(1.0, 1.3 * per_language / short)))
+        if short < per_language and n_long:
+            wanted = wanted | ((F.col(lang) == name) & long_ & (chance < min(1.0, 1.3 * per_language / n_long)))
+    rows = labelled.where(wanted).select(F.col(lang).alias("lang"), F.substring(text, 1, TRAIN_CHARS).alias("text"), chance.alias("chance"), long_.alias("long")).collect()
     for name in sizes:
-        own = sorted((r["chance"], r["text"]) for r in rows if r["lang"] == name)
-        out[name] = [t.encode("utf-8", "surrogatepass") for _, t in own[:per_language]]
+        own = sorted((r["long"], r["chance"], r["text"]) for r in rows if r["lang"] == name)
+        out[name] = [t.encode("utf-8", "surrogatepass") for _, _, t in own[:per_language]]
     return out
 
 

@@ -75,6 +75,19 @@ def test_language_rows(spark):
     assert language_id.fit(empty) is None
 
 
+def test_languages_of_long_texts_only_are_learned(spark):
+    rows = [(i, "the cat sat on the mat and slept ", "en") for i in range(30)]
+    rows += [(100 + i, "le chat est sur le tapis et dort " * 1000, "fr") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert model.languages == ["en", "fr"]
+    got = language_id.identify_languages(docs, model, keep=["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    sample = language_id.training_sample(docs, F.lit(True), "doc_id", "text", "lang", per_language=40)
+    assert {k: len(v) for k, v in sample.items()} == {"en": 30, "fr": 30}
+    assert all(len(t) <= language_id.TRAIN_CHARS for t in sample["fr"])
+
+
 def test_language_query_on_held_out_rows(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")
     got = entry.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
