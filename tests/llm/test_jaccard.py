@@ -53,3 +53,9 @@ def test_stage_drops_scattered_edits(spark, sf):
     want = classes(range(len(texts)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect()) == sorted(set(want.values()))
+
+
+def test_stage_keeps_texts_that_share_only_a_filler(spark, sf):
+    texts = ["- " * 500 + " ".join(f"t{k}w{i}" for i in range(200)) for k in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pipeline.near_duplicates(spark, docs, sf).count() == 4
