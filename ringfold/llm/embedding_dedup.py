@@ -10,24 +10,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, hash_fraction, written
+from .common import components, cut, hash_fraction, running_total, written
 
 LEADING = 8  # dimensions of the grid
-BLOCK_ROWS = 1024  # vectors of one interval of the sequence
+BLOCK_ROWS = 256  # vectors of one interval of the sequence
+FAN = 8  # intervals of a longer one, a level up
 BASIS_ROWS = 4096  # vectors that the axes are fitted on
-_LEAF = 128
-
+_LEAF = 64
 
 
 def principal_axes(vectors: np.ndarray) -> np.ndarray:
     """Orthonormal axes as columns, by falling variance of the unit vectors."""
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    _, axes = np.linalg.eigh(np.cov(unit.T, bias=True))
+    _, axes = np.linalg.eigh(np.cov(_unit(vectors).T, bias=True))
     return axes[:, ::-1]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # no overflow in squares
+    v = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # no square overflows or vanishes
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -70,7 +69,7 @@ def _grid(axes: np.ndarray, eps: float, leading: int):
 def _cut_blocks(axes: np.ndarray, leading: int, rows: int):
     """One row per interval of the sorted sequence: its box on the leading axes
     and its vectors, packed."""
-    names = ["block", "label", "dims", "c_from", "c_to", "lo", "hi", "reps", "copies", "vecs"]
+    names = ["block", "label", "dims", "lo", "hi", "reps", "copies", "vecs"]
 
     def emit(pid: int, number: int, part: pa.RecordBatch) -> pa.RecordBatch:
         vecs = np.array(part.column("vec").to_pylist(), dtype=np.float64)
@@ -78,20 +77,17 @@ def _cut_blocks(axes: np.ndarray, leading: int, rows: int):
         if vecs.shape[1] == len(axes):
             y = _unit(vecs) @ axes[:, :leading]
             x[:, : y.shape[1]] = y
-        first = part.column("c0").to_numpy()
         values = [
             (pid << 32) + number,
             part.column("label")[0].as_py(),
             vecs.shape[1],
-            int(first.min()),
-            int(first.max()),
             x.min(axis=0).tolist(),
             x.max(axis=0).tolist(),
             part.column("rep").to_numpy().astype("<i8").tobytes(),
             part.column("copies").to_numpy().astype("<i8").tobytes(),
             vecs.astype("<f8").tobytes(),
         ]
-        kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     def run(batches):
@@ -113,8 +109,7 @@ def _cut_blocks(axes: np.ndarray, leading: int, rows: int):
             yield emit(pid, number, held.combine_chunks().to_batches()[0])
 
     schema = (
-        "block long, label string, dims int, c_from int, c_to int, lo array<double>, hi array<double>,"
-        " reps binary, copies binary, vecs binary"
+        "block long, label string, dims int, lo array<double>, hi array<double>, reps binary, copies binary, vecs binary"
     )
     return run, schema
 
@@ -164,50 +159,127 @@ def _span(links: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _join_pairs(axes: np.ndarray, leading: int, threshold: float, eps2: float):
-    """For each pair of blocks: weighted link counts by vector (u, null, n) and
-    links (u, v, null) that span the pair's components."""
+def interval_pairs(blocks: DataFrame, leading: int, eps2: float, fan: int = FAN) -> DataFrame:
+    """(a, lo_a, hi_a, b, lo_b, hi_b): pairs a < b of intervals (rows (block,
+    label, dims, lo, hi) in the order of the sequence) whose boxes lie within
+    epsilon.
+
+    The recursion of the join above the single interval: ``fan`` neighbours in
+    the sequence make an interval a level up, with the box around theirs. It
+    starts at a label's whole sequence with itself, and a pair of intervals is
+    only opened into pairs of their parts while the boxes are near, so that
+    distant parts of the sequence are skipped a stretch at a time.
+    """
+    head = blocks.select("block", "label", "dims", "lo", "hi", F.lit(1).cast("long").alias("one"), F.shiftright("block", 32).alias("part"))
+    head = cut(running_total(head, "one", "at", ["block"], "part", ["label", "dims"]).drop("one", "part"))
+    top, width = head.agg(F.max("at")).first()[0] or 0, 1
+    sizes = [1]
+    while top >= width:
+        width *= fan
+        sizes.append(width)
+
+    def level(size: int) -> DataFrame:
+        tagged = head.withColumn("node", F.floor(F.col("at") / size).cast("long"))
+        if size > 1:
+            ends = [f(F.col(c)[k]).alias(f"{c}{k}") for c, f in (("lo", F.min), ("hi", F.max)) for k in range(leading)]
+            tagged = tagged.groupBy("label", "dims", "node").agg(*ends).select(
+                "label", "dims", "node", *[F.array(*[f"{c}{k}" for k in range(leading)]).alias(c) for c in ("lo", "hi")]
+            )
+        return tagged.withColumn("up", F.floor(F.col("node") / fan).cast("long"))
+
+    def side(table: DataFrame, s: str, *more: str) -> DataFrame:
+        return table.select("label", "dims", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "up", "lo", "hi", *more)])
 
-    def load(row: dict, side: str):
-        ids = np.frombuffer(row[f"reps_{side}"], dtype="<i8")
-        copies = np.frombuffer(row[f"copies_{side}"], dtype="<i8")
-        raw = np.frombuffer(row[f"vecs_{side}"], dtype="<f8").reshape(len(ids), -1)
+    gaps = F.zip_with(
+        F.zip_with("lo_a", "hi_b", lambda x, y: x - y),
+        F.zip_with("lo_b", "hi_a", lambda x, y: x - y),
+        lambda x, y: F.pow(F.greatest(F.lit(0.0), x, y), F.lit(2.0)),
+    )
+    near = F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g) <= eps2
+    pairs = level(sizes[-1]).select("label", "dims", F.col("node").alias("up_a"), F.col("node").alias("up_b"))
+    for size in sizes[-2::-1]:
+        table, more = level(size), ["block"] if size == 1 else []
+        met = pairs.join(side(table, "a", *more), ["label", "dims", "up_a"]).join(side(table, "b", *more), ["label", "dims", "up_b"])
+        met = met.where(F.col("node_a") <= F.col("node_b")).where(near)
+        if size > 1:
+            pairs = met.select("label", "dims", F.col("node_a").alias("up_a"), F.col("node_b").alias("up_b"))
+    if len(sizes) == 1:
+        met = pairs.join(side(level(1), "a", "block"), ["label", "dims", "up_a"]).join(side(level(1), "b", "block"), ["label", "dims", "up_b"])
+    met = met.where(F.col("node_a") < F.col("node_b"))
+    return met.select(F.col("block_a").alias("a"), "lo_a", "hi_a", F.col("block_b").alias("b"), "lo_b", "hi_b")
+
+
+class _Joiner:
+    """The join of intervals' vectors, on Arrow batches."""
+
+    def __init__(self, axes: np.ndarray, leading: int, threshold: float, eps2: float):
+        self.axes, self.leading, self.threshold, self.eps2 = axes, leading, threshold, eps2
+
+    def load(self, row: dict):
+        ids = np.frombuffer(row["reps"], dtype="<i8")
+        copies = np.frombuffer(row["copies"], dtype="<i8")
+        raw = np.frombuffer(row["vecs"], dtype="<f8").reshape(len(ids), -1)
         unit = _unit(raw)
-        x = unit @ axes[:, :leading] if unit.shape[1] == len(axes) else np.zeros((len(ids), 1))
-        return ids, copies, unit, x
+        x = unit @ self.axes[:, : self.leading] if unit.shape[1] == len(self.axes) else np.zeros((len(ids), self.leading))
+        return ids, copies, raw, unit, x
 
-    def run(batches):
+    def near(self, x: np.ndarray, lo: list[float], hi: list[float]) -> np.ndarray:
+        gap = np.maximum(0, np.maximum(x - np.array(hi), np.array(lo) - x))
+        return (gap**2).sum(axis=1) <= self.eps2
+
+    def within(self, batches):
+        """Each interval with itself."""
         for batch in batches:
             for row in batch.to_pylist():
-                us, vs, ns = [], [], []
-                ia, ca, a, xa = load(row, "a")
-                if row["block_a"] == row["block_b"]:
-                    links = join_intervals(a, a, xa, xa, threshold, eps2)
-                    np.fill_diagonal(links, False)
-                    links |= links.T
-                    n, ids = links @ ca, ia
-                    square = links
-                else:
-                    ib, cb, b, xb = load(row, "b")
-                    links = join_intervals(a, b, xa, xb, threshold, eps2)
-                    n, ids = np.concatenate([links @ cb, ca @ links]), np.concatenate([ia, ib])
-                    square = np.zeros((len(ids), len(ids)), dtype=bool)
+                ids, copies, _, unit, x = self.load(row)
+                links = join_intervals(unit, unit, x, x, self.threshold, self.eps2)
+                np.fill_diagonal(links, False)
+                links |= links.T
+                yield from self.out(ids, links @ copies, links)
+
+    def send(self, batches):
+        """Of interval b only what lies within epsilon of the box of a."""
+        names = ["a", "lo_b", "hi_b", "sent"]
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, copies, raw, _, x = self.load(row)
+                some = self.near(x, row["lo_a"], row["hi_a"])
+                if some.any():
+                    sent = {"reps": ids[some].tobytes(), "copies": copies[some].tobytes(), "vecs": raw[some].tobytes()}
+                    values = (row["a"], x[some].min(axis=0).tolist(), x[some].max(axis=0).tolist(), sent)
+                    box, packed = pa.list_(pa.float64()), pa.struct([(c, pa.binary()) for c in sent])
+                    kinds = (pa.int64(), box, box, packed)
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
+
+    def across(self, batches):
+        """Interval a with what was sent of b."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                ia, ca, _, a, xa = self.load(row)
+                some = self.near(xa, row["lo_b"], row["hi_b"])
+                if not some.any():
+                    continue
+                ia, ca, a, xa = ia[some], ca[some], a[some], xa[some]
+                ib, cb, _, b, xb = self.load(row["sent"])
+                links = join_intervals(a, b, xa, xb, self.threshold, self.eps2)
+                if links.any():
+                    square = np.zeros((len(ia) + len(ib),) * 2, dtype=bool)
                     square[: len(ia), len(ia) :] = links
                     square[len(ia) :, : len(ia)] = links.T
-                some = np.flatnonzero(n)
-                us += ids[some].tolist()
-                vs += [None] * len(some)
-                ns += n[some].tolist()
-                for i, j in _span(square) if len(some) else ():
-                    us.append(int(ids[i]))
-                    vs.append(int(ids[j]))
-                    ns.append(None)
-                if us:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int64())], names=["u", "v", "n"]
-                    )
-
-    return run
+                    yield from self.out(np.concatenate([ia, ib]), np.concatenate([links @ cb, ca @ links]), square)
+
+    @staticmethod
+    def out(ids: np.ndarray, n: np.ndarray, square: np.ndarray):
+        """Weighted link counts by vector (u, null, n) and links (u, v, null)
+        that span the components of the pair."""
+        some = np.flatnonzero(n)
+        if not len(some):
+            return
+        tree = _span(square)
+        us = ids[some].tolist() + [int(ids[i]) for i, _ in tree]
+        vs = [None] * len(some) + [int(ids[j]) for _, j in tree]
+        ns = n[some].tolist() + [None] * len(tree)
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (us, vs, ns)], names=["u", "v", "n"])
 
 
 def embedding_groups(
@@ -231,10 +303,11 @@ def embedding_groups(
 
     Equal vectors are joined as one with a weight. Unit vectors within the
     cosine are within epsilon; they are sorted by their grid cells on the
-    leading principal axes, cut into intervals, and intervals meet only where
-    their first cells are neighbours and their boxes lie within epsilon. A
-    pair of intervals gives counts and a spanning forest of its links, never
-    all its pairs.
+    leading principal axes and cut into intervals, which are joined
+    recursively, from the whole sequence with itself down, skipping whatever
+    lies further apart than epsilon. Of two near intervals only the vectors
+    near the other's box meet. A pair of intervals gives counts and a spanning
+    forest of its links, never all its pairs.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
@@ -277,29 +350,15 @@ def embedding_groups(
     run, schema = _cut_blocks(axes, leading, block_rows)
     blocks = written(gridded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema))
 
-    # Neighbouring first cells: an equality join on cells, then boxes.
-    head = blocks.select("block", "label", "dims", "c_from", "c_to", "lo", "hi")
-    left = head.select("*", F.explode(F.sequence("c_from", "c_to")).alias("cell"))
-    right = head.select(
-        F.col("block").alias("block_b"), "label", "dims", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"),
-        F.explode(F.sequence(F.col("c_from") - 1, F.col("c_to") + 1)).alias("cell"),
-    )
-    gaps = F.zip_with(
-        F.zip_with("lo", "hi_b", lambda a, b: a - b),
-        F.zip_with("lo_b", "hi", lambda a, b: a - b),
-        lambda a, b: F.pow(F.greatest(F.lit(0.0), a, b), F.lit(2.0)),
-    )
-    pairs = (
-        left.join(right, ["label", "dims", "cell"])
-        .where(F.col("block") <= F.col("block_b"))
-        .where(F.aggregate(gaps, F.lit(0.0), lambda s, g: s + g) <= eps2)
-        .select(F.col("block").alias("block_a"), "block_b")
-        .distinct()
-    )
-    payload = ["reps", "copies", "vecs"]
-    side = lambda s: blocks.select(F.col("block").alias(f"block_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in payload])
-    met = pairs.join(side("a"), "block_a").join(side("b"), "block_b")
-    found = cut(met.mapInArrow(_join_pairs(axes, leading, threshold, eps2), "u long, v long, n long"))
+    join, payload = _Joiner(axes, leading, threshold, eps2), ["reps", "copies", "vecs"]
+    pairs = interval_pairs(blocks, leading, eps2)
+    vectors = blocks.select("block", *payload)
+    sent = pairs.join(vectors, F.col("b") == F.col("block")).select("a", "lo_a", "hi_a", *payload)
+    packed = "struct<reps: binary, copies: binary, vecs: binary>"
+    sent = sent.mapInArrow(join.send, f"a long, lo_b array<double>, hi_b array<double>, sent {packed}")
+    met = sent.join(vectors, F.col("a") == F.col("block")).select(*payload, "lo_b", "hi_b", "sent")
+    links = "u long, v long, n long"
+    found = cut(vectors.select(*payload).mapInArrow(join.within, links).unionByName(met.mapInArrow(join.across, links)))
 
     counts = found.where("v is null").groupBy(F.col("u").alias("counted")).agg(F.sum("n").alias("n"))
     comps = components(found.where("v is not null").select("u", "v"))

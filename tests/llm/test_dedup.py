@@ -172,3 +172,31 @@ def test_interval_join_equals_all_pairs():
     axes = embedding_dedup.principal_axes(a)
     got = embedding_dedup.join_intervals(a, b, a @ axes[:, :3], b @ axes[:, :3], 0.98, 0.04 + 1e-9)
     assert (got == (a @ b.T >= 0.98)).all() and got.any() and not got.all()
+
+
+def test_tiny_and_huge_vectors_link_like_others(spark):
+    tiny = [1e-200, 2e-200, -1e-200]
+    rows = [(1, tiny, 1), (2, [5e-324, 1e-323, -5e-324], 1), (3, [1e300, 2e300, -1e300], 1), (4, [1.0, 0.0, 0.0], 1)]
+    for n in (1, 3, 4):
+        df = spark.createDataFrame(rows[:n], "vec_id long, embedding array<double>, label int")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(df).collect()}
+        assert got == {k: (min(n, 3) - 1, 1) if k < 4 else (0, 4) for k in range(1, n + 1)}
+
+
+def test_distant_intervals_never_meet(spark):
+    """On clustered vectors the recursion opens few pairs of intervals, and all near ones."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    x = embedding_dedup._unit(centres[np.repeat(np.arange(40), 100)] + rng.normal(size=(4000, 16)) * 0.02)
+    x = (x @ embedding_dedup.principal_axes(x))[:, :8]
+    eps2 = 0.04
+    x = x[np.lexsort(np.floor(x / eps2**0.5).T[::-1])].reshape(125, 32, 8)
+    lo, hi = x.min(axis=1), x.max(axis=1)
+    rows = [(k // 50 << 32 | k % 50, "l", 16, a.tolist(), b.tolist()) for k, (a, b) in enumerate(zip(lo, hi))]
+    df = spark.createDataFrame(rows, "block long, label string, dims int, lo array<double>, hi array<double>")
+    ids = [r[0] for r in rows]
+    want = {(ids[i], ids[j]) for i in range(125) for j in range(i + 1, 125) if embedding_dedup._gap2(lo[i], hi[i], lo[j], hi[j]) <= eps2}
+    for fan in (2, 8, 200):
+        got = embedding_dedup.interval_pairs(df, 8, eps2, fan).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert len(want) < 0.1 * 125 * 124 / 2
