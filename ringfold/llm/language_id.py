@@ -14,16 +14,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, hash_fraction
+from .common import crc_of_id, cut, small
 
 UNDETERMINED = "und"
 ORDER = 3  # bytes of context
-TRAIN_DOCS = 400  # bound on the training sample, a language
-TRAIN_CHARS = 20_000  # of a longer labelled text, no more is learned from
-_CHUNK = 1 << 19
+TRAIN_DOCS = 400  # bound on the training sample, in texts a language
+TRAIN_BYTES = 4_000_000  # and in bytes; the text that passes it is the last
+TRAIN_TOTAL = 64_000_000  # bytes of all languages, shared evenly: it bounds the trees too
+_CHUNK = 1 << 19  # positions scored at once, with four languages
+_DENSE = 1 << 25  # entries up to which a level's lookup is a plain array
+
+
+@dataclass
+class SparseTable:
+    """A level's lookup by search, for trees whose plain array would be too long."""
+
+    keys: np.ndarray
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at + 1, 0).astype(np.int32)
 
 
 @dataclass
@@ -38,7 +51,7 @@ class PpmModel:
     languages: list[str]
     codes: np.ndarray  # of a byte
     alphabet: int
-    tables: list[np.ndarray]  # level k: (nodes of level k - 1) * alphabet
+    tables: list[np.ndarray | SparseTable]  # level k: (nodes of level k - 1) * alphabet
     cost: list[np.ndarray]  # level k: code length of the last code after the rest, (nodes, languages)
     escape: list[np.ndarray]  # level k: sum of the escapes of the string and its suffixes as contexts
 
@@ -47,10 +60,16 @@ class PpmModel:
         levels = [self.tables[0][codes]]
         for table in self.tables[1:]:
             node = np.zeros_like(levels[0])
-            node[1:] = table[levels[-1][:-1] * self.alphabet + codes[1:]]
+            key = levels[-1][:-1].astype(np.int64) * self.alphabet + codes[1:]
+            node[1:] = table[key] if isinstance(table, np.ndarray) else table.of(key)
             levels.append(node)
         return levels
 
+    @property
+    def chunk(self) -> int:
+        """Positions scored at once: their costs in all languages are held."""
+        return max(64, 4 * _CHUNK // max(4, len(self.languages)))
+
     def position_costs(self, codes: np.ndarray) -> np.ndarray:
         """(positions, languages) code lengths in bits; the first position's is zero."""
         levels = self._nodes(codes)
@@ -80,12 +99,12 @@ class PpmModel:
         group: list[int] = []
         held = 0
         for i, text in enumerate(texts):
-            if len(text) > _CHUNK:
+            if len(text) > self.chunk:
                 total[i] = self._long(text)
                 continue
             group.append(i)
             held += len(text) + 1
-            if held > _CHUNK:
+            if held > self.chunk:
                 total[group] = self._many([texts[k] for k in group])
                 group, held = [], 0
         if group:
@@ -107,9 +126,9 @@ class PpmModel:
         total = np.zeros(len(self.languages))
         lead = len(self.tables)
         codes = np.concatenate(([0], self.codes[np.frombuffer(text, dtype=np.uint8)])).astype(self.codes.dtype)
-        for k in range(1, len(codes), _CHUNK):
+        for k in range(1, len(codes), self.chunk):
             back = max(0, k - lead)
-            costs = self.position_costs(codes[back : k + _CHUNK])
+            costs = self.position_costs(codes[back : k + self.chunk])
             total += costs[k - back :].sum(axis=0, dtype=np.float64)
         return total
 
@@ -187,8 +206,12 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
                 chain += root_escape
             escape.append(np.concatenate([np.zeros((1, n.shape[1])), chain]))
             cost.append(np.concatenate([np.zeros((1, n.shape[1])), np.where(n > 0, direct, own_escape[parent] + shorter)]))
-            lookup = np.zeros((parents + 1) * size, dtype=np.int32)
-            lookup[(parent + 1) * size + union % size] = np.arange(1, len(union) + 1)
+            key = (parent + 1) * size + union % size  # rises with the node
+            if (parents + 1) * size <= _DENSE:
+                lookup = np.zeros((parents + 1) * size, dtype=np.int32)
+                lookup[key] = np.arange(1, len(union) + 1)
+            else:
+                lookup = SparseTable(key)
         else:
             root_escape = np.zeros((1, n.shape[1]))
             cost.append(np.concatenate([np.zeros((1, n.shape[1])), np.where(n > 0, direct, own_escape[parent] + uniform)]))
@@ -199,38 +222,53 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
 
 
 def training_sample(
-    docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_language: int = TRAIN_DOCS
+    docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, per_language: int = TRAIN_DOCS, nbytes: int = TRAIN_BYTES
 ) -> dict[str, list[bytes]]:
-    """Up to ``per_language`` texts of each language, chosen by a hash of the id
-    and collected: the bound on what training reads. Texts of more than
-    ``TRAIN_CHARS`` characters fill up, by their beginnings, what the others
-    leave open."""
-    labelled = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0))
-    chance = hash_fraction(F.col(doc_id).cast("string"), seed=2)
-    long_ = F.length(text) > TRAIN_CHARS
-    # What the fractions leave is bounded; the tail beyond the mean is cut evenly.
-    sizes = {r["lang"]: (r["n"], r["n_long"]) for r in labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"), F.count_if(long_).alias("n_long")).collect()}
-    out = {}
-    wanted = F.lit(False)
-    for name, (n, n_long) in sizes.items():
-        short = n - n_long
-        if short:
-            wanted = wanted | ((F.col(lang) == name) & ~long_ & (chance < min(1.0, 1.3 * per_language / short)))
-        if short < per_language and n_long:
-            wanted = wanted | ((F.col(lang) == name) & long_ & (chance < min(1.0, 1.3 * per_language / n_long)))
-    rows = labelled.where(wanted).select(F.col(lang).alias("lang"), F.substring(text, 1, TRAIN_CHARS).alias("text"), chance.alias("chance"), long_.alias("long")).collect()
-    for name in sizes:
-        own = sorted((r["long"], r["chance"], r["text"]) for r in rows if r["lang"] == name)
-        out[name] = [t.encode("utf-8", "surrogatepass") for _, _, t in own[:per_language]]
+    """Up to ``per_language`` texts and, beyond the first text, ``nbytes`` bytes
+    of each language: the bound on what training reads, whatever the texts'
+    lengths, and on what the driver holds.
+
+    Rows are taken whole in the order of a hash of (id, text), so that rows of
+    one id are told apart; the same row twice is taken once. The rows with the
+    least hashes are found by an aggregate that combines before the shuffle;
+    running bytes then end a language's sample.
+    """
+    labelled = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
+        F.col(lang).alias("lang"), F.xxhash64(F.lit(2), F.col(doc_id).cast("string"), F.col(text)).alias("chance"), F.col(text).alias("text")
+    )
+    sizes = labelled.groupBy("lang").count().collect()
+    if not sizes:
+        return {}
+    nbytes = min(nbytes, TRAIN_TOTAL // len(sizes))
+    # Hashes below a language's own limit hold its sample: a bounded first choice.
+    limits = [(r["lang"], _limit(r["count"], per_language)) for r in sizes]
+    table = docs.sparkSession.createDataFrame(limits, "q string, most long")
+    near = labelled.join(small(table, len(limits)), F.col("lang") == F.col("q")).where(F.col("chance") <= F.col("most"))
+    first = near.groupBy("lang", "chance").agg(F.max(F.octet_length("text")).cast("long").alias("n"))
+    w = Window.partitionBy("lang").orderBy("chance").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.select("lang", "chance", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"), F.coalesce(F.count("*").over(w), F.lit(0)).alias("at"))
+    chosen = cut(first.where((F.col("at") < per_language) & (F.col("before") < nbytes)).select("lang", "chance"))
+    picked = labelled.join(small(chosen), ["lang", "chance"]).groupBy("lang", "chance").agg(F.max("text").alias("text"))
+    out: dict[str, list[bytes]] = {r["lang"]: [] for r in sizes}
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["chance"])):
+        out[r["lang"]].append(r["text"].encode("utf-8", "surrogatepass"))
     return out
 
 
+def _limit(rows: int, wanted: int) -> int:
+    """A signed hash under which about 1.3 times the wanted rows and some more lie."""
+    share = min(1.0, (1.3 * wanted + 100) / rows)
+    return min(2**63 - 1, int(-(2**63) + share * 2.0**64))
+
+
 def identify_languages(
     docs: DataFrame,
     model: PpmModel | None,
     doc_id: str = "doc_id",
     text: str = "text",
     keep: Sequence[str] = (),
+    pred: str = "lang_pred",
+    score: str = "score",
 ) -> DataFrame:
     """(doc_id, *keep, lang_pred, score) of every row; texts are read whole.
 
@@ -238,9 +276,10 @@ def identify_languages(
     the first by name), ``score`` its share of the likelihoods under an even
     prior. Null texts and texts without a letter are ``und`` with score 0, as
     is everything without a model. Ids may be null or repeat; columns beyond
-    those named are not read, and a kept column of an output's name is not
-    allowed.
+    those named are not read. ``pred`` and ``score`` name the outputs; of the
+    kept columns, those of these names give way to them.
     """
+    keep = [c for c in keep if c not in (doc_id, pred, score)]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     column = text if text in keep else "__rf_text"
@@ -259,22 +298,22 @@ def identify_languages(
                 part = batch.slice(k, 512)
                 texts = part.column(column).cast(pa.binary()).to_pylist()
                 letter = part.column("__rf_letter").to_pylist()
-                pred = [UNDETERMINED] * len(texts)
-                score = np.zeros(len(texts))
+                found = [UNDETERMINED] * len(texts)
+                share = np.zeros(len(texts))
                 at = [i for i, has in enumerate(letter) if has]
                 if at and m is not None and m.languages:
                     bits = m.bits([texts[i] for i in at])
                     best = bits.argmin(axis=1)
                     gain = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)
-                    score[at] = 1 / np.exp2(-gain).sum(axis=1)
+                    share[at] = 1 / np.exp2(-gain).sum(axis=1)
                     for i, b in zip(at, best.tolist(), strict=True):
-                        pred[i] = m.languages[b]
+                        found[i] = m.languages[b]
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(f.name) for f in fields], pa.array(pred), pa.array(score)],
-                    names=[*[f.name for f in fields], "lang_pred", "score"],
+                    [*[part.column(f.name) for f in fields], pa.array(found), pa.array(share)],
+                    names=[*[f.name for f in fields], pred, score],
                 )
 
-    schema = rows.drop("__rf_text", "__rf_letter").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop("__rf_text", "__rf_letter").schema.add(pred, "string").add(score, "double")
     return rows.mapInArrow(run, schema)
 
 

@@ -157,7 +157,8 @@ def fit(
     quality: str = "quality",
     rows: int = TRAIN_ROWS,
 ) -> Trees | None:
-    """Learns from at most ``rows`` labelled rows, chosen by a hash of the id.
+    """Learns from about ``rows`` labelled rows at most, chosen by a hash of the
+    id and, where ids repeat, of the text; the same row counts once.
 
     Only rows where ``learn`` holds (by default crc32(id as text) mod 5 is not
     0). Null labels and labels beyond 0 and 1 are passed over. None without
@@ -173,10 +174,14 @@ def fit(
         return None
     if count > rows:
         usable = usable.where(hash_fraction(F.col("__rf_id").cast("string"), seed=9) < rows / count)
-    usable = usable.limit(2 * rows)
-    chosen = docs.select(F.col(doc_id).alias("__rf_doc"), F.col(text).alias("__rf_text")).join(
-        F.broadcast(usable), F.col("__rf_doc") == F.col("__rf_id")
-    )
+    usable = F.broadcast(usable.limit(2 * rows))
+    mine = F.col("__rf_doc") == F.col("__rf_id")
+    matches = docs.select(F.col(doc_id).alias("__rf_doc")).join(usable, mine).count()
+    chosen = docs.select(F.col(doc_id).alias("__rf_doc"), F.col(text).alias("__rf_text")).join(usable, mine)
+    chosen = chosen.withColumn("__rf_same", F.xxhash64(F.col("__rf_doc").cast("string"), F.col("__rf_text")))
+    if matches > 2 * rows:  # ids repeat: thin the rows themselves
+        chosen = chosen.where(hash_fraction("__rf_same", seed=10) < rows / matches)
+    chosen = chosen.groupBy("__rf_doc", "__rf_same").agg(F.max("__rf_text").alias("__rf_text"), F.max("__rf_label").alias("__rf_label"))
 
     def run(batches):
         for part, x in _features(batches, "__rf_text"):
@@ -194,14 +199,23 @@ def fit(
 
 
 def score_quality(
-    docs: DataFrame, model: Trees | None, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
+    docs: DataFrame,
+    model: Trees | None,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    keep: Sequence[str] = (),
+    score: str = "score",
+    predicted: str = "predicted",
 ) -> DataFrame:
     """(doc_id, *keep, score, predicted) of every row, from its whole text.
 
     ``score`` is the chance of label 1, ``predicted`` 1 from 0.3 on. Null texts
     score as empty ones. Without a model every row scores 1. Ids may be null
-    or repeat; columns beyond those named are not read.
+    or repeat; columns beyond those named are not read. ``score`` and
+    ``predicted`` name the outputs; of the kept columns, those of these names
+    give way to them.
     """
+    keep = [c for c in keep if c not in (doc_id, score, predicted)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = text if text in keep else "__rf_text"
     rows = docs.select(doc_id, *keep, *([] if text in keep else [F.col(text).alias(column)]))
@@ -210,10 +224,10 @@ def score_quality(
     def run(batches):
         m = shared.value
         for part, x in _features(batches, column):
-            score = m.score(x) if m is not None else np.ones(len(x))
+            chance = m.score(x) if m is not None else np.ones(len(x))
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(f.name) for f in fields], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))],
-                names=[*[f.name for f in fields], "score", "predicted"],
+                [*[part.column(f.name) for f in fields], pa.array(chance), pa.array((chance >= THRESHOLD).astype(np.int32))],
+                names=[*[f.name for f in fields], score, predicted],
             )
 
-    return rows.mapInArrow(run, rows.drop("__rf_text").schema.add("score", "double").add("predicted", "integer"))
+    return rows.mapInArrow(run, rows.drop("__rf_text").schema.add(score, "double").add(predicted, "integer"))

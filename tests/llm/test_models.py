@@ -85,7 +85,48 @@ def test_languages_of_long_texts_only_are_learned(spark):
     assert all(r.lang_pred == r.lang for r in got)
     sample = language_id.training_sample(docs, F.lit(True), "doc_id", "text", "lang", per_language=40)
     assert {k: len(v) for k, v in sample.items()} == {"en": 30, "fr": 30}
-    assert all(len(t) <= language_id.TRAIN_CHARS for t in sample["fr"])
+    assert {len(t) for t in sample["fr"]} == {33000}  # whole texts
+
+
+def test_long_labelled_texts_alone_are_learned(spark):
+    """No text is too long to learn from, and the sample stays bounded in rows and bytes."""
+    rows = [(i, f"the cat sat on mat {i} and slept " * 2000, "en") for i in range(12)]
+    rows += [(100 + i, f"le chat est sur le tapis {i} et dort " * 2000, "fr") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify_languages(docs, language_id.fit(docs), keep=["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got) and len(got) == 24
+    sample = language_id.training_sample(docs, F.lit(True), "doc_id", "text", "lang", nbytes=100_000)
+    assert all(1 <= len(v) <= 3 for v in sample.values())
+
+
+def test_repeated_ids_are_told_apart(spark):
+    rows = [(7, f"text number {i}", "en") for i in range(3000)] + [(7, "the same text", "en")] * 3000 + [(8, "un texte", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.training_sample(docs, F.lit(True), "doc_id", "text", "lang", per_language=50)
+    assert len(sample["en"]) == 50 == len(set(sample["en"])) and sample["fr"] == [b"un texte"]
+    labels = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, quality int")
+    assert quality_gbt.fit(docs, labels, learn=F.lit(True), rows=100) is not None
+
+
+def test_sparse_tables_give_the_same_costs(monkeypatch):
+    texts = {"a": [b"the cat sat on the mat"] * 3, "b": [b"le chat est sur le tapis"]}
+    probes = [b"the chat", b"", b"zzz the", bytes(range(256))]
+    dense = language_id.train(texts).bits([p for p in probes if p])
+    monkeypatch.setattr(language_id, "_DENSE", 1)
+    sparse = language_id.train(texts)
+    assert any(not isinstance(t, np.ndarray) for t in sparse.tables)
+    assert (sparse.bits([p for p in probes if p]) == dense).all()
+
+
+def test_outputs_of_kept_names(spark):
+    df = spark.createDataFrame([(1, "the cat", "x", 5)], "doc_id long, text string, score string, predicted int")
+    model = language_id.train({"en": [b"the cat sat on the mat"], "fr": [b"le chat"]})
+    a = language_id.identify_languages(df, model, keep=["score", "text"])
+    assert a.columns == ["doc_id", "text", "lang_pred", "score"] and a.first().score > 0.5
+    b = language_id.identify_languages(df, model, keep=["score"], score="own")
+    assert b.first().score == "x" and b.first().own > 0.5
+    c = quality_gbt.score_quality(df, None, keep=["score", "predicted"], score="s", predicted="p").first()
+    assert (c.score, c.predicted, c.s, c.p) == ("x", 5, 1.0, 1)
 
 
 def test_language_query_on_held_out_rows(spark, sf):
@@ -114,6 +155,53 @@ def test_trees_equal_a_plain_walk():
     assert (same.score(np.ones((3, 2))) > 0.9).all() and len(same.score(np.ones((0, 2)))) == 0
 
 
+def test_a_tree_s_splits_are_the_best_of_all():
+    """Depth two against a search over all cuts of every node."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 12, (60, 4)).astype(float)
+    y = ((x[:, 1] > 5) & (x[:, 2] > 3) | (x[:, 0] > 10)).astype(float)
+    t = quality_gbt.train(x, y, trees=1, depth=2, rate=0.5, l2=2.0, min_child=1.0)
+    p = 1 / (1 + np.exp(-t.base))
+    assert p == pytest.approx(y.mean(), abs=0.05)
+    g, h = p - y, np.full(60, p * (1 - p))
+    at = np.zeros(60, dtype=int)
+    for level in range(2):
+        for node in range(2**level - 1, 2 ** (level + 1) - 1):
+            own = at == node
+            best, value = 1e-9, lambda m: g[m].sum() ** 2 / (h[m].sum() + 2.0)
+            for f in range(4):
+                for c in np.unique(x[:, f])[:-1]:
+                    left, right = own & (x[:, f] <= c), own & (x[:, f] > c)
+                    if h[left].sum() >= 1 and h[right].sum() >= 1:
+                        best = max(best, value(left) + value(right) - value(own))
+            f, c = t.feature[0, node], t.cut[0, node]
+            left, right = own & (x[:, f] <= c), own & (x[:, f] > c)
+            if best > 1e-9:
+                assert value(left) + value(right) - value(own) == pytest.approx(best)
+            at[left], at[right] = 2 * node + 1, 2 * node + 2
+    for leaf in range(4):
+        own = at == 3 + leaf
+        assert t.leaf[0, leaf] == pytest.approx(-g[own].sum() / (h[own].sum() + 2.0) * 0.5)
+
+
+def test_features_equal_plain_counts():
+    text = "Hello, World! 12 cats & dogs | a@b/c\n\nHello, World! 12 cats & dogs | a@b/c\n(naïve) x."
+    got = dict(zip(quality_gbt.FEATURES, quality_gbt.text_features(text.encode())))
+    raw, words = text.encode(), text.encode().split()
+    lines = [x for x in text.split("\n") if x]
+    letters = [c for c in text if c.isascii() and c.isalpha()]
+    want = {
+        "log_bytes": math.log(1 + len(raw)), "upper": sum(c.isupper() for c in letters) / (1 + len(letters)), "digit": sum(c.isdigit() for c in text) / len(raw),
+        "space": sum(c in " \t\n\r" for c in text) / len(raw), "newline": text.count("\n") / len(raw), "high": 2 / len(raw), "bang": 2 / len(words),
+        "pipe": 2 / len(words), "symbol": 2 / len(words), "comma_stop": 3 / len(words), "other_punct": 2 / len(words), "at_slash": 4 / len(words),
+        "entropy": -sum(raw.count(b) / len(raw) * math.log2(raw.count(b) / len(raw)) for b in set(raw)), "log_words": math.log(1 + len(words)),
+        "word_bytes": len(raw) / len(words), "distinct_words": len(set(words)) / len(words), "lines": 3 / len(words), "repeated_lines": 1 / 3,
+        "line_bytes": math.log(1 + len(raw) / 3), "longest_line": math.log(1 + max(map(len, lines))), "top_word": 2 / len(words),
+        "upper_start": 4 / len(words), "punct_end": 5 / len(words),
+    }
+    assert got == pytest.approx(want)
+
+
 def test_features_of_odd_texts():
     for t in (b"", b" ", b"\n\n", "é".encode() * 10, b"\xff\x00", b"word", b"a b " * 50_000):
         f = quality_gbt.text_features(t)
