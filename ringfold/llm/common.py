@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A side of a join is only broadcast when its counted rows stay below this.
 BROADCAST_ROWS = 100_000
 
+_ROW_IN_PART = (1 << 33) - 1  # of monotonically_increasing_id
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -78,6 +80,21 @@ def hash_fraction(*columns: Column | str, seed: int = 0) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11)) / F.lit(float(1 << 53))
 
 
+def row_buckets(row: str, last: int, rows: int) -> Column:
+    """Numbers runs of ``rows`` rows in the order of ``row``, a row number by
+    monotonically_increasing_id whose part within a partition ends at ``last``.
+
+    A bucket for ``running_total`` that no value of any column can crowd.
+    """
+    per = last // rows + 1
+    return F.shiftright(row, 33) * per + F.floor(F.col(row).bitwiseAND(F.lit(_ROW_IN_PART)) / rows).cast("long")
+
+
+def last_row(row: str) -> Column:
+    """The aggregate that gives ``last`` to ``row_buckets``."""
+    return F.coalesce(F.max(F.col(row).bitwiseAND(F.lit(_ROW_IN_PART))), F.lit(0).cast("long"))
+
+
 def running_total(
     df: DataFrame,
     value: str,
@@ -86,20 +103,29 @@ def running_total(
     bucket: str,
     group: Sequence[str] = (),
     fan: int = 4096,
+    whole: str | None = None,
 ) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows before this one.
+    """Adds ``out``: the sum of ``value`` over all rows before this one, and,
+    if ``whole`` is named, the group's total.
 
     Rows are ordered by ``bucket`` (a long that rises with the order and holds
     few rows a value), then ``order``, within each ``group``. Buckets are
     summed alone; their own totals are summed the same way one level up,
     ``fan`` buckets at a time, so that no task sees more than a bucket's rows
-    or ``fan`` totals, whatever the number of rows.
+    or ``fan`` totals, whatever the number of rows. A group's total reaches
+    its rows through its buckets, so that a big group is no hot key.
     """
     keys = [*group, bucket]
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = df.withColumn(out, F.coalesce(F.sum(value).over(inner), F.lit(0)))
     totals = df.groupBy(*keys).agg(F.sum(value).alias("__rf_total"))
-    return _attach(local, _before(totals, keys, bucket, group, fan), keys, out)
+    before = _before(totals, keys, bucket, group, fan)
+    if whole:
+        sums = totals.groupBy(*group).agg(F.sum("__rf_total").alias("__rf_all"))
+        sums = sums.select(*[F.col(g).alias(f"__rf_g{i}") for i, g in enumerate(group)], F.col("__rf_all").alias(whole))
+        on = [F.col(g).eqNullSafe(F.col(f"__rf_g{i}")) for i, g in enumerate(group)]
+        before = before.join(sums, on).drop(*[f"__rf_g{i}" for i in range(len(group))])
+    return _attach(local, before, keys, out)
 
 
 def _before(totals: DataFrame, keys: list[str], bucket: str, group: Sequence[str], fan: int) -> DataFrame:
@@ -121,7 +147,7 @@ def _before(totals: DataFrame, keys: list[str], bucket: str, group: Sequence[str
 
 def _attach(df: DataFrame, before: DataFrame, keys: Iterable[str], out: str) -> DataFrame:
     keys = list(keys)
-    right = before.select(*[F.col(k).alias(f"__rf_k{i}") for i, k in enumerate(keys)], F.col("__rf_before"))
+    right = before.select(*[F.col(k).alias(f"__rf_k{i}") for i, k in enumerate(keys)], *[c for c in before.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__rf_k{i}")) for i, k in enumerate(keys)]
     joined = df.join(right, on, "left")
     return joined.withColumn(out, F.col(out) + F.coalesce("__rf_before", F.lit(0))).drop(

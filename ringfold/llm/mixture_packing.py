@@ -12,20 +12,21 @@ deficits carry across windows and partitions alike.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, running_total, small, written
+from .common import cut, hash_fraction, last_row, row_buckets, running_total, small, written
 from .tokenization import END, encoder, share_vocabulary
 
 SEQUENCE = 2048
 WINDOW = 64 * SEQUENCE
 _ROWS_A_BUCKET = 5_000
-MAX_SOURCES = 1_000_000  # rows of the table of sources that the driver holds
 
 
 def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str | None = None) -> DataFrame:
@@ -51,42 +52,95 @@ def tokenize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
     return rows.mapInArrow(run, schema)
 
 
+def whole_weights(targets: Mapping[str | None, float]) -> dict[str | None, int]:
+    """The target shares as whole numbers: exactly, if that takes at most 60
+    bits, else to a 2**40th of their sum."""
+    shares = {s: Fraction(t) for s, t in targets.items()}
+    if not shares or min(shares.values()) <= 0:
+        raise ValueError("every source needs a target share above 0")
+    scale = math.lcm(*(f.denominator for f in shares.values()))
+    total = sum(shares.values())
+    if (total * scale).numerator.bit_length() > 60:
+        return {s: max(1, round(f / total * 2**40)) for s, f in shares.items()}
+    return {s: int(f * scale) for s, f in shares.items()}
+
+
+def _exact(c: Column | str | int) -> Column:
+    return (F.lit(c) if isinstance(c, int) else F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
+
+
+def _by_targets(lined: DataFrame, targets: Mapping[str | None, float], tokens: list[tuple[str | None, int]]) -> DataFrame:
+    """Adds ``x`` and ``y`` with the time x / y of each row's end, under target shares.
+
+    Virtual time: a queue of weight w has received w * v tokens at v and is dry
+    at v = tokens / w. Until then all have received the tokens of the dry
+    queues and, for each other, its weight times v. Sorted by their dry times,
+    queues have running sums of both, in which each row finds its place by
+    halving.
+    """
+    weight = whole_weights({s: targets.get(s, 0.0) for s, _ in tokens})
+    dry = sorted((Fraction(n, weight[s]), n, weight[s]) for s, n in tokens)
+    gone, alive = [0], [sum(weight.values())]
+    for _, n, w in dry:
+        gone.append(gone[-1] + n)
+        alive.append(alive[-1] - w)
+    column = lambda values: F.lit(np.array(values, dtype=np.int64))
+    spark = lined.sparkSession
+    # The table's rows are the caller's own targets.
+    weights = spark.createDataFrame(list(weight.items()), "q string, w long")
+    lined = lined.join(small(weights, len(weight)), F.col("source").eqNullSafe(F.col("q"))).withColumn("end", F.col("before") + F.col("n"))
+    lined = lined.withColumns({"__rf_n": column([n for _, n, _ in dry]), "__rf_w": column([w for _, _, w in dry])})
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        over = _exact("end") * _exact(F.get("__rf_w", mid)) > _exact(F.get("__rf_n", mid)) * _exact("w")
+        more = s["lo"] < s["hi"]
+        return F.struct(F.when(more & over, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(more & ~over, mid).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(dry)).alias("hi"))
+    at = F.aggregate(F.sequence(F.lit(0), F.lit(len(dry).bit_length())), start, halve, lambda s: s["lo"])
+    lined = lined.withColumn("__rf_at", at)
+    gone_, alive_ = (F.get(column(v), F.col("__rf_at")) for v in (gone, alive))
+    x = _exact(gone_) * _exact("w") + _exact(alive_) * _exact("end")
+    return lined.select("rid", "source", "n", "before", x.alias("x"), _exact("w").alias("y"))
+
+
 def schedule(
     queue: DataFrame, targets: Mapping[str | None, float] | None, window: int, seed: int = 0, spread: bool = False
 ) -> DataFrame:
-    """(rid, n, window, at): for each row (rid, doc_id, source, n) its window
-    and its place in the stream of tokens. Queues are in the order of a hash of
-    the id, with ``spread`` of the id and ``rid``."""
-    totals = queue.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources; map them to fewer groups first")
-    whole = sum(r["tokens"] for r in totals)
-    weight = {r["source"]: float(r["tokens"] if targets is None else targets.get(r["source"], 0.0)) for r in totals}
-    if any(not w > 0 for w in weight.values()):
-        raise ValueError("every source needs a target share above 0")
-    # Virtual time: a queue with weight w has received w * v tokens at v. A
-    # queue is dry at v = tokens / weight; queues dry at once are one group.
-    dry: dict[float, list[float]] = {}
-    for r in totals:
-        group = dry.setdefault(r["tokens"] / weight[r["source"]], [0.0, 0.0])
-        group[0] += r["tokens"]
-        group[1] += weight[r["source"]]
-    served = F.array(*[F.struct(F.lit(t).alias("tokens"), F.lit(w).alias("weight")) for t, w in dry.values()]) if totals else None
-    weights = queue.sparkSession.createDataFrame([(s, w) for s, w in weight.items()] or [(None, 1.0)], "q string, w double")
-
-    rows = sum(r["rows"] for r in totals)
-    chance = hash_fraction(F.col("doc_id").cast("string"), *(["rid"] if spread else []), seed=seed)
-    buckets = max(1, -(-rows // _ROWS_A_BUCKET))
-    lined = queue.withColumn("chance", chance).withColumn("slot", F.floor(F.col("chance") * buckets))
-    lined = running_total(lined, "n", "before", ["chance", "doc_id", "rid"], "slot", ["source"])
-    lined = lined.join(small(weights, len(totals)), F.col("source").eqNullSafe(F.col("q")))
-    v = (F.col("before") + F.col("n")) / F.col("w")
-    time = F.aggregate(served, F.lit(0.0), lambda s, g: s + F.least(g["tokens"], g["weight"] * F.col("v"))) if totals else F.lit(0.0)
-    timed = lined.withColumn("v", v).withColumn("time", F.least(time, F.lit(float(whole))))
-    # The last millionth of a token is rounding, not a deficit.
-    number = F.greatest(F.ceil(F.col("time") / window - 1e-6 / window) - 1, F.lit(0)).cast("long")
-    timed = timed.select("rid", "doc_id", "source", "n", "time", number.alias("window"))
-    return running_total(timed, "n", "at", ["time", "source", "doc_id", "rid"], "window").select("rid", "n", "window", "at")
+    """(rid, n, window, at): for each row (rid, source, n) its window and its
+    place in the stream of tokens; ``rid`` is a monotonically_increasing_id.
+
+    Queues are in the order of ``rid``, with ``spread`` of its hash. Windows
+    are reckoned in whole numbers, exact up to 10**18 tokens.
+    """
+    whole, rows, last = queue.agg(F.sum("n"), F.count("*"), last_row("rid")).first()
+    if spread:
+        chance = hash_fraction("rid", seed=seed)
+        lined = queue.withColumn("chance", chance)
+        lined = lined.withColumn("slot", F.floor(F.col("chance") * max(1, -(-rows // _ROWS_A_BUCKET))))
+        order = ["chance", "rid"]
+    else:
+        lined, order = queue.withColumn("slot", row_buckets("rid", last, _ROWS_A_BUCKET)), ["rid"]
+    lined = running_total(lined.select("rid", "source", "n", *order[:-1], "slot"), "n", "before", order, "slot", ["source"], whole="mine")
+    if targets is None:
+        # Shares of its own tokens: all queues run dry together, at the end.
+        end = F.col("before") + F.col("n")
+        timed = lined.select("rid", "source", "n", "before", (_exact(whole or 0) * _exact(end)).alias("x"), _exact("mine").alias("y"))
+    else:
+        tokens = queue.groupBy("source").agg(F.sum("n").alias("n")).limit(len(targets) + 1).collect()
+        if any(r["source"] not in targets for r in tokens):
+            raise ValueError("every source needs a target share above 0")
+        if not tokens:
+            return queue.select("rid", "n", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("at"))
+        timed = _by_targets(lined, targets, [(r["source"], r["n"]) for r in tokens])
+    # ceil(x / (y * window)) - 1 in whole numbers
+    timed = timed.select(
+        "rid", "source", "n", "before", (F.col("x").cast("double") / F.col("y").cast("double")).alias("time"),
+        F.expr(f"(x - 1) div (y * {window})").alias("window"),
+    )
+    placed = running_total(cut(timed), "n", "at", ["time", "source", "before", "rid"], "window")
+    return placed.select("rid", "n", "window", "at")
 
 
 def pack_mixture(
@@ -110,16 +164,16 @@ def pack_mixture(
 
     ``targets`` are the sources' shares of each window in any unit; by
     default the corpus's own shares of tokens, under which no queue runs dry
-    early. A null source is a queue of its own, a null text an empty
-    document of just the end id, and repeated or null ids stay separate
-    documents. Rows of one id follow each other in their queue unless
-    ``spread`` places each by its own draw, which also takes in where the row
-    stands in the input. Other columns are not read.
+    early; given targets must name every source. A null source is a queue of
+    its own, a null text an empty document of just the end id, and repeated
+    or null ids stay separate documents. Queues keep the order of the input;
+    with ``spread`` each row is placed by a draw of its own. Other columns are
+    not read.
     """
     # The stored row number is the key from here on, since ids may repeat.
     rid = F.monotonically_increasing_id().alias("rid")
     tokens = written(tokenize(docs, doc_id, text, source, path).select(rid, F.col(doc_id).alias("doc_id"), "source", "n", "width", "ids"))
-    plan = schedule(tokens.select("rid", "doc_id", "source", "n"), targets, window, seed, spread)
+    plan = schedule(tokens.select("rid", "source", "n"), targets, window, seed, spread)
     placed = tokens.select("rid", "doc_id", "source", "width", "ids").join(plan, "rid")
 
     def run(batches):
@@ -152,4 +206,4 @@ def pack_mixture(
     return pieces.select(doc_id, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window", "source")
 
 
-__all__ = ["END", "SEQUENCE", "WINDOW", "pack_mixture", "schedule", "tokenize"]
+__all__ = ["END", "SEQUENCE", "WINDOW", "pack_mixture", "schedule", "tokenize", "whole_weights"]

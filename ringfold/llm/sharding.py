@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_total
+from .common import last_row, row_buckets, running_total, written
 
 #: Fixed value: the multiplier of the generator in the published jump hash
 #: (Lamping and Veach, 2014).
@@ -56,15 +56,27 @@ def _jump(s: Column, shards: int, grown: int) -> Column:
     return F.when(s["next"] >= grown, s).otherwise(F.element_at(moved, 1))
 
 
-def jump_shards(key: Column, shards: int, grown: int) -> Column:
+def chain_steps(shards: int) -> int:
+    """Jumps within which nearly every chain is past ``shards``.
+
+    A chain has about ln n links below n; several times that and 16 more are
+    passed by fewer than one key in a million.
+    """
+    return 16 + 4 * max(1, shards.bit_length())
+
+
+def jump_shards(key: Column, shards: int, grown: int, steps: int | None = None) -> Column:
     """struct<shard, grown_shard>: the jump hash of a long for two counts.
 
     Both come from one fold over the key's rising chain of jumps: a shard is
     the chain's last value below the count. So an appended shard takes the
-    rows whose chain reaches it, and no other row moves.
+    rows whose chain reaches it, and no other row moves. The fold makes
+    ``chain_steps`` jumps; for the rare key whose chain is not past the end by
+    then it goes on, to as many as there are shards.
     """
     if not 1 <= shards <= grown:
         raise ValueError("needs 1 <= shards <= grown")
+    steps = min(grown, chain_steps(grown) if steps is None else steps)
     zero = F.lit(0).cast("long")
     start = F.struct(
         F.shiftrightunsigned(key, 32).alias("high"),
@@ -73,12 +85,13 @@ def jump_shards(key: Column, shards: int, grown: int) -> Column:
         zero.alias("grown"),
         zero.alias("next"),
     )
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(grown)),  # the chain rises by one at least
-        start,
-        lambda s, _: _jump(s, shards, grown),
-        lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown_shard")),
-    )
+
+    def fold(first: Column, last: int) -> Column:  # the chain rises by one at least
+        return F.aggregate(F.sequence(F.lit(1), F.lit(last)), first, lambda s, _: _jump(s, shards, grown))
+
+    bound = F.transform(F.array(fold(start, steps)), lambda s: F.when(s["next"] >= grown, s).otherwise(fold(s, max(1, grown - steps))))
+    done = F.element_at(bound, 1)
+    return F.struct(done["shard"].cast("int").alias("shard"), done["grown"].cast("int").alias("grown_shard"))
 
 
 def shard_documents(
@@ -93,33 +106,25 @@ def shard_documents(
     Returns (key, size, text_crc32, law, shard, slot, grown_shard). ``size`` is
     the text's UTF-8 bytes plus 8; a null text counts as empty. A null key
     goes with key 0. Slots count from 0 without gaps in each shard, in the
-    order of a hash of (key, text): rows are numbered in buckets of that hash
-    and buckets get offsets, so a shard isn't sorted in one task. Repeated
-    rows get slots of their own. Other columns are not read.
+    order of the input: its rows are numbered in runs and runs get offsets, so
+    that neither a shard nor any number of equal rows is one task's. Repeated
+    rows get slots of their own. Texts are read once, into a table without
+    them; other columns are not read.
     """
+    grown = shards + 1 if grown is None else grown
+    jump = jump_shards(F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), shards, grown)
     rows = docs.select(
         F.col(key).alias("__rf_key"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-    )
-    jump = jump_shards(F.coalesce(F.col("__rf_key").cast("long"), F.lit(0).cast("long")), shards, grown or shards + 1)
-    mixed = F.xxhash64("__rf_key", "text_crc32", "size")
-    buckets = max(1, -(-docs.count() // (_ROWS_A_BUCKET * shards)))
-    placed = rows.select(
-        "*",
         jump.alias("__rf_jump"),
-        mixed.alias("__rf_mixed"),
+        F.monotonically_increasing_id().alias("__rf_row"),
         F.lit(1).cast("long").alias("__rf_one"),
-        F.floor((F.shiftrightunsigned(mixed, 11) / F.lit(float(1 << 53))) * buckets).alias("__rf_bucket"),
-    ).select("*", "__rf_jump.*").drop("__rf_jump")
-    numbered = running_total(
-        placed,
-        "__rf_one",
-        "slot",
-        order=["__rf_mixed", "__rf_key", "text_crc32", "size"],
-        bucket="__rf_bucket",
-        group=["shard"],
     )
+    rows = written(rows.select("*", "__rf_jump.*").drop("__rf_jump"))
+    last = rows.agg(last_row("__rf_row")).first()[0]
+    placed = rows.withColumn("__rf_bucket", row_buckets("__rf_row", last, _ROWS_A_BUCKET * shards))
+    numbered = running_total(placed, "__rf_one", "slot", order=["__rf_row"], bucket="__rf_bucket", group=["shard"])
     return numbered.select(
         F.col("__rf_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )

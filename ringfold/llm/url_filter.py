@@ -115,14 +115,16 @@ def filter_urls(
     )
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = judged.select("*", rule.alias("rule"), verdict.alias("__rf_verdict"))
-    judged = judged.withColumn("__rf_at", _block(F.coalesce("canonical", F.lit("")), blocks))
+    # A null can't hit; where the filter is joined by shuffle, nulls are dealt to all blocks.
+    anywhere = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    judged = judged.withColumn("__rf_at", F.when(F.col("canonical").isNotNull(), _block(F.col("canonical"), blocks)).otherwise(anywhere))
     probed = judged.join(F.broadcast(bloom) if blocks <= BROADCAST_ROWS else bloom, F.col("__rf_at") == F.col("__rf_block"), "left")
     masks = [F.col(f"__rf_w{i}").bitwiseAND(_mask(F.col("canonical"), i)) != 0 for i in range(_WORDS)]
     possible = F.coalesce(F.col("canonical").isNotNull() & reduce(lambda a, b: a & b, masks), F.lit(False))
     probed = probed.select(page_id, "host", "path", "rule", "__rf_verdict", "canonical", possible.alias("possible"))
     # Rows that the filter stops get keys of their own: no pile of nulls in one task.
     probed = probed.withColumn(
-        "__rf_key", F.when(F.col("possible"), F.col("canonical")).otherwise(F.col(page_id).cast("string"))
+        "__rf_key", F.when(F.col("possible"), F.col("canonical")).otherwise(F.monotonically_increasing_id().cast("string"))
     )
     exact = keys.select(F.col("__rf_listed"), F.lit(True).alias("__rf_hit"))
     hit = F.coalesce(F.col("__rf_hit"), F.lit(False))

@@ -282,7 +282,54 @@ def test_pack_mixture_spreads_repeats(spark):
     assert neighbours(False) == 950 and neighbours(True) < 100
 
 
-@pytest.mark.parametrize("targets", [None, {"a": 3.0, "b": 1.0, "c": 2.0}])
+def test_schedule_is_exact_far_out(spark):
+    """Windows at 10**14 tokens, where doubles of the time no longer tell tokens apart."""
+    n, big = 1000, 10**11
+    rows = [(i, "ab"[i % 2], big + i % 7) for i in range(n)]
+    got = {r.rid: r for r in mixture_packing.schedule(spark.createDataFrame(rows, "rid long, source string, n long"), None, 131072).collect()}
+    whole = sum(r[2] for r in rows)
+    for s in "ab":
+        own = [r for r in rows if r[1] == s]
+        mine, end = sum(r[2] for r in own), 0
+        for rid, _, k in own:
+            end += k
+            assert got[rid].window == (whole * end - 1) // (mine * 131072)
+
+
+def test_schedule_of_equal_rows_and_null_sources(spark):
+    rows = [(None, "same text", None)] * 500 + [(1, "same text", "a")] * 700 + [(None, None, "a")] * 10
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixture_packing.pack_mixture(df, sequence=64, window=512).collect()
+    assert sum(r.start == 0 for r in got) == 1210
+    ends = sorted((r.sequence_id * 64 + r.offset, r.length) for r in got)
+    assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+    with pytest.raises(ValueError):
+        mixture_packing.pack_mixture(df, {"a": 1.0}).count()
+    assert mixture_packing.whole_weights({"a": 3.0, "b": 1.5}) == {"a": 6, "b": 3}
+    assert mixture_packing.whole_weights({"a": 1e30, "b": 1e-30})["b"] == 1
+    assert mixture_packing.pack_mixture(df.limit(0), {"a": 1.0}).count() == 0
+
+
+def test_row_buckets_split_equal_rows(spark):
+    from ringfold.llm.common import last_row, row_buckets
+
+    df = spark.range(0, 1000, 1, 4).select(F.monotonically_increasing_id().alias("rid"))
+    last = df.agg(last_row("rid")).first()[0]
+    rows = df.withColumn("b", row_buckets("rid", last, 30)).orderBy("rid").collect()
+    assert last == 249 and [r.b for r in rows] == sorted(r.b for r in rows)
+    assert max(Counter(r.b for r in rows).values()) <= 30
+
+
+def test_many_shards(spark):
+    """Beyond the chain's usual length, and where it is cut short."""
+    keys = [0, 1, -1, 10**12] + list(range(500, 560))
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for steps in (None, 1, 3):
+        got = df.select("k", sharding.jump_shards(F.col("k"), 400, 450, steps).alias("j")).collect()
+        assert all((r.j.shard, r.j.grown_shard) == (plain_jump(r.k, 400), plain_jump(r.k, 450)) for r in got)
+
+
+@pytest.mark.parametrize("targets", [None, {"a": 3.0, "b": 1.0, "c": 2.0}, {"a": 0.3, "b": 1e-3, "c": 7.7}, {"a": 1, "b": 1, "c": 1, "unused": 5}])
 def test_schedule_is_deficit_round_robin(spark, targets):
     """Against a queue-by-queue simulation with carried deficits."""
     from fractions import Fraction
@@ -292,10 +339,7 @@ def test_schedule_is_deficit_round_robin(spark, targets):
     df = spark.createDataFrame(rows, "rid long, doc_id long, source string, n long")
     window = 1000
     got = {r.rid: r for r in mixture_packing.schedule(df, targets, window).collect()}
-    from ringfold.llm.common import hash_fraction
-
-    order = {r.rid: (r.c, r.rid) for r in df.select("rid", hash_fraction(F.col("doc_id").cast("string"), seed=0).alias("c")).collect()}
-    queues = {s: sorted((r for r in rows if r[2] == s), key=lambda r: order[r[0]]) for s in "abc"}
+    queues = {s: sorted((r for r in rows if r[2] == s), key=lambda r: r[0]) for s in "abc"}
     left = {s: sum(r[3] for r in q) for s, q in queues.items()}
     weight = {s: Fraction(left[s] if targets is None else targets[s]) for s in "abc"}
     deficit = dict.fromkeys("abc", Fraction(0))
