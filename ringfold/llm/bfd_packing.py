@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tokenization import encoder, share_vocabulary
@@ -14,6 +14,7 @@ SEQUENCE = 2048
 #: Pieces that are packed against each other: enough for a tight fit, and a
 #: bound on what a task holds.
 GROUP = 8192
+TASK_BYTES = 32 << 20  # text that a task reads at the least, or else a group of documents
 
 
 class CapacityTree:
@@ -94,9 +95,13 @@ def pack_best_fit(
     A document over ``sequence`` tokens gives full rows and a rest, without
     loss. Rests and short documents are packed best fit first in groups of
     ``group`` as they stand in the partition: one pass, no shuffle, bounded
-    memory. Null texts are documents of just the end id; repeated and null
-    ids stay separate documents; other columns are not read.
+    memory. Partitions too small for a group are read together, so that the
+    fill does not depend on the file layout. Null texts are documents of just
+    the end id; repeated and null ids stay separate documents; other columns
+    are not read.
     """
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length(text).cast("long"))).first()
+    docs = docs.coalesce(max(1, -(-count // group), -(-(size or 0) // TASK_BYTES)))
     vocabulary = share_vocabulary(docs.sparkSession, path)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     names = ["sequence_id", "used", "doc_ids", "starts", "cu_seqlens", "input_ids", "position_ids"]
@@ -160,3 +165,40 @@ def pack_best_fit(
         " input_ids binary, position_ids binary"
     )
     return rows.mapInArrow(run, schema)
+
+
+def write_shards(packed: DataFrame, path: str, rows_a_file: int = 16_384) -> DataFrame:
+    """Writes packed rows as shard files under ``path``/shards and a manifest
+    under ``path``/manifest; returns the manifest.
+
+    One manifest row a file: (file, sequences, tokens, padding, segments,
+    first_sequence, last_sequence, checksum); the checksum is the xor of the
+    XXH64 of the rows' ids and segment bounds. The files hold at most
+    ``rows_a_file`` rows each and come into place by the writer's commit, so a
+    lost task leaves no half a shard; the manifest tells what was committed,
+    read from the files themselves.
+    """
+    packed.write.option("maxRecordsPerFile", rows_a_file).option("compression", "zstd").mode("overwrite").parquet(f"{path}/shards")
+    return write_manifest(packed.sparkSession, path)
+
+
+def write_manifest(spark: SparkSession, path: str) -> DataFrame:
+    stored = spark.read.parquet(f"{path}/shards")
+    room = F.octet_length("input_ids").cast("long") / 4 - F.col("used")
+    manifest = stored.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count("*").alias("sequences"),
+        F.sum(F.col("used").cast("long")).alias("tokens"),
+        F.sum(room.cast("long")).alias("padding"),
+        F.sum(F.size("doc_ids").cast("long")).alias("segments"),
+        F.min("sequence_id").alias("first_sequence"),
+        F.max("sequence_id").alias("last_sequence"),
+        F.bit_xor(F.xxhash64("sequence_id", "input_ids", "cu_seqlens")).alias("checksum"),
+    )
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def fill(packed: DataFrame, sequence: int = SEQUENCE) -> float:
+    """The share of the rows' places that hold ids."""
+    rows, used = packed.agg(F.count("*"), F.sum(F.col("used").cast("long"))).first()
+    return used / (rows * sequence) if rows else 1.0

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A side of a join is only broadcast when its counted rows stay below this.
 BROADCAST_ROWS = 100_000
 
+#: Rows of one key that a join may put in one task.
+HOT_ROWS = 1_000_000
+
 _ROW_IN_PART = (1 << 33) - 1  # of monotonically_increasing_id
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -70,6 +73,24 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def join_hot(df: DataFrame, column: str, table: DataFrame, key: str, rows: str) -> DataFrame:
+    """``df`` joined on ``column`` with ``table``, one row a ``key`` (null is a
+    key too), whose column ``rows`` counts the key's rows in ``df``.
+
+    For tables too big to broadcast: a key of over HOT_ROWS rows is dealt to
+    several tasks. Such keys are few, at most all rows over HOT_ROWS.
+    """
+    salts = F.ceil(F.col(rows) / HOT_ROWS).cast("long")
+    hot = cut(table.where(F.col(rows) > HOT_ROWS).select(F.col(key).alias("__rf_hot"), salts.alias("__rf_salts")))
+    one = F.lit(1).cast("long")
+    dealt = df.join(small(hot), F.col(column).eqNullSafe(F.col("__rf_hot")), "left").drop("__rf_hot")
+    dealt = dealt.withColumn("__rf_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("__rf_salts", one))).drop("__rf_salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, one) - 1))
+    table = table.withColumn("__rf_copy", copies)
+    on = F.col(column).eqNullSafe(F.col(key)) & (F.col("__rf_salt") == F.col("__rf_copy"))
+    return dealt.join(table, on).drop("__rf_salt", "__rf_copy")
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

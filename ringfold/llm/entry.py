@@ -120,9 +120,10 @@ ORACLE_SQL: dict[str, str] = {
     "op8_poisson_mixing": f"""
         WITH sizes AS (SELECT source AS s, CAST(sum(greatest(length(text), 1)) AS DOUBLE) AS n FROM documents GROUP BY 1),
         rates AS (SELECT s, power(n, {poisson_mixing.TEMPERATURE}) / (SELECT sum(power(n, {poisson_mixing.TEMPERATURE})) FROM sizes) * (SELECT sum(n) FROM sizes) / n AS rate FROM sizes),
-        terms AS (SELECT s, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM rates, range(60) r(k)),
+        ks AS (SELECT unnest(range((SELECT CAST(60 + max(rate) + 12 * sqrt(max(rate)) AS BIGINT) FROM rates))) AS k),
+        terms AS (SELECT s, rate, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS term FROM rates, ks),
         cdf AS (SELECT s, rate, k, sum(term) OVER (PARTITION BY s ORDER BY k) AS c FROM terms),
         draws AS (SELECT *, CAST(('0x' || substring(md5(CAST(doc_id AS VARCHAR) || ':{poisson_mixing.SEED}'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
         counted AS (SELECT d.doc_id AS i, any_value(rate) AS rate, CAST(count(*) FILTER (u >= c) AS INTEGER) AS copies FROM draws d JOIN cdf ON s IS NOT DISTINCT FROM d.source GROUP BY 1)
-        SELECT d.*, copy, copies, floor(rate * 1e6 + 0.5) / 1e6 AS rate FROM documents d JOIN counted ON i = doc_id JOIN range(60) r(copy) ON copy < copies""",
+        SELECT d.*, copy, copies, floor(rate * 1e6 + 0.5) / 1e6 AS rate FROM documents d JOIN counted ON i = doc_id JOIN (SELECT k AS copy FROM ks) ON copy < copies""",
 }

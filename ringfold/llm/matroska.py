@@ -377,35 +377,64 @@ def payload_of(data: bytes, media: Media, track: int = 1) -> bytes:
     return b"".join(data[p[5] : p[5] + p[6]] for p in media.packets if p[3] == track)
 
 
+#: Columns of the packet table after the packet's own.
+_TABLE = (
+    ("cluster", "long"), ("block", "long"), ("packet", "integer"), ("track", "long"), ("timestamp_ns", "long"), ("byte_start", "long"),
+    ("byte_length", "long"), ("keyframe", "boolean"), ("lacing", "string"), ("cluster_position", "long"), ("cue_ns", "long"),
+    ("track_type", "long"), ("codec", "string"), ("sample_rate", "double"), ("error", "string"),
+)
+_ARROW = {"long": pa.int64(), "integer": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "double": pa.float64()}
+
+
+def packets_of(media: Media) -> list[tuple]:
+    """Rows of the packet table. A cue's time stands at the packet it leads to:
+    the first of its track in its cluster that is not before it (of several
+    cues, the first in time)."""
+    cues: dict[tuple[int, int], list[int]] = {}
+    for time, track, position in media.cues:
+        cues.setdefault((track, position), []).append(time * media.timestamp_scale)
+    for times in cues.values():
+        times.sort(reverse=True)
+    out = []
+    for p in media.packets:
+        position, track = media.clusters[p[0]], media.tracks.get(p[3], {})
+        times, cue = cues.get((p[3], position), []), None
+        while times and times[-1] <= p[4]:
+            time = times.pop()
+            cue = time if cue is None else cue
+        out.append((*p, position, cue, track.get("type"), track.get("codec"), track.get("rate"), None))
+    return out
+
+
 def packet_table(df: DataFrame, media: str, ident: str) -> DataFrame:
     """One row per packet of each file in the binary column ``media``:
     (ident, cluster, block, packet, track, timestamp_ns, byte_start,
-    byte_length, keyframe, lacing, error).
-
-    Byte ranges count from the file's start. A null file has no rows; a
-    malformed one has a single row with only its ``error``. Repeated and null
-    idents are fine, and other columns are not read.
+    byte_length, keyframe, lacing, cluster_position, cue_ns, track_type, codec,
+    sample_rate, error).
+
+    Byte ranges count from the file's start, cluster positions from its
+    segment's; ``cue_ns`` is the time of the cue that leads to the packet, null
+    for others. A null file has no rows; a malformed one has a single row with
+    only its ``error``. Repeated and null idents are fine, and other columns
+    are not read.
     """
     rows = df.select(F.col(ident).alias(ident), F.col(media).alias("__rf_media")).where("__rf_media is not null")
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string()]
-    names = [*PACKET_FIELDS, "error"]
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                data = batch.column("__rf_media")[k].as_py()
                 try:
-                    got = [(*p, None) for p in read_media(data).packets]
+                    got = packets_of(read_media(batch.column("__rf_media")[k].as_py()))
                 except MatroskaError as e:
-                    got = [(*[None] * len(PACKET_FIELDS), str(e))]
+                    got = [(*[None] * (len(_TABLE) - 1), str(e))]
                 for j in range(0, len(got), 8192):
                     part = got[j : j + 8192]
-                    cols = [pa.array(c, t) for c, t in zip(zip(*part), kinds, strict=True)]
+                    cols = [pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(zip(*part), _TABLE, strict=True)]
                     owner = batch.column(ident).take(pa.array([k] * len(part), pa.int32()))
-                    yield pa.RecordBatch.from_arrays([owner, *cols], names=[ident, *names])
+                    yield pa.RecordBatch.from_arrays([owner, *cols], names=[ident, *[name for name, _ in _TABLE]])
 
     schema = rows.select(ident).schema
-    for name, kind in zip(names, ("long", "long", "integer", "long", "long", "long", "long", "boolean", "string", "string"), strict=True):
+    for name, kind in _TABLE:
         schema = schema.add(name, kind)
     return rows.mapInArrow(run, schema)
 

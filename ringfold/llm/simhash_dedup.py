@@ -223,7 +223,9 @@ def near_pairs(
     segments = distance // 2 + 1
     if not 1 <= distance <= 7:
         raise ValueError("distance must be from 1 to 7")
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fp = F.col(column)
+    distinct = distinct.select(column).repartition(parts, column)  # every core makes variants
     keyed = distinct.select(F.explode(_variants(column, max(2, segments))).alias("key"), fp.alias("fp"))
     zero = F.lit(0).cast("long")
     units = keyed.select("key", zero.alias("unit"), "fp")
@@ -239,7 +241,6 @@ def near_pairs(
         pair = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
         units = spread.select("key", pair.alias("unit"), "fp")
     # A named number of tasks keeps each signature whole; the sort lets it stream.
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = units.repartition(parts, "key", "unit").sortWithinPartitions("key", "unit", "fp")
     return ordered.mapInArrow(_links(distance), "u long, v long").distinct()
 

@@ -68,6 +68,19 @@ def test_malformed_media_is_an_error(spark):
     rows = [(1, bytearray(good)), (2, None), (3, bytearray(b"abc")), (None, bytearray(good))]
     table = matroska.packet_table(spark.createDataFrame(rows, "k long, m binary"), "m", "k").collect()
     assert [(r.k, r.byte_length, r.error is None) for r in table] == [(1, 64, True), (3, None, False), (None, 64, True)]
+    assert [(r.cue_ns, r.codec, r.sample_rate, r.track_type) for r in table][0] == (0, "A_PCM/INT/LIT", float(matroska.RATE), 2)
+
+
+def test_packet_table_holds_cues_and_tracks(spark):
+    data = write_media(bytes(range(256)) * 1600)
+    m = read_media(data)
+    rows = matroska.packet_table(spark.createDataFrame([(7, bytearray(data))], "k long, m binary"), "m", "k").orderBy("byte_start").collect()
+    assert len(rows) == len(m.packets) and {r.codec for r in rows} == {"A_PCM/INT/LIT"} and len(m.clusters) > 1
+    assert [(r.cue_ns, r.track, r.cluster_position) for r in rows if r.cue_ns is not None] == [(t * m.timestamp_scale, k, p) for t, k, p in m.cues]
+    assert all(r.cue_ns == r.timestamp_ns for r in rows if r.cue_ns is not None)
+    late = matroska.Media(packets=m.packets, clusters=m.clusters, cues=[(50, 1, m.clusters[0]), (9, 2, m.clusters[0])])
+    led = [r for r in matroska.packets_of(late) if r[10] is not None]
+    assert [(r[10], r[4] >= 50_000_000) for r in led] == [(50_000_000, True)]
 
 
 def test_media_digests(spark):
@@ -219,6 +232,36 @@ def test_any_rate_is_drawn(spark):
     assert len(got) == int((u >= np.array(poisson_mixing.poisson_cdf(rate))).sum()) == got[0].copies and abs(len(got) - rate) < 400
 
 
+def test_mixing_of_many_sources_and_hot_keys(spark, monkeypatch):
+    """Beyond the broadcast's bound, with a hot source, null ids and equal rows."""
+    from ringfold.llm import common
+
+    rows = [(i, f"text {i}", f"s{i % 40}") for i in range(400)] + [(None, "same", "hot")] * 300 + [(5, "same", None)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = ["source", "doc_id", "copy", "copies", "rate"]
+    want = poisson_mixing.mix_sources(df).toPandas()
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(poisson_mixing, "BROADCAST_ROWS", 1)
+    got = poisson_mixing.mix_sources(df).toPandas()
+    assert got.sort_values(order).reset_index(drop=True).equals(want.sort_values(order).reset_index(drop=True))
+    spread = poisson_mixing.mix_sources(df).where("source = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert spread > 1 or not (want.source == "hot").any()
+
+
+def test_mixing_sql_draws_any_rate(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "x" * 2000, "big") for i in range(1500)] + [(5000 + i, "y", f"tiny{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.ORACLE_SQL["op8_poisson_mixing"]).df()
+    got = entry.op8_poisson_mixing(spark, str(tmp_path)).toPandas()
+    key = ["doc_id", "copy"]
+    assert got.rate.max() > 60 and (got.sort_values(key)[["doc_id", "copy", "copies", "rate"]].values == want.sort_values(key)[["doc_id", "copy", "copies", "rate"]].values).all()
+
+
 def poisson_mixing_u(doc, seed=poisson_mixing.SEED):
     return int(hashlib.md5(f"{int(doc)}:{seed}".encode()).hexdigest()[:13], 16) / float(1 << 52)
 
@@ -404,7 +447,30 @@ def test_pack_best_fit(spark):
     for (doc, _), want in zip(rows, library_ids([t for _, t in rows])):
         assert sum((parts[doc][s] for s in sorted(parts[doc])), []) == want
     assert len({r.sequence_id for r in got}) == len(got)
-    assert bfd_packing.pack_best_fit(df.limit(0)).count() == 0
+    assert bfd_packing.pack_best_fit(df.limit(0)).count() == 0 and bfd_packing.fill(bfd_packing.pack_best_fit(df.limit(0))) == 1
+
+
+def test_fill_does_not_depend_on_the_layout(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = bfd_packing.pack_best_fit(docs.coalesce(1)).cache()
+    tokens = whole.agg(F.sum("used")).first()[0]
+    assert whole.count() <= -(-tokens // 2048) + 1 and bfd_packing.fill(whole) > 0.98
+    tiny = bfd_packing.pack_best_fit(docs.repartition(60))
+    assert tiny.count() <= whole.count() + 1 and tiny.agg(F.sum("used")).first()[0] == tokens
+
+
+def test_shards_and_manifest(spark, sf, tmp_path):
+    packed = bfd_packing.pack_best_fit(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    manifest = bfd_packing.write_shards(packed, str(tmp_path / "out"), rows_a_file=30)
+    files = {r.file: r for r in manifest.collect()}
+    assert set(files) == {p.name for p in (tmp_path / "out/shards").glob("*.parquet")} and max(r.sequences for r in files.values()) <= 30
+    assert sum(r.sequences for r in files.values()) == packed.count()
+    assert sum(r.tokens for r in files.values()) == packed.agg(F.sum("used")).first()[0]
+    assert all(r.tokens + r.padding == 2048 * r.sequences for r in files.values())
+    back = spark.read.parquet(str(tmp_path / "out/shards"))
+    assert back.exceptAll(packed).count() == 0 == packed.exceptAll(back).count()
+    again = bfd_packing.write_manifest(spark, str(tmp_path / "out"))
+    assert {r.file: r.checksum for r in again.collect()} == {f: r.checksum for f, r in files.items()}
 
 
 # --- queries -------------------------------------------------------------------------
