@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -56,12 +56,17 @@ def _bit_counts(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
     """SimHash fingerprints: a bit is set if it is in over half of the text's
     shingle hashes; zero for texts without words."""
-    out = np.zeros(len(texts), dtype=np.uint64)
+    return fingerprints_of([shingle_hashes(text or "", words) for text in texts])
+
+
+def fingerprints_of(hashes: Sequence[Iterable[np.ndarray]]) -> np.ndarray:
+    """The fingerprints of texts given by their shingle hashes, in blocks."""
+    out = np.zeros(len(hashes), dtype=np.uint64)
     parts: list[np.ndarray] = []
     owners: list[int] = []
     held = 0
-    counts = np.zeros((len(texts), BITS), dtype=np.int64)
-    totals = np.zeros(len(texts), dtype=np.int64)
+    counts = np.zeros((len(hashes), BITS), dtype=np.int64)
+    totals = np.zeros(len(hashes), dtype=np.int64)
 
     def flush() -> None:
         nonlocal held
@@ -74,8 +79,8 @@ def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
         owners.clear()
         held = 0
 
-    for i, text in enumerate(texts):
-        for h in shingle_hashes(text or "", words):
+    for i, own in enumerate(hashes):
+        for h in own:
             parts.append(h)
             owners.append(i)
             held += len(h)
@@ -83,7 +88,7 @@ def fingerprints(texts: list[str | None], words: int = 3) -> np.ndarray:
                 flush()
     flush()
     majority = (2 * counts > totals[:, None]).astype(np.uint8)
-    if len(texts):
+    if len(hashes):
         out = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
@@ -288,21 +293,3 @@ def simhash_groups(
         "component_id",
         F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)).alias("kept"),
     )
-
-
-def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, distance: int = 5
-) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest id.
-
-    Rows that repeat the kept id count as copies too and go; rows with a null
-    id stay. All columns stay as they are.
-    """
-    groups = simhash_groups(docs, doc_id, text, words, distance)
-    keep = groups.where("kept").where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("__rf_keep")).distinct()
-    null_rows = docs.where(F.col(doc_id).isNull())
-    first = docs.join(keep, F.col(doc_id).cast("long") == F.col("__rf_keep"), "left_semi")
-    repeats = groups.where("kept").groupBy(doc_id).count().where("count > 1").limit(1).count()
-    if repeats:
-        first = first.dropDuplicates([doc_id])
-    return first.unionByName(null_rows)

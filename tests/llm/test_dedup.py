@@ -102,13 +102,6 @@ def test_simhash_groups(spark):
     assert simhash_dedup.simhash_groups(df.limit(0)).count() == 0
 
 
-def test_drop_near_duplicates_keeps_one_of_each_group(spark):
-    text = " ".join(WORDS * 20)
-    rows = [(3, text), (5, text), (3, text), (9, "something quite different from all of the others"), (None, text)]
-    out = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(out.collect(), key=str) == sorted([(3, text), (9, rows[3][1]), (None, text)], key=str)
-
-
 @pytest.mark.parametrize("many,hot", [(1_000_000, 100_000), (1, 3)])
 def test_components(spark, many, hot):
     rng = np.random.default_rng(5)

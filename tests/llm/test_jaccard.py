@@ -4,8 +4,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ringfold.llm import jaccard_dedup
+from ringfold.llm import jaccard_dedup, simhash_dedup
 from tests.llm.test_dedup import classes
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -59,3 +60,52 @@ def test_stage_keeps_texts_that_share_only_a_filler(spark, sf):
     texts = ["- " * 500 + " ".join(f"t{k}w{i}" for i in range(200)) for k in range(4)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert pipeline.near_duplicates(spark, docs, sf).count() == 4
+
+
+def test_rows_are_told_apart_by_text(spark):
+    """Reused and null ids: texts alone link, and no unlike text goes."""
+    w = [f"w{k}" for k in range(200)]
+    near = " ".join([*w[:100], "changed", *w[101:]])
+    rows = [
+        (1, " ".join(w), "a"), (1, "two unlike texts under one id are two documents", "b"), (7, near, "c"), (7, "of id seven something else", "d"),
+        (7, "of id seven something else", "e"), (None, near, "f"), (None, "only a null id has this", "g"), (None, "only a null id has this", "h"),
+        (5, None, "i"), (3, " ", "j"), (None, "", "k"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, same string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard_dedup.drop_similar(docs).collect()), key=str)
+    want = [(1, rows[0][1]), (1, rows[1][1]), (7, rows[3][1]), (None, rows[6][1]), (3, " ")]
+    assert got == sorted(want, key=str)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert jaccard_dedup.drop_similar(named).count() == 5
+    assert jaccard_dedup.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_a_big_group_of_near_copies_is_one(spark):
+    """Copies that all share their shingles: held against hubs, not all in pairs."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(400):
+        own = list(base)
+        for at in rng.choice(120, k % 4, replace=False):
+            own[at] = f"x{rng.integers(1 << 40)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:60]) + f" and then in text {k} other " + " ".join(f"t{k}v{i}" for i in range(60)) for k in range(40)]
+    sets = [shingles(t) for t in texts]
+    want = classes(range(len(texts)), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for paired, block in ((32, 4096), (4, 50)):
+        out = jaccard_dedup.drop_similar(docs, paired=paired, block=block)
+        assert sorted(r.doc_id for r in out.collect()) == sorted(set(want.values()))
+
+
+def test_recall_of_planted_near_copies(spark):
+    """Every pair of a similarity of 0.8 or more, against the share that the SimHash finds alone."""
+    texts = planted(31, 3)
+    sets = [shingles(t) for t in texts]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if jaccard(sets[a], sets[b]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in jaccard_dedup.drop_similar(docs).collect()}
+    assert all(a not in kept or b not in kept for a, b in pairs) and len(pairs) > 30
+    prints = simhash_dedup.fingerprints(texts, 5)
+    assert sum(int(prints[a] ^ prints[b]).bit_count() <= 3 for a, b in pairs) < len(pairs)
