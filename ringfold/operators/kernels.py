@@ -211,6 +211,13 @@ class Graph:
             self.adjacent.setdefault(a, []).append((b, ident))
             self.adjacent.setdefault(b, []).append((a, ident))
         self._found: dict[tuple, tuple[float, tuple] | None] = {}
+        self._grids: dict[tuple, NodeGrid] = {}
+
+    def grid(self, ids: list, reach: float) -> NodeGrid:
+        key = (reach, len(ids), ids[0], ids[-1])
+        if key not in self._grids:
+            self._grids[key] = NodeGrid(ids, np.array([self.position[i] for i in ids]), reach)
+        return self._grids[key]
 
     def distance(self, a, b) -> float:
         (ax, ay), (bx, by) = self.position[a], self.position[b]
@@ -326,13 +333,30 @@ def bar_terms(m: dict[str, float], bar: Bar) -> tuple[float, float, float, float
     )
 
 
-def match_candidates(p: np.ndarray, ids: list, xy: np.ndarray, o: MatchOptions) -> list[tuple]:
+class NodeGrid:
+    """Nodes by cells of the reach asked for, so that a probe reads nine cells."""
+
+    def __init__(self, ids: list, xy: np.ndarray, reach: float):
+        self.ids, self.xy, self.reach = ids, xy, reach
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        for i, cell in enumerate(map(tuple, np.floor(xy / reach).astype(int).tolist())):
+            self.cells.setdefault(cell, []).append(i)
+
+    def near(self, p: np.ndarray) -> tuple[list[int], np.ndarray]:
+        """(numbers, distances) of the nodes in reach, nearest first, then by number."""
+        cx, cy = np.floor(np.asarray(p) / self.reach).astype(int).tolist()
+        own = sorted(i for x in (cx - 1, cx, cx + 1) for y in (cy - 1, cy, cy + 1) for i in self.cells.get((x, y), ()))
+        d = np.sqrt(((self.xy[own] - p) ** 2).sum(axis=1)) if own else np.zeros(0)
+        order = [k for k in np.argsort(d, kind="stable").tolist() if d[k] <= self.reach]
+        return [own[k] for k in order], d[order]
+
+
+def match_candidates(p: np.ndarray, grid: NodeGrid, o: MatchOptions) -> list[tuple]:
     """(node, distance) of the nearest nodes in reach that keep their spacing."""
-    d = np.sqrt(((xy - p) ** 2).sum(axis=1))
-    near = [int(i) for i in np.argsort(d, kind="stable") if d[i] <= o.radius_m]
-    rows = [tuple(xy[i]) for i in near]
+    near, d = grid.near(p)
+    rows = [tuple(grid.xy[i]) for i in near]
     picked = greedy(rows, lambda a, b: math.hypot(a[0] - b[0], a[1] - b[1]) < o.min_separation_m, o.candidates)
-    return [(ids[near[k]], float(d[near[k]])) for k in picked]
+    return [(grid.ids[near[k]], float(d[k])) for k in picked]
 
 
 def match_loop(ring: np.ndarray, graph: Graph, main: Sequence, o: MatchOptions) -> list | None:
@@ -345,9 +369,9 @@ def match_loop(ring: np.ndarray, graph: Graph, main: Sequence, o: MatchOptions)
     ids = sorted(main)
     if not ids:
         return None
-    xy = np.array([graph.position[i] for i in ids])
     samples = resample(ring, o.step_m, True)
-    states = [match_candidates(p, ids, xy, o) for p in samples]
+    grid = graph.grid(ids, o.radius_m)
+    states = [match_candidates(p, grid, o) for p in samples]
     if not all(states):
         return None
     costs: dict[tuple, float] = {}
@@ -390,28 +414,66 @@ def match_loop(ring: np.ndarray, graph: Graph, main: Sequence, o: MatchOptions)
     return walk
 
 
+class _LoopCost:
+    """The sum of the bar's terms of a loop through nodes of a graph.
+
+    Legs are looked up once each; what the bar doesn't ask for (the Frechet
+    distance) isn't measured, and no loop is measured twice.
+    """
+
+    def __init__(self, graph: Graph, ring: np.ndarray, target_m: float, bar: Bar):
+        self.graph, self.ring, self.target_m, self.bar = graph, ring, target_m, bar
+        self._legs: dict[tuple, dict] = {}
+        self._known: dict[tuple, float] = {}
+
+    def _leg(self, a, b) -> dict:
+        if (a, b) not in self._legs:
+            at = self.graph.position
+            self._legs[a, b] = self.graph.join([at[a], at[b]], [a, b])[0]
+        return self._legs[a, b]
+
+    def __call__(self, nodes: tuple) -> float:
+        if nodes not in self._known:
+            legs = [self._leg(a, b) for a, b in zip(nodes, (*nodes[1:], nodes[0]))]
+            points = leg_points(legs)
+            length = path_length(points, False)
+            mean, longest = route_deviation(points, self.ring, 10.0)
+            self._known[nodes] = sum(
+                bar_terms(
+                    {
+                        "length_ratio": length / self.target_m if self.target_m else 0.0,
+                        "mean_deviation_m": mean,
+                        "max_deviation_m": longest,
+                        "retraced_fraction": retraced_m(legs, self.graph)[0] / length if length else 0.0,
+                    },
+                    self.bar,
+                )
+            )
+        return self._known[nodes]
+
+
 def prune_spikes(
     nodes: list, graph: Graph, ring: np.ndarray, target_m: float, o: PruneOptions = PruneOptions(), bar: Bar = Bar()
 ) -> list:
-    """Drops waypoints, one at a time in order, while that lowers the sum of the bar's terms."""
+    """The loop without the waypoints that only lengthen it.
 
-    def cost(some: list) -> float:
-        points, legs = graph.loop(some)
-        return sum(bar_terms(route_metrics(points, legs, ring, target_m, graph), bar))
-
-    now, least = list(nodes), cost(nodes)
+    A pass settles the waypoints in order: the next of the open ones is left
+    out if the settled and the other open ones alone make a cheaper loop.
+    Passes end when one settles all, or with the fewest waypoints allowed.
+    """
+    cost = _LoopCost(graph, ring, target_m, bar)
+    settled: tuple = tuple(nodes)
     for _ in range(o.passes):
-        before, i = len(now), 0
-        while i < len(now) and len(now) > o.min_waypoints:
-            without = now[:i] + now[i + 1 :]
-            c = cost(without)
-            if c < least:
-                now, least = without, c
-            else:
-                i += 1
-        if len(now) == before:
+        waypoints, settled = settled, ()
+        open_ = waypoints
+        while open_ and len(settled) + len(open_) > o.min_waypoints:
+            head, open_ = open_[:1], open_[1:]
+            if not cost(settled + open_) < cost(settled + head + open_):
+                settled += head
+        settled += open_
+        if settled == waypoints:
             break
-    return now
+    return list(settled)
 
 
 class TooManyCycles(ValueError):

@@ -5,17 +5,16 @@ from __future__ import annotations
 import json
 import math
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import kernels, paths, validate
+from ..operators import paths, validate
 from ..operators import rings as laps
 from ..params import EARTH_RADIUS_M, RUNNABLE_CLASSES, NetworkOptions
 from ..sources import files
-from .registry import q, query, sdist, sfix, shalf, sq
+from .registry import q, query, sdist, sfix, shalf, sq, ssegdist
 from .scalars import _GEO, geo
 
 C, L = F.col, F.lit
@@ -333,58 +332,109 @@ def f17(d):
 # --- laps -------------------------------------------------------------------------
 
 
-def lap_ways(d):
-    """For each order's customer group a small street block in two squares that
-    share a side, so that there are three laps; ids and places from the group."""
-    n = d.table("nation").select(C("n_nationkey").cast("long").alias("group"))
-    at = {"a": (0, 0), "b": (1, 0), "c": (2, 0), "d": (2, 1), "e": (1, 1), "f": (0, 1)}
-    lines = [("a", "b"), ("b", "c", "d", "e"), ("b", "e"), ("e", "f", "a")]
-    rows = []
-    for k, line in enumerate(lines):
-        rows.append((k, [list(at).index(x) for x in line], [-8.6 + at[x][0] * 0.006 for x in line], [41.1 + at[x][1] * 0.0045 for x in line], k != 2))
-    w = d.spark.createDataFrame(rows, "way long, node_ids array<long>, lons array<double>, lats array<double>, in_relation boolean")
-    return n.join(F.broadcast(w)).withColumn("official_m", 3000.0 + C("group") % 3 * 10)
-
-
-@query("r07_find_rings")
-def r07(d):
-    """All closed laps of every group's ways; tests hold the enumeration against brute force."""
-    r = laps.rings_by_group(lap_ways(d), "group")
-    return r.select("group", "rank", q(C("length_m"), 2).alias("length_m"), F.array_join(F.transform("ways", lambda w: w.cast("string")), "-").alias("ways"), "gaps", "all_in_relation")
+#: A street block: two squares that share a side, which is doubled by a slightly longer way.
+_LINES = ((0, 1), (1, 2, 3, 4), (1, 4), (4, 5, 0), (1, 6, 4))
+#: (columns, rows, degrees east) of the nodes.
+_SPOTS = ((0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (2.1, 0.0, 0.0), (2.1, 1.0, 0.0), (1.0, 1.0, 0.0), (0.0, 1.0, 0.0), (1.0, 0.5, 0.0002))
 
 
-@query("t08_rank_rings")
-def t08(d):
-    """The laps in order of their error against the official length, then gaps, then relation."""
-    r = laps.rings_by_group(lap_ways(d), "group")
-    return r.select("group", "rank", q(C("error"), 5).alias("error"), "vertices")
+def lap_ways(d):
+    """A street block for every supplier, of a width, an official length and
+    relation members that depend on it: six laps each, some alike."""
+    n = d.table("supplier").select(C("s_suppkey").cast("long").alias("group"))
+    n = n.withColumns({"width": 0.006 + C("group") % 5 * 0.0004, "official_m": 2000.0 + C("group") % 13 * 120})
+    rows = [(k, list(line), [_SPOTS[i][0] for i in line], [_SPOTS[i][2] for i in line], [41.1 + _SPOTS[i][1] * 0.0045 for i in line]) for k, line in enumerate(_LINES)]
+    w = d.spark.createDataFrame(rows, "way long, node_ids array<long>, columns array<double>, east array<double>, lats array<double>")
+    lons = F.zip_with("columns", "east", lambda c, e: -8.6 + c * C("width") + e)
+    member = (C("way") != 2) & ~((C("way") == 1) & (C("group") % 4 == 0))
+    return n.join(F.broadcast(w)).select("group", "official_m", "way", "node_ids", lons.alias("lons"), "lats", member.alias("in_relation"))
+
+
+def ranked_laps(d):
+    ways = lap_ways(d)
+    official = ways.select("group", "official_m").distinct()
+    return laps.rank_laps(laps.laps_by_group(ways.drop("official_m"), "group").join(official, "group"), "group")
+
+
+_BLOCK = (
+    "g_line AS (SELECT * FROM (VALUES " + ", ".join(f"({w}, {k}, {n})" for w, line in enumerate(_LINES) for k, n in enumerate(line)) + ") t(way, pos, node))",
+    "g_spot AS (SELECT * FROM (VALUES " + ", ".join(f"({n}, {c}::DOUBLE, {r}::DOUBLE, {e}::DOUBLE)" for n, (c, r, e) in enumerate(_SPOTS)) + ") t(node, col, ro, east))",
+    "g_wedge AS (SELECT way, arg_min(node, pos) AS u, arg_max(node, pos) AS v FROM g_line GROUP BY 1)",
+    "g_dir AS (SELECT way, u, v FROM g_wedge UNION ALL SELECT way, v, u FROM g_wedge)",
+    """g_trail AS (SELECT u AS start, v AS tip, [way] AS ways, [u, v] AS seen FROM g_dir WHERE v > u
+        UNION ALL SELECT start, d.v, list_append(ways, d.way), list_append(seen, d.v) FROM g_trail t JOIN g_dir d ON d.u = t.tip
+        WHERE t.tip <> t.start AND NOT list_contains(t.ways, d.way) AND (d.v = t.start OR (d.v > t.start AND NOT list_contains(t.seen, d.v))))""",
+    "g_cycle AS (SELECT list_sort(ways) AS ways FROM g_trail WHERE tip = start AND ways[1] < ways[-1])",
+    """g_site AS (SELECT s_suppkey AS grp, node, -8.6::DOUBLE + col * (0.006::DOUBLE + s_suppkey % 5 * 0.0004::DOUBLE) + east AS lon, 41.1::DOUBLE + ro * 0.0045::DOUBLE AS lat,
+        2000.0::DOUBLE + s_suppkey % 13 * 120 AS official FROM supplier, g_spot)""",
+    """g_side AS (SELECT a.way, a.node AS p, b.node AS q FROM g_line a JOIN g_line b ON b.way = a.way AND b.pos = a.pos + 1)""",
+    f"""g_mean AS (SELECT grp, ways, avg(lat) AS lat0, count(*) AS vertices, any_value(official) AS official FROM (SELECT DISTINCT ways, node FROM (SELECT ways, unnest(ways) AS way FROM g_cycle) JOIN g_line USING (way))
+        JOIN g_site USING (node) GROUP BY 1, 2)""",
+    f"""g_lap AS (SELECT m.grp, m.ways, any_value(vertices) AS vertices, sum(sqrt(power({_R} * (b.lon - a.lon) * {_DEG} * cos(lat0 * {_DEG}), 2) + power({_R} * (b.lat - a.lat) * {_DEG}, 2))) AS len,
+        bool_and(w.way <> 2 AND NOT (w.way = 1 AND m.grp % 4 = 0)) AS rel, any_value(m.official) AS official
+        FROM g_mean m JOIN (SELECT ways, unnest(ways) AS way FROM g_cycle) w ON w.ways = m.ways JOIN g_side s ON s.way = w.way
+        JOIN g_site a ON a.grp = m.grp AND a.node = s.p JOIN g_site b ON b.grp = m.grp AND b.node = s.q GROUP BY 1, 2)""",
+    "g_rank AS (SELECT *, abs(len / official - 1) AS error, row_number() OVER (PARTITION BY grp ORDER BY abs(len / official - 1), rel DESC) AS rank FROM g_lap)",
+)
+_METRIC = 111195.0
+#: Laps of one group near the best; twins by their vertices, since a lap of these blocks is either metres or half a kilometre away.
+_TWINS = (
+    "g_close AS (SELECT *, error - min(error) OVER (PARTITION BY grp) < 0.03 AS near FROM g_rank)",
+    f"""g_flat AS (SELECT grp, node, lon * {_METRIC}::DOUBLE * cos(41.1::DOUBLE * {_DEG}) AS x, lat * {_METRIC}::DOUBLE AS y FROM g_site)""",
+    f"""g_off AS (SELECT a.grp, a.rank AS r, b.rank AS o, n.node, min({ssegdist('p.x', 'p.y', 'u.x', 'u.y', 'v.x', 'v.y')}) AS d
+        FROM g_close a JOIN g_close b ON b.grp = a.grp AND b.rank <> a.rank AND a.near AND b.near
+        JOIN (SELECT DISTINCT ways, node FROM (SELECT ways, unnest(ways) AS way FROM g_cycle) JOIN g_line USING (way)) n ON n.ways = a.ways
+        JOIN (SELECT ways, unnest(ways) AS way FROM g_cycle) w ON w.ways = b.ways JOIN g_side s ON s.way = w.way
+        JOIN g_flat p ON p.grp = a.grp AND p.node = n.node JOIN g_flat u ON u.grp = a.grp AND u.node = s.p JOIN g_flat v ON v.grp = a.grp AND v.node = s.q GROUP BY 1, 2, 3, 4)""",
+    "g_twin AS (SELECT grp, r, o FROM g_off GROUP BY 1, 2, 3 HAVING max(d) <= 60)",
+    "g_same AS (SELECT c.grp, c.rank, c.error, c.rel, c.near, least(c.rank, coalesce(min(t.o), c.rank)) AS slot FROM g_close c LEFT JOIN g_twin t ON t.grp = c.grp AND t.r = c.rank AND EXISTS (SELECT 1 FROM g_twin b WHERE b.grp = t.grp AND b.r = t.o AND b.o = t.r) GROUP BY c.grp, c.rank, c.error, c.rel, c.near)",
+    """g_slot AS (SELECT grp, slot, count(*) - 1 AS equivalent, CASE WHEN arg_min(rel, rank) THEN min(rank) ELSE coalesce(min(rank) FILTER (rel), min(rank)) END AS rank FROM g_same GROUP BY 1, 2)""",
+    "g_distinct AS (SELECT s.grp, s.slot, s.rank, s.equivalent, c.error, c.rel, row_number() OVER (PARTITION BY s.grp ORDER BY s.slot) - 1 AS place FROM g_slot s JOIN g_close c ON c.grp = s.grp AND c.rank = s.rank)",
+)
 
 
-def decisions(d, column: str):
-    """A choice for every group, with equivalent laps collapsed first."""
+@query(
+    "r07_find_rings",
+    f"SELECT grp AS \"group\", rank, {sq('len', 2)} AS length_m, array_to_string(ways, '-') AS ways, 0 AS gaps, rel AS all_in_relation FROM g_rank",
+    *_BLOCK,
+    recursive=True,
+)
+def r07(d):
+    """All closed laps of every group's ways."""
+    ways = F.array_join(F.transform(F.array_sort("ways"), lambda w: w.cast("string")), "-")
+    return ranked_laps(d).select("group", "rank", q(C("length_m"), 2).alias("length_m"), ways.alias("ways"), "gaps", "all_in_relation")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ranked = laps.rank_rings(laps.find_rings(laps.ways_of(frame)), float(frame.official_m.iloc[0]))
-        kept = laps.collapse_equivalent(ranked)
-        picked = laps.pick_ring(ranked)
-        return pd.DataFrame(
-            {"group": [frame.group.iloc[0]], "rings": [len(ranked)], "distinct": [len(kept)], "kind": [picked["kind"]], "length_m": [picked.get("ring", {}).get("length_m")]}
-        )
 
-    made = lap_ways(d).groupBy("group").applyInPandas(run, "group long, rings int, distinct int, kind string, length_m double")
-    return made.select("group", *([column] if column != "all" else ["rings", "distinct", "kind", q(C("length_m"), 2).alias("length_m")]))
+@query("t08_rank_rings", f"SELECT grp AS \"group\", rank, {sq('error', 5)} AS error, vertices FROM g_rank", *_BLOCK, recursive=True)
+def t08(d):
+    """The laps in order of their error against the official length, then gaps, then relation."""
+    return ranked_laps(d).select("group", "rank", q(C("error"), 5).alias("error"), F.size("points").alias("vertices"))
 
 
-@query("t09_collapse_equivalent")
+@query(
+    "t09_collapse_equivalent",
+    f"SELECT grp AS \"group\", place, rank, {sq('error', 5)} AS error, rel AS all_in_relation, equivalent FROM g_distinct",
+    *_BLOCK, *_TWINS,
+    recursive=True,
+)
 def t09(d):
-    """How many different laps each group has."""
-    return decisions(d, "distinct")
+    """The different laps of each group, with how many twins each stands for."""
+    return laps.distinct_laps(ranked_laps(d), "group").select("group", "place", "rank", q(C("error"), 5).alias("error"), "all_in_relation", "equivalent")
 
 
-@query("t10_pick_ring")
+@query(
+    "t10_pick_ring",
+    """SELECT b.grp AS "group", (SELECT count(*) FROM g_rank r WHERE r.grp = b.grp) AS laps, (SELECT count(*) FROM g_distinct r WHERE r.grp = b.grp) AS "distinct",
+    CASE WHEN b.error > 0.05 THEN 'none' WHEN rivals = 0 OR (b.rel AND own = 0) THEN 'picked' ELSE 'ambiguous' END AS kind,
+    CASE WHEN b.error <= 0.05 AND (rivals = 0 OR (b.rel AND own = 0)) THEN b.rank END AS chosen
+    FROM g_distinct b JOIN (SELECT a.grp, count(c.rank) AS rivals, count(c.rank) FILTER (c.rel) AS own FROM g_distinct a LEFT JOIN g_distinct c ON c.grp = a.grp AND c.place > 0 AND c.error - a.error < 0.03
+    WHERE a.place = 0 GROUP BY 1) USING (grp) WHERE b.place = 0""",
+    *_BLOCK, *_TWINS,
+    recursive=True,
+)
 def t10(d):
     """What is picked for each group: a lap, nothing, or a refusal to guess."""
-    return decisions(d, "all")
+    return laps.choose_laps(ranked_laps(d), "group").select("group", "laps", "distinct", "kind", "chosen")
 
 
 @query("r16_extract_circuit")

@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ringfold.operators import kernels, rings
-from ringfold.params import MatchOptions, RingOptions
+from ringfold.params import MatchOptions, PruneOptions, RingOptions
 from ringfold.sources.http import JsonClient, hash_key
 
 
@@ -140,7 +141,7 @@ def test_match_loop_is_the_cheapest_closed_walk():
         o = MatchOptions(step_m=60, radius_m=120, candidates=3, min_separation_m=5)
         ids = sorted(g.position)
         xy = np.array([g.position[i] for i in ids])
-        states = [kernels.match_candidates(p, ids, xy, o) for p in kernels.resample(ring, o.step_m, True)]
+        states = [kernels.match_candidates(p, kernels.NodeGrid(ids, xy, o.radius_m), o) for p in kernels.resample(ring, o.step_m, True)]
 
         def hop(a, b, g=g, o=o):
             if a == b:
@@ -231,8 +232,6 @@ def rectangle(split):
 def test_rectangle_lap(split):
     found = rings.find_rings(rectangle(split))
     assert len(found) == 1 and found[0]["length_m"] == pytest.approx(3000, rel=0.01) and found[0]["gaps_m"] == []
-    assert rings.pick_ring(rings.rank_rings(found, 3000))["kind"] == "picked"
-    assert rings.pick_ring(rings.rank_rings(found, 5000))["kind"] == "none" and rings.pick_ring([])["kind"] == "none"
 
 
 def test_stitching_and_ambiguity():
@@ -243,12 +242,82 @@ def test_stitching_and_ambiguity():
     assert rings.find_rings(ways, stitch_m=1) == []
     one = rings.find_rings(ways, stitch_m=5)
     assert len(one) == 1 and one[0]["gaps_m"] == [pytest.approx(3, abs=0.05)]
-    base = rings.rank_rings(rings.find_rings(rectangle(False)), 3000)[0]
-    far = {**base, "points": [(x + 0.1, y) for x, y in base["points"]], "all_in_relation": True}
-    twin = {**base, "points": [(x + 1e-5, y) for x, y in base["points"]]}
-    assert [r["equivalent"] for r in rings.collapse_equivalent([base, twin, far])] == [1, 0]
-    assert rings.pick_ring([base, far])["kind"] == "ambiguous"
-    assert rings.pick_ring([base, {**far, "all_in_relation": False}])["kind"] == "picked"
+
+
+def test_choice_among_laps(spark):
+    d = 1 / 111_195.0
+    square = [(0.0, 0.0), (1000 * d, 0.0), (1000 * d, 500 * d), (0.0, 500 * d)]
+    moved = lambda dx: [[x + dx, y] for x, y in square]
+    groups = {
+        "twins": [(3000.0, moved(0), True), (3003.0, moved(1e-5), False), (3006.0, moved(0.1), True)],
+        "one own": [(3000.0, moved(0), True), (3006.0, moved(0.1), False)],
+        "taken over": [(3000.0, moved(0), False), (3001.0, moved(1e-5), True), (3002.0, moved(2e-5), True), (3300.0, moved(0.1), False)],
+        "far": [(5000.0, moved(0), True)],
+        "wide": [(3000.0, moved(0), True), (3200.0, moved(0.1), True)],
+        "two points": [(3000.0, moved(0)[:2], True), (3001.0, moved(0)[:2], True)],
+    }
+    rows = [(g, k, n, [k], p, 0, own, False) for g, laps in groups.items() for k, (n, p, own) in enumerate(laps)]
+    rows.append(("tangle", None, None, None, None, None, None, True))
+    laps = spark.createDataFrame(rows, f"g string, {rings.LAP}").withColumn("official_m", F.lit(3000.0))
+    ranked = rings.rank_laps(laps, "g").cache()
+    distinct = {}
+    for r in rings.distinct_laps(ranked, "g").orderBy("g", "place").collect():
+        distinct.setdefault(r.g, []).append((r.rank, r.equivalent))
+    assert distinct["twins"] == [(1, 1), (3, 0)] and distinct["taken over"] == [(2, 2), (4, 0)] and distinct["two points"] == [(1, 0), (2, 0)]
+    got = {r.g: r for r in rings.choose_laps(ranked, "g").collect()}
+    assert {g: (r.kind, r.chosen) for g, r in got.items()} == {
+        "twins": ("ambiguous", None), "one own": ("picked", 1), "taken over": ("picked", 2), "far": ("none", None), "wide": ("picked", 1),
+        "two points": ("ambiguous", None), "tangle": ("too_many", None),
+    }
+    assert got["twins"].top == [1, 3] and got["far"].note == "the closest ring is 66.7% off the official length (limit 5%)"
+    assert got["taken over"].note == rings.COLLAPSED.format(n=2, m=60.0) and got["wide"].note == ""
+    assert got["one own"].note == rings.CHOSEN.format(n=1, points=3.0)
+    assert rings.choose_laps(ranked.limit(0), "g").count() == 0
+
+
+def test_pruning_equals_single_removals():
+    """Against plain passes that measure every loop anew."""
+    rng = np.random.default_rng(6)
+    nodes = [(f"n{i}", 100.0 * (i // 5), 100.0 * (i % 5)) for i in range(25)]
+    at = {n: (x, y) for n, x, y in nodes}
+    pairs = [(a, b) for a in at for b in at if a < b and math.dist(at[a], at[b]) == 100]
+    g = kernels.Graph(nodes, [(f"{a}{b}", a, b, 100.0, [at[a], at[b]]) for a, b in pairs])
+    ring = np.array([(0, 0), (400, 0), (400, 400), (0, 400)], dtype=float)
+
+    def plain(walk, passes, least):
+        def cost(some):
+            points, legs = g.loop(some)
+            return sum(kernels.bar_terms(kernels.route_metrics(points, legs, ring, 1600.0, g), kernels.Bar()))
+
+        now = list(walk)
+        for _ in range(passes):
+            gone = False
+            k = 0
+            while k < len(now) and len(now) > least:
+                if cost(now[:k] + now[k + 1 :]) < cost(now):
+                    del now[k]
+                    gone = True
+                else:
+                    k += 1
+            if not gone:
+                break
+        return now
+
+    for _ in range(12):
+        walk = [f"n{k}" for k in rng.integers(0, 25, int(rng.integers(4, 14)))]
+        for passes, least in ((1, 6), (3, 3)):
+            assert kernels.prune_spikes(walk, g, ring, 1600.0, PruneOptions(passes, least)) == plain(walk, passes, least)
+
+
+def test_node_grid_equals_a_scan():
+    rng = np.random.default_rng(2)
+    xy = rng.uniform(-500, 500, (300, 2)).round()
+    grid = kernels.NodeGrid(list(range(300)), xy, 90.0)
+    for p in rng.uniform(-600, 600, (40, 2)):
+        d = np.sqrt(((xy - p) ** 2).sum(axis=1))
+        want = [i for i in np.argsort(d, kind="stable").tolist() if d[i] <= 90]
+        got, far = grid.near(p)
+        assert got == want and (far == d[want]).all()
 
 
 def test_hash_key():

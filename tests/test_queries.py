@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +16,7 @@ SQL = entry.oracle_sql()
 CORE = (
     "a02_path_length", "a05_centroid", "a06_procrustes", "a08_route_deviation", "a16_retraced_fraction", "a17_retrace_shares", "a23_junction_offenders",
     "f01_circuit_errors", "f03_network_errors", "f04_route_file_errors", "f06_pit_lanes", "f09_placement_errors", "g09_resample", "j01_nearest_segment",
-    "j04_nearest_edge_node", "j09_corridor_pairs", "j17_name_match", "k05_quantise_encode", "k07_gpx", "m07_compose_invert", "m12_closest_approach", "m20_bar_terms",
+    "j04_nearest_edge_node", "r07_find_rings", "t08_rank_rings", "t09_collapse_equivalent", "t10_pick_ring", "j09_corridor_pairs", "j17_name_match", "k05_quantise_encode", "k07_gpx", "m07_compose_invert", "m12_closest_approach", "m20_bar_terms",
     "m22_coverage_colour", "m27_svg_path", "r01_components", "r10_distance_transform", "s04_decode_way", "s06_route_file", "s13_parse_ways", "s16_parse_entities",
     "s21_query_texts", "s23_stored_placements", "t02_top_winners", "t07_top_routes", "u03_union_distinct_ids", "w05_longest_straight", "w06_clip", "w07_longest_hole",
     "w10_split_ways", "x01_normalise_name", "x04_number_texts", "x05_bar_misses", "z01_reduce_states",
@@ -25,7 +26,7 @@ WANTED = [n for n in sorted(QUERIES) if n in SQL and (n in CORE or os.environ.ge
 
 def shown(frame):
     def one(v):
-        if v is None or v is math.nan or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
