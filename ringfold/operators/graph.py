@@ -170,19 +170,27 @@ def nearest_edge_point(points: DataFrame, edges: DataFrame, key: list[str], max_
     return points.join(best.select(*key, "m.*"), key, "left")
 
 
-def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, salts: int = 8) -> DataFrame:
+def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, task_pairs: int = 5000) -> DataFrame:
     """(a, b, length_m, edges): the shortest path of every distinct pair of
     nodes; a null length where there is none, 0 from a node to itself.
 
-    Best-first search with the straight distance as bound. The graph goes
-    once to each of ``salts`` groups of pairs, so that one region's pairs
-    spread over tasks while a task holds one graph (the operator's bound).
+    Best-first search with the straight distance as bound. Pairs of different
+    components need no search. The others are dealt by component, and a
+    component of many pairs to several tasks of about ``task_pairs``, each of
+    which gets that component's graph alone: the graph is copied as often as
+    its pairs call for, and a task holds one component (the operator's bound).
     """
-    p = pairs.select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.lit(salts)))
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
-    n = nodes.select(F.lit("n").alias("kind"), F.col("node").alias("ident"), F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), "x", "y")
-    e = edges.select(F.lit("e").alias("kind"), F.col("edge").alias("ident"), "a", "b", F.col("length_m").alias("x"), F.lit(0.0).alias("y"))
-    both = n.unionByName(e).select("*", spread)
+    of = lambda s: nodes.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
+    p = pairs.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("c", F.when(F.col("ca") == F.col("cb"), F.col("ca")))
+    p = cut_lineage(p.select("a", "b", "c"))
+    apart = p.where("c is null").select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).alias("length_m"), F.when(F.col("a") == F.col("b"), F.array().cast("array<string>")).alias("edges"))
+    salts = p.where("c is not null").groupBy("c").agg(F.ceil(F.count("*") / task_pairs).cast("long").alias("salts"))
+    asked = p.join(salts, "c").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.col("salts"))).drop("salts")
+    each = salts.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    none = F.lit(None).cast("string")
+    n = nodes.select(F.col("component").alias("c"), F.lit("n").alias("kind"), F.col("node").alias("ident"), none.alias("a"), none.alias("b"), "x", "y")
+    e = edges.join(of("a"), "a").select(F.col("ca").alias("c"), F.lit("e").alias("kind"), F.col("edge").alias("ident"), "a", "b", F.col("length_m").alias("x"), F.lit(0.0).alias("y"))
+    both = n.unionByName(e).join(each, "c")
 
     def run(key: tuple, asked: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         node = parts[parts.kind == "n"]
@@ -200,6 +208,7 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, salts:
             }
         )
 
-    return p.groupBy("salt").cogroup(both.groupBy("salt")).applyInPandas(run, "a string, b string, length_m double, edges array<string>")
+    found = asked.groupBy("c", "salt").cogroup(both.groupBy("c", "salt")).applyInPandas(run, "a string, b string, length_m double, edges array<string>")
+    return found.unionByName(apart)
 
 

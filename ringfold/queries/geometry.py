@@ -270,9 +270,25 @@ def g11(d):
     return s.groupBy(K, "seq").agg(F.count("*").alias("n"), q(F.sum("x"), 1).alias("sum_x"), q(F.max("y"), 2).alias("max_y"))
 
 
-@query("g10_simplify")
+_SPANS = f"""g_round AS (SELECT path_id, seq, x, y FROM g_vertex UNION ALL SELECT path_id, 32, x, y FROM g_vertex WHERE seq = 0),
+    g_far AS MATERIALIZED (SELECT a.path_id, a.seq AS i, b.seq AS j, arg_max(k.seq, {ssegdist('k.x', 'k.y', 'a.x', 'a.y', 'b.x', 'b.y')}) AS k, max({ssegdist('k.x', 'k.y', 'a.x', 'a.y', 'b.x', 'b.y')}) AS d
+        FROM g_round a JOIN g_round b ON b.path_id = a.path_id AND b.seq > a.seq + 1 JOIN g_round k ON k.path_id = a.path_id AND k.seq > a.seq AND k.seq < b.seq GROUP BY 1, 2, 3),
+    g_first AS (SELECT a.path_id, arg_max(k.seq, (k.x - a.x) * (k.x - a.x) + (k.y - a.y) * (k.y - a.y)) AS far FROM g_vertex a JOIN g_vertex k ON k.path_id = a.path_id AND k.seq > 0 WHERE a.seq = 0 GROUP BY 1),
+    g_span AS (SELECT path_id, false AS ring, 0 AS i, 31 AS j FROM g_first UNION ALL SELECT path_id, true, 0, far FROM g_first UNION ALL SELECT path_id, true, far, 32 FROM g_first),
+    g_split AS (SELECT path_id, ring, i, j FROM g_span UNION ALL SELECT s.path_id, s.ring, CASE WHEN h = 0 THEN s.i ELSE f.k END, CASE WHEN h = 0 THEN f.k ELSE s.j END
+        FROM g_split s JOIN g_far f ON f.path_id = s.path_id AND f.i = s.i AND f.j = s.j AND f.d > 40, range(2) t(h)),
+    g_stay AS (SELECT DISTINCT path_id, ring, seq FROM (SELECT path_id, ring, i AS seq FROM g_split UNION ALL SELECT path_id, ring, j FROM g_split))"""
+
+
+@query(
+    "g10_simplify",
+    """SELECT v.path_id, v.seq, EXISTS (SELECT 1 FROM g_stay s WHERE s.path_id = v.path_id AND s.seq = v.seq AND NOT ring) AS open_kept,
+    EXISTS (SELECT 1 FROM g_stay s WHERE s.path_id = v.path_id AND s.seq = v.seq AND ring) AS ring_kept FROM g_vertex v""",
+    _SPANS,
+    recursive=True,
+)
 def g10(d):
-    """Douglas-Peucker of every outline at 40 m, open and closed; tests hold it against a recursive version."""
+    """Douglas-Peucker of every outline at 40 m, open and closed."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("seq")
@@ -424,9 +440,25 @@ def a14(d):
     return paths.recentre(d.vertex).groupBy(K).agg(q(F.max(g.norm(C("x"), C("y"))), 2).alias("radius"))
 
 
-@query("r05_discrete_frechet")
+#: The table of couplings an anti-diagonal a step, as lists by row with a row outside before the first.
+_FRECHET = """g_walked AS MATERIALIZED (SELECT path_id, list(x ORDER BY i) AS ax, list(y ORDER BY i) AS ay FROM g_rt_pt GROUP BY 1),
+    g_ringed AS (SELECT path_id, list(x ORDER BY i) AS rx, list(y ORDER BY i) AS ry FROM g_rg_pt GROUP BY 1),
+    g_begin AS (SELECT path_id, arg_min(p.i, ((p.x - ax[1]) * (p.x - ax[1]) + (p.y - ay[1]) * (p.y - ay[1]), p.i)) AS s FROM g_rg_pt p JOIN g_walked USING (path_id) GROUP BY 1),
+    g_both AS MATERIALIZED (SELECT path_id, ax, ay, list_concat(rx[s + 1:], rx[:s]) AS bx, list_concat(ry[s + 1:], ry[:s]) AS by, len(ax) AS n, len(rx) AS m FROM g_walked JOIN g_ringed USING (path_id) JOIN g_begin USING (path_id)),
+    g_table AS (SELECT path_id, CAST(-1 AS BIGINT) AS k, list_transform(range(n + 1), lambda r: 'inf'::DOUBLE) AS prior, list_transform(range(n + 1), lambda r: 'inf'::DOUBLE) AS now FROM g_both
+        UNION ALL SELECT t.path_id, t.k + 1, t.now, list_transform(range(n + 1), lambda r: CASE WHEN r = 0 OR t.k + 2 - r < 0 OR t.k + 2 - r >= m THEN 'inf'::DOUBLE ELSE
+        greatest(CASE WHEN t.k = -1 THEN 0 ELSE least(t.now[r], t.now[r + 1], t.prior[r]) END, sqrt((ax[r] - bx[t.k + 3 - r]) * (ax[r] - bx[t.k + 3 - r]) + (ay[r] - by[t.k + 3 - r]) * (ay[r] - by[t.k + 3 - r]))) END)
+        FROM g_table t JOIN g_both b USING (path_id) WHERE t.k < n + m - 2)"""
+
+
+@query(
+    "r05_discrete_frechet",
+    f"SELECT path_id, {sq('now[n + 1]', 2)} AS frechet_m FROM g_table JOIN g_both USING (path_id) WHERE k = n + m - 2",
+    _AREA, _CENTRE, _REC, _res_sql("g_rt", "g_own", 20, False), _res_sql("g_rg", "g_other", 20, True), _FRECHET,
+    recursive=True,
+)
 def r05(d):
-    """Discrete Frechet distance of every outline, sampled, to the next one as a ring; tests hold it against the recursive definition."""
+    """Discrete Frechet distance of every outline, sampled, to the next one as a ring."""
     route, ring = neighbour_pairs(d)
     both = route.withColumn("side", L("a")).unionByName(ring.withColumn("side", L("b")))
 
@@ -438,9 +470,22 @@ def r05(d):
     return both.groupBy(K).applyInPandas(run, "path_id long, frechet_m double").select(K, q(C("frechet_m"), 2).alias("frechet_m"))
 
 
-@query("t11_corners")
+_MERGE = f"""g_unit AS (SELECT path_id, seq, ax, ay, (bx - ax) / {_LEN} AS ux, (by - ay) / {_LEN} AS uy FROM g_ring_segment),
+    g_bend AS (SELECT a.path_id, a.seq, a.ax AS x, a.ay AS y, acos(least(1, greatest(-1, a.ux * b.ux + a.uy * b.uy))) AS turn FROM g_unit a JOIN g_unit b ON a.path_id = b.path_id AND b.seq = (a.seq + 31) % 32),
+    g_corner AS (SELECT path_id, 0 AS step, list({{'seq': seq, 'x': x, 'y': y, 'turn': turn}} ORDER BY seq) AS c FROM g_bend WHERE turn > 0.35 GROUP BY 1
+        UNION ALL SELECT path_id, step + 1, list_concat(c[:loser - 1], c[loser + 1:]) FROM (SELECT path_id, step, c, CASE WHEN c[k].turn >= c[k % len(c) + 1].turn THEN k % len(c) + 1 ELSE k END AS loser FROM (
+        SELECT path_id, step, c, list_position(gaps, list_min(gaps)) AS k FROM (SELECT path_id, step, c, list_transform(range(1, len(c) + 1), lambda i: sqrt((c[i % len(c) + 1].x - c[i].x) * (c[i % len(c) + 1].x - c[i].x)
+        + (c[i % len(c) + 1].y - c[i].y) * (c[i % len(c) + 1].y - c[i].y))) AS gaps FROM g_corner WHERE len(c) > 1) WHERE list_min(gaps) < 60)))"""
+
+
+@query(
+    "t11_corners",
+    f"SELECT path_id, u.seq AS corner, {sq('u.turn', 5)} AS turn_rad FROM (SELECT path_id, unnest(c) AS u FROM (SELECT * FROM g_corner QUALIFY row_number() OVER (PARTITION BY path_id ORDER BY step DESC) = 1))",
+    _MERGE,
+    recursive=True,
+)
 def t11(d):
-    """Significant corners of every outline; tests hold the merging against a brute-force version."""
+    """Significant corners of every outline, close ones merged."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("seq")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import matching, paths
 from ..params import SearchOptions
+from ..sources.derived import lattice_x, lattice_y
 from .geometry import _AREA, _CENTRE, _REC
-from .registry import q, query, sq
+from .registry import q, query, sclose, sgreedy, sq
 
 C, L = F.col, F.lit
 K = "path_id"
@@ -62,9 +63,29 @@ def f13(d):
     return scored(d).where("coverage >= 0.4").groupBy(K).agg(F.count("*").alias("poses"))
 
 
+#: The nearest aligned place of every sample, and the misfit of these places to the outline.
+_SHAPE = f"""g_snap AS (SELECT p.path_id, p.pose, p.s, p.bx0, p.by0, p.x, p.y, coalesce(f.fx, p.x) AS sx, coalesce(f.fy, p.y) AS sy FROM g_placed p LEFT JOIN (
+        SELECT path_id, pose, s, arg_min(fx, (d, ax, ay)) AS fx, arg_min(fy, (d, ax, ay)) AS fy FROM (SELECT *, ax + t * dx AS fx, ay + t * dy AS fy, sqrt((ax + t * dx - x) * (ax + t * dx - x) + (ay + t * dy - y) * (ay + t * dy - y)) AS d FROM g_rub)
+        WHERE d < 40 GROUP BY 1, 2, 3) f USING (path_id, pose, s) JOIN g_cover c ON c.path_id = p.path_id AND c.pose = p.pose AND c.coverage >= 0.2),
+    g_misfit AS (SELECT path_id, pose, sqrt(greatest(0, tt - (a * a + b * b) / ff) / n) AS residual FROM (SELECT path_id, pose, count(*) AS n, (covar_pop(sx, bx0) + covar_pop(sy, by0)) * count(*) AS a, (covar_pop(sx, by0) - covar_pop(sy, bx0)) * count(*) AS b,
+        (var_pop(sx) + var_pop(sy)) * count(*) AS ff, (var_pop(bx0) + var_pop(by0)) * count(*) AS tt FROM g_snap GROUP BY 1, 2))"""
+
+
+@query(
+    "a13_snap_misfit",
+    f"SELECT path_id, pose, {sq('residual', 2)} AS residual FROM g_misfit",
+    _AREA, _CENTRE, _REC, _SCORE, _SHAPE,
+)
+def a13_misfit(d):
+    """How far the snapped outlines are from the outline's own shape."""
+    return scored(d).where("residual is not null").select(K, "pose", q(C("residual"), 2).alias("residual"))
+
+
 @query("a13_candidate_score")
 def a13(d):
-    """The whole score of each pose; tests hold turning distance, misfit and score against a plain version."""
+    """The whole score of each pose. Where a snapped outline turns back on
+    itself the sign of the half turn is a matter of rounding, so there is no
+    SQL for the turning; tests hold it and the score against a plain version."""
     return scored(d).select(K, "pose", q(C("coverage"), 4).alias("coverage"), q(C("turning"), 4).alias("turning"), q(C("residual"), 2).alias("residual"), q(C("score"), 4).alias("score"))
 
 
@@ -95,13 +116,18 @@ def macro_cells(d):
     return c.withColumn("lost", -C("score"))
 
 
-@query("t03_dedup")
+_CELLS = """g_line AS MATERIALIZED (SELECT CAST(floor(x / 2000) AS BIGINT) || ',' || CAST(floor(y / 2000) AS BIGINT) AS g, pose * 100 + seq AS pose, x, y, 0.0::DOUBLE AS r, score,
+    row_number() OVER (PARTITION BY CAST(floor(x / 2000) AS BIGINT), CAST(floor(y / 2000) AS BIGINT) ORDER BY score DESC, pose * 100 + seq) AS rn FROM g_cand)"""
+_CHOSEN = "SELECT g AS cell, pose, CAST(rank AS INTEGER) AS rank, score FROM g_line_kept JOIN g_line USING (g, rn)"
+
+
+@query("t03_dedup", _CHOSEN, _CANDIDATE, _CELLS, sgreedy("g_line", sclose(200.0, 12.0)), recursive=True)
 def t03(d):
     """Candidates of each macro cell without those within 200 m of a better one; tests hold it against a plain loop."""
     return matching.dedup_poses(macro_cells(d), "cell", ["lost", "pose"], 200.0, 12.0).select("cell", "pose", "rank", "score")
 
 
-@query("t04_diversity")
+@query("t04_diversity", _CHOSEN, _CANDIDATE, _CELLS, sgreedy("g_line", sclose(800.0), spread=5), recursive=True)
 def t04(d):
     """Five candidates of each macro cell, 800 m apart first."""
     return matching.diverse_poses(macro_cells(d), "cell", ["lost", "pose"], 800.0, 5).select("cell", "pose", "rank", "score")
@@ -139,7 +165,7 @@ def g12(d):
     """The search end to end for one outline: a block on the lattice's streets."""
     from .network import block_ring
 
-    ends = lambda k, s: [(100.0 * F.floor(C(k) / 11)).alias(f"{s}x"), (100.0 * (C(k) % 11)).cast("double").alias(f"{s}y")]
+    ends = lambda k, s: [lattice_x(k).alias(f"{s}x"), lattice_y(k).alias(f"{s}y")]
     segs = d.lattice.select(C("a").alias("way"), *ends("a", "a"), *ends("b", "b"))
     bounds = segs.agg(F.min("ax").alias("min_x"), F.min("ay").alias("min_y"), F.max("bx").alias("max_x"), F.max("by").alias("max_y"))
     o = SearchOptions(grid_m=100.0, grid_deg=90.0, macro_m=300.0, diversity_m=250.0, refine_m=(20.0, 20.0), refine_deg=(5.0, 5.0), samples=(20, 40))

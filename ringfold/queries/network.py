@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import graph, kernels, paths, raster, spatial
-from ..operators.components import connected_components
+from ..operators.components import connected_components, cut_lineage
 from ..params import GraphOptions, MatchOptions, PoseOptions, PruneOptions, RasterOptions
 from ..plans import generate
-from .registry import q, query, sdist, sproj, sq, ssegdist
+from ..sources.derived import REGION_M, lattice_x, lattice_y, slattice
+from .geometry import _AREA, _CENTRE, _LEN, _REC
+from .registry import q, query, sclose, sdist, sgreedy, sproj, sq, ssegdist
 
 C, L = F.col, F.lit
 
@@ -57,11 +59,12 @@ def a22(d):
 def lattice_graph(d):
     """(nodes, edges) of the lattice in the shape that the graph operators take."""
     n = d.lattice_nodes.select(C("id").cast("string").alias("node"), "x", "y")
-    at = lambda k: F.array(100.0 * F.floor(C(k) / 11), (100.0 * (C(k) % 11)).cast("double"))
+    at = lambda k: F.array(lattice_x(k), lattice_y(k))
     e = d.lattice.select(
         F.concat_ws("-", "a", "b").alias("edge"), C("a").cast("string").alias("a"), C("b").cast("string").alias("b"), C("len").alias("length_m"), F.array(at("a"), at("b")).alias("points")
     )
-    c = connected_components(e.select("a", "b"))
+    c = cut_lineage(connected_components(d.lattice.select("a", "b")))
+    c = c.select(C("node").cast("string").alias("node"), C("component").cast("string").alias("component"))
     return n.join(c, "node"), e
 
 
@@ -71,13 +74,16 @@ _WALK = """g_walk AS (SELECT id AS s, id AS t, 0 AS hops FROM g_node UNION SELEC
 
 @query(
     "r03_shortest_paths",
-    "SELECT CAST(x.id AS VARCHAR) AS a, CAST(y.id AS VARCHAR) AS b, len AS length_m FROM g_node x, g_node y LEFT JOIN g_dist ON s = x.id AND t = y.id",
-    _WALK.replace("hops < 40", "hops < 40"),
+    "SELECT CAST(x.id AS VARCHAR) AS a, CAST(y.id AS VARCHAR) AS b, len AS length_m FROM g_node x JOIN g_node y ON y.id // 121 = x.id // 121 LEFT JOIN g_dist ON s = x.id AND t = y.id WHERE (x.id * 7 + y.id) % 10 = 0",
+    _WALK,
     recursive=True,
 )
 def r03(d):
+    """Paths of a tenth of the pairs of crossings of every region."""
     nodes, edges = lattice_graph(d)
-    pairs = nodes.select(C("node").alias("a")).join(nodes.select(C("node").alias("b")))
+    one = d.lattice_nodes.select(F.floor(C("id") / 121).alias("region"), C("id").alias("i"))
+    pairs = one.join(one.withColumnRenamed("i", "j"), "region").where((C("i") * 7 + C("j")) % 10 == 0)
+    pairs = pairs.select(C("i").cast("string").alias("a"), C("j").cast("string").alias("b"))
     return graph.shortest_paths(pairs, nodes, edges).select("a", "b", "length_m")
 
 
@@ -98,19 +104,20 @@ def r02(d):
     return e.select("edge", "a", "b", q(C("length_m"), 2).alias("length_m"), F.size("points").alias("vertices"), "component")
 
 
-_PROBE = "g_probe AS (SELECT pid, x % 1000 + CASE WHEN x % 1000 < 0 THEN 1000 ELSE 0 END AS x, y % 1000 + CASE WHEN y % 1000 < 0 THEN 1000 ELSE 0 END AS y FROM g_point)"
-_LSEG = "g_lseg AS (SELECT a, b, 100.0::DOUBLE * (a // 11) AS ax, 100.0::DOUBLE * (a % 11) AS ay, 100.0::DOUBLE * (b // 11) AS bx, 100.0::DOUBLE * (b % 11) AS by FROM g_lattice)"
+_PROBE = f"g_probe AS (SELECT pid, x % 1000 + CASE WHEN x % 1000 < 0 THEN 1000 ELSE 0 END + {REGION_M}::DOUBLE * (pid // 100) AS x, y % 1000 + CASE WHEN y % 1000 < 0 THEN 1000 ELSE 0 END AS y FROM g_point)"
+_LSEG = f"g_lseg AS (SELECT a, b, {slattice('a')[0]} AS ax, {slattice('a')[1]} AS ay, {slattice('b')[0]} AS bx, {slattice('b')[1]} AS by FROM g_lattice)"
 
 
 def lattice_probes(d):
     fold = lambda c: F.pmod(C(c), L(1000.0))
-    return d.point.select("pid", fold("x").alias("x"), fold("y").alias("y"))
+    east = fold("x") + float(REGION_M) * F.floor(C("pid") / 100)
+    return d.point.select("pid", east.alias("x"), fold("y").alias("y"))
 
 
 @query(
     "j04_nearest_edge_node",
     f"""SELECT pid, {sq('d')} AS d, a || '-' || b AS edge, CAST(CASE WHEN t * 100 <= 100 - t * 100 THEN a ELSE b END AS VARCHAR) AS node FROM (
-    SELECT pid, a, b, {sproj('x', 'y')} AS t, {ssegdist('x', 'y')} AS d FROM g_probe, g_lseg) WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d, a || '-' || b) = 1""",
+    SELECT pid, a, b, {sproj('x', 'y')} AS t, {ssegdist('x', 'y')} AS d FROM g_probe JOIN g_lseg ON a // 121 BETWEEN pid // 100 - 1 AND pid // 100 + 1) WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d, a || '-' || b) = 1""",
     _PROBE, _LSEG,
 )
 def j04(d):
@@ -121,7 +128,7 @@ def j04(d):
 
 @query(
     "j05_nearest_aligned_edge",
-    f"""SELECT pid, {sq('d')} AS d, a || '-' || b AS edge FROM (SELECT pid, a, b, {ssegdist('x', 'y')} AS d FROM g_probe, g_lseg
+    f"""SELECT pid, {sq('d')} AS d, a || '-' || b AS edge FROM (SELECT pid, a, b, {ssegdist('x', 'y')} AS d FROM g_probe JOIN g_lseg ON a // 121 BETWEEN pid // 100 - 1 AND pid // 100 + 1
     WHERE abs((bx - ax) * (pid % 2 * 5 + 1) + (by - ay) * (6 - pid % 2 * 5)) >= 0.8191520442889918::DOUBLE * 100 * sqrt(37::DOUBLE)) WHERE d <= 60 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY d, a || '-' || b) = 1""",
     _PROBE, _LSEG,
 )
@@ -136,11 +143,18 @@ def j05(d):
 GraphRad = RasterOptions().align_rad
 
 
-@query(
-    "j13_match_candidates",
-)
+#: Nodes of the main component in reach of every probe, nearest first.
+_NEAR = f"""g_near AS MATERIALIZED (SELECT pid AS g, n.id AS node, n.x, n.y, 0.0::DOUBLE AS r, {sdist('p.x', 'p.y', 'n.x', 'n.y')} AS d,
+        row_number() OVER (PARTITION BY pid ORDER BY {sdist('p.x', 'p.y', 'n.x', 'n.y')}, CAST(n.id AS VARCHAR)) AS rn FROM g_probe p JOIN g_node n ON n.id // 121 BETWEEN pid // 100 - 1 AND pid // 100 + 1
+        JOIN g_comp c ON c.node = n.id WHERE {sdist('p.x', 'p.y', 'n.x', 'n.y')} <= 150
+        AND c.component = (SELECT component FROM g_comp GROUP BY 1 ORDER BY count(*) DESC, CAST(component AS VARCHAR) LIMIT 1))"""
+_SPACED = f"SELECT g AS pid, CAST(rank AS INTEGER) AS rank, CAST(node AS VARCHAR) AS node, {sq('d')} AS d FROM g_near_kept JOIN g_near USING (g, rn)"
+_SPACING = (_PROBE, _REACH, _COMP, _NEAR, sgreedy("g_near", sclose(120.0), limit=8))
+
+
+@query("j13_match_candidates", _SPACED, *_SPACING, recursive=True)
 def j13(d):
-    """Up to 8 spaced nodes of the main component near every probe (also T05); tests hold the choice against a plain loop."""
+    """Up to 8 spaced nodes of the main component near every probe (also T05)."""
     return spaced_candidates(d)
 
 
@@ -161,7 +175,7 @@ def spaced_candidates(d):
     return out.select("pid", "rank", "node", q(C("d")).alias("d"))
 
 
-@query("t05_spaced_candidates")
+@query("t05_spaced_candidates", f"SELECT pid, count(*) AS n, max(d) AS reach FROM ({_SPACED}) GROUP BY 1", *_SPACING, recursive=True)
 def t05(d):
     """How many spaced candidates each probe keeps and how far they reach."""
     return spaced_candidates(d).groupBy("pid").agg(F.count("*").alias("n"), F.max("d").alias("reach"))
@@ -173,7 +187,7 @@ R = RasterOptions(cell_m=25.0, margin_m=50.0)
 
 
 def lattice_raster(d, o: RasterOptions = R):
-    ends = lambda k, s: [(100.0 * F.floor(C(k) / 11)).alias(f"{s}x"), (100.0 * (C(k) % 11)).cast("double").alias(f"{s}y")]
+    ends = lambda k, s: [lattice_x(k).alias(f"{s}x"), lattice_y(k).alias(f"{s}y")]
     segs = d.lattice.select(*ends("a", "a"), *ends("b", "b"))
     b = segs.agg(
         F.min(F.least("ax", "bx")).alias("min_x"), F.min(F.least("ay", "by")).alias("min_y"), F.max(F.greatest("ax", "bx")).alias("max_x"), F.max(F.greatest("ay", "by")).alias("max_y")
@@ -186,7 +200,12 @@ def lattice_raster(d, o: RasterOptions = R):
 _CELLS = """g_source AS (SELECT DISTINCT layer, CAST(floor((ax + (bx - ax) * (i / 8.0::DOUBLE) + 50) / 25) AS BIGINT) AS cx, CAST(floor((ay + (by - ay) * (i / 8.0::DOUBLE) + 50) / 25) AS BIGINT) AS cy
     FROM g_lseg, range(12) l(layer), range(9) s(i) WHERE least(abs(atan2(by - ay, bx - ax) - layer * pi() / 12), pi() - abs(atan2(by - ay, bx - ax) - layer * pi() / 12)) <= 35 * pi() / 180)"""
 _GRID = """g_grid AS (SELECT layer, cx, cy, min(d2) AS d2 FROM (SELECT s.layer, x.cx, y.cy, (s.cx - x.cx) * (s.cx - x.cx) + (s.cy - y.cy) * (s.cy - y.cy) AS d2
-    FROM g_source s, range(45) x(cx), range(45) y(cy)) GROUP BY 1, 2, 3)"""
+    FROM g_source s JOIN range(20000) x(cx) ON x.cx BETWEEN s.cx - 44 AND s.cx + 44 AND x.cx < 45 + 60 * (SELECT max(region) FROM g_region), range(45) y(cy)) GROUP BY 1, 2, 3)"""
+
+
+def raster_width(d) -> int:
+    """Cells from the first region's lattice to the last one's, margins included."""
+    return 45 + REGION_M // 25 * d.region.agg(F.max("region")).first()[0]
 
 
 @query("r11_orientation_layers", "SELECT CAST(layer AS INTEGER) AS layer, cx, cy FROM g_source", _LSEG, _CELLS)
@@ -194,9 +213,9 @@ def r11(d):
     return lattice_raster(d)[3].select("layer", "cx", "cy")
 
 
-@query("r10_distance_transform", "SELECT CAST(layer AS INTEGER) AS layer, cx, cy, CAST(d2 AS DOUBLE) AS d2 FROM g_grid", _LSEG, _CELLS, _GRID)
+@query("r10_distance_transform", "SELECT CAST(layer AS INTEGER) AS layer, cx, cy, CAST(d2 AS DOUBLE) AS d2 FROM g_grid WHERE d2 <= 44 * 44", _LSEG, _CELLS, _GRID)
 def r10(d):
-    return raster.distance_grids(lattice_raster(d)[3], 45, 45)
+    return raster.distance_grids(lattice_raster(d)[3], raster_width(d), 45).where(C("d2") <= 44 * 44)
 
 
 @query(
@@ -206,7 +225,7 @@ def r10(d):
 )
 def j18(d):
     _, _, frame, sources = lattice_raster(d)
-    cells = raster.distance_grids(sources, 45, 45)
+    cells = raster.distance_grids(sources, raster_width(d), 45)
     p = lattice_probes(d).withColumn("layer", (C("pid") % 12).cast("int"))
     return raster.lookup(p, cells, frame, R).select("pid", q(F.least("d", L(9999.0))).alias("d"))
 
@@ -217,9 +236,26 @@ def small_rings(d, size: float = 1.0):
     return r.select("path_id", "seq", (C("x") * size).alias("x"), (C("y") * size).alias("y"))
 
 
-@query("a15_pose_cost")
+#: Spaced samples of the small outlines at four poses, looked up in the raster; runs of far ones as islands.
+_POSED = f"""g_small AS (SELECT path_id, seq, 0.15::DOUBLE * x AS x, 0.15::DOUBLE * y AS y FROM g_own),
+    g_girth AS (SELECT path_id, sum({sdist('x', 'y', 'nx', 'ny')}) AS per FROM (SELECT path_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM g_small WINDOW w AS (PARTITION BY path_id ORDER BY seq)) GROUP BY 1),
+    g_pick AS (SELECT s.path_id, s.seq, s.x, s.y, f.x - b.x AS hx, f.y - b.y AS hy, per FROM g_small s JOIN g_girth USING (path_id) JOIN g_small f ON f.path_id = s.path_id AND f.seq = (s.seq + 2) % 32 JOIN g_small b ON b.path_id = s.path_id AND b.seq = (s.seq + 30) % 32
+        WHERE s.seq % greatest(1, CAST(floor(32 / greatest(1, floor(per / 60 + 0.5)) + 0.5) AS BIGINT)) = 0),
+    g_laid AS (SELECT path_id, pose, seq, per, per / count(*) OVER (PARTITION BY path_id, pose) AS spacing, x * cos(rot) - y * sin(rot) + 400 + 50 * pose AS x, x * sin(rot) + y * cos(rot) + 600 - 30 * pose AS y,
+        atan2(hx * sin(rot) + hy * cos(rot), hx * cos(rot) - hy * sin(rot)) AS h FROM (SELECT *, pose * 0.4::DOUBLE AS rot FROM g_pick, range(4) t(pose))),
+    g_seen AS (SELECT l.*, coalesce(sqrt(d2) * 25, 'inf'::DOUBLE) AS d FROM (SELECT *, CAST(floor((h - floor(h / pi()) * pi()) / (pi() / 12) + 0.5) AS BIGINT) % 12 AS layer, CAST(floor((x + 50) / 25) AS BIGINT) AS cx, CAST(floor((y + 50) / 25) AS BIGINT) AS cy FROM g_laid) l
+        LEFT JOIN g_grid g ON g.layer = l.layer AND g.cx = l.cx AND g.cy = l.cy),
+    g_isle AS (SELECT *, max(island) OVER (PARTITION BY path_id, pose) AS islands FROM (SELECT *, sum(CASE WHEN d > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY path_id, pose ORDER BY seq) AS island FROM g_seen)),
+    g_hole AS (SELECT path_id, pose, max(run) AS longest, sum(CASE WHEN island = 0 THEN run ELSE 0 END) AS head, sum(CASE WHEN island = islands THEN run ELSE 0 END) AS tail, max(islands) AS islands FROM (
+        SELECT path_id, pose, island, any_value(islands) AS islands, sum(CASE WHEN d > 30 THEN spacing ELSE 0 END) AS run FROM g_isle GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    g_cost AS (SELECT c.path_id, c.pose, {sq('cost', 2)} AS cost, {sq('greatest(longest, CASE WHEN islands > 0 AND tail > 0 THEN tail + head ELSE 0 END)', 2)} AS max_hole_m
+        FROM (SELECT path_id, pose, sum(least(d, 60)) AS cost FROM g_seen GROUP BY 1, 2) c JOIN g_hole h ON h.path_id = c.path_id AND h.pose = c.pose)"""
+_POSES = (_AREA, _CENTRE, _REC, _LSEG, _CELLS, _GRID, _POSED)
+
+
+@query("a15_pose_cost", "SELECT path_id, CAST(pose AS INTEGER) AS pose, cost, max_hole_m FROM g_cost", *_POSES)
 def a15(d):
-    """Cost and longest hole of every outline at four poses on the lattice; tests hold it against a plain loop."""
+    """Cost and longest hole of every outline at four poses on the lattice."""
     _, _, frame, sources = lattice_raster(d)
     cells = raster.near_cells(sources, 8)
     ring = small_rings(d, 0.15)
@@ -230,7 +266,7 @@ def a15(d):
     return e.select("path_id", "pose", q(C("cost"), 2).alias("cost"), q(C("max_hole_m"), 2).alias("max_hole_m"))
 
 
-@query("f14_feasible_poses")
+@query("f14_feasible_poses", "SELECT path_id, CAST(pose AS INTEGER) AS pose, cost, max_hole_m FROM g_cost WHERE max_hole_m <= 200", *_POSES)
 def f14(d):
     """The poses of ``a15_pose_cost`` whose longest hole is at most 200 m."""
     return a15(d).where("max_hole_m <= 200")
@@ -254,7 +290,15 @@ def r13(d):
     return found.select("path_id", "rank", q(C("x"), 1).alias("x"), q(C("y"), 1).alias("y"), q(C("rotation"), 5).alias("rotation"), q(C("cost"), 2).alias("cost"))
 
 
-@query("t01_spaced_poses")
+_POSE_ORDER = """g_try AS MATERIALIZED (SELECT c.path_id AS g, c.pose, p.x + 90 * c.pose AS x, p.y, c.pose * 0.1::DOUBLE AS r, cost, row_number() OVER (PARTITION BY c.path_id ORDER BY cost, c.pose) AS rn FROM g_cost c JOIN g_point p ON p.pid = c.path_id)"""
+
+
+@query(
+    "t01_spaced_poses",
+    "SELECT g AS path_id, CAST(pose AS INTEGER) AS pose, CAST(rank AS INTEGER) AS rank, cost FROM g_try_kept JOIN g_try USING (g, rn)",
+    *_POSES, _POSE_ORDER, sgreedy("g_try", sclose(150.0, 10.0)),
+    recursive=True,
+)
 def t01(d):
     """Poses in order of cost without those within 150 m and 10 degrees of a better one."""
     from ..operators import matching
@@ -334,8 +378,8 @@ def r14(d):
 
 def lattice_ways(d):
     ends = F.array(F.struct(L(0).cast("long").alias("seq"), C("a").alias("n")), F.struct(L(1).cast("long").alias("seq"), C("b").alias("n")))
-    w = d.lattice.select((C("a") * 1000 + C("b")).alias("path_id"), F.explode(ends).alias("e"))
-    return w.select("path_id", "e.seq", (100.0 * F.floor(C("e.n") / 11)).alias("x"), (100.0 * (C("e.n") % 11)).cast("double").alias("y"))
+    w = d.lattice.select((C("a") * 1_000_000 + C("b")).alias("path_id"), F.explode(ends).alias("e"))
+    return w.select("path_id", "e.seq", C("e.n").alias("n")).select("path_id", "seq", lattice_x("n").alias("x"), lattice_y("n").alias("y"))
 
 
 @query("r15_generate_routes")
@@ -391,15 +435,15 @@ def a17(d):
 
 @query(
     "r09_join_waypoints",
-    f"""SELECT CAST(w.s AS BIGINT) AS leg, len IS NOT NULL AS real, {sq('coalesce(len, straight)')} AS length_m FROM (SELECT id AS s, lead(id) OVER (ORDER BY id * 37 % 121) AS t FROM g_node) w
-    LEFT JOIN g_dist ON g_dist.s = w.s AND g_dist.t = w.t JOIN (SELECT x.id AS s2, y.id AS t2, {sdist('x.x', 'x.y', 'y.x', 'y.y')} AS straight FROM g_node x, g_node y) ON s2 = w.s AND t2 = w.t""",
+    f"""SELECT CAST(w.s AS BIGINT) AS leg, len IS NOT NULL AS real, {sq('coalesce(len, straight)')} AS length_m FROM (SELECT id AS s, lead(id) OVER (PARTITION BY id // 121 ORDER BY id * 37 % 121, id) AS t FROM g_node) w
+    LEFT JOIN g_dist ON g_dist.s = w.s AND g_dist.t = w.t JOIN (SELECT x.id AS s2, y.id AS t2, {sdist('x.x', 'x.y', 'y.x', 'y.y')} AS straight FROM g_node x JOIN g_node y ON y.id // 121 = x.id // 121) ON s2 = w.s AND t2 = w.t""",
     _WALK,
     recursive=True,
 )
 def r09(d):
-    """Legs of a walk through all crossings: shortest paths, or straight gaps where there is none."""
+    """Legs of a walk through all crossings of every region: shortest paths, or straight gaps where there is none."""
     nodes, edges = lattice_graph(d)
-    w = Window.orderBy(C("id") * 37 % 121)
+    w = Window.partitionBy(F.floor(C("id") / 121)).orderBy(C("id") * 37 % 121, "id")
     at = lambda s: d.lattice_nodes.select(C("id").alias(s), C("x").alias(f"{s}x"), C("y").alias(f"{s}y"))
     legs = d.lattice_nodes.select(C("id").alias("s"), F.lead("id").over(w).alias("t")).where("t is not null").join(at("s"), "s").join(at("t"), "t")
     pairs = legs.select(C("s").cast("string").alias("a"), C("t").cast("string").alias("b"))

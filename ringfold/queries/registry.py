@@ -74,3 +74,32 @@ def sfix(e: str, decimals: int) -> str:
 
 def shalf(e: str) -> str:
     return f"CAST(floor(({e}) + 0.5) AS BIGINT)"
+
+
+def sgreedy(ranked: str, clash: str, limit: int | None = None, spread: int | None = None) -> str:
+    """Recursive CTEs that choose, in each group ``g`` of the view ``ranked``
+    (g, rn from 1, x, y, r), the rows that clash with none chosen before:
+    ``{ranked}_kept`` (g, rank, rn). ``clash`` is on a chosen ``k`` and the row
+    ``q``; ``spread`` fills up to that many rows with the next ones."""
+    more = f" AND len(p.kept) < {limit or spread}" if limit or spread else ""
+    kept = f"SELECT g, kept FROM {ranked}_pick QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC) = 1"
+    if spread:
+        fill = f"SELECT g, list(rn ORDER BY rn) AS rns FROM {ranked} GROUP BY 1"
+        chosen = "list_transform(kept, lambda k: k.rn)"
+        kept = (
+            f"SELECT g, list_transform(list_slice(list_concat({chosen}, list_filter(rns, lambda v: NOT list_contains({chosen}, v))), 1, {spread}), "
+            f"lambda v: {{'rn': v}}) AS kept FROM ({kept}) JOIN ({fill}) USING (g)"
+        )
+    return f"""{ranked}_pick AS (SELECT g, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(rn BIGINT, x DOUBLE, y DOUBLE, r DOUBLE)[]) AS kept FROM (SELECT DISTINCT g FROM {ranked})
+        UNION ALL SELECT p.g, q.rn, CASE WHEN len(list_filter(p.kept, lambda k: {clash})) = 0{more} THEN list_append(p.kept, {{'rn': q.rn, 'x': q.x, 'y': q.y, 'r': q.r}}) ELSE p.kept END
+        FROM {ranked}_pick p JOIN {ranked} q ON q.g = p.g AND q.rn = p.n + 1),
+    {ranked}_kept AS (SELECT g, rank, kept[rank].rn AS rn FROM ({kept}), LATERAL (SELECT unnest(range(1, len(kept) + 1)) AS rank))"""
+
+
+def sclose(metres: float, degrees: float | None = None) -> str:
+    """Clash of a chosen row ``k`` and a row ``q`` by place, and rotation if given."""
+    near = "sqrt((k.x - q.x) * (k.x - q.x) + (k.y - q.y) * (k.y - q.y))"
+    if degrees is None:
+        return f"{near} < {metres}"
+    turn = "abs(k.r - q.r) % (2 * pi())"
+    return f"{near} <= {metres} AND CASE WHEN {turn} > pi() THEN 2 * pi() - {turn} ELSE {turn} END <= radians({degrees})"

@@ -6,11 +6,27 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Each path lies in a tile of its own, so that density doesn't grow with the table.
 SCALE, TILE, ACROSS = 1000, 400, 25
+#: Embeddings a region, and metres from one region's lattice to the next.
+REGION_ROWS, REGION_M = 100, 1500
+
+
+def lattice_x(node: str) -> Column:
+    """Metres east of a crossing of the lattice."""
+    return 100.0 * F.floor(F.col(node) % 121 / 11) + float(REGION_M) * F.floor(F.col(node) / 121)
+
+
+def lattice_y(node: str) -> Column:
+    return (100.0 * (F.col(node) % 11)).cast("double")
+
+
+def slattice(node: str) -> tuple[str, str]:
+    """The same in SQL."""
+    return f"(100.0::DOUBLE * ({node} % 121 // 11) + {REGION_M} * ({node} // 121))", f"(100.0::DOUBLE * ({node} % 11))"
 
 
 class Derived:
@@ -62,20 +78,27 @@ class Derived:
             F.coalesce(F.lead("y").over(w), F.first("y").over(whole)).alias("by"),
         )
 
+    @cached_property
+    def region(self) -> DataFrame:
+        """(region): one for every hundred embeddings."""
+        return self.table("embeddings").select(F.floor(F.col("vec_id") / REGION_ROWS).cast("long").alias("region")).distinct()
+
     @cached_property
     def lattice(self) -> DataFrame:
-        """(a, b, len): 164 street edges on a grid of 11 x 11 crossings."""
-        ij = lambda n, m: self.spark.range(n).select(F.col("id").alias("i")).join(self.spark.range(m).select(F.col("id").alias("j")))
-        node = lambda di, dj: (F.col("i") + di) * 11 + F.col("j") + dj
-        across = ij(10, 11).where("i not in (3, 7) and (i * 31 + j * 17) % 7 <> 0").select(node(0, 0).alias("a"), node(1, 0).alias("b"))
-        up = ij(11, 10).where("(i * 13 + j * 29) % 5 <> 0").select(node(0, 0).alias("a"), node(0, 1).alias("b"))
+        """(a, b, len): in each region about 160 street edges on a grid of
+        11 x 11 crossings, numbered region * 121 + column * 11 + row. Which
+        are missing depends on the region."""
+        ij = lambda n, m: self.region.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+        node = lambda di, dj: F.col("region") * 121 + (F.col("i") + di) * 11 + F.col("j") + dj
+        across = ij(10, 11).where("i not in (3, 7) and (i * 31 + j * 17 + region) % 7 <> 0").select(node(0, 0).alias("a"), node(1, 0).alias("b"))
+        up = ij(11, 10).where("(i * 13 + j * 29 + region) % 5 <> 0").select(node(0, 0).alias("a"), node(0, 1).alias("b"))
         return across.unionByName(up).withColumn("len", F.lit(100.0))
 
     @cached_property
     def lattice_nodes(self) -> DataFrame:
         """(id, x, y): the crossings that have an edge."""
         ids = self.lattice.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        return ids.select("id", (100.0 * F.floor(F.col("id") / 11)).alias("x"), (100.0 * (F.col("id") % 11)).alias("y"))
+        return ids.select("id", lattice_x("id").alias("x"), lattice_y("id").alias("y"))
 
     @cached_property
     def edge(self) -> DataFrame:
@@ -129,11 +152,12 @@ SQL = {
     "g_ring_segment": f"""SELECT path_id, seq, x AS ax, y AS ay,
         coalesce({_LEAD.format('x')}, first_value(x) OVER (PARTITION BY path_id ORDER BY seq)) AS bx,
         coalesce({_LEAD.format('y')}, first_value(y) OVER (PARTITION BY path_id ORDER BY seq)) AS by FROM g_vertex""",
-    "g_lattice": """SELECT i * 11 + j AS a, (i + 1) * 11 + j AS b, 100.0::DOUBLE AS len FROM range(10) x(i), range(11) y(j)
-        WHERE i NOT IN (3, 7) AND (i * 31 + j * 17) % 7 <> 0
-        UNION ALL SELECT i * 11 + j, i * 11 + j + 1, 100.0::DOUBLE FROM range(11) x(i), range(10) y(j) WHERE (i * 13 + j * 29) % 5 <> 0""",
+    "g_region": f"SELECT DISTINCT vec_id // {REGION_ROWS} AS region FROM embeddings",
+    "g_lattice": """SELECT region * 121 + i * 11 + j AS a, region * 121 + (i + 1) * 11 + j AS b, 100.0::DOUBLE AS len FROM g_region, range(10) x(i), range(11) y(j)
+        WHERE i NOT IN (3, 7) AND (i * 31 + j * 17 + region) % 7 <> 0
+        UNION ALL SELECT region * 121 + i * 11 + j, region * 121 + i * 11 + j + 1, 100.0::DOUBLE FROM g_region, range(11) x(i), range(10) y(j) WHERE (i * 13 + j * 29 + region) % 5 <> 0""",
     "g_edge": "SELECT a, b, len FROM g_lattice UNION ALL SELECT b, a, len FROM g_lattice",
-    "g_node": "SELECT DISTINCT a AS id, 100.0::DOUBLE * (a // 11) AS x, 100.0::DOUBLE * (a % 11) AS y FROM g_edge",
+    "g_node": f"SELECT DISTINCT a AS id, {slattice('a')[0]} AS x, {slattice('a')[1]} AS y FROM g_edge",
     "g_track": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
         CAST((event_id * 7919) % 4001 AS DOUBLE) AS x, value AS y FROM events""",
     "g_route": """SELECT circuit, region, k, q / (100.0::DOUBLE * n) AS mean_dev, p / 100000.0::DOUBLE AS max_dev,
@@ -148,6 +172,7 @@ _NEEDS = {
     "g_point": ["g_vertex"],
     "g_segment": ["g_vertex"],
     "g_ring_segment": ["g_vertex"],
+    "g_lattice": ["g_region"],
     "g_edge": ["g_lattice"],
     "g_node": ["g_edge"],
 }
