@@ -113,12 +113,15 @@ def search_poses(
     without a long hole, none close to a better one.
 
     All poses of the grid are scored on few samples first; only those whose
-    holes could still be short enough are scored on all.
+    holes could still be short enough are scored on all. ``bounds`` is one row
+    for all outlines, or one for each with its ``key``.
     """
     from . import matching
 
     perimeter = paths.path_length(ring, True, key)
-    grid = matching.pose_grid(ring.select(key).distinct().join(F.broadcast(bounds)), o.anchor_m, o.rotation_deg, [key])
+    outlines = ring.select(key).distinct()
+    boxed = outlines.join(bounds, key) if key in bounds.columns else outlines.join(F.broadcast(bounds))
+    grid = matching.pose_grid(boxed, o.anchor_m, o.rotation_deg, [key])
     grid = grid.withColumn("pose", F.row_number().over(Window.partitionBy(key).orderBy("x", "y", "turn")))
 
     def holes(poses: DataFrame, spacing: float, most: float) -> DataFrame:

@@ -23,20 +23,45 @@ ROUTE = (
 )
 
 
-def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row (nodes, edges, main): the graph packed for the matching kernels.
+#: Poses of a region that share a task, and with it the region's graph.
+TASK_POSES = 16
 
-    A region's graph must fit a task; streets of several regions are matched
-    region by region.
-    """
-    main = graphs.main_component(nodes).select("component")
-    inside = nodes.join(F.broadcast(main), "component", "left_semi").agg(F.array_sort(F.collect_list("node")).alias("main"))
-    n = nodes.agg(F.collect_list(F.struct("node", "x", "y")).alias("nodes"))
-    e = edges.agg(F.collect_list(F.struct("edge", "a", "b", "length_m", "points")).alias("edges"))
-    return n.join(e).join(inside)
 
+def graph_rows(nodes: DataFrame, edges: DataFrame, region: str | None = None) -> DataFrame:
+    """(region, nodes, edges, main): a row a region, its graph packed for the
+    matching kernels with the nodes of its largest component.
 
-def unpack_graph(row: dict) -> tuple[kernels.Graph, list]:
+    Without ``region`` all is region 0. A region's graph must fit a task;
+    nothing passes through the driver.
+    """
+    own = F.col(region).cast("long") if region else F.lit(0).cast("long")
+    nodes, edges = nodes.withColumn("__r", own), edges.withColumn("__r", own)
+    size = nodes.groupBy("__r", "component").agg(F.count("*").alias("n"))
+    main = size.groupBy("__r").agg(F.min_by("component", F.struct(-F.col("n"), "component")).alias("component"))
+    inside = nodes.join(main, ["__r", "component"]).groupBy("__r").agg(F.array_sort(F.collect_list("node")).alias("main"))
+    n = nodes.groupBy("__r").agg(F.collect_list(F.struct("node", "x", "y")).alias("nodes"))
+    e = edges.groupBy("__r").agg(F.collect_list(F.struct("edge", "a", "b", "length_m", "points")).alias("edges"))
+    return n.join(e, "__r").join(inside, "__r").withColumnRenamed("__r", "region")
+
+
+def by_region(work: DataFrame, packed: DataFrame, run, schema: str, task_rows: int = TASK_POSES) -> DataFrame:
+    """``run(graph, main, frame)`` on the rows of ``work`` (region, ...), dealt
+    to tasks of about ``task_rows`` rows of one region each."""
+    salts = work.groupBy("region").agg(F.ceil(F.count("*") / task_rows).cast("long").alias("salts"))
+    w = Window.partitionBy("region").orderBy("path_id", "pose")
+    dealt = work.withColumn("salt", F.floor((F.row_number().over(w) - 1) / task_rows))
+    copies = packed.join(salts, "region").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+
+    def each(key: tuple, frame: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        if not len(frame) or not len(graph):
+            return pd.DataFrame(columns=columns)
+        return pd.DataFrame(run(*unpack_graph(graph.iloc[0]), frame), columns=columns)
+
+    return dealt.groupBy("region", "salt").cogroup(copies.groupBy("region", "salt")).applyInPandas(each, schema)
+
+
+def unpack_graph(row) -> tuple[kernels.Graph, list]:
     nodes = sorted((n["node"], n["x"], n["y"]) for n in row["nodes"])
     edges = sorted(((e["edge"], e["a"], e["b"], e["length_m"], [tuple(p) for p in e["points"]]) for e in row["edges"]), key=lambda e: e[0])
     return kernels.Graph(nodes, edges), list(row["main"])
@@ -47,14 +72,15 @@ def match_poses(
 ) -> DataFrame:
     """Routes (``ROUTE``) of the poses: each placed outline matched to the
     streets and scored; the best ``pool`` of each outline are pruned and
-    scored again. Poses without a match are left out."""
+    scored again. Poses without a match are left out. With a column ``region``
+    poses are matched to the graph of theirs (``graph_rows``), all regions in
+    one run; a pose's number is its own in all of them."""
+    region = F.col("region").cast("long") if "region" in poses.columns else F.lit(0).cast("long")
     both = g.apply(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"), F.col("rotation"), F.lit(scale))
-    p = poses.select(key, "pose", F.col("x").alias("tx"), F.col("y").alias("ty"), "rotation").join(ring, key).withColumn("p", both)
-    placed = p.groupBy(key, "pose", "tx", "ty", "rotation").agg(F.array_sort(F.collect_list(F.struct("seq", "p.x", "p.y"))).alias("ring"))
+    p = poses.select(region.alias("region"), key, "pose", F.col("x").alias("tx"), F.col("y").alias("ty"), "rotation").join(ring, key).withColumn("p", both)
+    placed = p.groupBy("region", key, "pose", "tx", "ty", "rotation").agg(F.array_sort(F.collect_list(F.struct("seq", "p.x", "p.y"))).alias("ring"))
     work = placed.join(target_m.select(key, (F.col("length_m") * scale).alias("target_m")), key)
-    work = work.repartition(F.col(key), F.col("pose"))
-    # The packed graph is one row, broadcast as a value: its size is a region's.
-    shared = work.sparkSession.sparkContext.broadcast(packed.first().asDict(recursive=True))
+    work = work.withColumnRenamed(key, "path_id")
     options = MatchOptions(radius_m=tier.radius_m, candidates=tier.candidates)
     bar = o.bar
 
@@ -67,34 +93,25 @@ def match_poses(
             "worst": worst, "passes": worst <= 1, "nodes": nodes, "points": points.tolist(),
         }
 
-    columns = [c.split()[0] for c in ROUTE.split(", ")]
-
-    def match(batches):
-        graph, main = unpack_graph(shared.value)
-        for frame in batches:
-            rows = []
-            for row in frame.itertuples():
-                xy = np.array([(p["x"], p["y"]) for p in row.ring])
-                nodes = kernels.match_loop(xy, graph, main, options)
-                if nodes:
-                    rows.append(score(graph, row, nodes, xy))
-            yield pd.DataFrame(rows, columns=columns)
-
-    def prune(batches):
-        graph, _ = unpack_graph(shared.value)
-        for frame in batches:
-            rows = []
-            for row in frame.itertuples():
-                xy = np.array([(p["x"], p["y"]) for p in row.ring])
-                nodes = kernels.prune_spikes(list(row.nodes), graph, xy, row.target_m, PruneOptions(passes=tier.passes), bar)
-                rows.append(score(graph, row, nodes, xy))
-            yield pd.DataFrame(rows, columns=columns)
-
-    matched = cut_lineage(work.withColumnRenamed(key, "path_id").mapInPandas(match, ROUTE))
+    def outline(row) -> np.ndarray:
+        return np.array([(p["x"], p["y"]) for p in row.ring])
+
+    def match(graph: kernels.Graph, main: list, frame: pd.DataFrame) -> list[dict]:
+        walks = ((row, kernels.match_loop(outline(row), graph, main, options)) for row in frame.itertuples())
+        return [score(graph, row, nodes, outline(row)) for row, nodes in walks if nodes]
+
+    def prune(graph: kernels.Graph, main: list, frame: pd.DataFrame) -> list[dict]:
+        out = []
+        for row in frame.itertuples():
+            nodes = kernels.prune_spikes(list(row.nodes), graph, outline(row), row.target_m, PruneOptions(passes=tier.passes), bar)
+            out.append(score(graph, row, nodes, outline(row)))
+        return out
+
+    work = cut_lineage(work)
+    matched = cut_lineage(by_region(work, packed, match, ROUTE))
     w = Window.partitionBy("path_id").orderBy("worst", "pose")
     best = matched.withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.pool).select("path_id", "pose", "nodes")
-    again = work.withColumnRenamed(key, "path_id").join(best, ["path_id", "pose"]).repartition(F.col("path_id"), F.col("pose"))
-    return cut_lineage(again.mapInPandas(prune, ROUTE))
+    return cut_lineage(by_region(work.join(best, ["path_id", "pose"]), packed, prune, ROUTE, 1))
 
 
 def pick_distinct(routes: DataFrame, kept: int, separation_m: float) -> DataFrame:
@@ -115,39 +132,53 @@ def generate_routes(
     rings: DataFrame, ways: DataFrame, scale: float = 1.0, ladder: LadderOptions = LadderOptions(), poses: PoseOptions = PoseOptions(),
     grid: RasterOptions = RasterOptions(), streets: GraphOptions = GraphOptions(),
 ) -> DataFrame:
-    """(..., rank, tier): up to ``kept`` routes for every outline ``rings``
-    (path_id, seq, x, y; centred) on the streets ``ways`` of one region.
-
-    Each tier searches wider; outlines whose best route meets the bar stop
-    there, the others go on, and after the last tier keep what they have.
+    """(region, ..., rank, tier): up to ``kept`` routes for every outline
+    ``rings`` (path_id, seq, x, y; centred) in every region of the streets
+    ``ways`` (region, path_id, seq, x, y); without ``region`` all is region 0.
+
+    An outline in a region is searched for on its own. Each tier searches
+    wider; those whose best route meets the bar stop there, the others go on,
+    and after the last tier keep what they have. All regions run at once: one
+    graph build, one sparse raster, and matching dealt by region.
     """
-    nodes, edges = graphs.build_graph(ways, streets)
-    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
-    packed = cut_lineage(graph_rows(nodes, edges))
-    segs = paths.segments(ways, False)
-    bounds = cut_lineage(paths.bounds(ways, None))
-    frame = cut_lineage(raster.raster_frame(bounds, grid))
+    region = F.col("region").cast("long") if "region" in ways.columns else F.lit(0).cast("long")
+    ways = ways.select(region.alias("region"), "path_id", "seq", "x", "y")
+    own = ways.select("region", F.col("path_id").alias("way")).distinct()
+    nodes, edges = graphs.build_graph(ways.drop("region"), streets)
+    edges = edges.withColumn("way", F.split("edge", ":")[0].cast(ways.schema["path_id"].dataType))
+    edges = cut_lineage(edges.join(own, "way").drop("way"))
+    ends = edges.select("region", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.min("region").alias("region"))
+    packed = cut_lineage(graph_rows(nodes.join(ends, "node"), edges, "region"))
+    segs = paths.segments(ways.drop("region"), False)
+    box = cut_lineage(paths.bounds(ways, "region"))
+    frame = cut_lineage(raster.raster_frame(paths.bounds(ways, None), grid))
     reach = int(np.ceil(poses.cap_m / grid.cell_m))
     cells = cut_lineage(raster.near_cells(raster.source_cells(segs, frame, grid), reach))
-    target = cut_lineage(paths.path_length(rings, True))
 
-    left, done = rings, None
+    # One outline in one region is a pair; regions are few.
+    pairs = rings.select("path_id").distinct().join(F.broadcast(box.select("region")))
+    pairs = cut_lineage(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    left = rings.join(pairs, "path_id").select("pair", "seq", "x", "y")
+    target = cut_lineage(paths.path_length(left, True, "pair"))
+    bounds = cut_lineage(pairs.join(box, "region").select("pair", "min_x", "min_y", "max_x", "max_y"))
+    done = None
     for number, tier in enumerate(ladder.tiers):
-        found = raster.search_poses(left, bounds, cells, frame, scale, replace(poses, count=tier.poses), grid)
-        found = cut_lineage(found.withColumn("pose", F.col("rank").cast("long")))
-        routes = match_poses(found, left, packed, target, scale, tier, ladder)
+        found = raster.search_poses(left, bounds, cells, frame, scale, replace(poses, count=tier.poses), grid, "pair")
+        found = found.withColumn("pose", F.col("rank").cast("long")).join(pairs.select("pair", "region"), "pair")
+        routes = match_poses(cut_lineage(found), left, packed, target, scale, tier, ladder, "pair")
         best = routes.groupBy("path_id").agg(F.min("worst").alias("best"))
         last = number == len(ladder.tiers) - 1
         over = best if last else best.where("best <= 1")
-        part = routes.join(over.select("path_id"), "path_id", "left_semi").withColumn("tier", F.lit(number))
-        part = pick_distinct(part.drop("tier"), ladder.kept, ladder.separation_m).withColumn("tier", F.lit(number))
+        part = routes.join(over.select("path_id"), "path_id", "left_semi")
+        part = pick_distinct(part, ladder.kept, ladder.separation_m).withColumn("tier", F.lit(number))
         done = part if done is None else done.unionByName(part)
         if last:
             break
-        left = cut_lineage(left.join(over.select("path_id"), "path_id", "left_anti"))
+        left = cut_lineage(left.join(over.select(F.col("path_id").alias("pair")), "pair", "left_anti"))
         if left.isEmpty():
             break
-    return done
+    named = pairs.select(F.col("pair").alias("path_id"), "region", F.col("path_id").alias("outline"))
+    return done.join(named, "path_id").drop("path_id").withColumnRenamed("outline", "path_id")
 
 
 def route_entries(routes: DataFrame, lon0: float, lat0: float) -> DataFrame:
@@ -162,14 +193,11 @@ def route_entries(routes: DataFrame, lon0: float, lat0: float) -> DataFrame:
 def write_routes(routes: DataFrame, folder: str, dry_run: bool = False) -> int:
     """Writes stored routes partitioned by circuit and gives their number; a
     dry run only counts. Only the circuits at hand are replaced."""
-    if not dry_run:
-        spark = routes.sparkSession
-        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            routes.repartition("circuit_id").write.mode("overwrite").partitionBy("circuit_id").parquet(folder)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    if dry_run:
+        return routes.count()
+    routes = cut_lineage(routes)  # one generation for both the files and the count
+    writer = routes.repartition("circuit_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("circuit_id").parquet(folder)
     return routes.count()
 
 

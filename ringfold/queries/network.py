@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import graph, kernels, paths, raster, spatial
 from ..operators.components import connected_components, cut_lineage
-from ..params import GraphOptions, MatchOptions, PoseOptions, PruneOptions, RasterOptions
+from ..params import GraphOptions, LadderOptions, MatchOptions, PoseOptions, PruneOptions, RasterOptions
 from ..plans import generate
 from ..sources.derived import REGION_M, lattice_x, lattice_y, slattice
 from .geometry import _AREA, _CENTRE, _LEN, _REC
@@ -313,15 +313,24 @@ def t01(d):
 
 
 def matched(d, scale: float = 1.0, pruned: bool = True):
-    nodes, edges = lattice_graph(d)
-    packed = generate.graph_rows(nodes, edges)
-    ring = block_ring(d)
-    poses = d.spark.range(64).select(
-        L(0).cast("long").alias("path_id"), C("id").alias("pose"), (200.0 + 100 * (C("id") % 8)).alias("x"), (200.0 + 100 * F.floor(C("id") / 8)).alias("y"), L(0.0).alias("rotation")
-    )
     from ..params import Tier
 
-    return generate.match_poses(poses, ring, packed, paths.path_length(ring, True), scale, Tier(12, 90.0, 8, 3 if pruned else 0))
+    nodes, edges = region_graph(d)
+    packed = cut_lineage(generate.graph_rows(nodes, edges, "region"))
+    at = d.region.select("region", F.explode(F.sequence(L(0), L(63))).alias("k"))
+    east = 200.0 + 100 * (C("k") % 8) + float(REGION_M) * C("region")
+    poses = at.select(
+        "region", L(0).cast("long").alias("path_id"), (C("region") * 64 + C("k")).alias("pose"), east.alias("x"), (200.0 + 100 * F.floor(C("k") / 8)).alias("y"), L(0.0).alias("rotation")
+    )
+    ring = block_ring(d)
+    return generate.match_poses(poses, ring, packed, paths.path_length(ring, True), scale, Tier(12, 90.0, 8, 3 if pruned else 0), LadderOptions(pool=10 if pruned else 1 << 30))
+
+
+def region_graph(d):
+    """The lattice's graph with the region of every node and edge."""
+    nodes, edges = lattice_graph(d)
+    nodes = nodes.withColumn("region", F.floor(C("node").cast("long") / 121))
+    return nodes, edges.withColumn("region", F.floor(C("a").cast("long") / 121))
 
 
 def _shown(r):
@@ -333,7 +342,7 @@ def _shown(r):
 
 @query("r06_map_match")
 def r06(d):
-    """Block outlines at 64 poses matched to the lattice; tests hold the walk against exhaustive search."""
+    """Block outlines at 64 poses of every region matched to its streets; tests hold the walk against exhaustive search."""
     return _shown(matched(d, pruned=False)).select("pose", "nodes", "length_m")
 
 
@@ -371,26 +380,26 @@ def r14(d):
     o = PoseOptions(anchor_m=100.0, rotation_deg=90.0, count=6, hole_threshold_m=40.0)
     ring = block_ring(d)
     poses = raster.search_poses(ring, b, raster.near_cells(sources, 3), frame, 1.0, o, R).withColumn("pose", C("rank").cast("long"))
-    nodes, edges = lattice_graph(d)
-    r = generate.match_poses(poses, ring, generate.graph_rows(nodes, edges), paths.path_length(ring, True), 1.0, Tier(6, 90.0, 8, 3))
+    poses = poses.withColumn("region", F.floor((C("x") + 250) / REGION_M))
+    r = generate.match_poses(poses, ring, cut_lineage(generate.graph_rows(*region_graph(d), "region")), paths.path_length(ring, True), 1.0, Tier(6, 90.0, 8, 3))
     return _shown(r).drop("nodes")
 
 
 def lattice_ways(d):
     ends = F.array(F.struct(L(0).cast("long").alias("seq"), C("a").alias("n")), F.struct(L(1).cast("long").alias("seq"), C("b").alias("n")))
-    w = d.lattice.select((C("a") * 1_000_000 + C("b")).alias("path_id"), F.explode(ends).alias("e"))
-    return w.select("path_id", "e.seq", C("e.n").alias("n")).select("path_id", "seq", lattice_x("n").alias("x"), lattice_y("n").alias("y"))
+    w = d.lattice.select((C("a") * 1_000_000 + C("b")).alias("path_id"), F.floor(C("a") / 121).alias("region"), F.explode(ends).alias("e"))
+    return w.select("region", "path_id", "e.seq", C("e.n").alias("n")).select("region", "path_id", "seq", lattice_x("n").alias("x"), lattice_y("n").alias("y"))
 
 
 @query("r15_generate_routes")
 def r15(d):
-    """The whole ladder for the block outline on the lattice's streets."""
-    from ..params import LadderOptions, Tier
+    """The whole ladder for the block outline on the streets of every region."""
+    from ..params import Tier
 
     ladder = LadderOptions(tiers=(Tier(4, 90.0, 8, 1), Tier(8, 120.0, 8, 2)))
     o = PoseOptions(anchor_m=200.0, rotation_deg=90.0, hole_threshold_m=40.0)
     r = generate.generate_routes(block_ring(d), lattice_ways(d), 1.0, ladder, o, R, GraphOptions(exclusions=()))
-    return r.select("rank", "tier", *[q(C(c), 3).alias(c) for c in ("length_m", "mean_deviation_m", "max_deviation_m", "worst")], "passes")
+    return r.select("region", "rank", "tier", *[q(C(c), 3).alias(c) for c in ("length_m", "mean_deviation_m", "max_deviation_m", "worst")], "passes")
 
 
 # --- loops, retracing, gaps ----------------------------------------------------
