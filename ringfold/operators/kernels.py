@@ -333,6 +333,47 @@ def bar_terms(m: dict[str, float], bar: Bar) -> tuple[float, float, float, float
     )
 
 
+class Skeleton:
+    """A loop through anchors: leg k leads from anchor k to the next one.
+
+    ``expected`` are the placed corners, ``found`` the places on streets that
+    they resolved to and ``nodes`` the nodes there (None where none is in
+    reach: a straight gap stands in). A skeleton never changes; ``moved`` gives
+    another that shares all legs but two.
+    """
+
+    def __init__(self, expected: Sequence[Point], found: Sequence[Point | None], nodes: Sequence, graph: Graph, legs: Sequence[dict] | None = None):
+        self.expected, self.found, self.nodes, self.graph = tuple(expected), tuple(found), tuple(nodes), graph
+        self.legs = tuple(self._leg(k) for k in range(len(self.nodes))) if legs is None else tuple(legs)
+
+    def waypoint(self, k: int) -> Point:
+        return self.expected[k] if self.found[k] is None else self.found[k]
+
+    def _leg(self, k: int) -> dict:
+        after = (k + 1) % len(self.nodes)
+        return self.graph.join([self.waypoint(k), self.waypoint(after)], [self.nodes[k], self.nodes[after]])[0]
+
+    def moved(self, k: int, point: Point, node) -> Skeleton:
+        """Anchor ``k`` put elsewhere; only the legs at it are searched for."""
+        swap = lambda values, v: (*values[:k], v, *values[k + 1 :])
+        out = Skeleton(self.expected, swap(self.found, point), swap(self.nodes, node), self.graph, self.legs)
+        touched = {k, (k - 1) % len(self.nodes)}
+        out.legs = tuple(out._leg(i) if i in touched else leg for i, leg in enumerate(self.legs))
+        return out
+
+    def measures(self) -> dict:
+        """Length, deviation from the placed corners both ways, gaps, retraced
+        length, and each anchor's half of what the legs at it retrace."""
+        points = leg_points(self.legs)
+        mean, longest = route_deviation(points, np.array(self.expected, dtype=float).reshape(-1, 2), 10.0)
+        total, share = retraced_m(self.legs, self.graph)
+        return {
+            "length_m": path_length(points, False), "mean_m": mean, "max_m": longest,
+            "gaps": sum(not leg["real"] for leg in self.legs), "retraced_m": total,
+            "anchor_retraced_m": [(share[k - 1] + share[k]) / 2 for k in range(len(share))],
+        }
+
+
 class NodeGrid:
     """Nodes by cells of the reach asked for, so that a probe reads nine cells."""
 

@@ -462,24 +462,45 @@ def r09(d):
     return j.select(C("s").alias("leg"), C("length_m").isNotNull().alias("real"), q(F.coalesce("length_m", straight)).alias("length_m"))
 
 
+def skeleton_anchors(d):
+    """The corners of every outline, at half its size, on the streets of its region."""
+    from ..plans import skeleton
+
+    nodes, edges = region_graph(d)
+    ring = small_rings(d, 0.5)
+    middle = 500.0 + float(REGION_M) * F.floor(C("path_id") / 100)
+    poses = ring.select("path_id").distinct().select(
+        F.floor(C("path_id") / 100).alias("region"), "path_id", middle.alias("tx"), L(500.0).alias("ty"), ((C("path_id") % 8) * 0.2).cast("double").alias("rotation")
+    )
+    anchors = cut_lineage(skeleton.resolve_landmarks(skeleton.landmarks(ring), poses, edges))
+    return anchors, cut_lineage(generate.graph_rows(nodes, edges, "region"))
+
+
+def _loops(r):
+    return r.select("region", "path_id", "landmarks", "gaps", *[q(C(c), 2).alias(c) for c in ("length_m", "mean_m", "max_m", "retraced_m")])
+
+
 @query("r12_skeleton_loop")
 def r12(d):
-    """Corners of every outline laid on the streets: anchors on aligned edges
-    or gaps, with how far each anchor is from where it was expected."""
-    from ..operators import matching
-    from ..params import CornerOptions
-    from .geometry import t11
-
-    o = CornerOptions()
-    corners = t11(d).select("path_id", C("corner").alias("seq"))
-    h = paths.headings(d.vertex).join(corners, ["path_id", "seq"])
-    h = h.select("path_id", "seq", (C("x") + 5).alias("x"), (C("y") - 3).alias("y"), "hx", "hy")
-    e = d.segment.select(F.concat_ws(":", "way", "seq").alias("edge"), "ax", "ay", "bx", "by")
-    near = spatial.nearest_segment(h, e, ["path_id", "seq"], o.search_radius_m, align_rad=GraphRad, tie=["edge"], keep=["edge"])
-    del matching
-    return near.groupBy("path_id").agg(
-        F.count("*").alias("landmarks"), F.sum(C("edge").isNull().cast("long")).alias("gaps"), q(F.avg("d"), 2).alias("mean_m"), q(F.max("d"), 2).alias("max_m")
-    )
+    """Corners of every outline resolved on the streets one by one and joined
+    leg by leg; tests hold legs and measures against plain ones."""
+    from ..plans import skeleton
+
+    return _loops(skeleton.skeleton_loops(*skeleton_anchors(d)))
+
+
+@query("r12_move_landmark")
+def r12_move(d):
+    """The same loops with each first anchor moved to the node nearest to where
+    it was expected; only the two legs at it are searched for anew."""
+    from ..plans import skeleton
+
+    anchors, packed = skeleton_anchors(d)
+    at = d.lattice_nodes.select(C("id").cast("string").alias("node"), C("x").alias("px"), C("y").alias("py"))
+    near = spatial.near_points(anchors.where("k = 0").select("path_id", "k", "x", "y"), at, 250.0)
+    to = near.groupBy("path_id", "k").agg(F.min_by(F.struct("px", "py", "node"), F.struct("d", "node")).alias("n"))
+    moves = to.select("path_id", "k", C("n.px").alias("x"), C("n.py").alias("y"), "n.node")
+    return _loops(skeleton.skeleton_loops(anchors, packed, moves))
 
 
 # --- splitting ways ------------------------------------------------------------

@@ -309,6 +309,61 @@ def test_pruning_equals_single_removals():
             assert kernels.prune_spikes(walk, g, ring, 1600.0, PruneOptions(passes, least)) == plain(walk, passes, least)
 
 
+def test_skeleton_loop_and_move():
+    """Legs, gaps, retracing and length against sums by hand; a move against a new loop."""
+    corners = [(0, 0), (100, 0), (200, 0), (200, 100), (100, 100), (0, 100), (100, 300)]
+    nodes = [(f"n{i}", float(x), float(y)) for i, (x, y) in enumerate(corners)]
+    pairs = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 0), (4, 6)]
+    g = kernels.Graph(nodes, [(f"e{a}{b}", f"n{a}", f"n{b}", math.dist(corners[a], corners[b]), [corners[a], corners[b]]) for a, b in pairs])
+    expected = [(0.0, 5.0), (200.0, -5.0), (205.0, 100.0), (100.0, 290.0), (0.0, 400.0)]
+    found = [(0.0, 0.0), (200.0, 0.0), (200.0, 100.0), (100.0, 300.0), None]
+    loop = kernels.Skeleton(expected, found, ["n0", "n2", "n3", "n6", None], g)
+    m = loop.measures()
+    gap = math.dist((100, 300), (0, 400)) + math.dist((0, 400), (0, 0))
+    assert m["gaps"] == 2 and m["length_m"] == pytest.approx(200 + 100 + 300 + gap) and m["retraced_m"] == 0
+    assert [leg["edges"] for leg in loop.legs] == [("e01", "e12"), ("e23",), ("e34", "e46"), (), ()]
+    back = loop.moved(4, (100.0, 100.0), "n4")
+    new = kernels.Skeleton(expected, [*found[:4], (100.0, 100.0)], ["n0", "n2", "n3", "n6", "n4"], g)
+    assert back.measures() == new.measures() and back.legs[:3] == loop.legs[:3] and all(a is b for a, b in zip(back.legs[:3], loop.legs[:3]))
+    r = back.measures()
+    assert r["gaps"] == 0 and r["retraced_m"] == 200 and sum(r["anchor_retraced_m"]) == pytest.approx(200)
+    assert r["anchor_retraced_m"] == [0, 0, 50, 100, 50] and loop.measures() == m
+    d = np.concatenate([kernels.polyline_distance(kernels.resample(kernels.leg_points(new.legs), 10, False), np.array(expected), True),
+                        kernels.polyline_distance(kernels.resample(np.array(expected), 10, True), kernels.leg_points(new.legs), False)])
+    assert r["mean_m"] == pytest.approx(d.mean()) and r["max_m"] == pytest.approx(d.max())
+
+
+def test_skeleton_plan_equals_single_loops(spark):
+    """Two regions in one run, with a move, against loops built one by one."""
+    from ringfold.plans import generate, skeleton
+
+    nodes, edges, anchors = [], [], []
+    for region in range(2):
+        at = {f"{region}-{i}{j}": (3000.0 * region + 100 * i, 100.0 * j) for i in range(4) for j in range(4)}
+        nodes += [(n, x, y, f"{region}-00", region) for n, (x, y) in at.items()]
+        edges += [(f"{a}:{b}", a, b, 100.0, [list(at[a]), list(at[b])], region) for a in at for b in at if a < b and math.dist(at[a], at[b]) == 100]
+        for path in (10 * region, 10 * region + 1):
+            for k, (i, j) in enumerate([(0, 0), (3, 1), (2, 3)]):
+                n = f"{region}-{i}{j}"
+                anchors.append((region, path, k, at[n][0] + 7, at[n][1] - 4, *(at[n] if k or path % 10 else (None, None)), n if k or path % 10 else None))
+    n = spark.createDataFrame(nodes, "node string, x double, y double, component string, region long")
+    e = spark.createDataFrame(edges, "edge string, a string, b string, length_m double, points array<array<double>>, region long")
+    a = spark.createDataFrame(anchors, "region long, path_id long, k int, x double, y double, fx double, fy double, node string")
+    moves = spark.createDataFrame([(1, 2, 100.0, 200.0, "0-12")], "path_id long, k int, x double, y double, node string")
+    packed = generate.graph_rows(n, e, "region")
+    got = {r.path_id: r for r in skeleton.skeleton_loops(a, packed, moves).collect()}
+    assert set(got) == {0, 1, 10, 11}
+    for path, r in got.items():
+        region = path // 10
+        g = kernels.Graph([x[:3] for x in nodes if x[4] == region], [x[:5] for x in edges if x[5] == region])
+        own = [x for x in anchors if x[1] == path]
+        loop = kernels.Skeleton([x[3:5] for x in own], [None if x[7] is None else x[5:7] for x in own], [x[7] for x in own], g)
+        loop = loop.moved(2, (100.0, 200.0), "0-12") if path == 1 else loop
+        m = loop.measures()
+        assert (r.region, r.landmarks, r.gaps) == (region, 3, m["gaps"]) and r.length_m == pytest.approx(m["length_m"])
+        assert r.max_m == pytest.approx(m["max_m"]) and r.anchor_retraced_m == pytest.approx(m["anchor_retraced_m"])
+
+
 def test_node_grid_equals_a_scan():
     rng = np.random.default_rng(2)
     xy = rng.uniform(-500, 500, (300, 2)).round()
