@@ -84,10 +84,11 @@ def build_graph(ways: DataFrame, o: GraphOptions = GraphOptions()) -> tuple[Data
     their closest approach. Nothing is collected: every step is a cell join
     or a window over one way.
     """
+    ways = cut_lineage(ways.select("path_id", "seq", "x", "y").repartition("path_id"))
     segs = paths.segments(ways, False).select(
         F.col("path_id").alias("way"), (F.col("seq") + 1).alias("seg"), "ax", "ay", "bx", "by"
     )
-    ends = endpoints(ways)
+    segs, ends = cut_lineage(segs), cut_lineage(endpoints(ways))
     clusters = merge_endpoints(ends, o.merge_m)
     splits = junction_splits(ends, clusters, segs, o)
     if o.corridor_m > 0:

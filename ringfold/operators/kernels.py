@@ -26,6 +26,36 @@ def point_segment_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nd
     return np.sqrt((((a + t[..., None] * d) - p) ** 2).sum(axis=-1))
 
 
+def closest_approaches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(d, k, x, y, ta, tb) of segment pairs (n, 4): zero at a crossing (k =
+    -1), else the best of the four ends against the other segment, the first
+    on ties; (x, y) is halfway between."""
+    p, q = a.reshape(-1, 2, 2), b.reshape(-1, 2, 2)
+    r, s, gap = p[:, 1] - p[:, 0], q[:, 1] - q[:, 0], q[:, 0] - p[:, 0]
+    cross = lambda u, v: u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
+    den = cross(r, s)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = cross(gap, s) / den, cross(gap, r) / den
+    hit = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    d, x, y, ta, tb = (np.empty((4, len(a))) for _ in range(5))
+    for k in range(4):
+        end, (start, way) = (p[:, k], (q[:, 0], s)) if k < 2 else (q[:, k - 2], (p[:, 0], r))
+        size = (way * way).sum(axis=1)
+        at = ((end - start) * way).sum(axis=1) / np.where(size == 0, 1.0, size)
+        at = np.where(size == 0, 0.0, np.clip(at, 0.0, 1.0))
+        foot = start + at[:, None] * way
+        d[k] = np.sqrt(((end - foot) ** 2).sum(axis=1))
+        x[k], y[k] = ((end + foot) / 2).T
+        own = np.full(len(a), float(k % 2))
+        ta[k], tb[k] = (own, at) if k < 2 else (at, own)
+    best, row = d.argmin(axis=0), np.arange(len(a))
+    pick = lambda v, at_hit: np.where(hit, at_hit, v[best, row])
+    with np.errstate(invalid="ignore"):
+        place = p[:, 0] + t[:, None] * r
+    k = np.where(hit, -1, best).astype(np.int32)
+    return pick(d, 0.0), k, pick(x, place[:, 0]), pick(y, place[:, 1]), pick(ta, t), pick(tb, u)
+
+
 def resample(path: np.ndarray, spacing: float, closed: bool) -> np.ndarray:
     """Points at even arc lengths; see ``paths.resample``."""
     if len(path) < 2:

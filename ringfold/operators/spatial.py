@@ -8,10 +8,14 @@ cells that hold too much are split by adaptive execution.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import geometry as g
+from . import kernels
 
 _CX, _CY = "__cx", "__cy"
 
@@ -116,19 +120,46 @@ def near_segment_pairs(segs: DataFrame, max_m: float, key: list[str], apart: Col
 
     ``apart`` may narrow the pairs further, on a_* and b_* columns.
     """
-    cell = max(max_m, 1.0)
     # Long segments touch many small cells: cells as large as a typical one keep the copies few.
-    cell = max(cell, 50.0)
+    cell = max(max_m, 50.0)
     name = lambda s: [F.col(c).alias(f"{s}_{c}") for c in segs.columns]
-    a = segment_cells(segs, cell).select(*name("a"), _CX, _CY)
-    b = segment_cells(segs, cell, max_m).select(*name("b"), _CX, _CY)
-    first = F.struct(*[F.col(f"a_{c}") for c in key]) < F.struct(*[F.col(f"b_{c}") for c in key])
-    j = a.join(b, [_CX, _CY]).where(first if apart is None else first & apart).drop(_CX, _CY)
     corner = lambda s: tuple(F.col(f"{s}_{c}") for c in ("ax", "ay", "bx", "by"))
-    # Boxes first: they are cheap and most pairs of a cell fail them.
     lo = lambda s, p, q: F.least(F.col(f"{s}_{p}"), F.col(f"{s}_{q}"))
     hi = lambda s, p, q: F.greatest(F.col(f"{s}_{p}"), F.col(f"{s}_{q}"))
+    a = segment_cells(segs, cell).select(*name("a"), _CX, _CY)
+    b = segment_cells(segs, cell, max_m).select(*name("b"), _CX, _CY)
+    first = F.struct(*[F.col(f"a_{c}") for c in key]) < F.struct(*[F.col(f"b_{c}") for c in key])
+    j = a.join(b, [_CX, _CY]).where(first if apart is None else first & apart)
+    # A pair counts in the lowest cell that both boxes touch: once, without a shuffle.
+    for c, p, q in ((_CX, "ax", "bx"), (_CY, "ay", "by")):
+        j = j.where(F.col(c) == F.greatest(g.cell(lo("a", p, q), cell), g.cell(lo("b", p, q) - max_m, cell)))
+    # Cheap tests first, which most pairs of a cell fail: boxes, then whether one lies wholly beyond the other's line.
     for p, q in (("ax", "bx"), ("ay", "by")):
         j = j.where((lo("a", p, q) <= hi("b", p, q) + max_m) & (lo("b", p, q) <= hi("a", p, q) + max_m))
-    j = j.dropDuplicates([f"{s}_{c}" for s in "ab" for c in key])
-    return j.withColumn("near", g.closest_approach(corner("a"), corner("b"))).where(F.col("near.d") <= max_m)
+    for s, o in ("ab", "ba"):
+        (px, py, qx, qy), (rx, ry, tx, ty) = corner(s), corner(o)
+        off = lambda x, y: (qx - px) * (y - py) - (qy - py) * (x - px)  # noqa: B023, E731
+        reach = (max_m + 1e-6) * g.distance(px, py, qx, qy) + 1e-9
+        j = j.where((F.least(off(rx, ry), off(tx, ty)) <= reach) & (F.greatest(off(rx, ry), off(tx, ty)) >= -reach))
+    return with_approach(j.drop(_CX, _CY), max_m)
+
+
+def with_approach(pairs: DataFrame, max_m: float) -> DataFrame:
+    """Pairs of segments (a_ax, ..., b_by) at most ``max_m`` apart with
+    ``near``, the same struct as ``geometry.closest_approach``.
+
+    In batches of arrays: as one column expression the four feet of a pair
+    nest into code that takes longer to compile than the batches to run.
+    """
+    names = ["d", "k", "x", "y", "ta", "tb"]
+
+    def run(batches):
+        for batch in batches:
+            sides = [np.column_stack([batch.column(f"{s}_{c}").to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by")]) for s in "ab"]
+            found = kernels.closest_approaches(*sides)
+            near = pa.StructArray.from_arrays([pa.array(v) for v in found], names=names)
+            whole = pa.RecordBatch.from_arrays([*batch.columns, near], names=[*batch.schema.names, "near"])
+            yield whole.filter(pa.array(found[0] <= max_m))
+
+    near = StructType([StructField(n, IntegerType() if n == "k" else DoubleType()) for n in names])
+    return pairs.mapInArrow(run, StructType([*pairs.schema.fields, StructField("near", near)]))

@@ -349,3 +349,18 @@ def test_streamed_states_equal_the_batch(spark, tmp_path):
     for r in spark.sql("SELECT * FROM states").collect():
         last[r.user] = (r.scale, r.points)
     assert set(last) == set(want)
+
+
+def test_closest_approach_in_batches_equals_the_column(spark):
+    from ringfold.functions import geometry as g
+
+    rng = np.random.default_rng(5)
+    rows = rng.integers(0, 6, (400, 8)).astype(float)
+    rows[:20, 4:] = rows[:20, :4]  # equal segments
+    rows[20:40, 2:4] = rows[20:40, :2]  # points
+    names = [f"{s}_{c}" for s in "ab" for c in ("ax", "ay", "bx", "by")]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{n} double" for n in names))
+    got = {r.i: r.near for r in spatial.with_approach(df, 2.0).collect()}
+    side = lambda s: tuple(F.col(f"{s}_{c}") for c in ("ax", "ay", "bx", "by"))
+    want = {r.i: r.near for r in df.withColumn("near", g.closest_approach(side("a"), side("b"))).where("near.d <= 2").collect()}
+    assert set(got) == set(want) and all(tuple(got[i]) == pytest.approx(tuple(want[i])) for i in want)
