@@ -24,8 +24,13 @@ _R, _DEG = f"{EARTH_RADIUS_M}::DOUBLE", "(pi() / 180)"
 # --- circuits ------------------------------------------------------------------
 
 
+#: Paths that share a file or response, so that no row grows with the table.
+BATCH = 50
+
+
 def circuit_json(d):
-    """All outlines as one JSON array of circuits, some of them invalid."""
+    """(first, value): the outlines as JSON arrays of up to BATCH circuits,
+    some of them invalid, with the number of the first one."""
     p = geo(d).groupBy(K).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))), lambda v: F.array(v["lon"], v["lat"])).alias("ring")
     )
@@ -41,13 +46,15 @@ def circuit_json(d):
         F.struct(L("s").alias("source"), L("l").alias("license"), F.when(bad == 7, L("")).otherwise(L("u")).alias("url"), L("2026").alias("retrieved")).alias("attribution"),
         ring.alias("centreline"),
     )
-    return p.agg(F.array_sort(F.collect_list(F.struct(C(K).alias("k"), c.alias("c")))).alias("all")).select(
-        F.to_json(F.transform("all", lambda x: x["c"])).alias("value")
+    first = (F.floor(C(K) / BATCH) * BATCH).alias("first")
+    return p.groupBy(first).agg(F.array_sort(F.collect_list(F.struct(C(K).alias("k"), c.alias("c")))).alias("all")).select(
+        "first", F.to_json(F.transform("all", lambda x: x["c"])).alias("value")
     )
 
 
 def circuits(d):
-    return files.parse_circuits(circuit_json(d), "value")
+    c = files.parse_circuits(circuit_json(d), "value", "first")
+    return c.withColumn("pos", C("first") + C("pos")).drop("first")
 
 
 @query("s01_load_circuits", "SELECT vec_id AS pos, 'c' || CASE WHEN vec_id % 10 = 1 THEN vec_id - 1 ELSE vec_id END AS id, CASE vec_id % 10 WHEN 4 THEN 12 WHEN 5 THEN 33 ELSE 32 END AS points FROM embeddings")
@@ -146,25 +153,32 @@ def k05(d):
 
 
 def network(d):
-    """One network file's row with all encoded ways."""
-    ways = encoded(d).agg(F.array_sort(F.collect_list(F.struct(K, "flat"))).alias("w"))
+    """Network files of up to BATCH encoded ways each, with the number of the first way."""
+    first = (F.floor(C(K) / BATCH) * BATCH).alias("first")
+    ways = encoded(d).groupBy(first).agg(F.array_sort(F.collect_list(F.struct(K, "flat"))).alias("w"))
     body = F.struct(
         F.array(L(-8.7), L(41.0), L(-8.4), L(41.3)).alias("bbox"), L(GRID).alias("grid"),
         F.struct(L("s").alias("source"), L("l").alias("license"), L("u").alias("url"), L("r").alias("retrieved")).alias("attribution"),
         F.transform("w", lambda x: x["flat"]).alias("ways"),
     )
-    text = ways.select(F.to_json(body).alias("value"))
-    return text.select(F.from_json("value", files.NETWORK).alias("n")).select(L("porto").alias("region"), "n.*")
+    text = ways.select("first", F.to_json(body).alias("value"))
+    return text.select("first", F.from_json("value", files.NETWORK).alias("n")).select(L("porto").alias("region"), "first", "n.*")
+
+
+def decoded(networks):
+    """The ways of all files, numbered through."""
+    w = files.decode_ways(networks, "region", "first")
+    return w.withColumn("way", C("way") + C("first")).drop("first")
 
 
 @query("s04_decode_way", f"SELECT path_id AS way, seq, {sq('-8.7 + gx * 1e-5::DOUBLE', 6)} AS lon, {sq('41.0 + gy * 1e-5::DOUBLE', 6)} AS lat FROM g_lat", _GEO, _LAT)
 def s04(d):
-    return files.decode_ways(network(d), "region").select("way", "seq", q(C("lon"), 6).alias("lon"), q(C("lat"), 6).alias("lat"))
+    return decoded(network(d)).select("way", "seq", q(C("lon"), 6).alias("lon"), q(C("lat"), 6).alias("lat"))
 
 
 @query("w04_running_decode", "SELECT path_id AS way, max(gx) AS max_x, min(gy) AS min_y, count(*) AS n FROM g_lat GROUP BY 1", _GEO, _LAT)
 def w04(d):
-    w = files.decode_ways(network(d), "region")
+    w = decoded(network(d))
     x, y = g.half_up((C("lon") + 8.7) / GRID), g.half_up((C("lat") - 41.0) / GRID)
     return w.groupBy("way").agg(F.max(x).alias("max_x"), F.min(y).alias("min_y"), F.count("*").alias("n"))
 
@@ -176,14 +190,14 @@ def _local(lon0: str, lat0: str) -> str:
 @query("s03_street_network", _local("(-8.6291)", "41.1579"), _GEO, _LAT)
 def s03(d):
     n = validate.fail_on_error(validate.network_errors(network(d)))
-    w = files.project_ways(files.decode_ways(n, "region"), files.region_origins(files.regions(d.spark)))
+    w = files.project_ways(decoded(n), files.region_origins(files.regions(d.spark)))
     return w.select("way", "seq", q(C("x"), 2).alias("x"), q(C("y"), 2).alias("y"))
 
 
 @query("s05_region_network", _local("((-8.6531193 + -8.5936229) / 2)::DOUBLE", "((40.9647783 + 41.0257665) / 2)::DOUBLE"), _GEO, _LAT)
 def s05(d):
     n = network(d).withColumn("region", L("espinho"))
-    w = files.project_ways(files.decode_ways(n, "region"), files.region_origins(files.regions(d.spark)))
+    w = files.project_ways(decoded(n), files.region_origins(files.regions(d.spark)))
     return w.select("way", "seq", q(C("x"), 2).alias("x"), q(C("y"), 2).alias("y"))
 
 
@@ -226,30 +240,34 @@ def f05(d):
 
 
 def elements(d):
-    """Every path as a way of a map response in JSON; the last node of a path
-    is the first of the next, and a relation holds the ways of each fifth."""
+    """Every path as a way of a map response in JSON, BATCH paths a response;
+    the last node of a path is the first of the next, and relations hold the
+    ways of each fifth."""
     n = d.table("embeddings").count()
     node = F.when(C("seq") == 31, F.pmod(C(K) + 1, L(n)) * 100).otherwise(C(K) * 100 + C("seq"))
     none = lambda kind: L(None).cast(kind)
     v = geo(d).withColumn("node", node)
+    of = F.floor(C(K) / BATCH).alias("batch")
     nodes = v.where("seq < 31").select(
-        L("node").alias("type"), C("node").alias("id"), none("array<bigint>").alias("nodes"), "lat", "lon", none("map<string,string>").alias("tags"),
+        of, L("node").alias("type"), C("node").alias("id"), none("array<bigint>").alias("nodes"), "lat", "lon", none("map<string,string>").alias("tags"),
         none("array<struct<type:string,ref:bigint,role:string>>").alias("members"),
     )
     name = F.when(C(K) % 11 == 0, L("Pit Lane")).otherwise(F.concat(L("Street "), C(K).cast("string")))
     ways = v.groupBy(K).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "node"))), lambda x: x["node"]).alias("nodes"))
     ways = ways.select(
-        L("way").alias("type"), C(K).alias("id"), "nodes", none("double").alias("lat"), none("double").alias("lon"), F.create_map(L("highway"), L("raceway"), L("name"), name).alias("tags"),
+        of, L("way").alias("type"), C(K).alias("id"), "nodes", none("double").alias("lat"), none("double").alias("lon"), F.create_map(L("highway"), L("raceway"), L("name"), name).alias("tags"),
         none("array<struct<type:string,ref:bigint,role:string>>").alias("members"),
     )
     member = F.struct(L("way").alias("type"), C(K).alias("ref"), F.when(C(K) % 7 == 0, L("pit_lane")).otherwise(L("")).alias("role"))
-    rel = d.table("embeddings").select(C("vec_id").alias(K)).groupBy((C(K) % 5).alias("r")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    batch = F.floor(C(K) / BATCH).alias("batch")
+    rel = d.table("embeddings").select(C("vec_id").alias(K)).groupBy(batch, (C(K) % 5).alias("r")).agg(F.array_sort(F.collect_list(member)).alias("members"))
     rel = rel.where("r < 4").select(
+        "batch",
         L("relation").alias("type"), (C("r") + 1000).alias("id"), none("array<bigint>").alias("nodes"), none("double").alias("lat"), none("double").alias("lon"),
         none("map<string,string>").alias("tags"), "members",
     )
     every = nodes.unionByName(ways).unionByName(rel)
-    body = every.agg(F.collect_list(F.struct(*every.columns)).alias("elements"))
+    body = every.groupBy("batch").agg(F.collect_list(F.struct(*every.columns[1:])).alias("elements"))
     text = body.select(F.to_json(F.struct("elements")).alias("value"))
     return files.parse_elements(text, "value")
 
@@ -267,7 +285,7 @@ def s13(d):
 
 @query("s14_relation_ids", "SELECT DISTINCT vec_id % 5 + 1000 AS id FROM embeddings WHERE vec_id % 5 < 4")
 def s14(d):
-    return files.relation_ids(elements(d)).select("id")
+    return files.relation_ids(elements(d)).select("id").distinct()
 
 
 @query("j10_way_nodes", "SELECT count(*) AS n, count(DISTINCT node) AS nodes FROM (SELECT CASE WHEN seq = 31 THEN (path_id + 1) % m * 100 ELSE path_id * 100 + seq END AS node FROM g_vertex, (SELECT count(*) AS m FROM embeddings))")

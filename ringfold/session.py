@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 #: UTC keeps dates equal everywhere; adaptive execution sizes partitions and
@@ -23,3 +27,21 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the application's Python workers, once: a zip that
+    the driver hands out with the job, so that workers need none of its paths."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ringfold_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ringfold-zip-"), "ringfold.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(path)
+    sc._ringfold_shipped = True

@@ -6,6 +6,8 @@ Readers give typed rows; what a file may not hold is for ``validate``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +57,34 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("file"))
 
 
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small text file in place at once: written beside it under a name
+    of its own and renamed, in any store that Spark writes. A reader sees the
+    old file or the new one, and a failure leaves the old one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    store = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf) if target.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    out = target.getFileSystem(conf).create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        store.rename(beside, target, options)
+    except BaseException:
+        out.close()
+        target.getFileSystem(conf).delete(beside, False)
+        raise
+
+
 def load_circuits(spark: SparkSession, path: str) -> DataFrame:
     """One row per circuit of a JSON array, in order of ``pos``."""
     return parse_circuits(read_text(spark, path), "value")
 
 
-def parse_circuits(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.posexplode(F.from_json(column, f"array<{CIRCUIT}>")).alias("pos", "c")).select("pos", "c.*")
+def parse_circuits(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    return df.select(*keep, F.posexplode(F.from_json(column, f"array<{CIRCUIT}>")).alias("pos", "c")).select(*keep, "pos", "c.*")
 
 
 def load_network(spark: SparkSession, path: str) -> DataFrame:

@@ -364,3 +364,15 @@ def test_closest_approach_in_batches_equals_the_column(spark):
     side = lambda s: tuple(F.col(f"{s}_{c}") for c in ("ax", "ay", "bx", "by"))
     want = {r.i: r.near for r in df.withColumn("near", g.closest_approach(side("a"), side("b"))).where("near.d <= 2").collect()}
     assert set(got) == set(want) and all(tuple(got[i]) == pytest.approx(tuple(want[i])) for i in want)
+
+
+def test_replace_text_is_all_or_nothing(spark, tmp_path):
+    path = str(tmp_path / "circuits.json")
+    files.replace_text(spark, path, "[1]\n")
+    files.replace_text(spark, path, "[\"ü\"]\n")
+    assert open(path, encoding="utf-8").read() == '["ü"]\n'
+    blocked = tmp_path / "folder.json"
+    (blocked / "inside").mkdir(parents=True)
+    with pytest.raises(Exception):
+        files.replace_text(spark, str(blocked), "x")
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["circuits.json", "folder.json"]
