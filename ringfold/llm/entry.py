@@ -99,9 +99,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in url_filter.RULES)
 
-#: The others need hashes, models or formats that SQL doesn't have, or (op5)
-#: a checksum; tests hold them against brute-force versions.
+#: The others need hashes, models or formats that SQL doesn't have; tests hold
+#: them against brute-force versions. The SQL of op1 compares all pairs of a
+#: label, which the test tables' sizes allow; that of op5 numbers a shard's
+#: rows by id, which is the order in which these tables are written.
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": """
+        WITH RECURSIVE vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        good AS MATERIALIZED (SELECT vec_id, label, list_transform(e, lambda x: x / m) AS e FROM (SELECT *, list_max(list_transform(e, lambda x: abs(x))) AS m FROM vecs
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE m > 0),
+        links AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+            WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+        reach AS (SELECT vec_id AS u, vec_id AS r FROM vecs UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.r),
+        roots AS (SELECT u, min(r) AS root FROM reach GROUP BY 1)
+        SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.u = v.vec_id) AS n_links, root AS component_id, v.vec_id = root AS kept FROM vecs v JOIN roots ON roots.u = v.vec_id""",
+    "op5_sharding": f"""
+        WITH RECURSIVE crc_table AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+        bytes AS (SELECT doc_id, coalesce(strlen(text), 0) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        sized AS (SELECT doc_id, n + 8 AS size, xor(4294967295, list_reduce(list_transform(range(n), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+            lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) AS crc FROM bytes, crc_table),
+        jumps AS (SELECT doc_id, (CAST(coalesce(doc_id, 0) AS HUGEINT) + 18446744073709551616) % 18446744073709551616 AS key, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS grown FROM documents
+            UNION ALL SELECT doc_id, next, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(next // 8589934592 + 1 AS DOUBLE))) AS BIGINT), CASE WHEN j < 24 THEN j ELSE shard END, j
+            FROM (SELECT *, (key * {sharding.MULTIPLIER} + 1) % 18446744073709551616 AS next FROM jumps WHERE j < 25)),
+        ends AS (SELECT doc_id, shard, grown FROM jumps WHERE j >= 25)
+        SELECT doc_id, size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+        FROM sized JOIN ends USING (doc_id)""",
     "op7_url_filter": f"""
         WITH raw AS (SELECT page_id, html, CASE WHEN position('://' IN url) > 0 THEN substring(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
         split AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM raw),
