@@ -155,10 +155,10 @@ SQL = {
     "g_ring_segment": f"""SELECT path_id, seq, x AS ax, y AS ay,
         coalesce({_LEAD.format('x')}, first_value(x) OVER (PARTITION BY path_id ORDER BY seq)) AS bx,
         coalesce({_LEAD.format('y')}, first_value(y) OVER (PARTITION BY path_id ORDER BY seq)) AS by FROM g_vertex""",
-    "g_region": f"SELECT DISTINCT vec_id // {REGION_ROWS} AS region FROM embeddings",
-    "g_lattice": """SELECT region * 121 + i * 11 + j AS a, region * 121 + (i + 1) * 11 + j AS b, 100.0::DOUBLE AS len FROM g_region, range(10) x(i), range(11) y(j)
+    "g_quarter": f"SELECT DISTINCT vec_id // {REGION_ROWS} AS region FROM embeddings",
+    "g_lattice": """SELECT region * 121 + i * 11 + j AS a, region * 121 + (i + 1) * 11 + j AS b, 100.0::DOUBLE AS len FROM g_quarter, range(10) x(i), range(11) y(j)
         WHERE i NOT IN (3, 7) AND (i * 31 + j * 17 + region) % 7 <> 0
-        UNION ALL SELECT region * 121 + i * 11 + j, region * 121 + i * 11 + j + 1, 100.0::DOUBLE FROM g_region, range(11) x(i), range(10) y(j) WHERE (i * 13 + j * 29 + region) % 5 <> 0""",
+        UNION ALL SELECT region * 121 + i * 11 + j, region * 121 + i * 11 + j + 1, 100.0::DOUBLE FROM g_quarter, range(11) x(i), range(10) y(j) WHERE (i * 13 + j * 29 + region) % 5 <> 0""",
     "g_edge": "SELECT a, b, len FROM g_lattice UNION ALL SELECT b, a, len FROM g_lattice",
     "g_node": f"SELECT DISTINCT a AS id, {slattice('a')[0]} AS x, {slattice('a')[1]} AS y FROM g_edge",
     "g_track": """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq,
@@ -175,7 +175,7 @@ _NEEDS = {
     "g_point": ["g_vertex"],
     "g_segment": ["g_vertex"],
     "g_ring_segment": ["g_vertex"],
-    "g_lattice": ["g_region"],
+    "g_lattice": ["g_quarter"],
     "g_edge": ["g_lattice"],
     "g_node": ["g_edge"],
 }
