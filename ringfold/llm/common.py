@@ -3,6 +3,7 @@ distributed running totals and connected components."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -64,7 +65,31 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._rf_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes ``written`` tables whose uses are behind a checkpoint or another
+    table, and lets go of the shuffle files of the steps before.
+
+    Spark deletes those when the driver's collector finds nothing referring to
+    them; with a roomy heap that can be long after, and disks fill up until
+    then. So it is asked to look.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._rf_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    release()
+
+
+def release() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
