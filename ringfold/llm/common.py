@@ -12,6 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  the package as a zip for the workers
+
 #: A side of a join is only broadcast when its counted rows stay below this.
 BROADCAST_ROWS = 100_000
 
@@ -20,17 +22,6 @@ HOT_ROWS = 1_000_000
 
 _ROW_IN_PART = (1 << 33) - 1  # of monotonically_increasing_id
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever they share our paths."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 

@@ -17,6 +17,7 @@ from . import (
     quality_gbt,
     sharding,
     simhash_dedup,
+    sort_means,
     url_filter,
 )
 from .common import crc_of_id, ship
@@ -81,6 +82,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bfd_packing.pack_best_fit(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means.centroid_clusters(_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, seed=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,11 +99,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_poisson_mixing,
         op9_quality_classifier,
         op10_best_fit_packing,
+        op11_centroid_clustering,
     )
 }
 
 _RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in url_filter.RULES)
 
+
+
+def _centroid_sql(clusters: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Plain k-means, a pair of CTEs a round; doubles hold these whole numbers exactly."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS MATERIALIZED (SELECT vec_id, v, k, d FROM (SELECT vec_id, kept.v, k, list_dot_product(kept.v, kept.v) - 2 * list_dot_product(kept.v, c.v) + list_dot_product(c.v, c.v) AS d
+            FROM kept, c{n} c) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1)"""
+
+    def moved(n: int) -> str:
+        return f"""c{n} AS MATERIALIZED (SELECT k, coalesce(m.v, c.v) AS v FROM c{n - 1} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS v FROM (SELECT k, i, floor(sum(v[i]) / count(*)) AS x
+            FROM a{n - 1}, range(1, 65) r(i) GROUP BY 1, 2) GROUP BY 1) m USING (k))"""
+
+    steps = [assigned(0)]
+    for n in range(1, rounds + 1):
+        steps += [moved(n), assigned(n)]
+    chain = ",\n        ".join(steps)
+    return f"""
+        WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (SELECT k, v FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS k, v FROM kept) WHERE k < {clusters}),
+        {chain}
+        SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+        sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c USING (k)"""
+
+
 #: The others need hashes, models or formats that SQL doesn't have; tests hold
 #: them against brute-force versions. The SQL of op1 compares all pairs of a
 #: label, which the test tables' sizes allow; that of op5 numbers a shard's
@@ -148,4 +180,5 @@ ORACLE_SQL: dict[str, str] = {
         draws AS (SELECT *, CAST(('0x' || substring(md5(CAST(doc_id AS VARCHAR) || ':{poisson_mixing.SEED}'), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
         counted AS (SELECT d.doc_id AS i, any_value(rate) AS rate, CAST(count(*) FILTER (u >= c) AS INTEGER) AS copies FROM draws d JOIN cdf ON s IS NOT DISTINCT FROM d.source GROUP BY 1)
         SELECT d.*, copy, copies, floor(rate * 1e6 + 0.5) / 1e6 AS rate FROM documents d JOIN counted ON i = doc_id JOIN (SELECT k AS copy FROM ks) ON copy < copies""",
+    "op11_centroid_clustering": _centroid_sql(),
 }
