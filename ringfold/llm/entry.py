@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     bfd_packing,
     embedding_dedup,
+    impact_search,
     language_id,
     matroska,
     mixture_packing,
@@ -86,6 +87,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.centroid_clusters(_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, seed=2)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_classifier,
         op10_best_fit_packing,
         op11_centroid_clustering,
+        op12_ranked_search,
     )
 }
 
@@ -181,4 +187,15 @@ ORACLE_SQL: dict[str, str] = {
         counted AS (SELECT d.doc_id AS i, any_value(rate) AS rate, CAST(count(*) FILTER (u >= c) AS INTEGER) AS copies FROM draws d JOIN cdf ON s IS NOT DISTINCT FROM d.source GROUP BY 1)
         SELECT d.*, copy, copies, floor(rate * 1e6 + 0.5) / 1e6 AS rate FROM documents d JOIN counted ON i = doc_id JOIN (SELECT k AS copy FROM ks) ON copy < copies""",
     "op11_centroid_clustering": _centroid_sql(),
+    "op12_ranked_search": rf"""
+        WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        sizes AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM words WHERE len(t) > 0),
+        lengths AS (SELECT doc_id AS d, 50 + (50 * len(t) * docs) // total AS m FROM words, sizes),
+        items AS MATERIALIZED (SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+        posts AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM words) WHERE term IN (SELECT term FROM items) GROUP BY 1, 2),
+        weights AS (SELECT term AS w_term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM posts GROUP BY 1), sizes),
+        impacts AS MATERIALIZED (SELECT term, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS impact FROM posts JOIN weights ON w_term = term JOIN lengths ON d = doc_id),
+        scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY 1, 2)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
 }
