@@ -16,6 +16,7 @@ from . import (
     mixture_packing,
     poisson_mixing,
     quality_gbt,
+    reply_trees,
     sharding,
     simhash_dedup,
     sort_means,
@@ -91,6 +92,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=50)
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = reply_trees.with_probe(_table(spark, sf_dir, "conversations"))
+    return reply_trees.digests(reply_trees.format_trees(reply_trees.as_trees(turns), best=1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_best_fit_packing,
         op11_centroid_clustering,
         op12_ranked_search,
+        op13_chat_formatting,
     )
 }
 
@@ -198,4 +205,11 @@ ORACLE_SQL: dict[str, str] = {
         scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM items JOIN impacts USING (term) GROUP BY 1, 2)
         SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0
         QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""",
+    "op13_chat_formatting": rf"""
+        WITH said AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, t, r, '{reply_trees.END}{reply_trees.START}assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+        turns AS (SELECT *, CASE WHEN role = 'assistant' THEN text END AS learned,
+            {len(reply_trees.START + reply_trees.END) + 2} + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS chars FROM said)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256, CAST(coalesce(sum(length(learned)), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(learned, '' ORDER BY turn), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM turns GROUP BY 1""",
 }
