@@ -3,11 +3,11 @@ distributed running totals and connected components."""
 
 from __future__ import annotations
 
-import gc
-import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,48 +39,63 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries made and run inside let go of their shuffle files as they end,
+    instead of whenever the driver's collector finds them unused."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+@dataclass
+class Written:
+    """A table in the shared folder that can go before the application ends."""
+
+    table: DataFrame
+    path: str
+
+    def discard(self) -> None:
+        """Deletes the table: its uses must be behind a checkpoint or another table."""
+        path, files = folder(self.table.sparkSession, self.path)
+        files.delete(path, True)
+
+
+def folder(spark: SparkSession, path: str):
+    """The path and its file system, as the cluster names them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def written_table(df: DataFrame) -> Written:
     """``df`` as a compressed table in the shared folder, read back.
 
     For wide intermediates that are read more than once. The table goes when
-    the application ends.
+    it is discarded, or else when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ringfold-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._rf_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes ``written`` tables whose uses are behind a checkpoint or another
-    table, and lets go of the shuffle files of the steps before.
-
-    Spark deletes those when the driver's collector finds nothing referring to
-    them; with a roomy heap that can be long after, and disks fill up until
-    then. So it is asked to look.
-    """
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._rf_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release()
-
-
-def release() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        gc.collect()
-        spark._jvm.System.gc()
+    name = f"{shared_dir(spark)}/ringfold-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(name)
+    path, files = folder(spark, name)
+    files.deleteOnExit(path)
+    return Written(spark.read.schema(df.schema).parquet(name), name)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table of ``written_table``, where it stays until the application ends."""
+    return written_table(df).table
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

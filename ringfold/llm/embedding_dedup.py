@@ -16,6 +16,7 @@ LEADING = 8  # dimensions of the grid
 BLOCK_ROWS = 256  # vectors of one interval of the sequence
 FAN = 8  # intervals of a longer one, a level up
 BASIS_ROWS = 4096  # vectors that the axes are fitted on
+BASIS_LENGTHS = 16  # commonest lengths that get axes of their own; of others the first components lead
 _LEAF = 64
 
 
@@ -30,53 +31,62 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def _fit_axes(reps: DataFrame, rows: int) -> np.ndarray | None:
-    """Axes for the vectors' most common length, from a bounded sample.
+class Grid:
+    """Coordinates of unit vectors on leading axes: principal ones of their
+    length where these were fitted, the first components otherwise."""
+
+    def __init__(self, axes: dict[int, np.ndarray], leading: int):
+        self.axes, self.leading = {d: a[:, :leading] for d, a in axes.items()}, leading
+
+    def of(self, unit: np.ndarray) -> np.ndarray:
+        axes = self.axes.get(unit.shape[1])
+        x = unit[:, : self.leading] if axes is None else unit @ axes
+        return x if x.shape[1] == self.leading else np.pad(x, ((0, 0), (0, self.leading - x.shape[1])))
+
+
+def _fit_axes(reps: DataFrame, rows: int, lengths: int) -> dict[int, np.ndarray]:
+    """Axes for the ``lengths`` commonest lengths of vectors, each from a
+    bounded sample.
 
     Any orthonormal axes give the same links; these make the grid selective.
     """
-    sizes = reps.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    if not sizes:
-        return None
-    dims, count = sizes[0]
-    own = reps.where(F.size("vec") == dims)
-    sample = own.where(hash_fraction("rep", seed=11) < 2.0 * rows / count) if count > rows else own
-    sample = np.array([r[0] for r in sample.select("vec").limit(rows).collect()], dtype=float)
-    if len(sample) < 2 or dims < 2:
-        return np.eye(dims)
-    return principal_axes(sample)
-
-
-def _grid(axes: np.ndarray, eps: float, leading: int):
+    sizes = reps.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(lengths).collect()
+    found = {}
+    for dims, count in sizes:
+        own = reps.where(F.size("vec") == dims)
+        sample = own.where(hash_fraction("rep", seed=11) < 2.0 * rows / count) if count > rows else own
+        sample = np.array([r[0] for r in sample.select("vec").limit(rows).collect()], dtype=float)
+        found[dims] = principal_axes(sample) if len(sample) > 1 and dims > 1 else np.eye(dims)
+    return found
+
+
+def _grid(grid: Grid, eps: float):
     """Adds each vector's cell on the leading axes."""
 
     def run(batches):
         for batch in batches:
-            cells = np.zeros((batch.num_rows, leading), dtype=np.int32)
+            cells = np.zeros((batch.num_rows, grid.leading), dtype=np.int32)
             vecs = batch.column("vec").to_pylist()
-            same = [i for i, v in enumerate(vecs) if len(v) == len(axes)]
-            if same:
-                x = _unit(np.array([vecs[i] for i in same], dtype=float)) @ axes[:, :leading]
-                cells[same, : x.shape[1]] = np.floor(x / eps)
+            sizes = np.array([len(v) for v in vecs])
+            for dims in np.unique(sizes):
+                same = np.flatnonzero(sizes == dims)
+                cells[same] = np.floor(grid.of(_unit(np.array([vecs[i] for i in same], dtype=float))) / eps)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *[pa.array(cells[:, k]) for k in range(leading)]],
-                names=[*batch.schema.names, *[f"c{k}" for k in range(leading)]],
+                [*batch.columns, *[pa.array(cells[:, k]) for k in range(grid.leading)]],
+                names=[*batch.schema.names, *[f"c{k}" for k in range(grid.leading)]],
             )
 
     return run
 
 
-def _cut_blocks(axes: np.ndarray, leading: int, rows: int):
+def _cut_blocks(grid: Grid, rows: int):
     """One row per interval of the sorted sequence: its box on the leading axes
     and its vectors, packed."""
     names = ["block", "label", "dims", "lo", "hi", "reps", "copies", "vecs"]
 
     def emit(pid: int, number: int, part: pa.RecordBatch) -> pa.RecordBatch:
         vecs = np.array(part.column("vec").to_pylist(), dtype=np.float64)
-        x = np.zeros((len(vecs), leading))
-        if vecs.shape[1] == len(axes):
-            y = _unit(vecs) @ axes[:, :leading]
-            x[:, : y.shape[1]] = y
+        x = grid.of(_unit(vecs))
         values = [
             (pid << 32) + number,
             part.column("label")[0].as_py(),
@@ -212,16 +222,15 @@ def interval_pairs(blocks: DataFrame, leading: int, eps2: float, fan: int = FAN)
 class _Joiner:
     """The join of intervals' vectors, on Arrow batches."""
 
-    def __init__(self, axes: np.ndarray, leading: int, threshold: float, eps2: float):
-        self.axes, self.leading, self.threshold, self.eps2 = axes, leading, threshold, eps2
+    def __init__(self, grid: Grid, threshold: float, eps2: float):
+        self.grid, self.threshold, self.eps2 = grid, threshold, eps2
 
     def load(self, row: dict):
         ids = np.frombuffer(row["reps"], dtype="<i8")
         copies = np.frombuffer(row["copies"], dtype="<i8")
         raw = np.frombuffer(row["vecs"], dtype="<f8").reshape(len(ids), -1)
         unit = _unit(raw)
-        x = unit @ self.axes[:, : self.leading] if unit.shape[1] == len(self.axes) else np.zeros((len(ids), self.leading))
-        return ids, copies, raw, unit, x
+        return ids, copies, raw, unit, self.grid.of(unit)
 
     def near(self, x: np.ndarray, lo: list[float], hi: list[float]) -> np.ndarray:
         gap = np.maximum(0, np.maximum(x - np.array(hi), np.array(lo) - x))
@@ -282,6 +291,19 @@ class _Joiner:
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (us, vs, ns)], names=["u", "v", "n"])
 
 
+def sequence_blocks(reps: DataFrame, grid: Grid, eps: float, rows: int) -> DataFrame:
+    """The vectors ``reps(label, vec, rep, copies)`` sorted by their cells and
+    cut into intervals of one label and length."""
+    cells = [f"c{k}" for k in range(grid.leading)]
+    gridded = reps.withColumn("dims", F.size("vec")).mapInArrow(
+        _grid(grid, eps), "label string, vec array<double>, rep long, copies long, dims int, " + ", ".join(f"{c} int" for c in cells)
+    )
+    parts = max(1, -(-reps.count() // rows))
+    order = ["label", "dims", *cells, "rep"]
+    run, schema = _cut_blocks(grid, rows)
+    return written(gridded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema))
+
+
 def embedding_groups(
     df: DataFrame,
     threshold: float = 0.98,
@@ -291,6 +313,7 @@ def embedding_groups(
     leading: int = LEADING,
     block_rows: int = BLOCK_ROWS,
     basis_rows: int = BASIS_ROWS,
+    basis_lengths: int = BASIS_LENGTHS,
 ) -> DataFrame:
     """One row per input row: (vec_id, n_links, component_id, kept).
 
@@ -311,7 +334,6 @@ def embedding_groups(
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    spark = df.sparkSession
     eps2 = 2 - 2 * threshold + 1e-9
     eps = math.sqrt(eps2)
     vec = F.col(embedding)
@@ -330,8 +352,8 @@ def embedding_groups(
     )
     good_rows = rows.where(good)
     reps = written(good_rows.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    axes = _fit_axes(reps, basis_rows)
-    if axes is None:
+    axes = _fit_axes(reps, basis_rows, basis_lengths)
+    if not axes:
         return rows.select(
             F.col("id").alias(vec_id),
             F.lit(0).cast("long").alias("n_links"),
@@ -339,18 +361,9 @@ def embedding_groups(
             F.lit(True).alias("kept"),
         )
 
-    leading = min(leading, len(axes))
-    cells = [f"c{k}" for k in range(leading)]
-    gridded = reps.withColumn("dims", F.size("vec")).mapInArrow(
-        _grid(axes, eps, leading),
-        "label string, vec array<double>, rep long, copies long, dims int, " + ", ".join(f"{c} int" for c in cells),
-    )
-    parts = max(1, -(-reps.count() // block_rows))
-    order = ["label", "dims", *cells, "rep"]
-    run, schema = _cut_blocks(axes, leading, block_rows)
-    blocks = written(gridded.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema))
-
-    join, payload = _Joiner(axes, leading, threshold, eps2), ["reps", "copies", "vecs"]
+    grid = Grid(axes, leading)
+    blocks = sequence_blocks(reps, grid, eps, block_rows)
+    join, payload = _Joiner(grid, threshold, eps2), ["reps", "copies", "vecs"]
     pairs = interval_pairs(blocks, leading, eps2)
     vectors = blocks.select("block", *payload)
     sent = pairs.join(vectors, F.col("b") == F.col("block")).select("a", "lo_a", "hi_a", *payload)

@@ -23,9 +23,10 @@ UNDETERMINED = "und"
 ORDER = 3  # bytes of context
 TRAIN_DOCS = 400  # bound on the training sample, in texts a language
 TRAIN_BYTES = 4_000_000  # and in bytes; the text that passes it is the last
-TRAIN_TOTAL = 64_000_000  # bytes of all languages, shared evenly: it bounds the trees too
+TRAIN_TOTAL = 64_000_000  # bytes of all languages, shared evenly
+PART = 4  # languages whose trees share their nodes
 _CHUNK = 1 << 19  # positions scored at once, with four languages
-_DENSE = 1 << 25  # entries up to which a level's lookup is a plain array
+_DENSE = 1 << 25  # entries up to which the lookups of one level are plain arrays, in all parts
 
 
 @dataclass
@@ -40,8 +41,8 @@ class SparseTable:
 
 
 @dataclass
-class PpmModel:
-    """Union of the languages' trees, one level an order, with tabulated costs.
+class PpmPart:
+    """Union of some languages' trees, one level an order, with tabulated costs.
 
     A node of level k is a string of k + 1 codes; level tables lead from
     (node of the string without its last code) * alphabet + code to the node.
@@ -133,9 +134,44 @@ class PpmModel:
         return total
 
 
+@dataclass
+class PpmModel:
+    """The languages' trees, ``PART`` languages together. A node takes room for
+    the languages of its own part only, so that the model grows with the sum of
+    the trees and not with nodes times languages. All parts have one alphabet;
+    a language's code lengths depend on its own counts alone.
+    """
+
+    parts: list[PpmPart]
+
+    @property
+    def languages(self) -> list[str]:
+        return [lang for p in self.parts for lang in p.languages]
+
+    @property
+    def codes(self) -> np.ndarray:
+        return self.parts[0].codes
+
+    @property
+    def alphabet(self) -> int:
+        return self.parts[0].alphabet
+
+    @property
+    def tables(self) -> list[np.ndarray | SparseTable]:
+        return [t for p in self.parts for t in p.tables]
+
+    @property
+    def nbytes(self) -> int:
+        plain = [t.keys if isinstance(t, SparseTable) else t for t in self.tables]
+        return sum(a.nbytes for a in [*plain, *(a for p in self.parts for a in (*p.cost, *p.escape))])
+
+    def bits(self, texts: Sequence[bytes]) -> np.ndarray:
+        """(texts, languages) code lengths in bits of whole texts."""
+        return np.concatenate([p.bits(texts) for p in self.parts], axis=1)
+
+
 def train(texts: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
     """Counts the contexts of every language and tabulates the code lengths."""
-    languages = sorted(texts)
     fold = np.arange(256, dtype=np.uint8)
     fold[65:91] += 32  # ASCII case carries little about the language
     seen = np.zeros(256, dtype=bool)
@@ -146,10 +182,14 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
     kinds = np.flatnonzero(seen)
     rank = np.ones(256, dtype=np.int64)
     rank[kinds] = np.arange(2, 2 + len(kinds))
-    codes = rank[fold]
-    size = len(kinds) + 2
+    codes, size, languages = rank[fold], len(kinds) + 2, sorted(texts)
+    groups = [languages[k : k + PART] for k in range(0, len(languages), PART)]
+    dense = _DENSE // max(1, len(groups))
+    return PpmModel([_train_part({lang: texts[lang] for lang in group}, codes, size, order, dense) for group in groups])
+
 
-    streams = {}
+def _train_part(texts: dict[str, list[bytes]], codes: np.ndarray, size: int, order: int, dense: int) -> PpmPart:
+    languages, streams = list(texts), {}
     for lang in languages:
         parts = [np.concatenate(([0], codes[np.frombuffer(t, dtype=np.uint8)])) for t in texts[lang]]
         streams[lang] = np.concatenate(parts) if parts else np.zeros(1, dtype=np.int64)
@@ -207,7 +247,7 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
             escape.append(np.concatenate([np.zeros((1, n.shape[1])), chain]))
             cost.append(np.concatenate([np.zeros((1, n.shape[1])), np.where(n > 0, direct, own_escape[parent] + shorter)]))
             key = (parent + 1) * size + union % size  # rises with the node
-            if (parents + 1) * size <= _DENSE:
+            if (parents + 1) * size <= dense:
                 lookup = np.zeros((parents + 1) * size, dtype=np.int32)
                 lookup[key] = np.arange(1, len(union) + 1)
             else:
@@ -218,7 +258,7 @@ def train(texts: dict[str, list[bytes]], order: int = ORDER) -> PpmModel:
             lookup = np.arange(1, size + 1, dtype=np.int32)
         tables.append(lookup)
     f32 = [c.astype(np.float32) for c in cost]
-    return PpmModel(languages, codes.astype(np.int32), size, tables, f32, [e.astype(np.float32) for e in escape])
+    return PpmPart(languages, codes.astype(np.int32), size, tables, f32, [e.astype(np.float32) for e in escape])
 
 
 def training_sample(
@@ -228,20 +268,20 @@ def training_sample(
     of each language: the bound on what training reads, whatever the texts'
     lengths, and on what the driver holds.
 
-    Rows are taken whole in the order of a hash of (id, text), so that rows of
-    one id are told apart; the same row twice is taken once. The rows with the
-    least hashes are found by an aggregate that combines before the shuffle;
-    running bytes then end a language's sample.
+    Rows are taken whole, those with the least hashes of (id, text), so that
+    rows of one id are told apart, the same row twice is taken once, and
+    neither repeats nor the table's size change what is taken. Hashes below a
+    language's own limit, set by an estimate of its distinct ones, are a bounded
+    first choice of them; running bytes then end a language's sample.
     """
     labelled = docs.where(learn & F.col(lang).isNotNull() & (F.length(text) > 0)).select(
         F.col(lang).alias("lang"), F.xxhash64(F.lit(2), F.col(doc_id).cast("string"), F.col(text)).alias("chance"), F.col(text).alias("text")
     )
-    sizes = labelled.groupBy("lang").count().collect()
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("chance").alias("kinds")).collect()
     if not sizes:
         return {}
     nbytes = min(nbytes, TRAIN_TOTAL // len(sizes))
-    # Hashes below a language's own limit hold its sample: a bounded first choice.
-    limits = [(r["lang"], _limit(r["count"], per_language)) for r in sizes]
+    limits = [(r["lang"], _limit(r["kinds"], per_language)) for r in sizes]
     table = docs.sparkSession.createDataFrame(limits, "q string, most long")
     near = labelled.join(small(table, len(limits)), F.col("lang") == F.col("q")).where(F.col("chance") <= F.col("most"))
     first = near.groupBy("lang", "chance").agg(F.max(F.octet_length("text")).cast("long").alias("n"))
@@ -255,9 +295,10 @@ def training_sample(
     return out
 
 
-def _limit(rows: int, wanted: int) -> int:
-    """A signed hash under which about 1.3 times the wanted rows and some more lie."""
-    share = min(1.0, (1.3 * wanted + 100) / rows)
+def _limit(kinds: int, wanted: int) -> int:
+    """A signed hash under which the wanted ones lie: about twice as many and
+    some more, since the estimate of all is a few hundredths off."""
+    share = min(1.0, (2 * wanted + 100) / max(1, kinds))
     return min(2**63 - 1, int(-(2**63) + share * 2.0**64))
 
 

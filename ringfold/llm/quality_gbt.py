@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, hash_fraction
+from .common import crc_of_id, cut, small
 
 TRAIN_ROWS = 20_000  # bound on the labelled sample
 BINS = 64
@@ -157,31 +157,38 @@ def fit(
     quality: str = "quality",
     rows: int = TRAIN_ROWS,
 ) -> Trees | None:
-    """Learns from about ``rows`` labelled rows at most, chosen by a hash of the
-    id and, where ids repeat, of the text; the same row counts once.
+    """Learns from ``rows`` distinct labelled documents (id, text) at most:
+    those with the least hashes, so that neither repeats of a row nor the
+    table's size change what is learned.
 
     Only rows where ``learn`` holds (by default crc32(id as text) mod 5 is not
-    0). Null labels and labels beyond 0 and 1 are passed over. None without
-    any labelled text.
+    0). Null labels and labels beyond 0 and 1 are passed over; of several labels
+    of one id the largest counts. None without any labelled text. The labels of
+    at first 4 * ``rows`` ids meet the documents, those with the least hashes;
+    where these have too few documents, more ids do.
     """
     learn = F.coalesce(crc_of_id(doc_id) % 5 != 0, F.lit(False)) if learn is None else learn
     usable = labels.where(learn & F.col(quality).isin(0, 1)).select(
         F.col(doc_id).alias("__rf_id"), F.col(quality).cast("double").alias("__rf_label")
     )
-    usable = usable.groupBy("__rf_id").agg(F.max("__rf_label").alias("__rf_label"))
-    count = usable.count()
-    if not count:
-        return None
-    if count > rows:
-        usable = usable.where(hash_fraction(F.col("__rf_id").cast("string"), seed=9) < rows / count)
-    usable = F.broadcast(usable.limit(2 * rows))
-    mine = F.col("__rf_doc") == F.col("__rf_id")
-    matches = docs.select(F.col(doc_id).alias("__rf_doc")).join(usable, mine).count()
-    chosen = docs.select(F.col(doc_id).alias("__rf_doc"), F.col(text).alias("__rf_text")).join(usable, mine)
-    chosen = chosen.withColumn("__rf_same", F.xxhash64(F.col("__rf_doc").cast("string"), F.col("__rf_text")))
-    if matches > 2 * rows:  # ids repeat: thin the rows themselves
-        chosen = chosen.where(hash_fraction("__rf_same", seed=10) < rows / matches)
-    chosen = chosen.groupBy("__rf_doc", "__rf_same").agg(F.max("__rf_text").alias("__rf_text"), F.max("__rf_label").alias("__rf_label"))
+    usable = cut(usable.groupBy("__rf_id").agg(F.max("__rf_label").alias("__rf_label")))
+    count, ids = usable.count(), 4 * rows
+    texts = docs.select(F.col(doc_id).alias("__rf_doc"), F.col(text).alias("__rf_text"))
+    texts = texts.withColumn("__rf_same", F.xxhash64(F.lit(9), F.col("__rf_doc").cast("string"), F.col("__rf_text")))
+    while True:
+        some = usable
+        if count > ids:
+            some = usable.orderBy(F.xxhash64(F.lit(9), F.col("__rf_id").cast("string")), "__rf_id").limit(ids)
+        mine = F.col("__rf_doc") == F.col("__rf_id")
+        found = texts.select("__rf_doc", "__rf_same").join(small(some, min(count, ids)), mine)
+        found = cut(found.select("__rf_id", "__rf_same", "__rf_label").distinct())
+        if ids >= count or found.count() >= rows:
+            break
+        ids *= 8
+    least = found.orderBy("__rf_same", "__rf_id").limit(rows).withColumnRenamed("__rf_same", "__rf_hash")
+    same = mine & (F.col("__rf_same") == F.col("__rf_hash"))
+    chosen = texts.join(F.broadcast(least), same).drop("__rf_id", "__rf_hash")  # ``rows`` rows at most
+    chosen = chosen.groupBy("__rf_doc", "__rf_same", "__rf_label").agg(F.max("__rf_text").alias("__rf_text"))
 
     def run(batches):
         for part, x in _features(batches, "__rf_text"):

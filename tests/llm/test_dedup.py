@@ -193,3 +193,24 @@ def test_distant_intervals_never_meet(spark):
         got = embedding_dedup.interval_pairs(df, 8, eps2, fan).collect()
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
     assert len(want) < 0.1 * 125 * 124 / 2
+
+
+@pytest.mark.parametrize("lengths", [16, 1, 0])
+def test_every_length_has_a_selective_grid(spark, lengths):
+    """Of vectors of two lengths side by side most pairs of intervals never meet, with axes of their own or without."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for dims, n in ((24, 2000), (16, 2400)):
+        centres = rng.normal(size=(40, dims))
+        rows += [(len(rows) + k, (centres[k % 40] + rng.normal(size=dims) * 0.02).tolist(), "x", 1) for k in range(n)]
+    reps = spark.createDataFrame(rows, "rep long, vec array<double>, label string, copies long")
+    grid = embedding_dedup.Grid(embedding_dedup._fit_axes(reps, 1000, lengths) if lengths else {}, 8)
+    assert len(grid.axes) == min(2, lengths)
+    blocks = embedding_dedup.sequence_blocks(reps, grid, 0.2, 50)
+    pairs = embedding_dedup.interval_pairs(blocks, 8, 0.04)
+    count = {r.dims: r["count"] for r in blocks.groupBy("dims").count().collect()}
+    met = {r.dims: r["count"] for r in pairs.join(blocks.select(F.col("block").alias("a"), "dims"), "a").groupBy("dims").count().collect()}
+    for dims, n in count.items():
+        assert met.get(dims, 0) < 0.25 * n * (n - 1) / 2, (dims, n, met)
+    got = embedding_dedup.embedding_groups(reps.select(F.col("rep").alias("vec_id"), F.col("vec").alias("embedding"), "label"), 0.98, block_rows=50, basis_lengths=max(1, lengths))
+    assert {r.component_id for r in got.collect()} == {*range(40), *range(2000, 2040)}

@@ -229,3 +229,61 @@ def test_quality_rows(spark):
     assert len(rows) == 4 and rows[1].score == rows[2].score
     assert all(r.predicted == 1 for r in quality_gbt.score_quality(docs, None).collect())
     assert quality_gbt.score_quality(docs.limit(0), model).count() == 0
+
+
+def repeated(df, times):
+    """``df`` with a million repeats of its first row."""
+    first = df.orderBy("doc_id").limit(1)
+    return df.unionByName(first.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("k"))
+
+
+def held_out_texts(n, words, lead):
+    rng = np.random.default_rng(n)
+    return [f"{lead}{i} " + " ".join(rng.choice(words, 30)) for i in range(n)]
+
+
+def test_quality_is_learned_alike_where_a_row_repeats(spark):
+    good = held_out_texts(300, "some plain words in a row and more of them".split(), "Text ")
+    bad = held_out_texts(300, "*** $$$ ### 123 !!! ||| zz".split(), "??? ")
+    rows = [(i, t) for i, t in enumerate([x for pair in zip(good, bad) for x in pair])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(600)], "doc_id long, quality int")
+    one = quality_gbt.fit(docs, labels, rows=150)
+    many = quality_gbt.fit(repeated(docs, 1_000_000), labels.unionByName(repeated(labels, 5)), rows=150)
+    for a, b in ((one.feature, many.feature), (one.cut, many.cut), (one.leaf, many.leaf)):
+        assert (a == b).all()
+    held = [(r.doc_id, r.predicted) for r in quality_gbt.score_quality(docs, one).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 90 and all(p == 1 - i % 2 for i, p in held)
+
+
+def test_quality_widens_its_ids_where_documents_miss_them(spark):
+    docs = spark.createDataFrame([(i, ("fine words here. " if i % 2 else "$$$ *** ") * 9 + str(i)) for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    model = quality_gbt.fit(docs, labels, learn=F.lit(True), rows=30)
+    assert all(r.predicted == r.doc_id % 2 for r in quality_gbt.score_quality(docs, model).collect())
+
+
+def test_languages_are_learned_alike_where_a_row_repeats(spark):
+    en, de = "the cat sat on a mat and then it slept".split(), "der hund lief schnell nach haus und schlief".split()
+    rows = [(i, t, "en") for i, t in enumerate(held_out_texts(200, en, ""))] + [(1000 + i, t, "de") for i, t in enumerate(held_out_texts(200, de, ""))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = [language_id.training_sample(d, F.lit(True), "doc_id", "text", "lang", per_language=50) for d in (docs, repeated(docs, 1_000_000))]
+    assert sample[0] == sample[1] and {k: len(v) for k, v in sample[0].items()} == {"en": 50, "de": 50}
+
+
+def test_many_languages_take_room_in_proportion():
+    """Code lengths of a language don't depend on the others, and the model grows with their number."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for k in range(32):
+        letters = rng.choice(list(b"abcdefghijklmnopqrstuvwxyz"), 9, replace=False)
+        texts[f"l{k:02}"] = [bytes(rng.choice([*letters, 32], 4000).astype(np.uint8).tolist()) for _ in range(3)]
+    few, many = language_id.train(dict(list(texts.items())[:8])), language_id.train(texts)
+    assert many.nbytes < 6 * few.nbytes and many.languages == sorted(texts)
+    probe = [texts["l03"][0], texts["l30"][1][:100]]
+    plain = PlainPpm(many, {k: texts[k] for k in ("l03", "l30")}, language_id.ORDER)
+    got = many.bits(probe)
+    for text, row in zip(probe[1:], got[1:]):
+        for lang in ("l03", "l30"):
+            assert row[many.languages.index(lang)] == pytest.approx(plain.bits(text, lang), rel=1e-4)
+    assert [many.languages[i] for i in got.argmin(axis=1)] == ["l03", "l30"]
