@@ -295,7 +295,7 @@ def sequence_blocks(reps: DataFrame, grid: Grid, eps: float, rows: int) -> DataF
     """The vectors ``reps(label, vec, rep, copies)`` sorted by their cells and
     cut into intervals of one label and length."""
     cells = [f"c{k}" for k in range(grid.leading)]
-    gridded = reps.withColumn("dims", F.size("vec")).mapInArrow(
+    gridded = reps.select("label", "vec", "rep", "copies", F.size("vec").alias("dims")).mapInArrow(
         _grid(grid, eps), "label string, vec array<double>, rep long, copies long, dims int, " + ", ".join(f"{c} int" for c in cells)
     )
     parts = max(1, -(-reps.count() // rows))
