@@ -203,13 +203,14 @@ def frechet_to_ring(route: np.ndarray, ring: np.ndarray, spacing: float) -> floa
     return discrete_frechet(a, np.roll(b, -start, axis=0))
 
 
-def distance_transform(source: np.ndarray) -> np.ndarray:
+def distance_transform(source: np.ndarray, reach: int | None = None) -> np.ndarray:
     """Exact squared distances, in cells, to the nearest true cell of a grid;
-    infinite without any. Down the columns by running minima, then along the
-    rows as a lower envelope."""
+    infinite without any, and beyond ``reach`` cells. Down the columns by
+    running minima, then along the rows as a lower envelope."""
     height, width = source.shape
+    out = np.full(source.shape, np.inf)
     if not source.any():
-        return np.full(source.shape, np.inf)
+        return out
     big = float(height + width + 1)
     column = np.where(source, 0.0, big)
     for y in range(1, height):
@@ -217,15 +218,14 @@ def distance_transform(source: np.ndarray) -> np.ndarray:
     for y in range(height - 2, -1, -1):
         column[y] = np.minimum(column[y], column[y + 1] + 1)
     column = np.where(column >= big, np.inf, column * column)
-    out = np.full(source.shape, np.inf)
-    x = np.arange(width)
-    for shift in range(width):
+    for shift in range(width if reach is None else min(width, reach + 1)):
         # The source column ``shift`` away on either side.
         out[:, shift:] = np.minimum(out[:, shift:], column[:, : width - shift] + shift * shift)
         out[:, : width - shift] = np.minimum(out[:, : width - shift], column[:, shift:] + shift * shift)
         if shift and (out <= (shift + 1) ** 2).all():
             break
-    del x
+    if reach is not None:
+        out[out > reach * reach] = np.inf
     return out
 
 

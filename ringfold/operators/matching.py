@@ -42,13 +42,16 @@ def float_range(start: Column, end: Column, step: float) -> Column:
 
 
 def pose_grid(bounds: DataFrame, grid_m: float, step_deg: float, keep: list[str]) -> DataFrame:
-    """Poses (keep..., x, y, rotation, turn) on a grid over the bounds (min_x,
-    min_y, max_x, max_y) with all rotations."""
+    """Poses (keep..., x, y, rotation, turn, pose) on a grid over the bounds
+    (min_x, min_y, max_x, max_y) with all rotations, numbered by their place in
+    the grid: by x, y and turn."""
     turns = round(360 / step_deg)
-    b = bounds.withColumn("x", F.explode(float_range(F.col("min_x"), F.col("max_x"), grid_m)))
-    b = b.withColumn("y", F.explode(float_range(F.col("min_y"), F.col("max_y"), grid_m)))
+    b = bounds.withColumn("ys", float_range(F.col("min_y"), F.col("max_y"), grid_m))
+    b = b.select("*", F.posexplode(float_range(F.col("min_x"), F.col("max_x"), grid_m)).alias("ix", "x"))
+    b = b.select("*", F.size("ys").cast("long").alias("ny"), F.posexplode("ys").alias("iy", "y"))
     b = b.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    return b.select(*keep, "x", "y", (F.col("turn") * (step_deg * math.pi / 180)).alias("rotation"), "turn")
+    pose = (F.col("ix") * F.col("ny") + F.col("iy")) * turns + F.col("turn")
+    return b.select(*keep, "x", "y", (F.col("turn") * (step_deg * math.pi / 180)).alias("rotation"), "turn", pose.alias("pose"))
 
 
 def sample_ring(ring: DataFrame, samples: int, key: str = "path_id") -> DataFrame:
@@ -149,11 +152,90 @@ def pick_greedy(ranked: DataFrame, key: str, kernel, order: list[str], schema: s
     return ranked.groupBy(key).applyInPandas(run, schema)
 
 
-def dedup_poses(ranked: DataFrame, key: str, order: list[str], distance_m: float, rotation_deg: float, limit: int | None = None) -> DataFrame:
-    """Poses in order, without those close to an earlier one in place and rotation."""
+#: Poses of one key that one task chooses among; where there are more, rounds over cells do.
+TASK_POSES = 20_000
+
+
+def dedup_poses(
+    ranked: DataFrame, key: str, order: list[str], distance_m: float, rotation_deg: float, limit: int | None = None, task_poses: int = TASK_POSES
+) -> DataFrame:
+    """Poses in order, without those close to an earlier one in place and
+    rotation: the first ``limit`` of each key with their rank. ``order`` tells
+    the poses of a key apart."""
+    ranked = cut_lineage(ranked.drop("rank"))
+    most = ranked.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if most > task_poses:
+        return suppress_poses(ranked, key, order, distance_m, rotation_deg, limit)
     clash = kernels.same_pose(distance_m, math.radians(rotation_deg))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "rank") + ", rank int"
-    return pick_greedy(ranked.drop("rank"), key, lambda rows: kernels.greedy(rows, clash, limit), order, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields) + ", rank int"
+    return pick_greedy(ranked, key, lambda rows: kernels.greedy(rows, clash, limit), order, schema)
+
+
+def suppress_poses(ranked: DataFrame, key: str, order: list[str], distance_m: float, rotation_deg: float, limit: int | None = None) -> DataFrame:
+    """``dedup_poses`` for any number of poses of a key, in parallel rounds.
+
+    Poses lie in cells of ``distance_m`` a side and a rotation of at least
+    ``rotation_deg``, so that only those of neighbouring cells can clash. In
+    each round a pose that comes first among all open ones of its own and the
+    neighbouring cells is kept, since nothing open before it could clash with
+    it, and what clashes with it goes, until nothing is open. That gives what
+    going through the poses in order gives. First poses of cells, not pairs of
+    poses, meet their neighbours, and kept ones lie apart, so that crowded
+    places cost no more than their rows. With a ``limit``, what comes after a
+    key's so many best kept poses can't be among its first and goes as well.
+    """
+    bins = max(1, math.floor(360 / max(rotation_deg, 1e-9)))
+    bins = min(bins, 1 << 20)
+    width = 2 * math.pi / bins
+    turn = F.pmod(F.col("rotation"), F.lit(2 * math.pi))
+    cell = {
+        "__cx": g.cell(F.col("x"), distance_m), "__cy": g.cell(F.col("y"), distance_m),
+        "__cr": F.least(F.floor(turn / width), F.lit(bins - 1).cast("long")),
+    }
+    place = F.struct(*order)
+    open_ = ranked.select(key, "x", "y", "rotation", place.alias("__o")).withColumns(cell)
+    at = [key, "__cx", "__cy", "__cr"]
+    steps = sorted({d % bins for d in (-1, 0, 1)})
+
+    def around(rows: DataFrame) -> DataFrame:
+        """A row for each cell whose poses ``rows`` could clash with."""
+        for c in ("__cx", "__cy"):
+            rows = rows.withColumn(c, F.explode(F.array(*[F.col(c) + d for d in (-1, 0, 1)])))
+        return rows.withColumn("__cr", F.explode(F.array(*[(F.col("__cr") + d) % bins for d in steps])))
+
+    apart = F.abs(F.col("rotation") - F.col("__kr")) % (2 * math.pi)
+    apart = F.when(apart > math.pi, 2 * math.pi - apart).otherwise(apart)
+    clash = (g.distance(F.col("x"), F.col("y"), F.col("__kx"), F.col("__ky")) <= distance_m) & (apart <= math.radians(rotation_deg))
+    kept = None
+    open_ = cut_lineage(open_)
+    while not open_.isEmpty():
+        first = open_.groupBy(*at).agg(F.min("__o").alias("__f"))
+        least = around(first).groupBy(*at).agg(F.min("__f").alias("__f"))
+        new = cut_lineage(open_.join(least, at).where(F.col("__o") == F.col("__f")).drop("__f"))
+        kept = new if kept is None else kept.unionByName(new)
+        near = around(new.select(*at, F.col("x").alias("__kx"), F.col("y").alias("__ky"), F.col("rotation").alias("__kr")))
+        on = clash
+        for c in at:
+            on = on & (F.col(f"o.{c}") == F.col(f"n.{c}"))
+        open_ = open_.alias("o").join(near.alias("n"), on, "left_anti")
+        if limit:
+            # A key's ``limit``-th kept pose so far: at most that many rows a key.
+            w = Window.partitionBy(key).orderBy("__o")
+            last = kept.select(key, "__o", F.row_number().over(w).alias("n")).where(F.col("n") <= limit)
+            last = last.groupBy(key).agg(F.max("__o").alias("__l"), F.max("n").alias("n")).where(F.col("n") == limit).drop("n")
+            open_ = open_.join(last, key, "left").where(F.col("__l").isNull() | (F.col("__o") < F.col("__l"))).drop("__l")
+        open_ = cut_lineage(open_)
+    if kept is None:
+        return ranked.withColumn("rank", F.lit(0)).where("false")
+    w = Window.partitionBy(key).orderBy("__o")
+    chosen = kept.select(key, "__o", F.row_number().over(w).cast("int").alias("rank"))
+    chosen = chosen.where(F.col("rank") <= limit) if limit else chosen
+    names = {f"__o{i}": F.col("__o")[c] for i, c in enumerate(order)}
+    chosen = chosen.select(F.col(key).alias("__k"), *[c.alias(n) for n, c in names.items()], "rank")
+    same = F.col(key).eqNullSafe(F.col("__k"))
+    for i, c in enumerate(order):
+        same = same & F.col(c).eqNullSafe(F.col(f"__o{i}"))
+    return ranked.join(chosen, same).drop("__k", *names)
 
 
 def diverse_poses(ranked: DataFrame, key: str, order: list[str], distance_m: float, count: int) -> DataFrame:
@@ -174,8 +256,6 @@ def search_placements(
     """
     cross = ring.select(key).distinct().join(F.broadcast(bounds))
     grid = pose_grid(cross, o.grid_m, o.grid_deg, [key])
-    w = Window.partitionBy(key).orderBy("x", "y", "turn")
-    grid = grid.withColumn("pose", F.row_number().over(w))
     coarse = score_poses(grid, ring, streets, o.samples[0], scale, o, key).where(F.col("coverage") >= o.min_coverage)
     coarse = grid.join(coarse.select(key, "pose", "coverage", "score"), [key, "pose"])
     kept = cut_lineage(macro_winners(coarse, o.macro_m, o.keep, key).select(key, F.col("pose").alias("seed"), "x", "y", "rotation"))

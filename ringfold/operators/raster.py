@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..params import PoseOptions, RasterOptions
 from . import paths, spatial
+from .components import cut_lineage
+from .kernels import distance_transform
 
 
 def raster_frame(bounds: DataFrame, o: RasterOptions = RasterOptions()) -> DataFrame:
@@ -33,33 +35,50 @@ def source_cells(segs: DataFrame, frame: DataFrame, o: RasterOptions = RasterOpt
     return spatial.cells_along(s, o.cell_m, F.col("x0"), F.col("y0")).select("layer", "cx", "cy").distinct()
 
 
-def near_cells(sources: DataFrame, reach: int) -> DataFrame:
+#: Cells a side of what a task transforms at once.
+TILE = 64
+
+
+def near_cells(sources: DataFrame, reach: int, box: tuple[int, int] | None = None, tile: int = TILE) -> DataFrame:
     """(layer, cx, cy, d2): cells within ``reach`` cells of a source and the
-    squared distance to the nearest one.
+    exact squared distance to the nearest one; with ``box`` only cells from 0
+    to its width and height.
 
     What lies farther counts like infinity for every use that caps distances,
-    so the raster stays as sparse as the streets and needs no dense grid.
+    so the raster stays as sparse as the streets. Every source goes to the
+    tiles that it reaches, and a task transforms a tile with the sources around
+    it, columns first, then rows: no task holds a layer, and the copies of a
+    source don't grow with ``reach`` while that is below a tile.
     """
-    off = F.sequence(F.lit(-reach), F.lit(reach))
-    s = sources.withColumn("dx", F.explode(off)).withColumn("dy", F.explode(off))
-    s = s.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).where(F.col("d2") <= reach * reach)
-    return s.groupBy("layer", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy")).agg(F.min("d2").alias("d2"))
-
-
-def distance_grids(sources: DataFrame, width: int, height: int) -> DataFrame:
-    """(layer, cx, cy, d2): the exact dense transform of each layer with a
-    source; one task a layer, for rasters that fit a task."""
-    from .kernels import distance_transform
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((height, width), dtype=bool)
-        inside = frame.cx.between(0, width - 1) & frame.cy.between(0, height - 1)
-        grid[frame.cy[inside], frame.cx[inside]] = True
-        d = distance_transform(grid).astype(np.float32).astype(float)
-        y, x = np.divmod(np.arange(d.size), width)
-        return pd.DataFrame({"layer": frame.layer.iloc[0], "cx": x, "cy": y, "d2": d.ravel()})
-
-    return sources.groupBy("layer").applyInPandas(run, "layer int, cx long, cy long, d2 double")
+    own = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile)))
+    dealt = sources.select("layer", "cx", "cy").withColumn("tx", own("cx")).withColumn("ty", own("cy"))
+    # Rows as short as they can be: a tile's own place of each source.
+    local = [(F.col(c) - F.col(t) * tile + reach).cast("short").alias(c) for c, t in (("cx", "tx"), ("cy", "ty"))]
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        layer, tx, ty = key
+        grid = np.zeros((tile + 2 * reach,) * 2, dtype=bool)
+        grid[frame.cy, frame.cx] = True
+        d = distance_transform(grid, reach)[reach : reach + tile, reach : reach + tile]
+        y, x = np.nonzero(np.isfinite(d))
+        return pd.DataFrame({"layer": layer, "cx": x + tx * tile, "cy": y + ty * tile, "d2": d[y, x].astype(np.int64)})
+
+    cells = dealt.select("layer", "tx", "ty", *local).groupBy("layer", "tx", "ty").applyInPandas(run, "layer int, cx long, cy long, d2 long")
+    if box is None:
+        return cells
+    return cells.where(F.col("cx").between(0, box[0] - 1) & F.col("cy").between(0, box[1] - 1))
+
+
+def pooled(cells: DataFrame, factor: int) -> DataFrame:
+    """(layer, cx, cy, d2): the least d2 of each square of 2 * ``factor`` cells
+    a side from (cx * factor, cy * factor): a level of the pyramid of lower
+    bounds. Squares overlap, so that one of them holds any box of up to
+    ``factor`` cells a side that begins in its first quarter."""
+    block = lambda c: F.floor(F.col(c) / factor)
+    least = cells.groupBy("layer", block("cx").alias("cx"), block("cy").alias("cy")).agg(F.min("d2").alias("d2"))
+    for c in ("cx", "cy"):
+        least = least.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c))))
+    return least.groupBy("layer", "cx", "cy").agg(F.min("d2").alias("d2"))
 
 
 def spaced_samples(ring: DataFrame, perimeter: DataFrame, spacing_m: float, key: str = "path_id") -> DataFrame:
@@ -74,16 +93,28 @@ def spaced_samples(ring: DataFrame, perimeter: DataFrame, spacing_m: float, key:
     return r.select(key, F.col("seq").alias("i"), "x", "y", "hx", "hy", "spacing", "perimeter_m")
 
 
-def lookup(samples: DataFrame, cells: DataFrame, frame: DataFrame, o: RasterOptions = RasterOptions()) -> DataFrame:
+def lookup(samples: DataFrame, cells: DataFrame, frame: DataFrame, o: RasterOptions = RasterOptions(), factor: int = 1) -> DataFrame:
     """``samples`` (x, y, layer) with ``d``, the raster's distance in metres;
-    infinite where the raster has none."""
-    f = samples.join(F.broadcast(frame.select("x0", "y0")))
-    f = f.withColumns({"cx": g.cell(F.col("x") - F.col("x0"), o.cell_m), "cy": g.cell(F.col("y") - F.col("y0"), o.cell_m)})
+    infinite where the raster has none. ``factor``: of a pyramid's level."""
+    size = o.cell_m * factor
+    f = samples.join(F.broadcast(frame.select("x0", "y0")))  # one row
+    f = f.withColumns({"cx": g.cell(F.col("x") - F.col("x0"), size), "cy": g.cell(F.col("y") - F.col("y0"), size)})
     j = f.join(cells.select("layer", "cx", "cy", "d2"), ["layer", "cx", "cy"], "left")
     d = F.coalesce(F.sqrt("d2") * o.cell_m, F.lit(g.INF))
     return j.withColumn("d", d).drop("x0", "y0", "cx", "cy", "d2")
 
 
+def posed_samples(poses: DataFrame, samples: DataFrame, scale: Column, key: str = "path_id", layers: int = 12) -> DataFrame:
+    """(key, pose, i, spacing, perimeter_m, x, y, layer): the samples under
+    every pose (key, pose, x, y, rotation), with the layer of their heading."""
+    p = poses.select(key, "pose", F.col("x").alias("tx"), F.col("y").alias("ty"), "rotation").join(samples, key)
+    at = g.apply(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"), F.col("rotation"), scale)
+    h = g.rotate(F.col("hx"), F.col("hy"), F.col("rotation"))
+    p = p.withColumns({"at": at, "h": h})
+    layer = g.heading_layer(F.col("h.x"), F.col("h.y"), layers).cast("int")
+    return p.select(key, "pose", "i", "spacing", "perimeter_m", "at.x", "at.y", layer.alias("layer"))
+
+
 def evaluate_poses(
     poses: DataFrame, samples: DataFrame, cells: DataFrame, frame: DataFrame, scale: Column, threshold_m: float, cap_m: float,
     key: str = "path_id", o: RasterOptions = RasterOptions(),
@@ -91,45 +122,88 @@ def evaluate_poses(
     """(key, pose, cost, max_hole_m) of poses (key, pose, x, y, rotation):
     capped distances summed over the samples, and the longest run of samples
     farther than the threshold."""
-    p = poses.select(key, "pose", F.col("x").alias("tx"), F.col("y").alias("ty"), "rotation").join(samples, key)
-    at = g.apply(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"), F.col("rotation"), scale)
-    h = g.rotate(F.col("hx"), F.col("hy"), F.col("rotation"))
-    p = p.withColumns({"at": at, "h": h})
-    p = p.select(
-        key, "pose", "i", "spacing", "perimeter_m", "at.x", "at.y",
-        g.heading_layer(F.col("h.x"), F.col("h.y"), o.layers).cast("int").alias("layer"),
-    )
-    near = lookup(p, cells, frame, o)
+    near = lookup(posed_samples(poses, samples, scale, key, o.layers), cells, frame, o)
     hole = paths.off_street_run(near, [key, "pose"], F.col("spacing"), threshold_m, F.col("perimeter_m"))
     cost = near.groupBy(key, "pose").agg(F.sum(F.least("d", F.lit(cap_m))).alias("cost"))
     return cost.join(hole, [key, "pose"])
 
 
+#: Anchors a side of the blocks that are opened step by step.
+BLOCKS = (16, 4)
+
+
+def open_poses(
+    ring: DataFrame, perimeter: DataFrame, bounds: DataFrame, cells: DataFrame, frame: DataFrame, scale: float = 1.0, o: PoseOptions = PoseOptions(),
+    r: RasterOptions = RasterOptions(), key: str = "path_id", blocks: tuple[int, ...] = BLOCKS,
+) -> DataFrame:
+    """(key, pose, x, y, rotation): the poses of the grid whose hole, on the
+    coarse samples, may still be short enough.
+
+    ``bounds`` has a row for each outline with its ``key``. Blocks of anchors
+    are opened from the largest down: under one rotation a sample stays within
+    a box over all anchors of a block, and the least distance of the raster in
+    that box, which a level of min-pooled cells gives, bounds its distance from
+    below, hence the block's hole as well. A block whose bound is too long has
+    no pose that could pass. Poses are numbered by their place in the grid.
+    """
+    turns = round(360 / o.rotation_deg)
+    last = lambda c: F.greatest(F.floor((F.col(f"max_{c}") - F.col(f"min_{c}") + 1e-9) / o.anchor_m), F.lit(0).cast("long"))
+    grid = bounds.select(key, "min_x", "min_y", last("x").alias("lx"), last("y").alias("ly"))
+    samples = spaced_samples(ring, perimeter, o.coarse_m, key)
+    most = o.max_hole_m + 2 * o.coarse_m
+    size = blocks[0] if blocks else 1
+    span = lambda last, n: F.sequence(F.lit(0).cast("long"), F.floor(F.col(last) / n))
+    found = grid.withColumn("bx", F.explode(span("lx", size))).withColumn("by", F.explode(span("ly", size)))
+    found = found.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    number = lambda n: (F.col("bx") * (F.floor(F.col("ly") / n) + 1) + F.col("by")) * turns + F.col("turn")
+    for k, size in enumerate(blocks):
+        side = (size - 1) * o.anchor_m + 1e-3
+        factor = 1
+        while factor * r.cell_m < side:
+            factor *= 2
+        low = lambda c, b: F.col(f"min_{c}") + F.col(b) * (size * o.anchor_m) - 5e-4  # noqa: B023, E731
+        found = found.withColumn("pose", number(size))
+        poses = found.select(key, "pose", low("x", "bx").alias("x"), low("y", "by").alias("y"), (F.col("turn") * math.radians(o.rotation_deg)).alias("rotation"))
+        near = lookup(posed_samples(poses, samples, F.lit(scale), key, r.layers), pooled(cells, factor), frame, r, factor)
+        hole = paths.off_street_run(near, [key, "pose"], F.col("spacing"), o.hole_threshold_m, F.col("perimeter_m"))
+        left = hole.where(F.col("max_hole_m") <= most + 1e-6).select(key, "pose")
+        found = found.join(left, [key, "pose"], "left_semi").drop("pose")
+        inner = size // (blocks[k + 1] if k + 1 < len(blocks) else 1)
+        part = F.sequence(F.lit(0).cast("long"), F.lit(inner - 1).cast("long"))
+        found = found.withColumn("ix", F.explode(part)).withColumn("iy", F.explode(part))
+        found = found.withColumns({"bx": F.col("bx") * inner + F.col("ix"), "by": F.col("by") * inner + F.col("iy")}).drop("ix", "iy")
+        below = size // inner
+        found = found.where((F.col("bx") * below <= F.col("lx")) & (F.col("by") * below <= F.col("ly")))
+    place = lambda c, b: (F.col(f"min_{c}") + F.col(b) * o.anchor_m).alias(c)
+    rotation = F.col("turn") * (o.rotation_deg * math.pi / 180)
+    return found.select(key, number(1).alias("pose"), place("x", "bx"), place("y", "by"), rotation.alias("rotation"))
+
+
 def search_poses(
     ring: DataFrame, bounds: DataFrame, cells: DataFrame, frame: DataFrame, scale: float = 1.0, o: PoseOptions = PoseOptions(),
-    r: RasterOptions = RasterOptions(), key: str = "path_id", limit: int | None = None,
+    r: RasterOptions = RasterOptions(), key: str = "path_id", limit: int | None = None, blocks: tuple[int, ...] = BLOCKS,
 ) -> DataFrame:
     """(key, x, y, rotation, cost, max_hole_m, rank): the cheapest poses
     without a long hole, none close to a better one.
 
-    All poses of the grid are scored on few samples first; only those whose
-    holes could still be short enough are scored on all. ``bounds`` is one row
-    for all outlines, or one for each with its ``key``.
+    Of the poses of the grid, those that ``open_poses`` can't rule out are
+    scored on few samples; only those whose holes could still be short enough
+    are scored on all. ``bounds`` is one row for all outlines, or one for each
+    with its ``key``.
     """
     from . import matching
 
     perimeter = paths.path_length(ring, True, key)
     outlines = ring.select(key).distinct()
     boxed = outlines.join(bounds, key) if key in bounds.columns else outlines.join(F.broadcast(bounds))
-    grid = matching.pose_grid(boxed, o.anchor_m, o.rotation_deg, [key])
-    grid = grid.withColumn("pose", F.row_number().over(Window.partitionBy(key).orderBy("x", "y", "turn")))
+    grid = open_poses(ring, perimeter, boxed, cells, frame, scale, o, r, key, blocks)
 
     def holes(poses: DataFrame, spacing: float, most: float) -> DataFrame:
         s = spaced_samples(ring, perimeter, spacing, key)
         return evaluate_poses(poses, s, cells, frame, F.lit(scale), o.hole_threshold_m, o.cap_m, key, r).where(F.col("max_hole_m") <= most)
 
     rough = holes(grid, o.coarse_m, o.max_hole_m + 2 * o.coarse_m)
-    left = grid.join(rough.select(key, "pose"), [key, "pose"])
-    fine = left.join(holes(left, o.fine_m, o.max_hole_m), [key, "pose"]).drop("turn")
+    left = cut_lineage(grid.join(rough.select(key, "pose"), [key, "pose"]))
+    fine = left.join(holes(left, o.fine_m, o.max_hole_m), [key, "pose"])
     best = matching.dedup_poses(fine, key, ["cost", "pose"], o.dedup_m, o.dedup_deg, limit or o.count)
     return best.select(key, "x", "y", "rotation", "cost", "max_hole_m", "rank")

@@ -215,7 +215,8 @@ def r11(d):
 
 @query("r10_distance_transform", "SELECT CAST(layer AS INTEGER) AS layer, cx, cy, CAST(d2 AS DOUBLE) AS d2 FROM g_grid WHERE d2 <= 44 * 44", _LSEG, _CELLS, _GRID)
 def r10(d):
-    return raster.distance_grids(lattice_raster(d)[3], raster_width(d), 45).where(C("d2") <= 44 * 44)
+    cells = raster.near_cells(lattice_raster(d)[3], 44, (raster_width(d), 45))
+    return cells.withColumn("d2", C("d2").cast("double"))
 
 
 @query(
@@ -225,7 +226,7 @@ def r10(d):
 )
 def j18(d):
     _, _, frame, sources = lattice_raster(d)
-    cells = raster.distance_grids(sources, raster_width(d), 45)
+    cells = raster.near_cells(sources, 64, (raster_width(d), 45))
     p = lattice_probes(d).withColumn("layer", (C("pid") % 12).cast("int"))
     return raster.lookup(p, cells, frame, R).select("pid", q(F.least("d", L(9999.0))).alias("d"))
 
