@@ -123,9 +123,26 @@ def evaluate_poses(
     capped distances summed over the samples, and the longest run of samples
     farther than the threshold."""
     near = lookup(posed_samples(poses, samples, scale, key, o.layers), cells, frame, o)
-    hole = paths.off_street_run(near, [key, "pose"], F.col("spacing"), threshold_m, F.col("perimeter_m"))
-    cost = near.groupBy(key, "pose").agg(F.sum(F.least("d", F.lit(cap_m))).alias("cost"))
-    return cost.join(hole, [key, "pose"])
+    return near.groupBy(key, "pose").agg(F.sum(F.least("d", F.lit(cap_m))).alias("cost"), longest_hole(threshold_m).alias("max_hole_m"))
+
+
+def longest_hole(threshold_m: float) -> Column:
+    """Aggregate over a pose's samples (i, d, spacing): the longest run of those
+    farther than the threshold, where a run at the end goes on at the start
+    unless it is the whole ring. A pose's samples are few."""
+    sample = F.struct("i", (F.col("d") > threshold_m).alias("off"), "spacing")
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("run"), zero.alias("head"), zero.alias("longest"), F.lit(False).alias("street"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x["off"], s["run"] + x["spacing"]).otherwise(zero)
+        head = F.when(s["street"] | ~x["off"], s["head"]).otherwise(run)
+        return F.struct(run.alias("run"), head.alias("head"), F.greatest(s["longest"], run).alias("longest"), (s["street"] | ~x["off"]).alias("street"))
+
+    def end(s: Column) -> Column:
+        return F.greatest(s["longest"], F.when(s["street"] & (s["run"] > 0), s["run"] + s["head"]).otherwise(zero))
+
+    return F.aggregate(F.array_sort(F.collect_list(sample)), start, step, end)
 
 
 #: Anchors a side of the blocks that are opened step by step.
@@ -165,7 +182,7 @@ def open_poses(
         found = found.withColumn("pose", number(size))
         poses = found.select(key, "pose", low("x", "bx").alias("x"), low("y", "by").alias("y"), (F.col("turn") * math.radians(o.rotation_deg)).alias("rotation"))
         near = lookup(posed_samples(poses, samples, F.lit(scale), key, r.layers), pooled(cells, factor), frame, r, factor)
-        hole = paths.off_street_run(near, [key, "pose"], F.col("spacing"), o.hole_threshold_m, F.col("perimeter_m"))
+        hole = near.groupBy(key, "pose").agg(longest_hole(o.hole_threshold_m).alias("max_hole_m"))
         left = hole.where(F.col("max_hole_m") <= most + 1e-6).select(key, "pose")
         found = found.join(left, [key, "pose"], "left_semi").drop("pose")
         inner = size // (blocks[k + 1] if k + 1 < len(blocks) else 1)
@@ -205,5 +222,7 @@ def search_poses(
     rough = holes(grid, o.coarse_m, o.max_hole_m + 2 * o.coarse_m)
     left = cut_lineage(grid.join(rough.select(key, "pose"), [key, "pose"]))
     fine = left.join(holes(left, o.fine_m, o.max_hole_m), [key, "pose"])
+    # Sums in any order: equal costs must stay equal, so that the grid's order decides.
+    fine = fine.withColumn("cost", F.floor(F.col("cost") * 1e6 + 0.5) / 1e6)
     best = matching.dedup_poses(fine, key, ["cost", "pose"], o.dedup_m, o.dedup_deg, limit or o.count)
     return best.select(key, "x", "y", "rotation", "cost", "max_hole_m", "rank")

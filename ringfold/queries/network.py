@@ -282,13 +282,51 @@ def block_ring(d):
     return d.spark.createDataFrame([(0, i, x, y) for i, (x, y) in enumerate(rows)], "path_id long, seq long, x double, y double")
 
 
-@query("r13_search_poses")
+#: Anchors and rotations of every outline in its own region's box.
+SEARCH = PoseOptions(anchor_m=250.0, rotation_deg=45.0, count=5)
+
+
+def _holes(out: str, poses: str, spacing: int) -> str:
+    """CTEs up to ``out`` (path_id, pose, cost, hole): samples of the small
+    outlines under the poses of a CTE, looked up; runs of far ones as islands."""
+    step = f"greatest(1, CAST(floor(32 / greatest(1, floor(per / {spacing} + 0.5)) + 0.5) AS BIGINT))"
+    run = "CASE WHEN d > 30 THEN spacing ELSE 0 END"
+    return f"""{out}_pick AS (SELECT s.path_id, s.seq, s.x, s.y, f.x - b.x AS hx, f.y - b.y AS hy, per / count(*) OVER (PARTITION BY s.path_id) AS spacing FROM g_small s JOIN g_girth USING (path_id)
+        JOIN g_small f ON f.path_id = s.path_id AND f.seq = (s.seq + 2) % 32 JOIN g_small b ON b.path_id = s.path_id AND b.seq = (s.seq + 30) % 32 WHERE s.seq % {step} = 0),
+    {out}_laid AS (SELECT path_id, pose, seq, spacing, p.x * cos(rot) - p.y * sin(rot) + t.x AS x, p.x * sin(rot) + p.y * cos(rot) + t.y AS y,
+        atan2(hx * sin(rot) + hy * cos(rot), hx * cos(rot) - hy * sin(rot)) AS h FROM {out}_pick p JOIN {poses} t USING (path_id)),
+    {out}_seen AS (SELECT l.*, coalesce(sqrt(d2) * 25, 'inf'::DOUBLE) AS d FROM (SELECT *, CAST(floor((h - floor(h / pi()) * pi()) / (pi() / 12) + 0.5) AS BIGINT) % 12 AS layer,
+        CAST(floor((x + 50) / 25) AS BIGINT) AS cx, CAST(floor((y + 50) / 25) AS BIGINT) AS cy FROM {out}_laid) l LEFT JOIN g_grid g ON g.layer = l.layer AND g.cx = l.cx AND g.cy = l.cy),
+    {out}_isle AS (SELECT *, max(island) OVER (PARTITION BY path_id, pose) AS islands
+        FROM (SELECT *, sum(CASE WHEN d > 30 THEN 0 ELSE 1 END) OVER (PARTITION BY path_id, pose ORDER BY seq) AS island FROM {out}_seen)),
+    {out}_run AS (SELECT path_id, pose, island, any_value(islands) AS islands, sum({run}) AS run, sum(least(d, 60)) AS cost FROM {out}_isle GROUP BY 1, 2, 3),
+    {out} AS MATERIALIZED (SELECT path_id, pose, cost, greatest(longest, CASE WHEN islands > 0 AND tail > 0 THEN tail + head ELSE 0 END) AS hole FROM (SELECT path_id, pose, sum(cost) AS cost, max(run) AS longest,
+        sum(CASE WHEN island = 0 THEN run ELSE 0 END) AS head, sum(CASE WHEN island = islands THEN run ELSE 0 END) AS tail, max(islands) AS islands FROM {out}_run GROUP BY 1, 2))"""
+
+
+_SMALL = ",\n    ".join(_POSED.split(",\n    ")[:2])
+_SEARCHED = f"""g_spot AS (SELECT path_id, (i * 5 + j) * 8 + k AS pose, {REGION_M} * (path_id // 100) + 250.0::DOUBLE * i AS x, 250.0::DOUBLE * j AS y, k * pi() / 4 AS rot FROM g_girth, range(5) a(i), range(5) b(j), range(8) c(k)),
+    {_holes('g_rough', 'g_spot', 100)},
+    g_left AS MATERIALIZED (SELECT s.* FROM g_spot s JOIN g_rough USING (path_id, pose) WHERE hole <= 400),
+    {_holes('g_fine', 'g_left', 20)},
+    g_best AS MATERIALIZED (SELECT path_id AS g, pose, x, y, rot AS r, floor(cost * 1e6 + 0.5) / 1e6 AS cost, hole, row_number() OVER (PARTITION BY path_id ORDER BY floor(cost * 1e6 + 0.5), pose) AS rn FROM g_fine JOIN g_left USING (path_id, pose) WHERE hole <= 200)"""
+
+
+@query(
+    "r13_search_poses",
+    f"""SELECT g AS path_id, CAST(rank AS INTEGER) AS rank, {sq('x', 1)} AS x, {sq('y', 1)} AS y, {sq('r', 5)} AS rotation, {sq('cost', 2)} AS cost, {sq('hole', 2)} AS max_hole_m
+    FROM g_best_kept JOIN g_best USING (g, rn)""",
+    _AREA, _CENTRE, _REC, _LSEG, _CELLS, _GRID, _SMALL, _SEARCHED, sgreedy("g_best", sclose(150.0, 10.0), 5),
+    recursive=True,
+)
 def r13(d):
-    """The best poses of a block outline on the lattice (also T01); tests hold them against an unpruned search."""
-    _, b, frame, sources = lattice_raster(d)
-    o = PoseOptions(anchor_m=100.0, rotation_deg=30.0, count=20, hole_threshold_m=40.0)
-    found = raster.search_poses(block_ring(d), b, raster.near_cells(sources, 3), frame, 1.0, o, R)
-    return found.select("path_id", "rank", q(C("x"), 1).alias("x"), q(C("y"), 1).alias("y"), q(C("rotation"), 5).alias("rotation"), q(C("cost"), 2).alias("cost"))
+    """The best five poses of every outline among all of the grid over its region."""
+    _, _, frame, sources = lattice_raster(d)
+    ring = small_rings(d, 0.15)
+    west = float(REGION_M) * F.floor(C("path_id") / 100)
+    box = ring.select("path_id").distinct().select("path_id", west.alias("min_x"), L(0.0).alias("min_y"), (west + 1000).alias("max_x"), L(1000.0).alias("max_y"))
+    found = raster.search_poses(ring, box, raster.near_cells(sources, 3), frame, 1.0, SEARCH, R, blocks=(2,))
+    return found.select("path_id", "rank", q(C("x"), 1).alias("x"), q(C("y"), 1).alias("y"), q(C("rotation"), 5).alias("rotation"), q(C("cost"), 2).alias("cost"), q(C("max_hole_m"), 2).alias("max_hole_m"))
 
 
 _POSE_ORDER = """g_try AS MATERIALIZED (SELECT c.path_id AS g, c.pose, p.x + 90 * c.pose AS x, p.y, c.pose * 0.1::DOUBLE AS r, cost, row_number() OVER (PARTITION BY c.path_id ORDER BY cost, c.pose) AS rn FROM g_cost c JOIN g_point p ON p.pid = c.path_id)"""
