@@ -85,6 +85,28 @@ def test_components_of_strings_and_lonely_nodes(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "z", "lonely": "lonely"}
 
 
+@pytest.mark.parametrize("task_links,hot", [(None, 100_000), (0, 100_000), (0, 5)])
+def test_components_in_one_task_and_in_rounds(spark, task_links, hot):
+    """Chains, stars, cliques and random links give the same by either way, with nodes of many links dealt out."""
+    rng = np.random.default_rng(6)
+    links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(i, j) for i in range(2000, 2012) for j in range(i)  if j >= 2000]
+    links += [(int(a), int(b)) for a, b in rng.integers(3000, 3400, (300, 2))] + [(5000, 5000)] + links[:30]
+    parent = {}
+
+    def root(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    got = {r.node: r.component for r in connected_components(df, None, task_links, hot).collect()}
+    assert got == {i: root(i) for pair in links for i in pair}
+    assert connected_components(df.limit(0), None, task_links, hot).count() == 0
+
+
 # --- distance joins against all pairs ---------------------------------------------
 
 
