@@ -54,8 +54,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 #: Links that one task joins faster than rounds over the cluster would.
 TASK_LINKS = 500_000
-#: Neighbours from which a node is dealt to several tasks, and how many.
-HOT_DEGREE, SALTS = 100_000, 64
+#: Neighbours from which a node is dealt to several tasks, how many, and the links from which such nodes are looked for.
+HOT_DEGREE, SALTS, HOT_LINKS = 100_000, 64, 1_000_000
 
 
 def _join_links(frames):
@@ -78,14 +78,17 @@ def _join_links(frames):
     yield pd.DataFrame({"u": names[some], "v": names[root[some]]})
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, task_links: int | None = None, hot_degree: int = HOT_DEGREE) -> DataFrame:
+def connected_components(
+    edges: DataFrame, nodes: DataFrame | None = None, task_links: int | None = None, hot_degree: int = HOT_DEGREE, many: int = HOT_LINKS
+) -> DataFrame:
     """(node, component): each node with the least node that it reaches.
 
     ``edges`` has (a, b) of any ordered type; ``nodes`` (node) may add
     isolated ones. Alternates two star steps until nothing moves, which takes
     rounds logarithmic in a component's size: larger neighbours hang on the
     least neighbour, then smaller ones do. Minima combine before the shuffle;
-    nodes of over ``hot_degree`` neighbours are dealt to several tasks. Up to
+    with over ``many`` links, nodes of over ``hot_degree`` neighbours are dealt
+    to several tasks. Up to
     ``task_links`` links are joined in one task instead, to the same result.
     """
     task_links = TASK_LINKS if task_links is None else task_links
@@ -101,7 +104,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, task_
         state = now
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("u", "m"))
-        large = _with_least(both.where("v > u"), least, now[0], hot_degree).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both.where("v > u"), least, now[0] > many, hot_degree).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.unionByName(down.withColumnRenamed("m", "v")).distinct())
@@ -112,10 +115,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, task_
     return every.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def _with_least(links: DataFrame, least: DataFrame, count: int, hot_degree: int) -> DataFrame:
-    """``links`` (u, v) with ``m`` of ``least`` (u, m, degree). Hot nodes are at
-    most 2 * count / hot_degree, which decides whether they are broadcast."""
-    if count <= hot_degree:
+def _with_least(links: DataFrame, least: DataFrame, many: bool, hot_degree: int) -> DataFrame:
+    """``links`` (u, v) with ``m`` of ``least`` (u, m, degree)."""
+    if not many:
         return links.join(least.drop("degree"), "u")
     hot = cut_lineage(least.where(F.col("degree") > hot_degree).select("u", F.lit(SALTS).alias("salts")))
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot

@@ -102,9 +102,9 @@ def test_components_in_one_task_and_in_rounds(spark, task_links, hot):
         a, b = sorted((root(a), root(b)))
         parent[b] = a
     df = spark.createDataFrame(links, "a long, b long").repartition(3)
-    got = {r.node: r.component for r in connected_components(df, None, task_links, hot).collect()}
+    got = {r.node: r.component for r in connected_components(df, None, task_links, hot, many=0).collect()}
     assert got == {i: root(i) for pair in links for i in pair}
-    assert connected_components(df.limit(0), None, task_links, hot).count() == 0
+    assert connected_components(df.limit(0), None, task_links, hot, many=0).count() == 0
 
 
 # --- distance joins against all pairs ---------------------------------------------
