@@ -3,60 +3,23 @@ distributed running totals and connected components."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship  # noqa: F401  the package as a zip for the workers
-
-#: A side of a join is only broadcast when its counted rows stay below this.
-BROADCAST_ROWS = 100_000
+from ..operators.components import BROADCAST_ROWS, connected_components, shared_dir, tidy
+from ..operators.components import cut_lineage as cut
+from ..session import ship  # the package as a zip for the workers
 
 #: Rows of one key that a join may put in one task.
 HOT_ROWS = 1_000_000
 
-_ROW_IN_PART = (1 << 33) - 1  # of monotonically_increasing_id
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["BROADCAST_ROWS", "components", "cut", "shared_dir", "ship", "tidy", "written"]
 
-    Only where that is unset on a local master a temporary folder takes its
-    place; elsewhere its absence is an error.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        path = tempfile.mkdtemp(prefix="ringfold-checkpoints-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path)
-    return path
-
-
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries made and run inside let go of their shuffle files as they end,
-    instead of whenever the driver's collector finds them unused."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    with tidy(df.sparkSession):
-        return df.select("*").checkpoint(eager=True)
+_ROW_IN_PART = (1 << 33) - 1  # of monotonically_increasing_id
 
 
 @dataclass
@@ -208,46 +171,9 @@ def _attach(df: DataFrame, before: DataFrame, keys: Iterable[str], out: str) ->
 
 
 def components(edges: DataFrame, many: int = 1_000_000, hot_degree: int = 100_000) -> DataFrame:
-    """Connected components of ``edges(u, v)`` by alternating stars.
-
-    Returns (node, component): every node of an edge with the smallest node
-    that it reaches. Each round hangs the larger neighbours of a node on its
-    smallest one (large star), then the smaller ones (small star); rounds are
-    logarithmic in the size of a component. Minima combine before the shuffle;
-    with over ``many`` edges, nodes of over ``hot_degree`` neighbours are
-    dealt to several tasks.
-    """
-    spark = edges.sparkSession
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e, state = cut(e), None
-    while True:
-        count, mark = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if not count or (count, mark) == state:
-            break
-        state = (count, mark)
-        sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sym.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
-        least = least.withColumn("m", F.least("u", "m"))
-        large = _with_minimum(sym.where("v > u"), least, count > many, hot_degree)
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        lower = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(lower.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-    if not count:
-        return spark.createDataFrame([], "node long, component long")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _with_minimum(sym: DataFrame, least: DataFrame, many: bool, hot_degree: int, salts: int = 64) -> DataFrame:
-    if many:
-        hot = least.where(F.col("degree") > hot_degree).select("u", F.lit(salts).alias("salts"))
-        hot = small(cut(hot))
-        sym = sym.join(hot, "u", "left").withColumn(
-            "salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("salts")), F.lit(0))
-        )
-        least = least.join(hot, "u", "left").withColumn(
-            "salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))
-        )
-        return sym.drop("salts").join(least.drop("salts", "degree"), ["u", "salt"])
-    return sym.join(least.drop("degree"), "u")
+    """Connected components of ``edges(u, v)``: (node, component), every node of
+    an edge of two nodes with the smallest one that it reaches. In rounds over
+    the cluster at any size; with over ``many`` edges, nodes of over
+    ``hot_degree`` neighbours are dealt to several tasks."""
+    links = edges.where("u <> v").select(F.col("u").cast("long").alias("a"), F.col("v").cast("long").alias("b"))
+    return connected_components(links, task_links=0, hot_degree=hot_degree, many=many)
