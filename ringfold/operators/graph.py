@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..params import GraphOptions
-from . import paths, spatial
+from . import overlay, paths, spatial
 from .components import connected_components, cut_lineage
 from .kernels import Graph
 
@@ -177,7 +176,13 @@ def nearest_edge_point(
     return points.join(best.select(*key, "m.*"), key, "left")
 
 
-def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, task_pairs: int = 5000) -> DataFrame:
+#: Nodes of a component that a task searches whole; larger ones are searched on an overlay of cells.
+TASK_NODES = 100_000
+
+
+def shortest_paths(
+    pairs: DataFrame, nodes: DataFrame, edges: DataFrame, task_pairs: int = 5000, task_nodes: int = TASK_NODES, cell_m: float | None = None
+) -> DataFrame:
     """(a, b, length_m, edges): the shortest path of every distinct pair of
     nodes; a null length where there is none, 0 from a node to itself.
 
@@ -185,8 +190,13 @@ def shortest_paths(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, task_pa
     components need no search. The others are dealt by component, and a
     component of many pairs to several tasks of about ``task_pairs``, each of
     which gets that component's graph alone: the graph is copied as often as
-    its pairs call for, and a task holds one component (the operator's bound).
+    its pairs call for. Where a component has over ``task_nodes`` nodes, the
+    search goes over an overlay of cells instead (``cell_m`` a side), of which
+    a task holds one.
     """
+    largest = nodes.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > task_nodes:
+        return overlay.overlay_paths(pairs, nodes, edges, cell_m or overlay.suggested_cell(nodes))
     of = lambda s: nodes.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
     p = pairs.select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("c", F.when(F.col("ca") == F.col("cb"), F.col("ca")))
     p = cut_lineage(p.select("a", "b", "c"))

@@ -288,6 +288,33 @@ class Graph:
                     heapq.heappush(heap, (length + self.distance(other, goal), pushed, other))
         return None
 
+    def reach(self, start, goals, most: float = math.inf) -> dict:
+        """{goal: (length, edge ids)} of the shortest paths to all ``goals`` that
+        lie within ``most``, in one search; it ends when all are met."""
+        best, via, done, left = {start: 0.0}, {}, set(), set(goals)
+        heap, pushed = [(0.0, 0, start)], 0
+        while heap and left:
+            length, _, at = heapq.heappop(heap)
+            if at in done or length > most:
+                continue
+            done.add(at)
+            left.discard(at)
+            for other, ident in self.adjacent.get(at, ()):
+                there = length + self.edges[ident][3]
+                if other not in done and there < best.get(other, math.inf):
+                    best[other], via[other] = there, (at, ident)
+                    pushed += 1
+                    heapq.heappush(heap, (there, pushed, other))
+        out = {}
+        for goal in goals:
+            if goal in done:
+                chain, at = [], goal
+                while at != start:
+                    at, ident = via[at]
+                    chain.append(ident)
+                out[goal] = (best[goal], tuple(reversed(chain)))
+        return out
+
     def polyline(self, start, edge_ids: Sequence) -> list[Point]:
         """The node's position, then the vertices of the edges as walked."""
         out, at = [self.position[start]], start
