@@ -487,29 +487,36 @@ def match_loop(ring: np.ndarray, graph: Graph, main: Sequence, o: MatchOptions)
                 costs[key] = min(o.cost_cap, (o.excess_weight * over + o.deficit_weight * under) / o.step_m)
         return costs[key]
 
-    layers = [
-        np.array([[hop(a[0], b[0]) for b in after] for a in before]) for before, after in zip(states, states[1:])
-    ]
-    emission = [np.array([(d / o.emission_m) ** 2 for _, d in s]) for s in states]
-    best, walk = math.inf, None
-    for s, (start, _) in enumerate(states[0]):
-        total = np.zeros(1)
-        back = []
-        for i, layer in enumerate(layers):
-            reach = total[:, None] + (layer[s : s + 1] if i == 0 else layer) + emission[i + 1][None, :]
-            back.append(reach.argmin(axis=0))
-            total = reach.min(axis=0)
-        last = states[-1] if layers else [states[0][s]]
-        closing = total + np.array([hop(n, start) for n, _ in last])
-        k = int(closing.argmin())
-        if closing[k] < best:
-            best = float(closing[k])
-            nodes = []
-            for i in range(len(layers), 0, -1):
-                nodes.append(states[i][k][0])
-                k = int(back[i - 1][k])
-            walk = [start, *reversed(nodes)]
-    return walk
+    layers = [np.array([[hop(a[0], b[0]) for b in after] for a in before]) for before, after in zip(states, states[1:] + states[:1])]
+    walk = closed_walk(layers, [np.array([(d / o.emission_m) ** 2 for _, d in s]) for s in states])
+    return None if walk is None else [states[i][k][0] for i, k in enumerate(walk)]
+
+
+def closed_walk(layers: Sequence[np.ndarray], emission: Sequence[np.ndarray]) -> list[int] | None:
+    """The cheapest closed walk through one candidate of each sample, by its
+    numbers; None where every walk is infinite.
+
+    ``layers[i]`` has the costs of hops from the candidates of sample i to those
+    of the next one, after the last to the first. A min-plus product over the
+    layers runs for all starts at once; a start's own emission doesn't count.
+    """
+    if len(layers) == 1:
+        own = np.diagonal(layers[0])
+        return [int(own.argmin())] if own.min() < math.inf else None
+    total = layers[0] + emission[1][None, :]  # (starts, candidates)
+    back = []
+    for layer, more in zip(layers[1:-1], emission[2:]):
+        reach = total[:, :, None] + layer[None] + more[None, None, :]
+        back.append(reach.argmin(axis=1))
+        total = reach.min(axis=1)
+    closing = total + layers[-1].T
+    start, k = np.unravel_index(int(closing.argmin()), closing.shape)
+    if closing[start, k] == math.inf:
+        return None
+    walk = [int(k)]
+    for step in reversed(back):
+        walk.append(int(step[start, walk[-1]]))
+    return [int(start), *reversed(walk)]
 
 
 class _LoopCost:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import graph as graphs
 from ..operators import kernels, paths, raster
-from ..operators.components import cut_lineage
+from ..operators.components import BROADCAST_ROWS, cut_lineage
 from ..params import Bar, GraphOptions, LadderOptions, MatchOptions, PoseOptions, PruneOptions, RasterOptions, Tier
+from . import tiles
 
 ROUTE = (
     "path_id long, pose long, x double, y double, rotation double, length_m double, length_ratio double, mean_deviation_m double,"
@@ -68,50 +69,56 @@ def unpack_graph(row) -> tuple[kernels.Graph, list]:
 
 
 def match_poses(
-    poses: DataFrame, ring: DataFrame, packed: DataFrame, target_m: DataFrame, scale: float, tier: Tier, o: LadderOptions = LadderOptions(), key: str = "path_id"
-) -> DataFrame:
+    poses: DataFrame, ring: DataFrame, nodes: DataFrame, edges: DataFrame, target_m: DataFrame, scale: float, tier: Tier, o: LadderOptions = LadderOptions(),
+    key: str = "path_id",
+) -> DataFrame:
     """Routes (``ROUTE``) of the poses: each placed outline matched to the
     streets and scored; the best ``pool`` of each outline are pruned and
     scored again. Poses without a match are left out. With a column ``region``
-    poses are matched to the graph of theirs (``graph_rows``), all regions in
-    one run; a pose's number is its own in all of them."""
-    region = F.col("region").cast("long") if "region" in poses.columns else F.lit(0).cast("long")
+    poses are matched to the nodes of theirs, all regions in one run.
+
+    No task holds a region's graph: hops come from tiles of it (``tiles``), a
+    scored walk brings the streets that it passes, a pruned one those around.
+    """
+    own = lambda t: (F.col("region").cast("long") if "region" in t.columns else F.lit(0).cast("long")).alias("region")
+    nodes = cut_lineage(nodes.select(own(nodes), "node", "x", "y", "component"))
     both = g.apply(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"), F.col("rotation"), F.lit(scale))
-    p = poses.select(region.alias("region"), key, "pose", F.col("x").alias("tx"), F.col("y").alias("ty"), "rotation").join(ring, key).withColumn("p", both)
+    p = poses.select(own(poses), key, "pose", F.col("x").alias("tx"), F.col("y").alias("ty"), "rotation").join(ring, key).withColumn("p", both)
     placed = p.groupBy("region", key, "pose", "tx", "ty", "rotation").agg(F.array_sort(F.collect_list(F.struct("seq", "p.x", "p.y"))).alias("ring"))
     work = placed.join(target_m.select(key, (F.col("length_m") * scale).alias("target_m")), key)
-    work = work.withColumnRenamed(key, "path_id")
-    options = MatchOptions(radius_m=tier.radius_m, candidates=tier.candidates)
+    work = cut_lineage(work.withColumnRenamed(key, "path_id"))
     bar = o.bar
 
-    def score(graph: kernels.Graph, row, nodes: list, ring_xy: np.ndarray) -> dict:
-        points, legs = graph.loop(nodes)
-        m = kernels.route_metrics(points, legs, ring_xy, row.target_m, graph)
+    def outline(row) -> np.ndarray:
+        return np.array([(p["x"], p["y"]) for p in row.ring])
+
+    def score(row, nodes: list, points: np.ndarray, legs: list, graph: kernels.Graph) -> dict:
+        m = kernels.route_metrics(points, legs, outline(row), row.target_m, graph)
         worst = max(kernels.bar_terms(m, bar))
         return {
             "path_id": row.path_id, "pose": row.pose, "x": row.tx, "y": row.ty, "rotation": row.rotation, **m,
             "worst": worst, "passes": worst <= 1, "nodes": nodes, "points": points.tolist(),
         }
 
-    def outline(row) -> np.ndarray:
-        return np.array([(p["x"], p["y"]) for p in row.ring])
-
-    def match(graph: kernels.Graph, main: list, frame: pd.DataFrame) -> list[dict]:
-        walks = ((row, kernels.match_loop(outline(row), graph, main, options)) for row in frame.itertuples())
-        return [score(graph, row, nodes, outline(row)) for row, nodes in walks if nodes]
-
-    def prune(graph: kernels.Graph, main: list, frame: pd.DataFrame) -> list[dict]:
+    def prune(graph: kernels.Graph, frame: pd.DataFrame) -> list[dict]:
         out = []
         for row in frame.itertuples():
-            nodes = kernels.prune_spikes(list(row.nodes), graph, outline(row), row.target_m, PruneOptions(passes=tier.passes), bar)
-            out.append(score(graph, row, nodes, outline(row)))
+            kept = kernels.prune_spikes(list(row.nodes), graph, outline(row), row.target_m, PruneOptions(passes=tier.passes), bar)
+            out.append(score(row, kept, *graph.loop(kept), graph))
         return out
 
-    work = cut_lineage(work)
-    matched = cut_lineage(by_region(work, packed, match, ROUTE))
+    options = MatchOptions(radius_m=tier.radius_m, candidates=tier.candidates)
+    walks, legs = tiles.match_outlines(work, nodes, edges, options)
+    matched = cut_lineage(tiles.score_walks(walks, legs, nodes, edges, score, ROUTE, work))
     w = Window.partitionBy("path_id").orderBy("worst", "pose")
-    best = matched.withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.pool).select("path_id", "pose", "nodes")
-    return cut_lineage(by_region(work.join(best, ["path_id", "pose"]), packed, prune, ROUTE, 1))
+    best = matched.withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.pool)
+    if not tier.passes:
+        return cut_lineage(best.drop("n"))
+    best = best.select("path_id", "pose", "nodes", "points", "length_m").join(work, ["path_id", "pose"])
+    # A walk of one node has no length and nothing to prune.
+    still = cut_lineage(best.where("size(nodes) < 2").select("path_id", "pose"))
+    pruned = tiles.with_surroundings(cut_lineage(best.where("size(nodes) > 1")), nodes, edges, prune, ROUTE)
+    return cut_lineage(pruned.unionByName(matched.join(still, ["path_id", "pose"], "left_semi")))
 
 
 def pick_distinct(routes: DataFrame, kept: int, separation_m: float) -> DataFrame:
@@ -139,7 +146,7 @@ def generate_routes(
     An outline in a region is searched for on its own. Each tier searches
     wider; those whose best route meets the bar stop there, the others go on,
     and after the last tier keep what they have. All regions run at once: one
-    graph build, one sparse raster, and matching dealt by region.
+    graph build, one sparse raster, and matching by tiles.
     """
     region = F.col("region").cast("long") if "region" in ways.columns else F.lit(0).cast("long")
     ways = ways.select(region.alias("region"), "path_id", "seq", "x", "y")
@@ -148,15 +155,16 @@ def generate_routes(
     edges = edges.withColumn("way", F.split("edge", ":")[0].cast(ways.schema["path_id"].dataType))
     edges = cut_lineage(edges.join(own, "way").drop("way"))
     ends = edges.select("region", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.min("region").alias("region"))
-    packed = cut_lineage(graph_rows(nodes.join(ends, "node"), edges, "region"))
+    nodes = cut_lineage(nodes.join(ends, "node"))
     segs = paths.segments(ways.drop("region"), False)
     box = cut_lineage(paths.bounds(ways, "region"))
     frame = cut_lineage(raster.raster_frame(paths.bounds(ways, None), grid))
     reach = int(np.ceil(poses.cap_m / grid.cell_m))
     cells = cut_lineage(raster.near_cells(raster.source_cells(segs, frame, grid), reach))
 
-    # One outline in one region is a pair; regions are few.
-    pairs = rings.select("path_id").distinct().join(F.broadcast(box.select("region")))
+    # One outline in one region is a pair: every outline is asked for in every region.
+    outlines, regions = rings.select("path_id").distinct(), box.select("region")
+    pairs = outlines.join(F.broadcast(regions) if regions.count() <= BROADCAST_ROWS else regions)
     pairs = cut_lineage(pairs.withColumn("pair", F.monotonically_increasing_id()))
     left = rings.join(pairs, "path_id").select("pair", "seq", "x", "y")
     target = cut_lineage(paths.path_length(left, True, "pair"))
@@ -165,7 +173,7 @@ def generate_routes(
     for number, tier in enumerate(ladder.tiers):
         found = raster.search_poses(left, bounds, cells, frame, scale, replace(poses, count=tier.poses), grid, "pair")
         found = found.withColumn("pose", F.col("rank").cast("long")).join(pairs.select("pair", "region"), "pair")
-        routes = match_poses(cut_lineage(found), left, packed, target, scale, tier, ladder, "pair")
+        routes = match_poses(cut_lineage(found), left, nodes, edges, target, scale, tier, ladder, "pair")
         best = routes.groupBy("path_id").agg(F.min("worst").alias("best"))
         last = number == len(ladder.tiers) - 1
         over = best if last else best.where("best <= 1")

@@ -351,18 +351,18 @@ def t01(d):
 # --- matching and pruning on the lattice --------------------------------------
 
 
-def matched(d, scale: float = 1.0, pruned: bool = True):
+def matched(d, pruned: bool = True):
+    """All outlines at three poses in their region, matched to its streets; the best two are pruned."""
     from ..params import Tier
 
     nodes, edges = region_graph(d)
-    packed = cut_lineage(generate.graph_rows(nodes, edges, "region"))
-    at = d.region.select("region", F.explode(F.sequence(L(0), L(63))).alias("k"))
-    east = 200.0 + 100 * (C("k") % 8) + float(REGION_M) * C("region")
+    at = d.point.select(C("pid").alias("path_id"), F.floor(C("pid") / 100).alias("region"), F.explode(F.sequence(L(0), L(2))).alias("k"))
+    east = 200.0 + 100 * (C("path_id") % 8) + float(REGION_M) * C("region")
     poses = at.select(
-        "region", L(0).cast("long").alias("path_id"), (C("region") * 64 + C("k")).alias("pose"), east.alias("x"), (200.0 + 100 * F.floor(C("k") / 8)).alias("y"), L(0.0).alias("rotation")
+        "region", "path_id", (C("path_id") * 3 + C("k")).alias("pose"), east.alias("x"), (200.0 + 100 * F.floor(C("path_id") % 64 / 8)).alias("y"), (C("k") * 0.7).cast("double").alias("rotation")
     )
-    ring = block_ring(d)
-    return generate.match_poses(poses, ring, packed, paths.path_length(ring, True), scale, Tier(12, 90.0, 8, 3 if pruned else 0), LadderOptions(pool=10 if pruned else 1 << 30))
+    ring = cut_lineage(small_rings(d, 0.15))
+    return generate.match_poses(poses, ring, nodes, edges, paths.path_length(ring, True), 1.0, Tier(12, 90.0, 8, 3 if pruned else 0), LadderOptions(pool=2 if pruned else 1 << 30))
 
 
 def region_graph(d):
@@ -381,7 +381,7 @@ def _shown(r):
 
 @query("r06_map_match")
 def r06(d):
-    """Block outlines at 64 poses of every region matched to its streets; tests hold the walk against exhaustive search."""
+    """All outlines at three poses matched to their region's streets; tests hold the walk against exhaustive search."""
     return _shown(matched(d, pruned=False)).select("pose", "nodes", "length_m")
 
 
@@ -399,13 +399,13 @@ def r08(d):
 
 @query("t13_prune_pool")
 def t13(d):
-    """The ten walks with the least worst term, which are the ones that get pruned."""
-    return _shown(matched(d)).select("pose", "worst", "passes").orderBy("worst", "pose").limit(10)
+    """Each outline's two walks with the least worst term, which are the ones that get pruned."""
+    return _shown(matched(d)).select("pose", "worst", "passes")
 
 
 @query("t06_distinct_routes")
 def t06(d):
-    """Up to three of the walks, 500 m apart first."""
+    """Up to three of each outline's walks, 500 m apart first."""
     r = generate.pick_distinct(matched(d), 3, 500.0)
     return r.select("pose", "rank", q(C("worst"), 3).alias("worst"))
 
@@ -420,7 +420,7 @@ def r14(d):
     ring = block_ring(d)
     poses = raster.search_poses(ring, b, raster.near_cells(sources, 3), frame, 1.0, o, R).withColumn("pose", C("rank").cast("long"))
     poses = poses.withColumn("region", F.floor((C("x") + 250) / REGION_M))
-    r = generate.match_poses(poses, ring, cut_lineage(generate.graph_rows(*region_graph(d), "region")), paths.path_length(ring, True), 1.0, Tier(6, 90.0, 8, 3))
+    r = generate.match_poses(poses, ring, *region_graph(d), paths.path_length(ring, True), 1.0, Tier(6, 90.0, 8, 3))
     return _shown(r).drop("nodes")
 
 
