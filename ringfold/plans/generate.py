@@ -108,8 +108,9 @@ def match_poses(
         return out
 
     options = MatchOptions(radius_m=tier.radius_m, candidates=tier.candidates)
-    walks, legs = tiles.match_outlines(work, nodes, edges, options)
-    matched = cut_lineage(tiles.score_walks(walks, legs, nodes, edges, score, ROUTE, work))
+    streets = cut_lineage(tiles.street_table(nodes, edges))
+    walks, legs = tiles.match_outlines(work, nodes, edges, streets, options)
+    matched = cut_lineage(tiles.score_walks(walks, legs, nodes, streets, score, ROUTE, work))
     w = Window.partitionBy("path_id").orderBy("worst", "pose")
     best = matched.withColumn("n", F.row_number().over(w)).where(F.col("n") <= o.pool)
     if not tier.passes:
@@ -117,7 +118,7 @@ def match_poses(
     best = best.select("path_id", "pose", "nodes", "points", "length_m").join(work, ["path_id", "pose"])
     # A walk of one node has no length and nothing to prune.
     still = cut_lineage(best.where("size(nodes) < 2").select("path_id", "pose"))
-    pruned = tiles.with_surroundings(cut_lineage(best.where("size(nodes) > 1")), nodes, edges, prune, ROUTE)
+    pruned = tiles.with_surroundings(cut_lineage(best.where("size(nodes) > 1")), streets, prune, ROUTE)
     return cut_lineage(pruned.unionByName(matched.join(still, ["path_id", "pose"], "left_semi")))
 
 

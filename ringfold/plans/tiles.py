@@ -37,6 +37,28 @@ def small_graph(frame: pd.DataFrame) -> kernels.Graph:
     return kernels.Graph([(k, *xy) for k, xy in sorted(nodes.items())], edges)
 
 
+#: Poses that share a call into Python.
+TOGETHER = 32
+
+
+def by_pose(poses: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
+    """``run(key, poses, rows)``, a frame or a list of rows, for every pose
+    (region, path_id, pose) of ``poses`` with its ``rows``; some poses are
+    dealt together, since few rows a call cost more than they work."""
+    buckets = F.lit(max(1, -(-poses.count() // TOGETHER)))
+    names = [c.split()[0] for c in schema.split(", ")]
+    own = lambda t: t.toDF(*t.columns).withColumn("__bucket", F.pmod(F.xxhash64(*POSE), buckets))  # noqa: E731  columns of its own
+
+    def each(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = dict(list(right.groupby(POSE)))
+        out = []
+        for pose, frame in left.groupby(POSE):
+            out += run(pose, frame, parts.get(pose, right.iloc[:0]))
+        return pd.DataFrame(out, columns=names)
+
+    return own(poses).groupBy("__bucket").cogroup(own(rows).groupBy("__bucket")).applyInPandas(each, schema)
+
+
 def placed_samples(placed: DataFrame, step_m: float) -> DataFrame:
     """(region, path_id, pose, i, n, x, y): the outlines ``placed`` (...,
     ring), resampled."""
@@ -93,14 +115,16 @@ def bounded_paths(pairs: DataFrame, streets: DataFrame, most: float, tile_m: flo
     return found.applyInPandas(run, "a string, b string, length_m double, edges array<string>")
 
 
-def match_outlines(placed: DataFrame, nodes: DataFrame, edges: DataFrame, o: MatchOptions, tile_m: float = 1000.0) -> tuple[DataFrame, DataFrame]:
+def match_outlines(
+    placed: DataFrame, nodes: DataFrame, edges: DataFrame, streets: DataFrame, o: MatchOptions, tile_m: float = 1000.0
+) -> tuple[DataFrame, DataFrame]:
     """(walks, legs) of the outlines ``placed`` (region, path_id, pose, ring):
     walks (region, path_id, pose, nodes) along the streets of their region's
     largest component, and the shortest paths legs (a, b, edges) of
     consecutive nodes. Poses without a walk are left out.
 
     ``nodes`` (region, node, x, y, component), ``edges`` (edge, a, b, length_m,
-    points). Samples meet nodes by a distance join. The cost of a hop doesn't
+    points), ``streets`` their ``street_table``. Samples meet nodes by a distance join. The cost of a hop doesn't
     rise beyond a length, so hops come from searches bounded by it, tile by
     tile, each start once; they are rows. What a task holds of one pose are its
     hops' costs, from which the cheapest closed walk is folded.
@@ -118,7 +142,6 @@ def match_outlines(placed: DataFrame, nodes: DataFrame, edges: DataFrame, o: Mat
     place = lambda c: F.when(first, F.col(f"p.{c}")).otherwise(F.col(f"q.{c}"))
     steps = steps.select(*POSE, "i", "k", "m", F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), place("x").alias("ax"), place("y").alias("ay"))
     steps = cut_lineage(steps)
-    streets = cut_lineage(street_table(nodes, edges))
     most = o.step_m * (1 + o.cost_cap / o.excess_weight)
     hops = cut_lineage(bounded_paths(steps.where("a <> b").select("a", "b", "ax", "ay"), streets, most, max(tile_m, most)))
 
@@ -126,33 +149,35 @@ def match_outlines(placed: DataFrame, nodes: DataFrame, edges: DataFrame, o: Mat
     cost = (o.excess_weight * F.greatest(F.lit(0.0), length - o.step_m) + o.deficit_weight * F.greatest(F.lit(0.0), o.step_m - length)) / o.step_m
     cost = F.when(F.col("a") == F.col("b"), 0.0).when(length.isNull(), o.cost_cap).otherwise(F.least(cost, F.lit(o.cost_cap)))
     priced = steps.join(hops.select("a", "b", "length_m"), ["a", "b"], "left").select(*POSE, "i", "k", "m", cost.alias("cost"))
-    priced = priced.toDF(*priced.columns)  # columns of its own
 
-    def run(key: tuple, states: pd.DataFrame, costs: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, states: pd.DataFrame, costs: pd.DataFrame) -> list:
         states = states.sort_values("i")
         names = [[c["node"] for c in row] for row in states.c]
         emission = [(np.array([c["d"] for c in row]) / o.emission_m) ** 2 for row in states.c]
         sizes = [len(x) for x in names]
         layers = [np.full((s, sizes[(i + 1) % len(sizes)]), np.inf) for i, s in enumerate(sizes)]
-        for i, k, m, c in zip(costs.i, costs.k, costs.m, costs.cost):
+        for i, k, m, c in zip(costs.i.tolist(), costs.k.tolist(), costs.m.tolist(), costs.cost.tolist()):
             layers[i][k, m] = c
         if len(names) == 1:
             np.fill_diagonal(layers[0], 0.0)
         walk = kernels.closed_walk(layers, emission)
-        rows = [] if walk is None else [(*key, [names[i][k] for i, k in enumerate(walk)])]
-        return pd.DataFrame(rows, columns=[*POSE, "nodes"])
+        return [] if walk is None else [(*key, [names[i][k] for i, k in enumerate(walk)])]
 
-    walks = found.groupBy(*POSE).cogroup(priced.groupBy(*POSE))
-    walks = cut_lineage(walks.applyInPandas(run, "region long, path_id long, pose long, nodes array<string>"))
+    walks = cut_lineage(by_pose(found, priced, run, "region long, path_id long, pose long, nodes array<string>"))
 
     ring = F.concat("nodes", F.array(F.get("nodes", F.lit(0))))
     pairs = F.transform(F.sequence(F.lit(0), F.size("nodes") - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, i + 1).alias("b")))
     legs = cut_lineage(walks.select(F.explode(pairs).alias("l")).select("l.*").where("a <> b").distinct())
     both = hops.select("a", "b", "edges").unionByName(hops.select(F.col("b").alias("a"), F.col("a").alias("b"), F.reverse("edges").alias("edges")))
     legs = cut_lineage(legs.join(both, ["a", "b"], "left"))
-    far = cut_lineage(legs.where("edges is null").select("a", "b"))  # hops at the cost's cap
-    if not far.isEmpty():
-        legs = legs.where("edges is not null").unionByName(graphs.shortest_paths(far, nodes, edges).select("a", "b", "edges"))
+    # Hops at the cost's cap: mostly a little farther, or else anywhere.
+    far, legs = legs.where("edges is null").select("a", "b"), legs.where("edges is not null")
+    starts = nodes.select(F.col("node").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    near = cut_lineage(far.join(starts, "a").join(bounded_paths(far.join(starts, "a"), streets, 4 * most, max(tile_m, 4 * most)).drop("length_m"), ["a", "b"], "left"))
+    legs = legs.unionByName(near.where("edges is not null").select("a", "b", "edges"))
+    rest = near.where("edges is null").select("a", "b")
+    if not rest.isEmpty():
+        legs = legs.unionByName(graphs.shortest_paths(rest, nodes, edges).select("a", "b", "edges"))
     return walks, cut_lineage(legs)
 
 
@@ -166,17 +191,14 @@ def walk_streets(walks: DataFrame, legs: DataFrame, streets: DataFrame) -> DataF
     return used.join(streets, "edge")
 
 
-def score_walks(walks: DataFrame, legs: DataFrame, nodes: DataFrame, edges: DataFrame, score, schema: str, work: DataFrame) -> DataFrame:
+def score_walks(walks: DataFrame, legs: DataFrame, nodes: DataFrame, streets: DataFrame, score, schema: str, work: DataFrame) -> DataFrame:
     """``score(row, nodes, points, legs, graph)`` of each walk, with its row of
     ``work`` and the graph of the streets that it passes."""
-    streets = walk_streets(walks, legs, street_table(nodes, edges))
-    streets = streets.toDF(*streets.columns)  # columns of its own
     # A walk of one node passes no street: its place comes with it.
     first = nodes.select(F.col("node").alias("first"), F.col("x").alias("fx"), F.col("y").alias("fy"))
     rows = work.join(walks, POSE).withColumn("first", F.get("nodes", F.lit(0))).join(first, "first")
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(key: tuple, frame: pd.DataFrame, used: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame, used: pd.DataFrame) -> list:
         out = []
         for row in frame.itertuples():
             graph = small_graph(used.drop_duplicates("edge"))
@@ -185,12 +207,12 @@ def score_walks(walks: DataFrame, legs: DataFrame, nodes: DataFrame, edges: Data
             by_leg = {leg: part.sort_values("k").edge.tolist() for leg, part in used.groupby("leg")}
             walked = [{"points": graph.polyline(a, by_leg.get(i, [])), "real": True, "edges": by_leg.get(i, [])} for i, a in enumerate(ring[:-1])]
             out.append(score(row, list(row.nodes), kernels.leg_points(walked), walked, graph))
-        return pd.DataFrame(out, columns=names)
+        return out
 
-    return rows.groupBy(*POSE).cogroup(streets.groupBy(*POSE)).applyInPandas(run, schema)
+    return by_pose(rows, walk_streets(walks, legs, streets), run, schema)
 
 
-def with_surroundings(work: DataFrame, nodes: DataFrame, edges: DataFrame, run, schema: str, tile_m: float = 1000.0) -> DataFrame:
+def with_surroundings(work: DataFrame, streets: DataFrame, run, schema: str, tile_m: float = 1000.0) -> DataFrame:
     """``run(graph, frame)`` on each row of ``work`` (region, path_id, pose,
     points, length_m, ...) with the streets around its route.
 
@@ -199,7 +221,6 @@ def with_surroundings(work: DataFrame, nodes: DataFrame, edges: DataFrame, run,
     one of them: what lies farther from the route's box is on none. Edges
     come by tiles of that box, and none twice.
     """
-    streets = cut_lineage(street_table(nodes, edges))
     xs, ys = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
     margin = F.col("length_m") / 4 + 50.0  # and what a node may lie off its streets
     lo, hi = lambda v: F.array_min(v) - margin, lambda v: F.array_max(v) + margin

@@ -352,17 +352,17 @@ def t01(d):
 
 
 def matched(d, pruned: bool = True):
-    """All outlines at three poses in their region, matched to its streets; the best two are pruned."""
+    """All outlines at two poses in their region, matched to its streets; the better one is pruned."""
     from ..params import Tier
 
     nodes, edges = region_graph(d)
-    at = d.point.select(C("pid").alias("path_id"), F.floor(C("pid") / 100).alias("region"), F.explode(F.sequence(L(0), L(2))).alias("k"))
+    at = d.point.select(C("pid").alias("path_id"), F.floor(C("pid") / 100).alias("region"), F.explode(F.sequence(L(0), L(1))).alias("k"))
     east = 200.0 + 100 * (C("path_id") % 8) + float(REGION_M) * C("region")
     poses = at.select(
-        "region", "path_id", (C("path_id") * 3 + C("k")).alias("pose"), east.alias("x"), (200.0 + 100 * F.floor(C("path_id") % 64 / 8)).alias("y"), (C("k") * 0.7).cast("double").alias("rotation")
+        "region", "path_id", (C("path_id") * 2 + C("k")).alias("pose"), east.alias("x"), (200.0 + 100 * F.floor(C("path_id") % 64 / 8)).alias("y"), (C("k") * 0.7).cast("double").alias("rotation")
     )
     ring = cut_lineage(small_rings(d, 0.15))
-    return generate.match_poses(poses, ring, nodes, edges, paths.path_length(ring, True), 1.0, Tier(12, 90.0, 8, 3 if pruned else 0), LadderOptions(pool=2 if pruned else 1 << 30))
+    return generate.match_poses(poses, ring, nodes, edges, paths.path_length(ring, True), 1.0, Tier(12, 90.0, 8, 3 if pruned else 0), LadderOptions(pool=1 if pruned else 1 << 30))
 
 
 def region_graph(d):
@@ -381,7 +381,7 @@ def _shown(r):
 
 @query("r06_map_match")
 def r06(d):
-    """All outlines at three poses matched to their region's streets; tests hold the walk against exhaustive search."""
+    """All outlines at two poses matched to their region's streets; tests hold the walk against exhaustive search."""
     return _shown(matched(d, pruned=False)).select("pose", "nodes", "length_m")
 
 
@@ -399,7 +399,7 @@ def r08(d):
 
 @query("t13_prune_pool")
 def t13(d):
-    """Each outline's two walks with the least worst term, which are the ones that get pruned."""
+    """Each outline's walk with the least worst term, which is the one that gets pruned."""
     return _shown(matched(d)).select("pose", "worst", "passes")
 
 
