@@ -352,11 +352,11 @@ def t01(d):
 
 
 def matched(d, pruned: bool = True):
-    """All outlines at two poses in their region, matched to its streets; the better one is pruned."""
+    """All outlines at a pose in their region, matched to its streets; or at two, the better of which is pruned."""
     from ..params import Tier
 
     nodes, edges = region_graph(d)
-    at = d.point.select(C("pid").alias("path_id"), F.floor(C("pid") / 100).alias("region"), F.explode(F.sequence(L(0), L(1))).alias("k"))
+    at = d.point.select(C("pid").alias("path_id"), F.floor(C("pid") / 100).alias("region"), F.explode(F.sequence(L(0), L(int(pruned)))).alias("k"))
     east = 200.0 + 100 * (C("path_id") % 8) + float(REGION_M) * C("region")
     poses = at.select(
         "region", "path_id", (C("path_id") * 2 + C("k")).alias("pose"), east.alias("x"), (200.0 + 100 * F.floor(C("path_id") % 64 / 8)).alias("y"), (C("k") * 0.7).cast("double").alias("rotation")
@@ -381,7 +381,7 @@ def _shown(r):
 
 @query("r06_map_match")
 def r06(d):
-    """All outlines at two poses matched to their region's streets; tests hold the walk against exhaustive search."""
+    """All outlines at a pose matched to their region's streets; tests hold the walk against exhaustive search."""
     return _shown(matched(d, pruned=False)).select("pose", "nodes", "length_m")
 
 
