@@ -16,18 +16,21 @@ BROADCAST_ROWS = 100_000
 
 
 @contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Queries made and run inside let go of their shuffle files as they end,
-    instead of whenever the driver's collector finds them unused."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def tidy(spark: SparkSession):
+    """A context: queries made and run inside let go of their shuffle files as
+    they end, instead of whenever the driver's collector finds them unused."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -52,6 +55,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint(eager=True)
 
 
+def cut_dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt and sorted by the keys as a checkpoint that keeps this: joins
+    and aggregates on them need no further shuffle. Adaptive execution, which
+    would leave the number of partitions open, is off for this one step."""
+    with _setting(df.sparkSession, "spark.sql.adaptive.enabled", "false"):
+        return cut_lineage(df.repartition(*keys).sortWithinPartitions(*keys))
+
+
 #: Links that one task joins faster than rounds over the cluster would.
 TASK_LINKS = 500_000
 #: Neighbours from which a node is dealt to several tasks, how many, and the links from which such nodes are looked for.

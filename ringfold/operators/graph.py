@@ -33,12 +33,12 @@ def merge_endpoints(ends: DataFrame, merge_m: float) -> DataFrame:
     )
 
 
-def junction_splits(ends: DataFrame, clusters: DataFrame, segs: DataFrame, o: GraphOptions) -> DataFrame:
+def junction_splits(ends: DataFrame, clusters: DataFrame, segs: DataFrame, o: GraphOptions, index: DataFrame | None = None) -> DataFrame:
     """(way, seg, t, x, y, root): where a lonely end meets the inside of
     another way, the nearest place in reach."""
-    lonely = clusters.withColumn("n", F.count("*").over(Window.partitionBy("cluster"))).where("n = 1")
+    lonely = clusters.groupBy("cluster").agg(F.min("ep").alias("ep"), F.count("*").alias("n")).where("n = 1")
     lonely = ends.join(lonely.select("ep", "cluster"), "ep").withColumnRenamed("way", "own")
-    pairs = spatial.near_segments(lonely, segs, o.merge_m, o.cell_m, strict=False).where("way <> own")
+    pairs = spatial.near_segments(lonely, segs, o.merge_m, o.cell_m, strict=False, index=index).where("way <> own")
     best = pairs.groupBy("ep", "cluster").agg(
         F.min_by(F.struct("way", "seg", "t", "fx", "fy"), F.struct("d", "way", "seg")).alias("b")
     )
@@ -46,20 +46,20 @@ def junction_splits(ends: DataFrame, clusters: DataFrame, segs: DataFrame, o: Gr
     return best.select("b.way", "b.seg", "b.t", F.col("b.fx").alias("x"), F.col("b.fy").alias("y"), root.alias("root"))
 
 
-def corridor_approaches(segs: DataFrame, corridor_m: float) -> DataFrame:
+def corridor_approaches(segs: DataFrame, corridor_m: float, index: DataFrame | None = None) -> DataFrame:
     """(way_a, way_b, seg_a, seg_b, near): each pair of ways' closest approach
     within the corridor, the first on ties."""
-    pairs = spatial.near_segment_pairs(segs, corridor_m, ["way", "seg"], F.col("a_way") != F.col("b_way"))
+    pairs = spatial.near_segment_pairs(segs, corridor_m, ["way", "seg"], F.col("a_way") != F.col("b_way"), index)
     pairs = pairs.groupBy(F.col("a_way").alias("way_a"), F.col("b_way").alias("way_b")).agg(
         F.min_by(F.struct("a_seg", "b_seg", "near"), F.struct("near.d", "a_seg", "b_seg")).alias("b")
     )
     return pairs.select("way_a", "way_b", F.col("b.a_seg").alias("seg_a"), F.col("b.b_seg").alias("seg_b"), "b.near")
 
 
-def corridor_splits(segs: DataFrame, ends: DataFrame, o: GraphOptions) -> DataFrame:
+def corridor_splits(segs: DataFrame, ends: DataFrame, o: GraphOptions, index: DataFrame | None = None) -> DataFrame:
     """(way, seg, t, x, y, root) on both ways of each approach that is not at
     an end of either way nor at a place where streets cross on two levels."""
-    a = corridor_approaches(segs, o.corridor_m)
+    a = corridor_approaches(segs, o.corridor_m, index)
     for x, y in o.exclusions:
         a = a.where(g.distance(F.col("near.x"), F.col("near.y"), F.lit(x), F.lit(y)) > o.exclude_m)
     by_way = ends.groupBy("way").agg(F.collect_list(F.struct("x", "y")).alias("ends"))
@@ -88,18 +88,22 @@ def build_graph(ways: DataFrame, o: GraphOptions = GraphOptions()) -> tuple[Data
         F.col("path_id").alias("way"), (F.col("seq") + 1).alias("seg"), "ax", "ay", "bx", "by"
     )
     segs, ends = cut_lineage(segs), cut_lineage(endpoints(ways))
-    clusters = merge_endpoints(ends, o.merge_m)
-    splits = junction_splits(ends, clusters, segs, o)
+    clusters = cut_lineage(merge_endpoints(ends, o.merge_m))
+    # One index of the segments by cell serves both the touching ends and the corridor, where their cells agree.
+    shared = o.corridor_m > 0 and o.cell_m == spatial.pair_cell(o.corridor_m) and o.merge_m <= o.corridor_m
+    index = spatial.segment_index(segs, o.cell_m, o.corridor_m) if shared else None
+    splits = junction_splits(ends, clusters, segs, o, index)
     if o.corridor_m > 0:
-        splits = splits.unionByName(corridor_splits(segs, ends, o))
+        splits = splits.unionByName(corridor_splits(segs, ends, o, index))
     splits = cut_lineage(splits)
 
-    roots = ends.join(clusters, "ep").withColumn("root", F.concat(F.lit("e"), F.col("cluster").cast("string")))
+    roots = cut_lineage(ends.join(clusters, "ep").withColumn("root", F.concat(F.lit("e"), F.col("cluster").cast("string"))))
     means = roots.groupBy("root").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     moved = splits.groupBy("root").agg(F.min_by(F.struct("x", "y"), F.struct("way", "seg", "t")).alias("p"))
     nodes = means.join(moved, "root", "full").select(
         F.col("root").alias("node"), F.coalesce("p.x", "mx").alias("x"), F.coalesce("p.y", "my").alias("y")
     )
+    nodes = cut_lineage(nodes)
 
     # Vertices and splits of each way in walking order; a split lies before the vertex that ends its segment.
     w = Window.partitionBy("way").orderBy("seg", "t", "root")

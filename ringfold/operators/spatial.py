@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import geometry as g
 from . import kernels
+from .components import cut_dealt
 
 _CX, _CY = "__cx", "__cy"
 
@@ -36,6 +37,13 @@ def segment_cells(segs: DataFrame, cell: float, margin: float = 0.0) -> DataFram
     return s.select("*", F.col("__c.cx").alias(_CX), F.col("__c.cy").alias(_CY)).drop("__c")
 
 
+def segment_index(segs: DataFrame, cell: float, margin: float) -> DataFrame:
+    """``segment_cells`` dealt and sorted by cell once, for several joins: what
+    joins it on the cell needs no shuffle of the segments any more."""
+    cells = segment_cells(segs, cell, margin)
+    return cut_dealt(cells, _CX, _CY)
+
+
 def point_cells(points: DataFrame, cell: float, margin: float = 0.0, x: str = "x", y: str = "y") -> DataFrame:
     """Points, one row for each cell within ``margin`` of them along the axes."""
     px, py = F.col(x), F.col(y)
@@ -58,7 +66,7 @@ def cells_along(segs: DataFrame, cell: float, min_x: Column, min_y: Column) -> D
 
 
 def near_segments(
-    points: DataFrame, segs: DataFrame, max_m: float, cell: float = 50.0, align_rad: float | None = None, strict: bool = True
+    points: DataFrame, segs: DataFrame, max_m: float, cell: float = 50.0, align_rad: float | None = None, strict: bool = True, index: DataFrame | None = None
 ) -> DataFrame:
     """All pairs of points (x, y and any columns) and segments (ax, ay, bx, by
     and any columns) under ``max_m`` apart (or at, if not ``strict``), with
@@ -67,9 +75,10 @@ def near_segments(
     With ``align_rad`` the segment must run along the point's heading (hx,
     hy), either way; a zero heading takes any segment. A pair that shares
     several cells comes out once, in the cell of its first match: the point
-    has a single cell of its own.
+    has a single cell of its own. ``index`` may be a ``segment_index`` of the
+    segments with the same cell and a margin of at least ``max_m``.
     """
-    reach = segment_cells(segs, cell, max_m)
+    reach = segment_cells(segs, cell, max_m) if index is None else index
     own = point_cells(points, cell)
     j = own.join(reach, [_CX, _CY]).drop(_CX, _CY)
     if align_rad is not None:
@@ -114,20 +123,31 @@ def near_points(left: DataFrame, right: DataFrame, max_m: float, cell: float | N
     return j.withColumn("d", g.distance(F.col("x"), F.col("y"), F.col("px"), F.col("py"))).where(F.col("d") <= max_m)
 
 
-def near_segment_pairs(segs: DataFrame, max_m: float, key: list[str], apart: Column | None = None) -> DataFrame:
+def pair_cell(max_m: float) -> float:
+    """The cell of ``near_segment_pairs``. Long segments touch many small cells:
+    cells as large as a typical one keep the copies few."""
+    return max(max_m, 50.0)
+
+
+def near_segment_pairs(segs: DataFrame, max_m: float, key: list[str], apart: Column | None = None, index: DataFrame | None = None) -> DataFrame:
     """Pairs a < b (by ``key``) of segments at most ``max_m`` apart, once each,
     as columns a_*, b_* with their closest approach (struct ``near``).
 
-    ``apart`` may narrow the pairs further, on a_* and b_* columns.
+    ``apart`` may narrow the pairs further, on a_* and b_* columns; ``index``
+    may be a ``segment_index`` with cells of ``pair_cell`` and the margin ``max_m``.
     """
-    # Long segments touch many small cells: cells as large as a typical one keep the copies few.
-    cell = max(max_m, 50.0)
+    cell = pair_cell(max_m)
     name = lambda s: [F.col(c).alias(f"{s}_{c}") for c in segs.columns]
     corner = lambda s: tuple(F.col(f"{s}_{c}") for c in ("ax", "ay", "bx", "by"))
     lo = lambda s, p, q: F.least(F.col(f"{s}_{p}"), F.col(f"{s}_{q}"))
     hi = lambda s, p, q: F.greatest(F.col(f"{s}_{p}"), F.col(f"{s}_{q}"))
-    a = segment_cells(segs, cell).select(*name("a"), _CX, _CY)
-    b = segment_cells(segs, cell, max_m).select(*name("b"), _CX, _CY)
+    if index is None:
+        a, b = segment_cells(segs, cell), segment_cells(segs, cell, max_m)
+    else:  # of the index, a segment's own cells are those of its box without the margin
+        a, b = index, index
+        for c, p, q in ((_CX, "ax", "bx"), (_CY, "ay", "by")):
+            a = a.where(F.col(c).between(g.cell(F.least(p, q), cell), g.cell(F.greatest(p, q), cell)))
+    a, b = a.select(*name("a"), _CX, _CY), b.select(*name("b"), _CX, _CY)
     first = F.struct(*[F.col(f"a_{c}") for c in key]) < F.struct(*[F.col(f"b_{c}") for c in key])
     j = a.join(b, [_CX, _CY]).where(first if apart is None else first & apart)
     # A pair counts in the lowest cell that both boxes touch: once, without a shuffle.
