@@ -509,7 +509,8 @@ def entity_text(d):
     snak = lambda v, kind="value": F.struct(L(kind).alias("snaktype"), F.struct(v.alias("value")).alias("datavalue"))
     none = L(None).cast("string")
     full = lambda **v: value(**{"id": none, "time": none, "amount": none, "unit": none, "latitude": L(None).cast("double"), "longitude": L(None).cast("double"), **v})
-    no_q = F.create_map().cast(f"map<string,array<{files.SNAK}>>")
+    own = "struct<snaktype:string,datavalue:struct<value:struct<id:string,time:string,amount:string,unit:string,latitude:double,longitude:double>>>"
+    no_q = F.create_map().cast(f"map<string,array<{own}>>")
     statement = lambda v, rank, qualifiers=None, kind="value": F.struct(snak(v, kind).alias("mainsnak"), rank.alias("rank"), (qualifiers if qualifiers is not None else no_q).alias("qualifiers"))
     length = lambda amount, unit, rank, q=None: statement(full(amount=amount, unit=unit), rank, q)
     year = lambda prop, y: F.create_map(L(prop), F.array(snak(full(time=F.concat(L("+"), y.cast("string"), L("-00-00T00:00:00Z"))))))
@@ -560,7 +561,7 @@ def s17(d):
     first = F.get(files.statements(C("claims"), "P2043"), 0)
     return c.select(
         "id", F.size(files.statements(C("claims"), "P2043")).alias("lengths"), F.size(files.statements(C("claims"), "P9")).alias("missing"),
-        F.get(files.statements(C("claims"), "P31"), 0)["mainsnak"]["datavalue"]["value"]["id"].alias("class"), files.qualifier_year(first, "P580").alias("since"),
+        files.snak_value(F.get(files.statements(C("claims"), "P31"), 0)["mainsnak"], "id").alias("class"), files.qualifier_year(first, "P580").alias("since"),
     )
 
 

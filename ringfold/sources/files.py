@@ -41,10 +41,8 @@ ELEMENT = (
     "members:array<struct<type:string,ref:bigint,role:string>>>"
 )
 ELEMENTS = f"struct<elements:array<{ELEMENT}>,remark:string>"
-SNAK = (
-    "struct<snaktype:string,datavalue:struct<value:struct<id:string,time:string,amount:string,unit:string,"
-    "latitude:double,longitude:double>>>"
-)
+#: A value may have any shape (texts, ids, times, quantities, places, or what comes next), so it stays a variant.
+SNAK = "struct<snaktype:string,datavalue:struct<type:string,value:variant>>"
 STATEMENT = f"struct<mainsnak:{SNAK},rank:string,qualifiers:map<string,array<{SNAK}>>>"
 TEXTS = "map<string,struct<value:string>>"
 ENTITY = f"struct<labels:{TEXTS},descriptions:{TEXTS},claims:map<string,array<{STATEMENT}>>>"
@@ -226,18 +224,30 @@ def statements(claims: Column, prop: str) -> Column:
     return F.coalesce(F.try_element_at(claims, F.lit(prop)), F.array().cast(f"array<{STATEMENT}>"))
 
 
+def snak_value(snak: Column, name: str, kind: str = "string") -> Column:
+    """A field of a snak's value; null where the value has another shape."""
+    return F.try_variant_get(snak["datavalue"]["value"], f"$.{name}", kind)
+
+
+def unreadable(claims: Column, prop: str, *names: str) -> Column:
+    """Whether a property has values of a shape without the given fields."""
+    return F.exists(
+        statements(claims, prop),
+        lambda s: (s["mainsnak"]["snaktype"] == "value") & F.forall(F.array(*[snak_value(s["mainsnak"], n).isNull() for n in names]), lambda missing: missing),
+    )
+
+
 def qualifier_year(statement: Column, prop: str) -> Column:
     """Year of a qualifier's time, such as +2016-00-00T00:00:00Z."""
-    time = F.get(F.try_element_at(statement["qualifiers"], F.lit(prop)), 0)["datavalue"]["value"]["time"]
+    time = snak_value(F.get(F.try_element_at(statement["qualifiers"], F.lit(prop)), 0), "time")
     return F.try_to_number(F.regexp_extract(time, r"^\s*\+?(-?[0-9]{1,9})", 1), F.lit("S999999999")).cast("long")
 
 
 def length_m(statement: Column) -> Column:
     """Metres of a quantity; an error for a unit that isn't known."""
-    value = statement["mainsnak"]["datavalue"]["value"]
-    unit = F.element_at(F.split(value["unit"], "/"), -1)
+    unit = F.element_at(F.split(snak_value(statement["mainsnak"], "unit"), "/"), -1)
     factor = F.coalesce(*[F.when(unit == u, F.lit(f)) for u, f in METRES_PER_UNIT.items()])
-    amount = F.try_to_number(F.ltrim(value["amount"], F.lit("+")), F.lit("S9999999999D999999")).cast("double")
+    amount = F.try_to_number(F.ltrim(snak_value(statement["mainsnak"], "amount"), F.lit("+")), F.lit("S9999999999D999999")).cast("double")
     bad = F.raise_error(F.concat(F.lit("a length has an unsupported unit "), F.coalesce(unit, F.lit("")))).cast("double")
     return F.when(factor.isNotNull() & amount.isNotNull(), amount * factor).otherwise(bad)
 
@@ -259,21 +269,14 @@ def choose_length(claims: Column) -> Column:
 
 
 def coordinate_of(claims: Column) -> Column:
-    """struct(longitude, latitude, ...) of the first coordinate that isn't deprecated."""
-    some = F.filter(
-        statements(claims, "P625"),
-        lambda s: ~F.coalesce(s["rank"] == "deprecated", F.lit(False))
-        & s["mainsnak"]["datavalue"]["value"]["longitude"].isNotNull()
-        & s["mainsnak"]["datavalue"]["value"]["latitude"].isNotNull(),
-    )
-    return F.get(some, 0)["mainsnak"]["datavalue"]["value"]
+    """struct(longitude, latitude) of the first coordinate that isn't deprecated."""
+    place = lambda s: F.struct(*[snak_value(s["mainsnak"], c, "double").alias(c) for c in ("longitude", "latitude")])
+    valid = F.filter(statements(claims, "P625"), lambda s: ~F.coalesce(s["rank"] == "deprecated", F.lit(False)))
+    return F.get(F.filter(F.transform(valid, place), lambda p: p["longitude"].isNotNull() & p["latitude"].isNotNull()), 0)
 
 
 def is_racetrack(claims: Column) -> Column:
-    return F.exists(
-        statements(claims, "P31"),
-        lambda s: F.coalesce(s["mainsnak"]["datavalue"]["value"]["id"].isin(*RACETRACK_CLASSES), F.lit(False)),
-    )
+    return F.exists(statements(claims, "P31"), lambda s: F.coalesce(snak_value(s["mainsnak"], "id").isin(*RACETRACK_CLASSES), F.lit(False)))
 
 
 def parse_entities(df: DataFrame, column: str, *keep: str, any_class: bool = False) -> DataFrame:

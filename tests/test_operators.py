@@ -341,6 +341,24 @@ def test_extraction_and_its_refusals(spark):
     assert run(official_m=9000.0, lat=45.0, lon=9.0).code == "no-ring"
 
 
+def test_claims_of_unexpected_shapes(spark):
+    """A value of another kind is passed over, whatever it is, and can be told from a missing one."""
+    snak = lambda v, kind="value": {"snaktype": kind, "datavalue": {"value": v, "type": "x"}}
+    say = lambda v, **more: {"mainsnak": snak(v), "rank": "normal", **more}
+    odd = ["a text", 7, None, [1, {"id": "Q2338524"}], {"text": "t", "language": "en"}, True, {"id": 12}]
+    good = {"P31": [say(v) for v in odd] + [say({"id": "Q2338524", "numeric-id": 5})], "P625": [say("45, 9"), say({"latitude": "x", "longitude": 2}), say({"latitude": 45, "longitude": 9.5, "globe": {}})]}
+    good["P2043"] = [say({"amount": "+3.5", "unit": "http://x/Q828224"}, qualifiers={"P580": [snak("soon"), snak({"time": "+2001-00-00T00:00:00Z"})]})]
+    bad = {"P31": [say(v) for v in odd], "P625": [say(v) for v in odd], "Pnew": [say({"deep": {"er": [1, 2]}})]}
+    text = json.dumps({"entities": {"Q1": {"labels": {}, "descriptions": {}, "claims": good}, "Q2": {"labels": {}, "descriptions": {}, "claims": bad}, "Q3": {}}})
+    df = spark.createDataFrame([(text,)], "value string")
+    got = files.parse_entities(df, "value", any_class=True).collect()
+    assert [(r.id, r.lon, r.lat, r.length_m) for r in got] == [("Q1", 9.5, 45.0, 3500.0)]
+    e = df.select(F.explode(F.from_json("value", files.ENTITIES)["entities"]).alias("id", "e")).select("id", C("e.claims").alias("c"))
+    deep = F.try_variant_get(F.get(files.statements(C("c"), "Pnew"), 0)["mainsnak"]["datavalue"]["value"], "$.deep.er[1]", "int")
+    shown = e.select("id", files.is_racetrack(C("c")).alias("track"), files.unreadable(C("c"), "P625", "latitude").alias("odd"), deep.alias("deep")).collect()
+    assert [tuple(r) for r in shown] == [("Q1", True, True, None), ("Q2", False, True, 2), ("Q3", False, False, None)]
+
+
 def test_store_and_load_routes(spark, tmp_path):
     r = spark.createDataFrame([("a", "porto", 1), ("b", "porto", 1)], "circuit_id string, region string, rank int")
     folder = str(tmp_path / "routes")
