@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import validate
+from ..operators.components import cut_lineage, shared_dir
 from ..params import REGIONS
 from ..sources import files, http
 from .registry import q, query, sfix, shalf, sq
@@ -433,8 +436,15 @@ def s07(d):
     return r.where("circuit_id = 'c4'").groupBy("circuit_id").agg(F.count("*").alias("routes"))
 
 
-@query("k01_stored_routes")
+@query("k01_stored_routes", "SELECT 'c' || circuit AS circuit_id, count(*) AS routes, count(*) * 20 AS points, count(DISTINCT region) AS regions FROM g_route WHERE circuit NOT IN (3, 5, 7, 9) GROUP BY 1")
 def k01(d):
-    """What a dry run of storing all routes would write: routes and bytes of JSON by circuit."""
-    r = files.routes_of(files.parse_route_files(route_files(d), "value"))
-    return r.groupBy("circuit_id").agg(F.count("*").alias("routes"), F.sum(F.length(F.to_json(F.struct("region", "rank", "points", "metrics")))).alias("bytes"))
+    """All valid route files stored as one set in the shared folder and read back from it."""
+    own = route_files(d).select(F.concat(L("c"), C("circuit").cast("string")).alias("circuit_id"), "value")
+    known = own.select(C("circuit_id").alias("id"))
+    check = lambda rows: validate.route_file_errors(files.parse_route_files(rows, "value"), known).select("circuit_id", "error")
+    own = cut_lineage(own)
+    folder = f"{shared_dir(d.spark)}/stored-routes-{uuid.uuid4().hex}"
+    bad = check(own).where("error is not null").select("circuit_id")
+    files.commit_set(own.join(bad, "circuit_id", "left_anti"), folder, check)
+    r = files.routes_of(files.parse_route_files(files.read_set(d.spark, folder), "value"))
+    return r.groupBy("circuit_id").agg(F.count("*").alias("routes"), F.sum(F.size("points")).alias("points"), F.count_distinct("region").alias("regions"))

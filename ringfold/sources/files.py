@@ -6,12 +6,16 @@ Readers give typed rows; what a file may not hold is for ``validate``.
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import geometry as g
+from ..operators.components import cut_lineage, tidy
 from ..params import METRES_PER_UNIT, PORTO_ORIGIN, RACETRACK_CLASSES, REGIONS
 
 ATTRIBUTION = "struct<source:string,license:string,url:string,retrieved:string>"
@@ -76,6 +80,69 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
         raise
 
 
+MANIFEST = "manifest.json"
+
+
+def commit_set(rows: DataFrame, folder: str, check: Callable[[DataFrame], DataFrame], key: str = "circuit_id") -> dict:
+    """Stores texts (key, value), a file or more for each key, all or none of
+    them, and gives the manifest of the new set.
+
+    Keys that ``rows`` doesn't have keep their stored texts. The whole new set
+    is written beside the old one and checked as written: ``check`` gives rows
+    (key, error). With an error nothing changes; otherwise the set gets its name
+    and the manifest, replaced at once, points to it. Readers go by the
+    manifest, so they see the old set or the new one, and the set before the
+    new one stays for those that are still at it.
+    """
+    spark = rows.sparkSession
+    name, old = uuid.uuid4().hex, manifest(spark, folder)
+    rows = cut_lineage(rows.select(key, "value"))
+    if old:
+        kept = read_set(spark, folder, key).join(rows.select(key).distinct(), key, "left_anti")
+        rows = rows.unionByName(kept)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = lambda n: jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")
+    staged, store = path(f"_staged-{name}"), path("").getFileSystem(conf)
+    try:
+        with tidy(spark):
+            rows.write.partitionBy(key).text(staged.toString())
+        found = _read_texts(spark, staged.toString(), rows.schema[key], key)
+        wrong = check(found).where("error is not null").orderBy(key).limit(5).collect()
+        if wrong:
+            raise ValueError("nothing stored: " + "; ".join(f"{r[key]}: {r['error']}" for r in wrong))
+        size = found.agg(F.count("*").alias("texts"), F.count_distinct(key).alias("keys")).first()
+        if not store.rename(staged, path(f"set-{name}")):
+            raise OSError(f"the new set could not be put in {folder}")
+    except BaseException:
+        store.delete(staged, True)
+        raise
+    entry = {"set": f"set-{name}", "before": old["set"] if old else None, "keys": size["keys"], "texts": size["texts"]}
+    replace_text(spark, f"{folder}/{MANIFEST}", json.dumps(entry))
+    if old and old.get("before"):
+        store.delete(path(old["before"]), True)
+    return entry
+
+
+def manifest(spark: SparkSession, folder: str) -> dict | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MANIFEST}")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return json.loads(read_text(spark, path.toString()).first()["value"])
+
+
+def read_set(spark: SparkSession, folder: str, key: str = "circuit_id") -> DataFrame:
+    """(key, value) of the set that the manifest names; nothing before the first."""
+    found = manifest(spark, folder)
+    field = StructField(key, StringType())
+    if not found or not found["texts"]:
+        return spark.createDataFrame([], StructType([field, StructField("value", StringType())]))
+    return _read_texts(spark, f"{folder}/{found['set']}", field, key)
+
+
+def _read_texts(spark: SparkSession, path: str, field: StructField, key: str) -> DataFrame:
+    return spark.read.schema(StructType([StructField("value", StringType()), field])).text(path).select(key, "value")
+
+
 def load_circuits(spark: SparkSession, path: str) -> DataFrame:
     """One row per circuit of a JSON array, in order of ``pos``."""
     return parse_circuits(read_text(spark, path), "value")

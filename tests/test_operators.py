@@ -370,6 +370,29 @@ def test_store_and_load_routes(spark, tmp_path):
     assert files.load_routes(spark, folder, "b").count() == 1
 
 
+def test_a_set_is_stored_whole_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    rows = lambda **texts: spark.createDataFrame(list(texts.items()), "circuit_id string, value string").repartition(3)
+    check = lambda df: df.select("circuit_id", F.when(C("value").contains("bad"), "is bad").alias("error"))
+    show = lambda: {r.circuit_id: r.value for r in files.read_set(spark, folder).collect()}
+    assert show() == {} and files.manifest(spark, folder) is None
+    with pytest.raises(ValueError, match="z: is bad"):
+        files.commit_set(rows(y="1", z="bad"), folder, check)
+    assert show() == {} and not list((tmp_path / "set").glob("*"))
+    first = files.commit_set(rows(a="1", b="2", c="3"), folder, check)
+    assert show() == {"a": "1", "b": "2", "c": "3"} and (first["keys"], first["texts"], first["before"]) == (3, 3, None)
+    with pytest.raises(ValueError, match="nothing stored: c: is bad"):
+        files.commit_set(rows(a="9", c="bad"), folder, check)
+    assert show() == {"a": "1", "b": "2", "c": "3"} and files.manifest(spark, folder) == first
+    at_it = files.read_set(spark, folder)  # a reader of the old set
+    second = files.commit_set(rows(b="5", d="6"), folder, check)
+    assert show() == {"a": "1", "b": "5", "c": "3", "d": "6"} and second["before"] == first["set"]
+    assert at_it.count() == 3
+    files.commit_set(rows(d="7"), folder, check)
+    left = sorted(p.name for p in (tmp_path / "set").glob("[!.]*"))
+    assert len(left) == 3 and first["set"] not in left and second["set"] in left and show()["d"] == "7"
+
+
 def test_streamed_states_equal_the_batch(spark, tmp_path):
     from ringfold.streaming.reducers import fold_states, stream_states
 
