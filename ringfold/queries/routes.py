@@ -268,6 +268,37 @@ _HASH = f"""g_mixed AS (SELECT page_id, url, CAST(0 AS BIGINT) AS i, {0xDEADBEEF
     g_done AS (SELECT page_id, a, xor({_mul('xor(b, b >> 16)', 2246822507)}, {_mul('xor(a, a >> 13)', 3266489909)}) AS b FROM g_final)"""
 
 
+def recorded(url: str, body: str | None, seen: dict = {}) -> tuple[int, str]:  # noqa: B006  a worker's own count
+    """Recorded answers: an address fails as often as its length says, or for good."""
+    if len(url) % 11 == 0:
+        return 404, "gone"
+    seen[url] = seen.get(url, 0) + 1
+    if seen[url] % (len(url) % 7 + 1):
+        return 503, ""
+    return 200, f'{{"length": {len(url)}}}'
+
+
+_LENGTHS = """g_asked AS (SELECT page_id, url, length(url) AS n, length(url) + 1 + (7 - (length(url) + 1) % 7) % 7 AS m FROM pages WHERE url IS NOT NULL)"""
+
+
+@query(
+    "s09_requests",
+    """SELECT page_id, CASE WHEN n % 11 = 0 THEN 'failed' WHEN n % 7 < 5 THEN 'fetched' WHEN n % 2 = 0 AND m % 11 <> 0 THEN 'fetched' ELSE 'failed' END AS source,
+    CASE WHEN n % 11 = 0 THEN 1 WHEN n % 7 < 5 THEN n % 7 + 1 WHEN n % 2 = 0 THEN 6 ELSE 5 END AS attempts,
+    CASE WHEN n % 11 = 0 THEN NULL WHEN n % 7 < 5 THEN n WHEN n % 2 = 0 AND m % 11 <> 0 THEN m END AS answer FROM g_asked""",
+    _LENGTHS,
+)
+def s09(d):
+    """Every page's address asked for, with a mirror for some, against recorded answers."""
+    url = C("url")
+    mirror = F.concat(url, L("#"), F.repeat(L("x"), (7 - (F.length(url) + 1) % 7) % 7))
+    urls = F.when(F.length(url) % 2 == 0, F.array(url, mirror)).otherwise(F.array(url))
+    asked = cut_lineage(d.table("pages").where(url.isNotNull()).select("page_id", urls.alias("urls"), L(None).cast("string").alias("body")))
+    answers = http.fetch_answers(asked, recorded, sleep=http.no_pause)
+    keyed = asked.select("page_id", http.request_key(C("urls"), C("body")).alias("key"))
+    return keyed.join(answers, "key").select("page_id", "source", "attempts", F.get_json_object("text", "$.length").cast("long").alias("answer"))
+
+
 @query("s12_hash_key", "SELECT p.page_id, lower(lpad(to_hex((b & 2097151) * 4294967296 + a), 14, '0')) AS key FROM pages p LEFT JOIN g_done d ON d.page_id = p.page_id", _HASH, recursive=True)
 def s12(d):
     """Cache keys of all page addresses."""

@@ -1,16 +1,19 @@
-"""A polite JSON client with a cache, retries and mirrors, and the hash that
-names its cache entries. All effects come in as functions."""
+"""Requests as a job: cached answers joined, the others fetched politely by host
+with retries and mirrors; and the hash that names cache entries."""
 
 from __future__ import annotations
 
 import json
 import re
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import cut_lineage
 from ..params import RUNTIME_ERROR
 
 MIN_GAP_S = 1.0
@@ -111,3 +114,72 @@ class JsonClient:
         if isinstance(remark, str) and re.search(RUNTIME_ERROR, remark):
             return "", "the service reported a runtime error", False
         return text, "", False
+
+
+def no_pause(seconds: float) -> None:
+    """For recorded answers, which need no politeness."""
+
+
+def request_key(urls: Column, body: Column) -> Column:
+    """The cache's key of a request: of its method, first address and body."""
+    method = F.when(body.isNull(), F.lit("GET ")).otherwise(F.lit("POST "))
+    return hash_key_column(F.concat(method, F.get(urls, F.lit(0)), F.lit("\n"), F.coalesce(body, F.lit(""))))
+
+
+def fetch_answers(
+    requests: DataFrame,
+    fetch: Callable[[str, str | None], tuple[int, str]],
+    cache: DataFrame | None = None,
+    offline: bool = False,
+    sleep: Callable[[float], None] = time.sleep,
+    now: Callable[[], float] = time.monotonic,
+) -> DataFrame:
+    """(key, source, attempts, text, error): an answer for every distinct
+    request (urls, body) of a table.
+
+    Answers in ``cache`` (key, text) are taken as they are; offline, a missing
+    one is an error. Requests are dealt by the host of their first address: a
+    task asks a host's one after the other, with a pause between, retries the
+    first address with growing pauses and the others once each
+    (``JsonClient``). A request that fails has an ``error`` and harms no other;
+    one without an address fails without being sent. The answers are a
+    checkpoint, since asking again on each use would be impolite; what is
+    ``fetched`` is for the caller to add to the cache. ``fetch(url, body)``
+    gives (status, text) and runs in the tasks.
+    """
+    asked = requests.select("urls", "body").withColumn("key", F.coalesce(request_key(F.col("urls"), F.col("body")), F.lit("")))
+    asked = asked.groupBy("key").agg(F.min(F.struct("urls", "body")).alias("r")).select("key", "r.*")
+    if cache is not None:
+        known = cache.groupBy("key").agg(F.min("text").alias("known"))
+        asked = asked.join(known, "key", "left")
+    else:
+        asked = asked.withColumn("known", F.lit(None).cast("string"))
+    here = asked.where("known is not null").select("key", F.lit("cached").alias("source"), F.lit(0).cast("long").alias("attempts"), F.col("known").alias("text"), F.lit(None).cast("string").alias("error"))
+    open_ = asked.where("known is null").withColumn("host", F.coalesce(F.try_parse_url(F.get("urls", F.lit(0)), F.lit("HOST")), F.lit("")))
+
+    def run(batches):
+        clients: dict[str, JsonClient] = {}
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                sent = []
+
+                def counted(url, body, sent=sent):
+                    sent.append(url)
+                    return fetch(url, body)
+
+                client = clients.setdefault(r["host"], JsonClient(counted, sleep, now, offline=offline))
+                client.fetch, client.cache = counted, {}
+                try:
+                    urls = [u for u in r["urls"] or [] if u is not None]
+                    text, error = json.dumps(client.get(urls, r["body"]), ensure_ascii=False), None
+                except (ValueError, LookupError, RuntimeError) as e:
+                    text, error = None, str(e)
+                out.append((r["key"], "failed" if error else "fetched", len(sent), text, error))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "source", "attempts", "text", "error"])
+
+    dealt = open_.repartition("host").sortWithinPartitions("host", "key").select("key", "urls", "body", "host")
+    got = dealt.mapInArrow(run, "key string, source string, attempts long, text string, error string")
+    return cut_lineage(here.unionByName(got))
