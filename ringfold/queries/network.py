@@ -200,7 +200,7 @@ def lattice_raster(d, o: RasterOptions = R):
 _CELLS = """g_source AS (SELECT DISTINCT layer, CAST(floor((ax + (bx - ax) * (i / 8.0::DOUBLE) + 50) / 25) AS BIGINT) AS cx, CAST(floor((ay + (by - ay) * (i / 8.0::DOUBLE) + 50) / 25) AS BIGINT) AS cy
     FROM g_lseg, range(12) l(layer), range(9) s(i) WHERE least(abs(atan2(by - ay, bx - ax) - layer * pi() / 12), pi() - abs(atan2(by - ay, bx - ax) - layer * pi() / 12)) <= 35 * pi() / 180)"""
 _GRID = """g_grid AS (SELECT layer, cx, cy, min(d2) AS d2 FROM (SELECT s.layer, x.cx, y.cy, (s.cx - x.cx) * (s.cx - x.cx) + (s.cy - y.cy) * (s.cy - y.cy) AS d2
-    FROM g_source s JOIN range(20000) x(cx) ON x.cx BETWEEN s.cx - 44 AND s.cx + 44 AND x.cx < 45 + 60 * (SELECT max(region) FROM g_quarter), range(45) y(cy)) GROUP BY 1, 2, 3)"""
+    FROM g_source s JOIN (SELECT unnest(range(45 + 60 * (SELECT max(region) FROM g_quarter))) AS cx) x ON x.cx BETWEEN s.cx - 44 AND s.cx + 44, range(45) y(cy)) GROUP BY 1, 2, 3)"""
 
 
 def raster_width(d) -> int:
