@@ -109,3 +109,22 @@ def test_recall_of_planted_near_copies(spark):
     assert all(a not in kept or b not in kept for a, b in pairs) and len(pairs) > 30
     prints = simhash_dedup.fingerprints(texts, 5)
     assert sum(int(prints[a] ^ prints[b]).bit_count() <= 3 for a, b in pairs) < len(pairs)
+
+
+def test_prefixes_go_before_the_sets_are_made(spark, monkeypatch):
+    import os
+
+    texts = [" ".join(f"w{i}x{k}" for k in range(40 + i % 2)) for i in range(6)] * 2
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    wrote, plain = [], jaccard_dedup.written_table
+
+    def watched(df):
+        if "own" in df.columns:
+            assert not [p for columns, p in wrote if "head" in columns and os.path.exists(p.removeprefix("file:"))]
+        table = plain(df)
+        wrote.append((df.columns, table.path))
+        return table
+
+    monkeypatch.setattr(jaccard_dedup, "written_table", watched)
+    assert sorted(r.doc_id for r in jaccard_dedup.drop_similar(docs).collect()) == list(range(6))
+    assert any("own" in columns for columns, _ in wrote) and any("head" in columns for columns, _ in wrote)
