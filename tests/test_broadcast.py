@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from ringfold.session import ESTIMATED, MEASURED, broadcast_measured
 
 
-@pytest.mark.parametrize("name", ["a12_lap_deviation", "j06_expanding_search", "j18_raster_lookup"])
+@pytest.mark.parametrize("name", ["a12_lap_deviation", "j06_expanding_search", "j18_raster_lookup", "a15_pose_cost"])
 def test_cells_are_broadcast_by_measure_only(spark, sf, name):
     before = {k: spark.conf.get(k, None) for k in (ESTIMATED, MEASURED)}
     try:
