@@ -412,3 +412,14 @@ def test_client_retries_caches_and_refuses():
         client([], offline=True).get(["u"])
     with pytest.raises(ValueError):
         client([]).get([])
+
+
+def test_frechet_of_many_pairs_at_once_is_that_of_each(monkeypatch):
+    rng = np.random.default_rng(12)
+    sizes = [(1, 1), (1, 9), (9, 1), (0, 3), (3, 0), (17, 4), (4, 17), *map(tuple, rng.integers(1, 40, (30, 2)).tolist())]
+    pairs = [(rng.normal(0, 9, (n, 2)), rng.normal(0, 9, (m, 2))) for n, m in sizes]
+    want = [kernels.discrete_frechet(a, b) for a, b in pairs]
+    for some in (1, 5, 64):
+        monkeypatch.setattr(kernels, "CURVES", some)
+        assert kernels.discrete_frechets(pairs) == want
+    assert kernels.discrete_frechets([]) == []
