@@ -124,16 +124,15 @@ def match_poses(
 
 def pick_distinct(routes: DataFrame, kept: int, separation_m: float) -> DataFrame:
     """Routes whose anchors lie apart first, then the best of the rest, ranked by worst term."""
-    schema = ROUTE + ", rank int"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values(["worst", "pose"], kind="stable").reset_index(drop=True)
         chosen = kernels.spread(list(zip(f.x, f.y)), separation_m, kept)
-        out = f.iloc[chosen].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
+        return pd.DataFrame({"path_id": f.path_id[chosen], "pose": f.pose[chosen], "rank": range(1, len(chosen) + 1)})
 
-    return routes.groupBy("path_id").applyInPandas(run, schema)
+    # The choice needs places only: the routes themselves stay out of Python.
+    chosen = routes.select("path_id", "pose", "x", "y", "worst").groupBy("path_id").applyInPandas(run, "path_id long, pose long, rank int")
+    return routes.select(*[c.split()[0] for c in ROUTE.split(", ")]).join(chosen, ["path_id", "pose"])
 
 
 def generate_routes(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,19 +60,31 @@ def by_pose(poses: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
     return own(poses).groupBy("__bucket").cogroup(own(rows).groupBy("__bucket")).applyInPandas(each, schema)
 
 
-def placed_samples(placed: DataFrame, step_m: float) -> DataFrame:
-    """(region, path_id, pose, i, n, x, y): the outlines ``placed`` (...,
-    ring), resampled."""
+#: Outlines that are resampled at once.
+SAMPLED = 256
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                xy = kernels.resample(np.array([(p["x"], p["y"]) for p in row.ring]), step_m, True)
-                out += [(row.region, row.path_id, row.pose, i, len(xy), float(x), float(y)) for i, (x, y) in enumerate(xy)]
-            yield pd.DataFrame(out, columns=[*POSE, "i", "n", "x", "y"])
 
-    return placed.select(*POSE, "ring").mapInPandas(run, "region long, path_id long, pose long, i long, n long, x double, y double")
+def placed_samples(placed: DataFrame, step_m: float, some: int = SAMPLED) -> DataFrame:
+    """(region, path_id, pose, i, n, x, y): the outlines ``placed`` (...,
+    ring), resampled, ``some`` at once."""
+
+    def run(batches):
+        for batch in batches:
+            # Arrow's lists are read in place: as Python objects a batch of rings is many times as large.
+            for part in (batch.slice(at, some) for at in range(0, batch.num_rows, some)):
+                rings = part.column("ring")
+                vertices = rings.flatten()
+                xy = np.column_stack([vertices.field(c).to_numpy(zero_copy_only=False) for c in "xy"])
+                ends = np.concatenate([[0], np.cumsum(rings.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(int)
+                found = [kernels.resample(xy[a:b], step_m, True) for a, b in zip(ends[:-1], ends[1:])]
+                n = np.array([len(f) for f in found], dtype=np.int64)
+                own = np.repeat(np.arange(len(found)), n)
+                places = np.concatenate(found)
+                i = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+                columns = [*(part.column(c).take(pa.array(own)) for c in POSE), *map(pa.array, (i, n[own], places[:, 0], places[:, 1]))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*POSE, "i", "n", "x", "y"])
+
+    return placed.select(*POSE, "ring").mapInArrow(run, "region long, path_id long, pose long, i long, n long, x double, y double")
 
 
 def candidates(samples: DataFrame, inside: DataFrame, o: MatchOptions) -> DataFrame:

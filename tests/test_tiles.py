@@ -95,3 +95,26 @@ def test_closed_walks_of_few_samples():
     assert kernels.closed_walk(two, [np.zeros(1), np.array([0.0, 0.0])]) == [0, 0]
     assert kernels.closed_walk(two, [np.zeros(1), np.array([9.0, 0.0])]) == [0, 1]
     assert kernels.closed_walk([np.full((2, 2), inf)] * 3, [np.zeros(2)] * 3) is None
+
+
+def test_samples_come_in_parts_of_a_batch(spark):
+    rng = np.random.default_rng(9)
+    rings = [rng.normal(0, 80, (n, 2)) for n in (1, 2, 5, 30, 0, 12, 3)]
+    rows = [(k % 2, k, 7 * k, [(i, float(x), float(y)) for i, (x, y) in enumerate(xy)]) for k, xy in enumerate(rings)]
+    placed = spark.createDataFrame(rows, "region long, path_id long, pose long, ring array<struct<seq:long,x:double,y:double>>").coalesce(1)
+    want = [(k % 2, k, 7 * k, i, len(s), float(x), float(y)) for k, xy in enumerate(rings) for s in [kernels.resample(xy, 25.0, True)] for i, (x, y) in enumerate(s)]
+    for some in (3, 1, 100):
+        assert sorted(map(tuple, tiles.placed_samples(placed, 25.0, some).collect())) == sorted(want)
+
+
+def test_routes_stay_out_of_python_when_some_are_chosen(spark):
+    columns = [c.split() for c in generate.ROUTE.split(", ")]
+    value = {"long": 0, "double": 0.5, "boolean": True, "array<string>": ["a"], "array<array<double>>": [[1.0, 2.0]]}
+    made = lambda pose, x, worst: tuple({"path_id": 4, "pose": pose, "x": x, "y": 0.0, "worst": worst}.get(n, value[t]) for n, t in columns)
+    routes = spark.createDataFrame([made(1, 0.0, 0.3), made(2, 100.0, 0.4), made(3, 900.0, 0.5), made(4, 50.0, 0.6)], generate.ROUTE)
+    found = generate.pick_distinct(routes, 3, 500.0)
+    assert found.columns == [n for n, _ in columns] + ["rank"]
+    assert sorted((r["rank"], r.pose) for r in found.collect()) == [(1, 1), (2, 3), (3, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    python = next(line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line)
+    assert "points" not in python and "nodes" not in python
