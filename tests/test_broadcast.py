@@ -20,3 +20,15 @@ def test_cells_are_broadcast_by_measure_only(spark, sf, name):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_feasible_poses_broadcast_no_cells(spark, sf):
+    before = {k: spark.conf.get(k, None) for k in (ESTIMATED, MEASURED)}
+    try:
+        spark.conf.set(ESTIMATED, "10MB")
+        spark.conf.unset(MEASURED)
+        plan = entry.queries()["f14_feasible_poses"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
