@@ -151,13 +151,13 @@ def component_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def nearest_edge_point(
-    points: DataFrame, edges: DataFrame, key: list[str], max_m: float, align_rad: float | None = None, within: str | None = None
+    points: DataFrame, edges: DataFrame, key: list[str], max_m: float, align_rad: float | None = None, within: str | None = None, cell: float | None = None
 ) -> DataFrame:
     """``points`` with the nearest place on an edge within ``max_m``: d, fx,
     fy, edge and the edge's end ``node`` that is nearer along it (ties: a);
     nulls where there is none. With ``align_rad`` the points' headings (hx,
     hy) must not be zero; with ``within`` only edges of a point's own value of
-    that column count."""
+    that column count; ``cell`` as in ``spatial.near_segments``."""
     own = [F.col(within).alias("__within")] if within else []
     line = edges.select("edge", "a", "b", "length_m", *own, F.posexplode("points").alias("seq", "p"))
     kept = ["__within"] if within else []
@@ -170,7 +170,7 @@ def nearest_edge_point(
     ).where("bx is not null")
     if align_rad is not None:
         points = points.where(F.assert_true((F.col("hx") != 0) | (F.col("hy") != 0), F.lit("a heading must not be zero")).isNull())
-    pairs = spatial.near_segments(points, segs, max_m, align_rad=align_rad, strict=False)
+    pairs = spatial.near_segments(points, segs, max_m, cell, align_rad, strict=False)
     pairs = pairs.where(F.col(within) == F.col("__within")) if within else pairs
     to_foot = F.col("arc_m") + F.col("t") * g.distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     node = F.when(to_foot <= F.col("length_m") - to_foot, F.col("a")).otherwise(F.col("b"))

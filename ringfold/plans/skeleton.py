@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import graph as graphs
-from ..operators import kernels, paths
-from ..params import CornerOptions, RasterOptions
+from ..operators import kernels
+from ..operators.components import cut_lineage
+from ..params import DIRECTION_SPAN, CornerOptions, RasterOptions
 from .generate import by_region
 
 LOOP = (
@@ -18,17 +21,33 @@ LOOP = (
 )
 
 
-def landmarks(rings: DataFrame, o: CornerOptions = CornerOptions()) -> DataFrame:
+#: Outlines whose corners are looked for at once.
+TOGETHER = 256
+
+
+def landmarks(rings: DataFrame, o: CornerOptions = CornerOptions(), span: int = DIRECTION_SPAN) -> DataFrame:
     """(path_id, k, seq, x, y, hx, hy): the significant corners of each outline
-    in order, with their local heading."""
+    in order, with their local heading (``paths.headings``)."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        f = frame.sort_values("seq").reset_index(drop=True)
-        found = sorted(i for i, _ in kernels.corners(f[["x", "y"]].to_numpy(), o.min_turn_rad, o.min_spacing_m))
-        return pd.DataFrame({"path_id": f.path_id.iloc[0], "k": range(len(found)), "seq": f.seq[found].to_numpy()})
+    def run(batches):
+        for batch in batches:
+            # Arrow's lists are read in place, many outlines a call.
+            for part in (batch.slice(at, TOGETHER) for at in range(0, batch.num_rows, TOGETHER)):
+                vertices = part.column("ring").flatten()
+                seq, x, y = (vertices.field(c).to_numpy(zero_copy_only=False) for c in ("seq", "x", "y"))
+                ends = np.concatenate([[0], np.cumsum(part.column("ring").value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+                xy = np.column_stack([x, y])
+                found = [np.array(sorted(i for i, _ in kernels.corners(xy[a:b], o.min_turn_rad, o.min_spacing_m)), dtype=int) for a, b in zip(ends[:-1], ends[1:])]
+                n = np.array([len(f) for f in found], dtype=int)
+                k, first, size = np.concatenate([np.arange(len(f)) for f in found]), np.repeat(ends[:-1], n), np.repeat(np.diff(ends), n)
+                own = np.concatenate(found)
+                at, ahead, behind = first + own, first + (own + span) % size, first + (own - span) % size
+                columns = [k.astype(np.int32), seq[at].astype(np.int64), x[at], y[at], x[ahead] - x[behind], y[ahead] - y[behind]]
+                paths = part.column("path_id").take(pa.array(np.repeat(np.arange(len(found)), n)))
+                yield pa.RecordBatch.from_arrays([paths, *map(pa.array, columns)], names=["path_id", "k", "seq", "x", "y", "hx", "hy"])
 
-    corners = rings.groupBy("path_id").applyInPandas(run, "path_id long, k int, seq long")
-    return corners.join(paths.headings(rings), ["path_id", "seq"])
+    whole = rings.groupBy(F.col("path_id").cast("long").alias("path_id")).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("ring"))
+    return whole.mapInArrow(run, "path_id long, k int, seq long, x double, y double, hx double, hy double")
 
 
 def resolve_landmarks(marks: DataFrame, poses: DataFrame, edges: DataFrame, scale: float = 1.0, o: CornerOptions = CornerOptions()) -> DataFrame:
@@ -40,10 +59,12 @@ def resolve_landmarks(marks: DataFrame, poses: DataFrame, edges: DataFrame, scal
     at = g.apply(F.col("x"), F.col("y"), F.col("tx"), F.col("ty"), F.col("rotation"), F.lit(scale))
     h = g.rotate(F.col("hx"), F.col("hy"), F.col("rotation"))
     placed = j.select("region", "path_id", "k", at.alias("p"), h.alias("h"))
-    placed = placed.select("region", "path_id", "k", "p.x", "p.y", F.col("h.x").alias("hx"), F.col("h.y").alias("hy"))
+    # Read three times below; corners should be looked for once.
+    placed = cut_lineage(placed.select("region", "path_id", "k", "p.x", "p.y", F.col("h.x").alias("hx"), F.col("h.y").alias("hy")))
     still = (F.col("hx") == 0) & (F.col("hy") == 0)
     reach, along = o.search_radius_m, RasterOptions().align_rad
-    near = graphs.nearest_edge_point(placed.where(~still), edges, ["region", "path_id", "k"], reach, along, "region")
+    # Corners are many to a street: small cells save tests.
+    near = graphs.nearest_edge_point(placed.where(~still), edges, ["region", "path_id", "k"], reach, along, "region", max(50.0, reach / 2))
     columns = ["region", "path_id", "k", "x", "y", "fx", "fy", "node"]
     none = placed.where(still).select("region", "path_id", "k", "x", "y", *[F.lit(None).cast(t).alias(c) for c, t in (("fx", "double"), ("fy", "double"), ("node", "string"))])
     return near.select(columns).unionByName(none)
