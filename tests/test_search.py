@@ -104,3 +104,41 @@ def test_blocks_of_poses_open_only_where_they_could_pass(spark):
     for blocks in ((16, 4), (8,), (64, 16, 4)):
         assert show(raster.search_poses(rings, bounds, cells, frame, 1.0, o, r, blocks=blocks)) == plain
     assert len(plain) > 2 and {p[0] for p in plain} == {0, 1}
+
+
+@pytest.mark.parametrize("window", [640, 0])
+def test_poses_by_tiles_cost_what_their_samples_cost(spark, monkeypatch, window):
+    """Outlines of all sizes, one too wide for a tile: the same as by a join."""
+    monkeypatch.setattr(raster, "WINDOW", window)
+    r = RasterOptions(cell_m=10.0, margin_m=50.0)
+    _, frame, cells = town(spark, r)
+    rng = np.random.default_rng(8)
+    turn = np.linspace(0, 2 * math.pi, 40, endpoint=False)
+    rings = path_frame(spark, *[np.column_stack([np.cos(turn), np.sin(turn)]) * size + rng.normal(0, 4, (40, 2)) for size in (20, 90, 150, 3000)])
+    samples = raster.spaced_samples(rings, paths.path_length(rings, True), 30.0)
+    rows = [(k, n, *map(float, rng.uniform(-300, 4000, 2)), float(rng.uniform(-7, 7))) for k in range(4) for n in range(150)]
+    poses = spark.createDataFrame(rows, "path_id long, pose long, x double, y double, rotation double")
+    for factor, level in ((1, cells), (4, raster.pooled(cells, 4))):
+        seen = raster.lookup(raster.posed_samples(poses, samples, F.lit(1.2)), level, frame, r, factor)
+        want = seen.groupBy("path_id", "pose").agg(F.sum(F.least("d", F.lit(60.0))).alias("cost"), raster.longest_hole(30.0).alias("hole")).collect()
+        reach = raster.tiled_reach(rings, 1.2, r)
+        assert (0 < reach < 200) == (window > 0)
+        got = raster.score_poses(poses, samples, level, frame, 1.2, reach, 30.0, 60.0, o=r, factor=factor)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan
+        got = {(g.path_id, g.pose): g for g in got.collect()}
+        assert len(got) == len(want) == 600
+        for w in want:
+            g = got[w.path_id, w.pose]
+            assert g.max_hole_m == pytest.approx(w.hole) and g.cost == pytest.approx(w.cost) and (g.x, g.y, g.rotation) == rows[150 * w.path_id + w.pose][2:]
+
+
+def test_small_groups_share_a_call(spark):
+    rows = [(k, 40.0 * i, 0.0, 0.0, float(-i)) for k in [*range(300), None] for i in range(8)]
+    df = spark.createDataFrame(rows, "path_id long, x double, y double, rotation double, cost double")
+    got = matching.dedup_poses(df, "path_id", ["cost"], 90.0, 10.0)
+    assert "__bucket" in got._jdf.queryExecution().executedPlan().toString()
+    per = {}
+    for r in got.collect():
+        per.setdefault(r.path_id, []).append((r["rank"], r.x))
+    assert len(per) == 301 and all(sorted(v) == [(1, 280.0), (2, 160.0), (3, 40.0)] for v in per.values())
