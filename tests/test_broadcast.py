@@ -32,3 +32,15 @@ def test_feasible_poses_broadcast_no_cells(spark, sf):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_tier_scores_poses_by_tiles(spark, sf, monkeypatch):
+    """The block of ``r14_run_tier`` on the whole lattice: no row for every sample of every pose."""
+    from ringfold.operators import raster
+
+    def joined(*_, **__):
+        raise AssertionError("samples were joined")
+
+    monkeypatch.setattr(raster, "lookup", joined)
+    rows = entry.queries()["r14_run_tier"](spark, sf).collect()
+    assert rows and all(r.length_m > 0 for r in rows)
