@@ -423,3 +423,24 @@ def test_frechet_of_many_pairs_at_once_is_that_of_each(monkeypatch):
         monkeypatch.setattr(kernels, "CURVES", some)
         assert kernels.discrete_frechets(pairs) == want
     assert kernels.discrete_frechets([]) == []
+
+
+def test_nearest_distances_are_a_row_a_path_until_they_are_made(spark):
+    from ringfold.queries import geometry
+
+    rng = np.random.default_rng(5)
+    line, points = rng.normal(0, 100, (9, 2)), rng.normal(0, 100, (30, 2))
+    line[4] = line[3]
+    for closed in (True, False):
+        a, b = (line, np.roll(line, -1, axis=0)) if closed else (line[:-1], line[1:])
+        want = kernels.polyline_distance(points, line, closed)
+        assert np.allclose(kernels.least_distances(*points.T, *a.T, *b.T, cells=20), want)
+        rows = lambda xy: [(k, i, *map(float, v)) for k in (7, 8) for i, v in enumerate(xy)]
+        at = lambda xy: spark.createDataFrame(rows(xy), "path_id long, seq long, x double, y double")
+        near = geometry.polyline_nearest(at(points), at(line), closed)
+        assert "MapInArrow" in near._jdf.queryExecution().toString()
+        got = near.collect()
+        assert {r.path_id for r in got} == {7, 8} and np.allclose(sorted(r.d for r in got), np.sort(np.repeat(want, 2)))
+    # What is no number is passed over, as by an aggregate.
+    assert kernels.least_distances(*points.T, *np.where(a == a[0], np.nan, a).T, *b.T)[0] >= want[0]
+    assert geometry.polyline_nearest(at(points), at(line[:1]), True).count() == 0
