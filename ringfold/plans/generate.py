@@ -100,12 +100,9 @@ def match_poses(
             "worst": worst, "passes": worst <= 1, "nodes": nodes, "points": points.tolist(),
         }
 
-    def prune(graph: kernels.Graph, frame: pd.DataFrame) -> list[dict]:
-        out = []
-        for row in frame.itertuples():
-            kept = kernels.prune_spikes(list(row.nodes), graph, outline(row), row.target_m, PruneOptions(passes=tier.passes), bar)
-            out.append(score(row, kept, *graph.loop(kept), graph))
-        return out
+    def prune(graph: kernels.Graph, row) -> list[dict]:
+        kept = kernels.prune_spikes(list(row.nodes), graph, outline(row), row.target_m, PruneOptions(passes=tier.passes), bar)
+        return [score(row, kept, *graph.loop(kept), graph)]
 
     options = MatchOptions(radius_m=tier.radius_m, candidates=tier.candidates)
     streets = cut_lineage(tiles.street_table(nodes, edges))

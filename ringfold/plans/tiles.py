@@ -42,19 +42,23 @@ def small_graph(frame: pd.DataFrame) -> kernels.Graph:
 TOGETHER = 32
 
 
-def by_pose(poses: DataFrame, rows: DataFrame, run, schema: str) -> DataFrame:
-    """``run(key, poses, rows)``, a frame or a list of rows, for every pose
-    (region, path_id, pose) of ``poses`` with its ``rows``; some poses are
-    dealt together, since few rows a call cost more than they work."""
-    buckets = F.lit(max(1, -(-poses.count() // TOGETHER)))
+def by_pose(poses: DataFrame, rows: DataFrame, run, schema: str, single: bool = False, together: int = TOGETHER) -> DataFrame:
+    """``run(key, poses, rows)``, a list of rows, for every pose (region,
+    path_id, pose) of ``poses`` with its ``rows``; about ``together`` poses are
+    dealt to a call, since few rows a call cost more than they work. Where
+    poses have a row each (``single``), ``run`` gets that row, not a frame."""
+    buckets = max(1, -(-poses.select(*POSE).distinct().count() // together))
+    # A number that is given stays: adaptive execution goes by bytes, and these rows take long for theirs.
+    tasks = min(buckets, int(poses.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [c.split()[0] for c in schema.split(", ")]
-    own = lambda t: t.toDF(*t.columns).withColumn("__bucket", F.pmod(F.xxhash64(*POSE), buckets))  # noqa: E731  columns of its own
+    own = lambda t: t.toDF(*t.columns).withColumn("__bucket", F.pmod(F.xxhash64(*POSE), F.lit(buckets))).repartition(tasks, "__bucket")  # noqa: E731  columns of its own
 
     def each(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = dict(list(right.groupby(POSE)))
+        own = (((r.region, r.path_id, r.pose), r) for r in left.itertuples()) if single else left.groupby(POSE)
         out = []
-        for pose, frame in left.groupby(POSE):
-            out += run(pose, frame, parts.get(pose, right.iloc[:0]))
+        for pose, rows in own:
+            out += run(pose, rows, parts.get(pose, right.iloc[:0]))
         return pd.DataFrame(out, columns=names)
 
     return own(poses).groupBy("__bucket").cogroup(own(rows).groupBy("__bucket")).applyInPandas(each, schema)
@@ -211,23 +215,27 @@ def score_walks(walks: DataFrame, legs: DataFrame, nodes: DataFrame, streets: Da
     first = nodes.select(F.col("node").alias("first"), F.col("x").alias("fx"), F.col("y").alias("fy"))
     rows = work.join(walks, POSE).withColumn("first", F.get("nodes", F.lit(0))).join(first, "first")
 
-    def run(key: tuple, frame: pd.DataFrame, used: pd.DataFrame) -> list:
-        out = []
-        for row in frame.itertuples():
-            graph = small_graph(used.drop_duplicates("edge"))
-            graph.position.setdefault(row.first, (row.fx, row.fy))
-            ring = [*row.nodes, row.nodes[0]]
-            by_leg = {leg: part.sort_values("k").edge.tolist() for leg, part in used.groupby("leg")}
-            walked = [{"points": graph.polyline(a, by_leg.get(i, [])), "real": True, "edges": by_leg.get(i, [])} for i, a in enumerate(ring[:-1])]
-            out.append(score(row, list(row.nodes), kernels.leg_points(walked), walked, graph))
-        return out
+    def run(key: tuple, row, used: pd.DataFrame) -> list:
+        used = used.sort_values(["leg", "k"])
+        by_leg: dict = {}
+        for leg, edge in zip(used.leg, used.edge):
+            by_leg.setdefault(leg, []).append(edge)
+        graph = small_graph(used.drop_duplicates("edge"))
+        graph.position.setdefault(row.first, (row.fx, row.fy))
+        ring = [*row.nodes, row.nodes[0]]
+        walked = [{"points": graph.polyline(a, by_leg.get(i, [])), "real": True, "edges": by_leg.get(i, [])} for i, a in enumerate(ring[:-1])]
+        return [score(row, list(row.nodes), kernels.leg_points(walked), walked, graph)]
+
+    return by_pose(rows, walk_streets(walks, legs, streets), run, schema, single=True)
+
 
-    return by_pose(rows, walk_streets(walks, legs, streets), run, schema)
+#: Routes that share a call with the streets around each.
+AROUND = 8
 
 
 def with_surroundings(work: DataFrame, streets: DataFrame, run, schema: str, tile_m: float = 1000.0) -> DataFrame:
-    """``run(graph, frame)`` on each row of ``work`` (region, path_id, pose,
-    points, length_m, ...) with the streets around its route.
+    """``run(graph, row)``, a list, on each row of ``work`` (region, path_id,
+    pose, points, length_m, ...) with the streets around its route.
 
     Whatever is left out of a loop, the shortest path between two of its nodes
     is no longer than half the loop and so stays within a quarter of it from
@@ -241,10 +249,5 @@ def with_surroundings(work: DataFrame, streets: DataFrame, run, schema: str, til
     tiles = boxed.select(*POSE, "box", F.explode(spatial.box_cells(F.col("box.x0"), F.col("box.y0"), F.col("box.x1"), F.col("box.y1"), tile_m)).alias("t"))
     own = streets.select("*", g.cell(F.col("ax"), tile_m).alias("tx"), g.cell(F.col("ay"), tile_m).alias("ty"))
     near = tiles.select(*POSE, F.col("t.cx").alias("tx"), F.col("t.cy").alias("ty")).join(own, ["tx", "ty"]).drop("tx", "ty")
-    near = near.toDF(*near.columns)  # columns of its own
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def each(key: tuple, frame: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(run(small_graph(near), frame) if len(frame) else [], columns=names)
 
-    return work.groupBy(*POSE).cogroup(near.groupBy(*POSE)).applyInPandas(each, schema)
+    return by_pose(work, near, lambda key, row, near: run(small_graph(near), row), schema, single=True, together=AROUND)

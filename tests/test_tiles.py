@@ -118,3 +118,26 @@ def test_routes_stay_out_of_python_when_some_are_chosen(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     python = next(line for line in plan.splitlines() if "FlatMapGroupsInPandas" in line)
     assert "points" not in python and "nodes" not in python
+
+
+def test_poses_share_calls_whatever_their_rows(spark):
+    poses = [(0, k, p) for k in range(20) for p in range(2)]
+    many = spark.createDataFrame([(*p, i) for p in poses for i in range(50)], "region long, path_id long, pose long, i long")
+    rows = spark.createDataFrame([(*p, v) for p in poses for v in (1.0, 2.0)], "region long, path_id long, pose long, v double")
+    run = lambda key, frame, rows: [(*key, len(frame), rows.v.sum())]
+    got = tiles.by_pose(many, rows, run, "region long, path_id long, pose long, n long, v double").collect()
+    assert sorted((r.region, r.path_id, r.pose) for r in got) == poses
+    assert all(r.n == 50 and r.v == 3.0 for r in got)
+    frames = spark.createDataFrame(poses, "region long, path_id long, pose long")
+    one = tiles.by_pose(frames, rows, lambda key, row, rows: [(*key, row.path_id, len(rows))], "region long, path_id long, pose long, p long, n long", single=True)
+    assert sorted((r.path_id, r.pose, r.p, r.n) for r in one.collect()) == [(k, p, k, 2) for _, k, p in poses]
+    # 40 poses are two buckets, though they have 2,000 rows.
+    assert _buckets(many) == 2
+
+
+def _buckets(poses):
+    """The buckets of a call by the numbers in its plan."""
+    import re
+
+    plan = tiles.by_pose(poses, poses, lambda *a: [], "region long")._jdf.queryExecution().toString()
+    return int(re.search(r"pmod\(xxhash64\([^)]*\), (?:cast\()?(\d+)", plan).group(1))
