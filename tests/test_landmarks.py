@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+import __spark_entry__ as entry
 from ringfold.operators import kernels, paths
 from ringfold.params import CornerOptions
 from ringfold.plans import skeleton
@@ -63,3 +64,13 @@ def test_landmarks_meet_the_nearest_street(spark, rings):
             seen += 1
             assert (r.fx, r.fy) == (pytest.approx(best[1][0]), pytest.approx(best[1][1]))
     assert seen > 50
+
+
+def test_anchors_move_to_their_own_region(spark, tmp_path):
+    """First corners of wide outlines lie on the streets of the next region."""
+    rows = np.random.default_rng(5).normal(0, 0.125, (130, 64))
+    rows[:60] *= 7
+    values = [(k, [float(v) for v in row]) for k, row in enumerate(rows) if k < 60 or k >= 100]
+    spark.createDataFrame(values, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = entry.queries()["r12_move_landmark"](spark, str(tmp_path)).collect()
+    assert sorted(r.path_id for r in found) == [k for k, _ in values]
