@@ -138,8 +138,10 @@ def suggestion_label(coverage: Column, mean: Column) -> Column:
 
 
 def saved_ago(saved: Column, now: Column) -> Column:
-    """How long ago a timestamp was; ``now`` is given so that results repeat."""
-    secs = F.greatest(F.lit(0).cast("long"), F.unix_timestamp(now) - F.unix_timestamp(saved))
+    """How long ago a timestamp was; ``now`` is given so that results repeat.
+    Both are taken to the nearest second, half ones to the even."""
+    whole = lambda t: F.rint(F.unix_micros(t.cast("timestamp")) / 1e6).cast("long")
+    secs = F.greatest(F.lit(0).cast("long"), whole(now) - whole(saved))
     unit = lambda n, s: F.concat(F.floor(secs / n).cast("string"), F.lit(s))
     return (
         F.when(saved.isNull(), F.lit("at an unknown time"))
