@@ -152,12 +152,10 @@ def t12_offsets(d):
 @query("t12_local_refine")
 def t12(d):
     """The best of the 126 neighbours of each outline's own place."""
-    o = SearchOptions(refine_m=(20.0, 20.0), refine_deg=(6.0, 6.0), min_coverage=0.2)
-    start = paths.centroid(d.vertex).select(K, (C("cx") + 15).alias("x"), (C("cy") - 10).alias("y"), L(0.0).alias("rotation"))
-    tried = matching.refinements(start, o).withColumn("pose", C("step").cast("long"))
-    s = tried.join(matching.score_poses(tried, paths.recentre(d.vertex), d.segment, 16, o=o), [K, "pose"])
-    best = s.groupBy(K).agg(F.max_by(F.struct("step", "score", "coverage"), F.struct("score", -C("step"))).alias("b"))
-    return best.select(K, "b.step", q(C("b.score"), 4).alias("score"), q(C("b.coverage"), 4).alias("coverage"))
+    o = SearchOptions(min_coverage=0.2)
+    start = paths.centroid(d.vertex).select(K, L(0).alias("pose"), (C("cx") + 15).alias("x"), (C("cy") - 10).alias("y"), L(0.0).alias("rotation"))
+    best = matching.refine_poses(start, paths.recentre(d.vertex), d.segment, o.samples[1], o=o)
+    return best.select(K, "step", q(C("score"), 4).alias("score"), q(C("coverage"), 4).alias("coverage"))
 
 
 @query("g12_search_placements")
